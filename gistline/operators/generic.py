@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, halo, scan
+from gistline.operators.scan import halo, scan
 
 SHOWN_ERRORS = 50
 ERROR_PATTERN = "(?i)" + P.word(P.ERROR_WORDS)
@@ -38,64 +38,59 @@ def dedupe_consecutive(lines: DataFrame, span: int | None = None) -> DataFrame:
     return numbered.select("log_id", "seq", F.when(F.col("starts"), F.col("line")).otherwise(note).alias("line"))
 
 
-def _error_rows(deduped: DataFrame) -> DataFrame:
-    return deduped.filter(F.col("line").rlike(ERROR_PATTERN))
-
-
 def error_lines(lines: DataFrame, k: int = SHOWN_ERRORS) -> DataFrame:
     """The first error lines of each log, with the log's number of error lines."""
-    found = _error_rows(dedupe_consecutive(lines))
-    counts = found.groupBy("log_id").agg(F.count("*").alias("error_count"))
-    return first_k(found, k, ["log_id"], ["seq"], "rank").join(counts, "log_id")
+    return sized(dedupe_consecutive(lines)).filter(F.col("is_error") & (F.col("rank") <= k)).select(
+        "log_id", "seq", "line", "rank", F.col("errors").alias("error_count"))
+
+
+def sized(deduped: DataFrame, span: int | None = None) -> DataFrame:
+    """Merged lines with the log's number of lines, tokens, error lines, and the rank among those."""
+    is_error = F.col("line").rlike(ERROR_PATTERN)
+    marked = deduped.withColumn("is_error", is_error)
+    counted = scan(
+        marked, running={"rank": F.col("is_error").cast("int")}, pos="seq", span=span,
+        total={"n": F.lit(1), "chars": F.length("line"), "errors": F.col("is_error").cast("int")})
+    return counted.withColumn("tokens", T.tokens_of_length(F.col("chars") + F.col("n") - 1)).drop("chars")
+
 
+def _cut(max_tokens: int) -> Column:
+    """What a line becomes when the middle is cut: itself, the marker (first cut line), or null."""
+    n, seq = F.col("n"), F.col("seq")
+    over = F.col("tokens") > max_tokens
+    head, tail = F.floor(n * F.lit(0.3)), F.floor(n * F.lit(0.5))
+    marker = F.concat(F.lit("… ["), (n - head - tail).cast("string"), F.lit(" lines omitted] …"))
+    return F.when(~over | (seq <= head) | (seq > n - tail), F.col("line")).when(seq == head + 1, marker)
 
-def cut_middle(deduped: DataFrame, max_tokens: int = 2000, span: int | None = None) -> DataFrame:
+
+def middle_truncate(lines: DataFrame, max_tokens: int = 2000, span: int | None = None) -> DataFrame:
     """(log_id, ord, line): logs over budget keep their first 30 and last 50 percent of lines."""
-    sized = scan(deduped, total={"n": F.lit(1), "chars": F.length("line")}, pos="seq", span=span)
-    over = T.tokens_of_length(F.col("chars") + F.col("n") - 1) > max_tokens
-    head = F.when(over, F.floor(F.col("n") * F.lit(0.3))).otherwise(F.col("n"))
-    tail = F.when(over, F.floor(F.col("n") * F.lit(0.5))).otherwise(F.lit(0))
-    dropped = F.col("n") - F.col("head") - F.col("tail")
-    seq = F.col("seq")
-    kept = F.when((seq <= F.col("head")) | (seq > F.col("n") - F.col("tail")),
-                  F.struct((seq * 2).alias("ord"), F.col("line").alias("line")))
-    # The first dropped line becomes the marker.
-    marker = F.when((seq == F.col("head") + 1) & (dropped > 0), F.struct(
-        (seq * 2).alias("ord"),
-        F.concat(F.lit("… ["), dropped.cast("string"), F.lit(" lines omitted] …")).alias("line")))
-    return sized.withColumn("head", head).withColumn("tail", tail).withColumn(
-        "shown", F.coalesce(marker, kept)).filter("shown IS NOT NULL").select("log_id", "shown.*")
-
-
-def middle_truncate(lines: DataFrame, max_tokens: int = 2000) -> DataFrame:
-    return cut_middle(dedupe_consecutive(lines), max_tokens)
-
-
-def stats(lines: DataFrame) -> DataFrame:
-    # Merging repeats removes no line's text, but counts change: count after merging.
-    counts = _error_rows(dedupe_consecutive(lines)).groupBy("log_id").agg(F.count("*").alias("errors"))
-    n = F.coalesce("errors", F.lit(0)).cast("bigint")
-    return D.log_sizes(lines).join(counts, "log_id", "left").withColumn("errors", n).withColumn(
+    shown = sized(dedupe_consecutive(lines, span), span).select(
+        "log_id", (F.col("seq") * 2).alias("ord"), _cut(max_tokens).alias("line"))
+    return shown.filter("line IS NOT NULL")
+
+
+def stats(sized_lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    n = F.col("errors")
+    counts = sized_lines.filter("seq = 1").select("log_id", "errors")
+    return sizes.join(counts, "log_id", "left").withColumn(
         "summary", F.when(n > 0, F.concat(F.lit("Command output ("), n.cast("string"), F.lit(" error-matching lines)")))
         .otherwise("Command output")).withColumn("outcome", F.lit("unknown"))
 
 
-def digest_rows(lines: DataFrame, totals: DataFrame, max_tokens: int = 2000) -> DataFrame:
-    row = D.row
-    n = F.col("errors")
-    heads = D.rows_of(
-        totals,
-        F.when(n > 0, row(0, 0, F.concat(F.lit("Error-matching lines ("), n.cast("string"), F.lit("):")))),
-        F.when(n > 0, row(1, 0, "")))
-    deduped = dedupe_consecutive(lines)
-    shown = first_k(_error_rows(deduped), SHOWN_ERRORS, ["log_id"], ["seq"], "rank")
-    return D.union([
-        heads,
-        D.rows_of(shown, row(0, F.col("rank"), F.col("line"))),
-        D.rows_of(cut_middle(deduped, max_tokens), row(2, F.col("ord"), F.col("line"))),
-    ])
+def digest_rows(sized_lines: DataFrame, max_tokens: int = 2000) -> DataFrame:
+    """All rows in one pass: each line knows the log's counts and its own rank."""
+    row, n = D.row, F.col("errors")
+    first, some = F.col("seq") == 1, n > 0
+    body = _cut(max_tokens)
+    return D.rows_of(
+        sized_lines,
+        F.when(first & some, row(0, 0, F.concat(F.lit("Error-matching lines ("), n.cast("string"), F.lit("):")))),
+        F.when(F.col("is_error") & (F.col("rank") <= SHOWN_ERRORS), row(0, F.col("rank"), F.col("line"))),
+        F.when(first & some, row(1, 0, "")),
+        F.when(body.isNotNull(), row(2, F.col("seq"), body)))
 
 
 def digest(lines: DataFrame, max_tokens: int = 2000) -> DataFrame:
-    totals = stats(lines)
-    return D.finish("generic", totals, digest_rows(lines, totals, max_tokens))
+    merged = sized(dedupe_consecutive(lines))
+    return D.finish("generic", stats(merged, D.log_sizes(lines)), digest_rows(merged, max_tokens))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, scan
+from gistline.operators.scan import first_k, once, scan
+from gistline.sources.staging import stage
 
 TOP_WARNINGS = 10
 WRONG_LINES = 6
@@ -28,7 +29,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(t.rlike(P.JAVAC), "javac")
         .otherwise("other")
     )
-    return lines.select("log_id", "line_no", T.rtrim("line").alias("text")).withColumn("line_class", line_class)
+    return once(lines.select("log_id", "line_no", T.rtrim("line").alias("text")), "line_class", line_class)
 
 
 def facts(lines: DataFrame, details: bool = False, span: int | None = None) -> DataFrame:
@@ -65,56 +66,59 @@ def diagnostics(fact_rows: DataFrame) -> DataFrame:
     )
 
 
-def kotlin_diagnostics(lines: DataFrame) -> DataFrame:
-    return diagnostics(facts(lines).filter("fact = 'kotlin'")).drop("compiler")
+def kotlin_diagnostics(fact_rows: DataFrame) -> DataFrame:
+    return diagnostics(fact_rows.filter("fact = 'kotlin'")).drop("compiler")
 
 
-def javac_diagnostics(lines: DataFrame) -> DataFrame:
-    return diagnostics(facts(lines).filter("fact = 'javac'")).drop("compiler", "col")
+def javac_diagnostics(fact_rows: DataFrame) -> DataFrame:
+    return diagnostics(fact_rows.filter("fact = 'javac'")).drop("compiler", "col")
 
 
-def build_result(lines: DataFrame) -> DataFrame:
-    """Status and duration of the last result line. Needs no state, so no scan."""
+def _last_result(fact_rows: DataFrame) -> DataFrame:
     t = F.col("text")
-    found = classify_lines(lines).filter("line_class = 'result'")
     last = F.max(F.struct("line_no", F.regexp_extract(t, P.BUILD_RESULT, 1).alias("status"),
                           T.captured(t, P.BUILD_RESULT, 2).alias("duration")))
-    found = found.groupBy("log_id").agg(last.alias("r"))
+    return fact_rows.filter("fact = 'result'").groupBy("log_id").agg(last.alias("r")).select("log_id", "r.status", "r.duration")
+
+
+def build_result(lines: DataFrame) -> DataFrame:
+    """Status and duration of the last result line of every log. Needs no state, so no scan."""
+    found = _last_result(classify_lines(lines).withColumnRenamed("line_class", "fact"))
     return D.log_sizes(lines).select("log_id").join(found, "log_id", "left").select(
-        "log_id", F.coalesce("r.status", F.lit("UNKNOWN")).alias("status"), F.col("r.duration").alias("duration"))
+        "log_id", F.coalesce("status", F.lit("UNKNOWN")).alias("status"), "duration")
 
 
-def failed_tasks(lines: DataFrame) -> DataFrame:
-    return facts(lines).filter("fact = 'task'").select(
+def failed_tasks(fact_rows: DataFrame) -> DataFrame:
+    return fact_rows.filter("fact = 'task'").select(
         "log_id", "line_no", F.regexp_extract("text", P.TASK, 1).alias("task"))
 
 
-def what_went_wrong(lines: DataFrame) -> DataFrame:
+def what_went_wrong(fact_rows: DataFrame) -> DataFrame:
     """First lines of the failure note; shown only for builds that failed."""
-    found = facts(lines, details=True).filter("fact = 'detail'").select("log_id", "line_no", T.trim("text").alias("text"))
+    found = fact_rows.filter("fact = 'detail'").select("log_id", "line_no", T.trim("text").alias("text"))
     found = first_k(found, WRONG_LINES, ["log_id"], ["line_no"])
-    failed = build_result(lines).filter("status = 'FAILED'").select("log_id")
+    failed = _last_result(fact_rows).filter("status = 'FAILED'").select("log_id")
     return found.join(failed, "log_id", "left_semi")
 
 
-def warning_groups(lines: DataFrame) -> DataFrame:
+def warning_groups(fact_rows: DataFrame) -> DataFrame:
     """Warnings by message: count, first place, rank by count and first appearance."""
-    warnings = diagnostics(facts(lines)).filter("severity = 'warning'")
+    warnings = diagnostics(fact_rows).filter("severity = 'warning'")
     return warnings.groupBy("log_id", "message").agg(
         F.count("*").alias("n"), F.min("line_no").alias("first_line"),
         F.min_by("file", "line_no").alias("file"))
 
 
-def warnings_topk(lines: DataFrame, k: int = TOP_WARNINGS) -> DataFrame:
-    return first_k(warning_groups(lines), k, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
+def warnings_topk(fact_rows: DataFrame, k: int = TOP_WARNINGS) -> DataFrame:
+    return first_k(warning_groups(fact_rows), k, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
 
 
-def stats(lines: DataFrame) -> DataFrame:
+def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row per log: result, counts, summary line."""
     t, fact = F.col("text"), F.col("fact")
     severity = F.when(fact == "kotlin", F.regexp_extract(t, P.KOTLIN, 1)).when(
         fact == "javac", F.left(F.regexp_extract(t, P.JAVAC, 3), F.lit(1)))
-    found = facts(lines).select("log_id", "line_no", "fact", "text", severity.alias("severity")).groupBy("log_id").agg(
+    found = fact_rows.select("log_id", "line_no", "fact", "text", severity.alias("severity")).groupBy("log_id").agg(
         F.max(F.when(fact == "result", F.struct(
             "line_no", F.regexp_extract(t, P.BUILD_RESULT, 1).alias("status"),
             T.captured(t, P.BUILD_RESULT, 2).alias("duration")))).alias("r"),
@@ -123,11 +127,11 @@ def stats(lines: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "w").alias("warnings"),
         F.count_if(fact == "task").alias("tasks"),
     )
-    unique = warning_groups(lines).groupBy("log_id").agg(F.count("*").alias("unique_warnings"))
+    unique = warning_groups(fact_rows).groupBy("log_id").agg(F.count("*").alias("unique_warnings"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     head = F.when(F.col("status") == "UNKNOWN", "BUILD (status unknown)").otherwise(F.concat(F.lit("BUILD "), "status"))
     return (
-        D.log_sizes(lines).join(found, "log_id", "left").join(unique, "log_id", "left")
+        sizes.join(found, "log_id", "left").join(unique, "log_id", "left")
         .select("log_id", "original_tokens", F.coalesce("r.status", F.lit("UNKNOWN")).alias("status"),
                 F.col("r.duration").alias("duration"), F.col("t.task").alias("first_task"),
                 F.col("t.line_no").alias("first_task_line"),
@@ -140,12 +144,14 @@ def stats(lines: DataFrame) -> DataFrame:
 
 
 def gradle_summary(lines: DataFrame) -> DataFrame:
-    top = warnings_topk(lines, 1).select("log_id", F.col("message").alias("top_warning"), F.col("n").alias("top_count"))
-    return stats(lines).join(top, "log_id", "left").select(
+    """Per build: result, errors, warnings and the most frequent warning."""
+    known = facts(lines)
+    top = warnings_topk(known, 1).select("log_id", F.col("message").alias("top_warning"), F.col("n").alias("top_count"))
+    return stats(known, D.log_sizes(lines)).join(top, "log_id", "left").select(
         "log_id", "status", "duration", "errors", "unique_warnings", "warnings", "summary", "top_warning", "top_count")
 
 
-def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
+def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     n, u, w = F.col("tasks"), F.col("unique_warnings"), F.col("warnings")
     s = lambda c: c.cast("string")
     row = D.row
@@ -164,26 +170,26 @@ def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
         F.when(n > 0, row(4, 0, "")),
         F.when(n > 0, row(4, 1, F.concat(F.lit("Failed task"), F.when(n > 1, "s").otherwise(""), F.lit(": "), "first_task"))),
     )
-    known = facts(lines)
     loc = F.concat_ws(":", "file", s(F.col("line")), s(F.col("col")))
     errors = D.rows_of(
-        diagnostics(known).filter("severity = 'error'"),
+        diagnostics(fact_rows).filter("severity = 'error'"),
         row(1, F.col("line_no") + 1, F.concat(F.lit("  "), loc, F.lit(" — "), "message")))
     warnings = D.rows_of(
-        warnings_topk(lines),
+        warnings_topk(fact_rows),
         row(2, F.col("rank") + 1, F.concat(F.lit("  "), T.count_prefix("n"), "message")))
-    note = what_went_wrong(lines)
+    note = what_went_wrong(fact_rows)
     wrong = D.rows_of(
         note,
         F.when(F.col("seq") == 1, row(3, 0, "")),
         F.when(F.col("seq") == 1, row(3, 1, "What went wrong:")),
         row(3, F.col("seq") + 1, F.concat(F.lit("  "), "text")))
-    later = known.filter("fact = 'task'").join(totals.select("log_id", "first_task_line"), "log_id").filter(
+    later = fact_rows.filter("fact = 'task'").join(totals.select("log_id", "first_task_line"), "log_id").filter(
         F.col("line_no") > F.col("first_task_line"))
     tasks = D.rows_of(later, row(4, F.col("line_no") + 1, F.regexp_extract("text", P.TASK, 1)), glue=", ")
     return D.union([heads, errors, warnings, wrong, tasks])
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    totals = stats(lines)
-    return D.finish("gradle", totals, digest_rows(lines, totals))
+    known = stage(facts(lines, details=True))
+    totals = stats(known, D.log_sizes(lines))
+    return D.finish("gradle", totals, digest_rows(known, totals))

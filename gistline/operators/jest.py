@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, scan
+from gistline.operators.scan import first_k, once, scan
+from gistline.sources.staging import stage
 
 SHOWN_DETAILS = 20
 
@@ -24,75 +25,88 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(t.rlike(P.JEST_MARKER), "marker")
         .when(T.trim(t) != "", "other")
     )
-    return lines.select("log_id", "line_no", T.strip_cr("line").alias("text")).withColumn(
-        "line_class", line_class).filter(F.col("line_class").isNotNull())
+    text = lines.select("log_id", "line_no", T.strip_cr("line").alias("text"))
+    return once(text, "line_class", line_class).filter("line_class IS NOT NULL")
 
 
 def _suite() -> Column:
-    c, t = F.col("line_class"), F.col("text")
+    c, t = F.col("fact"), F.col("text")
     return F.when(c == "pass", F.regexp_extract(t, P.JEST_PASS, 1)).otherwise(F.regexp_extract(t, P.JEST_FAIL, 1))
 
 
-def jest_suites(lines: DataFrame) -> DataFrame:
-    return classify_lines(lines).filter("line_class IN ('pass', 'fail')").select(
-        "log_id", "line_no", F.col("line_class").alias("status"), _suite().alias("suite"))
+def jest_suites(fact_rows: DataFrame) -> DataFrame:
+    return fact_rows.filter("fact IN ('pass', 'fail')").select(
+        "log_id", "line_no", F.col("fact").alias("status"), _suite().alias("suite"))
+
+
+def stateless_facts(lines: DataFrame) -> DataFrame:
+    """Suites and totals: the facts that need no carried state, without a shuffle."""
+    return classify_lines(lines).withColumnRenamed("line_class", "fact").filter(
+        "fact IN ('suites', 'tests', 'time', 'pass', 'fail')")
 
 
 def facts(lines: DataFrame, details: bool = False, span: int | None = None) -> DataFrame:
-    """Markers and details of failing suites, with the block (line of its marker).
+    """Suites, totals, and the titles and details of failures with their ``block``.
 
-    ``suite_line`` is the line of the failing suite. Without ``details``, lines of no class are
-    dropped before the shuffle.
+    A block is named by the line of its title, its suite by ``suite_line``. Without ``details``,
+    lines of no class are dropped before the shuffle.
     """
     c = F.col("line_class")
-    marked = classify_lines(lines).filter(
-        c.isin("summary", "pass", "fail", "marker", *(["other"] if details else [])))
+    marked = classify_lines(lines)
+    if not details:
+        marked = marked.filter(c != "other")
     carried = scan(marked, span=span, before={
         "summary_seen": F.when(c == "summary", 1),
         "suite_line": F.when(c == "fail", F.col("line_no")).when(c == "pass", F.lit(0)),
         "open": F.when(c == "marker", F.col("line_no")).when(c.isin("pass", "fail", "summary"), F.lit(-1)),
     })
-    return carried.filter(
-        c.isin("marker", "other") & F.col("summary_seen").isNull() & (F.col("suite_line") > 0)
-        & ((c == "marker") | (F.col("open") > 0))
-    ).select("log_id", "line_no", F.when(c == "marker", "title").otherwise("detail").alias("fact"),
-             "suite_line", F.when(c == "marker", F.col("line_no")).otherwise(F.col("open")).alias("block"), "text")
+    failing = F.col("summary_seen").isNull() & (F.col("suite_line") > 0)
+    fact = (
+        F.when(c == "marker", F.when(failing, "title"))
+        .when(c == "other", F.when(failing & (F.col("open") > 0), "detail"))
+        .when(c != "summary", c))
+    block = F.when(c == "marker", F.col("line_no")).otherwise(F.col("open"))
+    return carried.select("log_id", "line_no", fact.alias("fact"), "suite_line", block.alias("block"), "text").filter(
+        "fact IS NOT NULL")
 
 
-def jest_failures(lines: DataFrame) -> DataFrame:
+def jest_failures(fact_rows: DataFrame) -> DataFrame:
     """Failure blocks with suite and title."""
-    suites = classify_lines(lines).filter("line_class = 'fail'").select(
+    suites = fact_rows.filter("fact = 'fail'").select(
         "log_id", F.col("line_no").alias("suite_line"), _suite().alias("suite"))
-    found = facts(lines).filter("fact = 'title'")
+    found = fact_rows.filter("fact = 'title'").select("log_id", "suite_line", "block", "text")
     return found.join(suites, ["log_id", "suite_line"]).select(
         "log_id", "block", "suite", T.trim(F.regexp_extract("text", P.JEST_MARKER, 1)).alias("title"))
 
 
-def jest_failure_details(lines: DataFrame, k: int = SHOWN_DETAILS) -> DataFrame:
+def jest_failure_details(fact_rows: DataFrame, k: int = SHOWN_DETAILS) -> DataFrame:
     """The first detail lines of each block; ``seq`` counts within the block."""
-    found = facts(lines, details=True).filter("fact = 'detail'").select("log_id", "block", "line_no", "text")
+    found = fact_rows.filter("fact = 'detail'").select("log_id", "block", "line_no", "text")
     return first_k(found, k, ["log_id", "block"], ["line_no"])
 
 
-def jest_totals(lines: DataFrame) -> DataFrame:
-    """The last totals lines; nulls where a log has none."""
-    c, t = F.col("line_class"), F.col("text")
+def totals_of(fact_rows: DataFrame) -> DataFrame:
+    """The last totals lines of the logs that have any."""
+    c, t = F.col("fact"), F.col("text")
 
     def last(name: str, pattern: str) -> Column:
         value = F.struct("line_no", T.trim(F.regexp_extract(t, pattern, 1)).alias("v"))
         return F.nullif(F.max(F.when(c == name, value))["v"], F.lit("")).alias(name)
 
-    found = classify_lines(lines).filter(c.isin("suites", "tests", "time")).groupBy("log_id").agg(
+    return fact_rows.filter(c.isin("suites", "tests", "time")).groupBy("log_id").agg(
         last("suites", P.JEST_SUITES), last("tests", P.JEST_TESTS), last("time", P.JEST_TIME))
-    return D.log_sizes(lines).select("log_id").join(found, "log_id", "left")
 
 
-def stats(lines: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    passed = classify_lines(lines).filter("line_class = 'pass'").groupBy("log_id").agg(F.count("*").alias("passed"))
-    failed = facts(lines).filter("fact = 'title'").groupBy("log_id").agg(F.count("*").alias("failures"))
+def jest_totals(lines: DataFrame) -> DataFrame:
+    """The last totals lines of every log; nulls where a log has none."""
+    return D.log_sizes(lines).select("log_id").join(totals_of(stateless_facts(lines)), "log_id", "left")
+
+
+def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    counts = fact_rows.groupBy("log_id").agg(
+        F.count_if(F.col("fact") == "pass").alias("passed"), F.count_if(F.col("fact") == "title").alias("failures"))
     zero = lambda n: F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
-    out = D.log_sizes(lines).join(jest_totals(lines), "log_id", "left").join(passed, "log_id", "left").join(
-        failed, "log_id", "left").select(
+    out = sizes.join(totals_of(fact_rows), "log_id", "left").join(counts, "log_id", "left").select(
         "log_id", "original_tokens", "suites", "tests", "time", zero("passed"), zero("failures"))
     with_suites = F.concat(F.lit("Tests: "), "tests", F.coalesce(F.concat(F.lit(" | Suites: "), "suites"), F.lit("")))
     failures = F.concat(F.col("failures").cast("string"), F.lit(" test failure(s)"))
@@ -103,7 +117,7 @@ def stats(lines: DataFrame, runs: DataFrame | None = None) -> DataFrame:
                  .when(F.col("tests").isNull() & (F.col("passed") == 0), "unknown").otherwise("ok"))
 
 
-def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
+def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     row, n, p = D.row, F.col("failures"), F.col("passed")
     heads = D.rows_of(
         totals,
@@ -118,15 +132,16 @@ def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
     )
     at = F.col("block") * 4
     titles = D.rows_of(
-        jest_failures(lines), row(1, at, ""), row(1, at + 1, F.concat(F.lit("  ✗ "), "suite")),
+        jest_failures(fact_rows), row(1, at, ""), row(1, at + 1, F.concat(F.lit("  ✗ "), "suite")),
         row(1, at + 2, F.concat(F.lit("    ● "), "title")))
     at = F.col("line_no") * 4
     details = D.rows_of(
-        jest_failure_details(lines), row(1, at, F.concat(F.lit("    "), "text")),
+        jest_failure_details(fact_rows), row(1, at, F.concat(F.lit("    "), "text")),
         F.when(F.col("seq") == SHOWN_DETAILS, row(1, at + 1, "        … (truncated)")))
     return D.union([heads, titles, details])
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    totals = stats(lines)
-    return D.finish("jest", totals, digest_rows(lines, totals))
+    known = stage(facts(lines, details=True))
+    totals = stats(known, D.log_sizes(lines))
+    return D.finish("jest", totals, digest_rows(known, totals))

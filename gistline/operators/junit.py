@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D, gradle
-from gistline.operators.scan import first_k, scan
+from gistline.operators.scan import first_k, once, scan
+from gistline.sources.staging import stage
 
 SHOWN_MESSAGES = 4
 SHOWN_FRAMES = 5
@@ -17,78 +20,88 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     line_class = (
         F.when(t.rlike(P.JUNIT_RESULT), "result").when(t.rlike(P.JUNIT_TOTALS), "totals")
         .when(T.trim(t) == "", "blank").otherwise("other"))
-    return lines.select("log_id", "line_no", T.strip_cr("line").alias("text")).withColumn("line_class", line_class)
+    return once(lines.select("log_id", "line_no", T.strip_cr("line").alias("text")), "line_class", line_class)
+
+
+def stateless_facts(lines: DataFrame) -> DataFrame:
+    """Result and totals lines, without a shuffle."""
+    return classify_lines(lines).withColumnRenamed("line_class", "fact").filter("fact IN ('result', 'totals')")
+
+
+def facts(lines: DataFrame, span: int | None = None) -> DataFrame:
+    """Result and totals lines, and the lines of failure blocks as message or frame.
+
+    A block is named by its result line and ends at the next result, totals or blank line.
+    Frames of the test framework and the runtime are dropped.
+    """
+    c, t = F.col("line_class"), F.col("text")
+    failed = (c == "result") & t.rlike(r"FAILED\s*\z")
+    state = F.when(failed, F.col("line_no")).when(c != "other", F.lit(-1))
+    carried = scan(classify_lines(lines), before={"block": state}, span=span)
+    text = T.trim(t)
+    payload = F.regexp_replace(text, r"^at\s+", "")
+    framework = reduce(Column.__or__, [payload.startswith(prefix) for prefix in P.JUNIT_FRAMEWORK])
+    part = F.when(text.startswith("at "), F.when(~framework, "frame")).otherwise("message")
+    fact = F.when(c.isin("result", "totals"), c).when((c == "other") & (F.col("block") > 0), part)
+    return carried.select("log_id", "line_no", fact.alias("fact"), "block", "text").filter("fact IS NOT NULL")
 
 
-def junit_results(lines: DataFrame) -> DataFrame:
+def junit_results(fact_rows: DataFrame) -> DataFrame:
     t = F.col("text")
-    return classify_lines(lines).filter("line_class = 'result'").select(
+    return fact_rows.filter("fact = 'result'").select(
         "log_id", "line_no", F.regexp_extract(t, P.JUNIT_RESULT, 1).alias("fqcn"),
         F.regexp_extract(t, P.JUNIT_RESULT, 2).alias("test"), F.regexp_extract(t, P.JUNIT_RESULT, 3).alias("status"))
 
 
-def junit_counts(lines: DataFrame) -> DataFrame:
+def junit_counts(fact_rows: DataFrame) -> DataFrame:
     status = F.col("status")
-    return junit_results(lines).groupBy("log_id").agg(
+    return junit_results(fact_rows).groupBy("log_id").agg(
         F.count_if(status == "PASSED").alias("passed"), F.count_if(status == "FAILED").alias("failed"),
         F.count_if(status == "SKIPPED").alias("skipped"))
 
 
-def junit_totals(lines: DataFrame) -> DataFrame:
+def junit_totals(fact_rows: DataFrame) -> DataFrame:
     """The last totals line, whole."""
-    return classify_lines(lines).filter("line_class = 'totals'").groupBy("log_id").agg(
+    return fact_rows.filter("fact = 'totals'").groupBy("log_id").agg(
         F.max_by(T.trim("text"), "line_no").alias("totals"))
 
 
-def failure_lines(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """Lines of the failure blocks, ``part`` message or frame. A block ends at the next result,
-    totals or blank line. Frames of the test framework and the runtime are dropped."""
-    c, t = F.col("line_class"), F.col("text")
-    failed = (c == "result") & t.rlike(r"FAILED\s*\z")
-    state = F.when(failed, F.col("line_no")).when(c != "other", F.lit(-1))
-    carried = scan(classify_lines(lines), before={"block": state}, span=span)
-    inside = carried.filter((c == "other") & (F.col("block") > 0)).select(
-        "log_id", "block", "line_no", T.trim(t).alias("text"))
-    payload = F.regexp_replace("text", r"^at\s+", "")
-    framework = F.lit(False)
-    for prefix in P.JUNIT_FRAMEWORK:
-        framework = framework | payload.startswith(prefix)
-    frame = F.col("text").startswith("at ")
-    return inside.withColumn("part", F.when(frame, "frame").otherwise("message")).filter(~frame | ~framework)
-
-
-def failures(lines: DataFrame) -> DataFrame:
-    return junit_results(lines).filter("status = 'FAILED'").select(
+def failure_lines(fact_rows: DataFrame) -> DataFrame:
+    return fact_rows.filter("fact IN ('message', 'frame')").select(
+        "log_id", "block", "line_no", F.col("fact").alias("part"), T.trim("text").alias("text"))
+
+
+def failures(fact_rows: DataFrame) -> DataFrame:
+    return junit_results(fact_rows).filter("status = 'FAILED'").select(
         "log_id", F.col("line_no").alias("block"), "fqcn", "test")
 
 
-def _shown(lines: DataFrame) -> DataFrame:
+def _shown(fact_rows: DataFrame) -> DataFrame:
     """First messages and frames of each block, with how many of that part the block has."""
-    found = failure_lines(lines)
+    found = failure_lines(fact_rows)
     counts = found.groupBy("log_id", "block", "part").agg(F.count("*").alias("n"))
     first = first_k(found, max(SHOWN_FRAMES, SHOWN_MESSAGES), ["log_id", "block", "part"], ["line_no"])
     first = first.filter((F.col("part") == "frame") | (F.col("seq") <= SHOWN_MESSAGES))
     return first.join(counts, ["log_id", "block", "part"])
 
 
-def junit_failures(lines: DataFrame) -> DataFrame:
+def junit_failures(fact_rows: DataFrame) -> DataFrame:
     """Failures with their first message lines; a failure without any has one row with nulls."""
-    messages = first_k(failure_lines(lines).filter("part = 'message'"), SHOWN_MESSAGES, ["log_id", "block"], ["line_no"])
-    return failures(lines).join(messages.select("log_id", "block", "seq", "text"), ["log_id", "block"], "left")
+    messages = first_k(failure_lines(fact_rows).filter("part = 'message'"), SHOWN_MESSAGES, ["log_id", "block"], ["line_no"])
+    return failures(fact_rows).join(messages.select("log_id", "block", "seq", "text"), ["log_id", "block"], "left")
 
 
-def junit_app_frames(lines: DataFrame) -> DataFrame:
+def junit_app_frames(fact_rows: DataFrame) -> DataFrame:
     """The first application frames of each failure and how many more there are."""
-    shown = _shown(lines).filter("part = 'frame'")
+    shown = _shown(fact_rows).filter("part = 'frame'")
     return shown.select("log_id", "block", "seq", "text", F.greatest(
         F.col("n") - SHOWN_FRAMES, F.lit(0)).cast("bigint").alias("omitted"))
 
 
-def stats(lines: DataFrame) -> DataFrame:
+def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     zero = lambda n: F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
     s = lambda n: F.col(n).cast("string")
-    out = D.log_sizes(lines).join(junit_counts(lines), "log_id", "left").join(
-        junit_totals(lines), "log_id", "left").select(
+    out = sizes.join(junit_counts(fact_rows), "log_id", "left").join(junit_totals(fact_rows), "log_id", "left").select(
         "log_id", "original_tokens", "totals", zero("passed"), zero("failed"), zero("skipped"))
     skipped = F.when(F.col("skipped") > 0, F.concat(F.lit(", "), s("skipped"), F.lit(" skipped"))).otherwise("")
     return out.withColumn(
@@ -104,7 +117,7 @@ def _with_facts(totals: DataFrame) -> DataFrame:
     return totals.filter("totals IS NOT NULL OR passed + failed + skipped > 0")
 
 
-def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
+def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     row, n = D.row, F.col("failed")
     some = (F.col("passed") > 0) | (F.col("skipped") > 0)
     skipped = F.when(F.col("skipped") > 0, F.concat(F.lit(", "), F.col("skipped").cast("string"), F.lit(" skipped"))).otherwise("")
@@ -118,12 +131,12 @@ def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
             F.lit("("), F.col("passed").cast("string"), F.lit(" passed"), skipped, F.lit(" — names collapsed)")))))
     # Messages come before frames whatever their order in the log; 16 places per block.
     at, seq = F.col("block") * 16, F.col("seq")
-    titles = D.rows_of(failures(lines), row(1, at, ""), row(1, at + 1, F.concat(
+    titles = D.rows_of(failures(fact_rows), row(1, at, ""), row(1, at + 1, F.concat(
         F.lit("  ✗ "), "fqcn", F.lit(" > "), "test")))
     indented = F.concat(F.lit("    "), "text")
     frame = F.col("part") == "frame"
     parts = D.rows_of(
-        _shown(lines),
+        _shown(fact_rows),
         F.when(~frame, row(1, at + 1 + seq, indented)),
         F.when(frame, row(1, at + 5 + seq, indented)),
         F.when(frame & (seq == SHOWN_FRAMES) & (F.col("n") > SHOWN_FRAMES), row(1, at + 11, F.concat(
@@ -131,12 +144,14 @@ def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
     return D.union([heads, titles, parts])
 
 
-def junit_fallback(lines: DataFrame) -> DataFrame:
+def junit_fallback(lines: DataFrame, fact_rows: DataFrame | None = None) -> DataFrame:
     """Logs without any test fact, as build digests."""
-    tested = _with_facts(stats(lines)).select("log_id")
+    known = stateless_facts(lines) if fact_rows is None else fact_rows
+    tested = known.filter("fact IN ('result', 'totals')").select("log_id").distinct()
     return gradle.digest(lines.join(tested, "log_id", "left_anti"))
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    totals = _with_facts(stats(lines))
-    return D.finish("junit", totals, digest_rows(lines, totals)).unionByName(junit_fallback(lines))
+    known = stage(facts(lines))
+    totals = _with_facts(stats(known, D.log_sizes(lines)))
+    return D.finish("junit", totals, digest_rows(known, totals)).unionByName(junit_fallback(lines, known))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, scan
+from gistline.operators.scan import first_k, once, scan
+from gistline.sources.staging import stage
 
 SHOWN_ERRORS = 40
 TOP_DEPRECATIONS = 10
@@ -25,79 +26,84 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(t.rlike(P.NPM_CHANGE), "change")
         .when(t.rlike(P.NPM_AUDIT), "audit")
     )
-    return (
-        lines.select("log_id", "line_no", "line", T.rtrim("line").alias("text"))
-        .withColumn("line_class", line_class).filter(F.col("line_class").isNotNull()).drop("line"))
+    text = lines.select("log_id", "line_no", "line", T.rtrim("line").alias("text"))
+    return once(text, "line_class", line_class).filter("line_class IS NOT NULL").drop("line")
 
 
-def _of_class(lines: DataFrame, line_class: str) -> DataFrame:
-    return classify_lines(lines).filter(F.col("line_class") == line_class)
-
-
-def npm_errors(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """Error payloads and the indented lines of their blocks; only a blank line closes a block."""
+def facts(lines: DataFrame, span: int | None = None) -> DataFrame:
+    """Lines that say something: error, cont (indented line of an error block), deprecated, warn,
+    change, audit. Only a blank line closes an error block."""
     c = F.col("line_class")
-    relevant = classify_lines(lines).filter(c.isin("blank", "error", "indented"))
     state = F.when(c == "error", 1).when(c == "blank", 0)
-    carried = scan(relevant, before={"open": state}, span=span)
-    text = F.when(c == "error", T.trim(F.regexp_extract("text", P.NPM_ERROR, 1))).otherwise(T.trim("text"))
-    return carried.filter((c == "error") | ((c == "indented") & (F.col("open") == 1))).select(
+    carried = scan(classify_lines(lines), before={"open": state}, span=span)
+    fact = F.when(c == "indented", F.when(F.col("open") == 1, "cont")).when(c != "blank", c)
+    return carried.select("log_id", "line_no", fact.alias("fact"), "text").filter("fact IS NOT NULL")
+
+
+def stateless_facts(lines: DataFrame) -> DataFrame:
+    """The facts that need no carried state, without a shuffle."""
+    return classify_lines(lines).withColumnRenamed("line_class", "fact").filter("fact NOT IN ('blank', 'indented')")
+
+
+def npm_errors(fact_rows: DataFrame) -> DataFrame:
+    """Error payloads and the lines of their blocks; ``code`` where a payload names one."""
+    header = F.col("fact") == "error"
+    text = F.when(header, T.trim(F.regexp_extract("text", P.NPM_ERROR, 1))).otherwise(T.trim("text"))
+    return fact_rows.filter("fact IN ('error', 'cont')").select(
         "log_id", "line_no", text.alias("text"),
-        F.when((c == "error") & text.rlike(P.NPM_CODE + r"\S"), F.regexp_replace(text, P.NPM_CODE, "")).alias("code"),
+        F.when(header & text.rlike(P.NPM_CODE + r"\S"), F.regexp_replace(text, P.NPM_CODE, "")).alias("code"),
     ).filter(F.col("text") != "")
 
 
-def npm_error_code(lines: DataFrame) -> DataFrame:
-    """The last ``code X`` payload. Only header lines name it, so no state is needed."""
-    payload = _of_class(lines, "error").select(
-        "log_id", "line_no", T.trim(F.regexp_extract("text", P.NPM_ERROR, 1)).alias("text"))
-    return payload.filter(F.col("text").rlike(P.NPM_CODE + r"\S")).groupBy("log_id").agg(
-        F.max_by(F.regexp_replace("text", P.NPM_CODE, ""), "line_no").alias("code"))
+def npm_error_code(fact_rows: DataFrame) -> DataFrame:
+    """The last ``code X`` payload."""
+    found = npm_errors(fact_rows.filter("fact = 'error'")).filter("code IS NOT NULL")
+    return found.groupBy("log_id").agg(F.max_by("code", "line_no").alias("code"))
 
 
-def deprecation_groups(lines: DataFrame) -> DataFrame:
-    found = _of_class(lines, "deprecated").select(
+def deprecation_groups(fact_rows: DataFrame) -> DataFrame:
+    found = fact_rows.filter("fact = 'deprecated'").select(
         "log_id", "line_no", T.strip_version(F.regexp_extract("text", P.NPM_DEPRECATED, 1)).alias("package"),
         T.trim(F.regexp_extract("text", P.NPM_DEPRECATED, 2)).alias("message"))
     return found.groupBy("log_id", "package").agg(
         F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.min_by("message", "line_no").alias("message"))
 
 
-def npm_deprecations(lines: DataFrame) -> DataFrame:
-    top = first_k(deprecation_groups(lines), TOP_DEPRECATIONS, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
+def npm_deprecations(fact_rows: DataFrame) -> DataFrame:
+    top = first_k(deprecation_groups(fact_rows), TOP_DEPRECATIONS, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
     return top.withColumn("message", T.ellipsize("message"))
 
 
-def warning_groups(lines: DataFrame) -> DataFrame:
-    found = _of_class(lines, "warn").select(
+def warning_groups(fact_rows: DataFrame) -> DataFrame:
+    found = fact_rows.filter("fact = 'warn'").select(
         "log_id", "line_no", T.trim(F.regexp_extract("text", P.NPM_WARN, 1)).alias("message"))
     return found.filter(~F.col("message").rlike(P.NPM_DEPRECATED_TEXT)).groupBy("log_id", "message").agg(
         F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
-def npm_other_warnings(lines: DataFrame) -> DataFrame:
-    return first_k(warning_groups(lines), TOP_WARNINGS, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
+def npm_other_warnings(fact_rows: DataFrame) -> DataFrame:
+    return first_k(warning_groups(fact_rows), TOP_WARNINGS, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
 
 
-def npm_changes(lines: DataFrame) -> DataFrame:
-    return _of_class(lines, "change").select("log_id", "line_no", "text")
+def npm_changes(fact_rows: DataFrame) -> DataFrame:
+    return fact_rows.filter("fact = 'change'").select("log_id", "line_no", "text")
 
 
-def npm_audit(lines: DataFrame) -> DataFrame:
-    return _of_class(lines, "audit").select("log_id", "line_no", "text")
+def npm_audit(fact_rows: DataFrame) -> DataFrame:
+    return fact_rows.filter("fact = 'audit'").select("log_id", "line_no", "text")
 
 
-def stats(lines: DataFrame) -> DataFrame:
-    c = F.col("line_class")
-    counts = classify_lines(lines).groupBy("log_id").agg(
+def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    c = F.col("fact")
+    counts = fact_rows.groupBy("log_id").agg(
         F.count_if(c == "change").alias("changes"), F.count_if(c == "audit").alias("audits"))
-    errors = npm_errors(lines).groupBy("log_id").agg(
+    errors = npm_errors(fact_rows).groupBy("log_id").agg(
         F.count("*").alias("errors"),
         F.max_by("code", F.when(F.col("code").isNotNull(), F.col("line_no"))).alias("code"))
-    deprecated = deprecation_groups(lines).groupBy("log_id").agg(F.count("*").alias("deprecated"))
-    warned = warning_groups(lines).groupBy("log_id").agg(F.count("*").alias("warned"))
+    deprecated = deprecation_groups(fact_rows).groupBy("log_id").agg(F.count("*").alias("deprecated"))
+    warned = warning_groups(fact_rows).groupBy("log_id").agg(F.count("*").alias("warned"))
     zero = lambda n: F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
-    out = D.log_sizes(lines)
+    out = sizes
     for part in (counts, errors, deprecated, warned):
         out = out.join(part, "log_id", "left")
     out = out.select("log_id", "original_tokens", "code", *[zero(n) for n in (
@@ -110,10 +116,10 @@ def stats(lines: DataFrame) -> DataFrame:
 
 
 def npm_summary(lines: DataFrame) -> DataFrame:
-    return stats(lines).select("log_id", "summary", "code", "changes", "audits", "errors", "deprecated", "warned")
+    return stats(facts(lines), D.log_sizes(lines)).select("log_id", "summary", "code", "changes", "audits", "errors", "deprecated", "warned")
 
 
-def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
+def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     row = D.row
     s = lambda c: F.col(c).cast("string")
     has = lambda c: F.col(c) > 0
@@ -135,20 +141,20 @@ def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
         F.when(has("audits") & (some3 | has("warned")), row(4, 0, "")),
         F.when(has("audits"), row(4, 1, "Audit:")),
     )
-    shown = first_k(npm_errors(lines), SHOWN_ERRORS, ["log_id"], ["line_no"])
-    flat = classify_lines(lines)
+    shown = first_k(npm_errors(fact_rows), SHOWN_ERRORS, ["log_id"], ["line_no"])
     return D.union([
         heads,
-        D.rows_of(flat, F.when(F.col("line_class") == "change", row(0, F.col("line_no"), F.col("text"))),
-                  F.when(F.col("line_class") == "audit", row(4, F.col("line_no") + 1, F.concat(F.lit("  "), "text")))),
+        D.rows_of(fact_rows, F.when(F.col("fact") == "change", row(0, F.col("line_no"), F.col("text"))),
+                  F.when(F.col("fact") == "audit", row(4, F.col("line_no") + 1, F.concat(F.lit("  "), "text")))),
         D.rows_of(shown, row(1, F.col("seq") + 1, F.concat(F.lit("  "), "text"))),
-        D.rows_of(npm_deprecations(lines), row(2, F.col("rank") + 1, F.concat(
+        D.rows_of(npm_deprecations(fact_rows), row(2, F.col("rank") + 1, F.concat(
             F.lit("  "), T.count_prefix("n"), "package", F.lit(" — "), "message"))),
-        D.rows_of(npm_other_warnings(lines), row(3, F.col("rank") + 1, F.concat(
+        D.rows_of(npm_other_warnings(fact_rows), row(3, F.col("rank") + 1, F.concat(
             F.lit("  "), T.count_prefix("n"), "message"))),
     ])
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    totals = stats(lines)
-    return D.finish("npm", totals, digest_rows(lines, totals))
+    known = stage(facts(lines))
+    totals = stats(known, D.log_sizes(lines))
+    return D.finish("npm", totals, digest_rows(known, totals))

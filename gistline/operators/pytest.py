@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, scan
+from gistline.operators.scan import first_k, once, scan
+from gistline.sources.staging import stage
 
 CAPS = {"errors": 60, "failures": 120}
 SHOWN_SUMMARY = 40
@@ -24,11 +25,14 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(t.rlike(P.PYTEST_OTHER), "header")
         .otherwise("text")
     )
-    return lines.select("log_id", "line_no", T.strip_cr("line").alias("text")).withColumn("line_class", line_class)
+    return once(lines.select("log_id", "line_no", T.strip_cr("line").alias("text")), "line_class", line_class)
 
 
-def pytest_sections(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """Content lines with their section. An unknown header ends a section, but only after a known one."""
+def facts(lines: DataFrame, span: int | None = None) -> DataFrame:
+    """Content lines with their section, and result lines with section ``final``.
+
+    An unknown header ends a section, but only after a known one.
+    """
     c = F.col("line_class")
     code = F.lit(None).cast("int")
     for name, value in {**_CODES, "header": _CODES["tail"]}.items():
@@ -38,25 +42,33 @@ def pytest_sections(lines: DataFrame, span: int | None = None) -> DataFrame:
     section = F.lit("prelude")
     for name, value in _CODES.items():
         section = F.when(F.col("known").isNotNull() & (F.col("code") == value), name).otherwise(section)
-    return carried.withColumn("section", section).filter(
-        (c == "text") | ((c == "header") & (F.col("section") == "prelude"))
-    ).select("log_id", "line_no", "section", "text")
+    content = (c == "text") | ((c == "header") & (F.col("section") == "prelude"))
+    final = F.when((c == "tail"), "final").when(content, F.col("section"))
+    return carried.withColumn("section", section).withColumn("section", final).filter(
+        "section IS NOT NULL").select("log_id", "line_no", "section", "text")
 
 
-def pytest_result(lines: DataFrame) -> DataFrame:
-    """The last result line and the first platform line before any known section."""
-    c, t = F.col("line_class"), F.col("text")
+def pytest_sections(fact_rows: DataFrame) -> DataFrame:
+    return fact_rows.filter("section != 'final'")
+
+
+def result_of(fact_rows: DataFrame) -> DataFrame:
+    """The last result line and the first platform line of the prelude."""
+    t, section = F.col("text"), F.col("section")
     final = T.trim(F.regexp_replace(t, "=+", ""))
-    found = classify_lines(lines).filter(c.isin(*_CODES) | t.rlike(P.PYTEST_PLATFORM)).groupBy("log_id").agg(
-        F.max(F.when(c == "tail", F.struct("line_no", final.alias("v")))).alias("final"),
-        F.min(F.when(c.isin(*_CODES), F.col("line_no"))).alias("known_line"),
-        F.min(F.when(c == "text", F.struct("line_no", t.alias("v")))).alias("platform"))
-    before = F.col("known_line").isNull() | (F.col("platform.line_no") < F.col("known_line"))
-    return D.log_sizes(lines).select("log_id").join(found, "log_id", "left").select(
-        "log_id", F.nullif("final.v", F.lit("")).alias("final"), F.when(before, F.col("platform.v")).alias("platform"))
+    platform = (section == "prelude") & t.rlike(P.PYTEST_PLATFORM)
+    found = fact_rows.filter((section == "final") | platform).groupBy("log_id").agg(
+        F.max(F.when(section == "final", F.struct("line_no", final.alias("v")))).alias("final"),
+        F.min(F.when(section == "prelude", F.struct("line_no", t.alias("v")))).alias("platform"))
+    return found.select("log_id", F.nullif("final.v", F.lit("")).alias("final"), F.col("platform.v").alias("platform"))
 
 
-def pytest_blocks(lines: DataFrame, caps: dict[str, int] | None = None, span: int | None = None) -> DataFrame:
+def pytest_result(lines: DataFrame) -> DataFrame:
+    """Result and platform of every log."""
+    return D.log_sizes(lines).select("log_id").join(result_of(facts(lines)), "log_id", "left")
+
+
+def pytest_blocks(fact_rows: DataFrame, caps: dict[str, int] | None = None, span: int | None = None) -> DataFrame:
     """Lines of the errors and failures blocks: single blanks, no blank at the ends, middle cut.
 
     ``seq`` is the position in the trimmed block; the marker row takes that of the first cut line.
@@ -64,7 +76,7 @@ def pytest_blocks(lines: DataFrame, caps: dict[str, int] | None = None, span: in
     caps = caps or CAPS
     key = ["log_id", "section"]
     blank = T.trim("text") == ""
-    block = pytest_sections(lines, span).filter(F.col("section").isin(*caps))
+    block = fact_rows.filter(F.col("section").isin(*caps))
     near = scan(block, before={"prev_text": (~blank).cast("int")}, after={"more": F.when(~blank, 1)}, key=key, span=span)
     kept = near.filter(~blank | ((F.col("prev_text") == 1) & F.col("more").isNotNull()))
     n = scan(kept, running={"seq": F.lit(1)}, total={"n": F.lit(1)}, key=key, span=span)
@@ -83,22 +95,19 @@ def pytest_blocks(lines: DataFrame, caps: dict[str, int] | None = None, span: in
         "line IS NOT NULL").select("log_id", "section", "seq", "line")
 
 
-def _summary_rows(lines: DataFrame) -> DataFrame:
-    return pytest_sections(lines).filter((F.col("section") == "short_summary") & (T.trim("text") != ""))
-
-
-def pytest_short_summary(lines: DataFrame, k: int = SHOWN_SUMMARY) -> DataFrame:
-    return first_k(_summary_rows(lines), k, ["log_id"], ["line_no"]).select(
+def pytest_short_summary(fact_rows: DataFrame, k: int = SHOWN_SUMMARY) -> DataFrame:
+    listed = fact_rows.filter((F.col("section") == "short_summary") & (T.trim("text") != ""))
+    return first_k(listed, k, ["log_id"], ["line_no"]).select(
         "log_id", "seq", T.trim("text").alias("text"))
 
 
-def stats(lines: DataFrame) -> DataFrame:
+def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     sec = F.col("section")
-    counts = pytest_sections(lines).groupBy("log_id").agg(
+    counts = fact_rows.groupBy("log_id").agg(
         F.count_if(sec == "errors").alias("errors"), F.count_if(sec == "failures").alias("failures"),
         F.count_if((sec == "short_summary") & (T.trim("text") != "")).alias("listed"))
     zero = lambda n: F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
-    out = D.log_sizes(lines).join(pytest_result(lines), "log_id", "left").join(counts, "log_id", "left").select(
+    out = sizes.join(result_of(fact_rows), "log_id", "left").join(counts, "log_id", "left").select(
         "log_id", "original_tokens", "final", "platform", zero("errors"), zero("failures"), zero("listed"))
     listed = F.concat(F.lit("pytest: "), F.col("listed").cast("string"), F.lit(" failure(s)"))
     bad = (F.col("listed") > 0) | (F.col("failures") > 0) | (F.col("errors") > 0)
@@ -109,7 +118,7 @@ def stats(lines: DataFrame) -> DataFrame:
                  .when(F.col("final").isNull(), "unknown").otherwise("ok"))
 
 
-def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
+def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     row = D.row
 
     def header(section: int, cond: Column, title: str) -> list[Column]:
@@ -124,13 +133,16 @@ def digest_rows(lines: DataFrame, totals: DataFrame) -> DataFrame:
         *header(3, F.col("failures") > 0, "FAILURES:"),
         *header(4, F.col("listed") > 0, "Short summary:"))
     blocks = D.rows_of(
-        pytest_blocks(lines),
+        pytest_blocks(fact_rows),
         F.when(F.col("section") == "errors", row(2, F.col("seq") + 1, F.col("line"))),
         F.when(F.col("section") == "failures", row(3, F.col("seq") + 1, F.col("line"))))
-    short = D.rows_of(pytest_short_summary(lines), row(4, F.col("seq") + 1, F.concat(F.lit("  "), "text")))
+    short = D.rows_of(pytest_short_summary(fact_rows), row(4, F.col("seq") + 1, F.concat(F.lit("  "), "text")))
     return D.union([heads, blocks, short])
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    totals = stats(lines)
-    return D.finish("pytest", totals, digest_rows(lines, totals))
+    t, section = F.col("text"), F.col("section")
+    shown = (section != "tail") & ((section != "prelude") | t.rlike(P.PYTEST_PLATFORM))
+    known = stage(facts(lines).filter(shown))
+    totals = stats(known, D.log_sizes(lines))
+    return D.finish("pytest", totals, digest_rows(known, totals))

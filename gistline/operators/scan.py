@@ -19,6 +19,7 @@ positions, and two building blocks work on spans:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,6 +33,19 @@ def span_of(pos: str, span: int | None = None) -> Column:
     return F.expr(f"({pos} - 1) div {span or SPAN}")
 
 
+def _shared(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Hash-partition by ``by`` such that every consumer reads the same shuffle.
+
+    A scan reads its input twice (rows and summaries), and facts feed several branches of a
+    digest. Spark reuses a shuffle only between equal plans, and column pruning makes them
+    differ. Packed into one array column the rest of the row cannot be pruned apart.
+    """
+    rest = [c for c in df.columns if c not in by]
+    packed = df.select(*by, F.array(F.struct(*rest)).alias("__row")).repartition(*by)
+    row = F.element_at("__row", 1)
+    return packed.select(*by, *[row[c].alias(c) for c in rest])
+
+
 def scan(
     df: DataFrame,
     *,
@@ -64,16 +78,20 @@ def scan(
         raise ValueError("a composite order needs a bucket and gives sums only")
     keys = list(key)
     kept = df.columns
+    # Rows without a key belong to no log. Filtering here, and not in one branch of the join
+    # below, keeps the two branches' shuffles equal.
+    df = df.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
     groups = [*keys, "__span"]
     events = {**{f"__b_{n}": c for n, c in before.items()}, **{f"__t_{n}": c for n, c in through.items()},
               **{f"__a_{n}": c for n, c in after.items()}}
     amounts = {**{f"__r_{n}": c for n, c in running.items()}, **{f"__s_{n}": c for n, c in total.items()}}
     work = df.select(
         "*",
-        (bucket if bucket is not None else span_of(pos, span)).alias("__span"),
+        F.coalesce(bucket if bucket is not None else span_of(pos, span), F.lit(-1)).cast("bigint").alias("__span"),
         *[c.alias(n) for n, c in events.items()],
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in amounts.items()],
     )
+    work = _shared(work, groups)
 
     def at(n: str) -> Column:
         return F.when(F.col(n).isNotNull(), F.col(pos))
@@ -149,6 +167,16 @@ def halo(
     return out.filter(F.col("__span") == home).drop("__span")
 
 
+def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a costly column that is evaluated once per row.
+
+    Spark pushes a filter on a projected column below the projection as a copy of its
+    expression; for a long chain of regexes that doubles the work and the generated code.
+    Filters do not pass a generator's output.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def first_k(df: DataFrame, k: int, key: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
     """The first k rows of each key. Spark limits each map task's rows before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*order)

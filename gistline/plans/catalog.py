@@ -54,48 +54,56 @@ _over(V.ansi_text, strip_ansi=lambda a: a.select("event_id", T.strip_ansi("raw")
 _over(V.project_files, detect_build_tool=C.detect_build_tool, detect_test_framework=C.detect_test_framework)
 
 # Distillers.
+_over(V.build_lines, gradle_summary=gradle.gradle_summary, build_result=gradle.build_result, gradle_digest=gradle.digest)
 _over(
-    V.build_lines,
-    gradle_summary=gradle.gradle_summary,
-    kotlin_diagnostics=gradle.kotlin_diagnostics,
-    javac_diagnostics=gradle.javac_diagnostics,
-    build_result=gradle.build_result,
-    failed_tasks=gradle.failed_tasks,
-    what_went_wrong=gradle.what_went_wrong,
-    gradle_warnings_topk=gradle.warnings_topk,
-    gradle_digest=gradle.digest,
-    digest_tokens=lambda b: D.account(gradle.digest(b)),
-    reduction_pct=lambda b: D.account(gradle.digest(b)).select(
-        "log_id", T.reduction_pct("original_tokens", "compressed_tokens").alias("pct")),
-)
+    lambda spark, sf_dir: gradle.facts(V.build_lines(spark, sf_dir)),
+    kotlin_diagnostics=gradle.kotlin_diagnostics, javac_diagnostics=gradle.javac_diagnostics,
+    failed_tasks=gradle.failed_tasks, gradle_warnings_topk=gradle.warnings_topk)
+_over(V.build_lines, what_went_wrong=lambda b: gradle.what_went_wrong(gradle.facts(b, details=True)))
+_over(V.npm_lines, npm_errors=lambda n: npm.npm_errors(npm.facts(n)), npm_summary=npm.npm_summary, npm_digest=npm.digest)
 _over(
-    V.npm_lines,
-    npm_errors=npm.npm_errors, npm_error_code=npm.npm_error_code, npm_deprecations=npm.npm_deprecations,
-    npm_other_warnings=npm.npm_other_warnings, npm_changes=npm.npm_changes, npm_audit=npm.npm_audit,
-    npm_summary=npm.npm_summary, npm_digest=npm.digest,
-)
+    lambda spark, sf_dir: npm.stateless_facts(V.npm_lines(spark, sf_dir)),
+    npm_error_code=npm.npm_error_code, npm_deprecations=npm.npm_deprecations,
+    npm_other_warnings=npm.npm_other_warnings, npm_changes=npm.npm_changes, npm_audit=npm.npm_audit)
 _over(
     V.generic_lines,
     dedupe_consecutive=generic.dedupe_consecutive, error_lines=generic.error_lines,
-    middle_truncate=generic.middle_truncate, generic_digest=generic.digest,
-)
+    middle_truncate=generic.middle_truncate, generic_digest=generic.digest)
 _over(
     V.jest_lines,
-    jest_suites=jest.jest_suites, jest_failures=jest.jest_failures, jest_totals=jest.jest_totals,
-    jest_failure_details=jest.jest_failure_details, jest_digest=jest.digest,
-)
+    jest_suites=lambda j: jest.jest_suites(jest.stateless_facts(j)),
+    jest_failures=lambda j: jest.jest_failures(jest.facts(j)), jest_totals=jest.jest_totals,
+    jest_failure_details=lambda j: jest.jest_failure_details(jest.facts(j, details=True)), jest_digest=jest.digest)
 _over(
     V.pytest_lines,
-    pytest_sections=pytest.pytest_sections, pytest_result=pytest.pytest_result,
-    pytest_blocks=lambda p: pytest.pytest_blocks(p, {"errors": 30, "failures": 30}),
-    pytest_short_summary=pytest.pytest_short_summary, pytest_digest=pytest.digest,
-)
+    pytest_sections=lambda p: pytest.pytest_sections(pytest.facts(p)), pytest_result=pytest.pytest_result,
+    pytest_blocks=lambda p: pytest.pytest_blocks(pytest.facts(p), {"errors": 30, "failures": 30}),
+    pytest_short_summary=lambda p: pytest.pytest_short_summary(pytest.facts(p)), pytest_digest=pytest.digest)
 _over(
     V.junit_lines,
-    junit_results=junit.junit_results, junit_counts=junit.junit_counts, junit_failures=junit.junit_failures,
-    junit_app_frames=junit.junit_app_frames, junit_digest=junit.digest,
-)
-_over(V.build_lines, junit_fallback=junit.digest)
+    junit_results=lambda j: junit.junit_results(junit.stateless_facts(j)),
+    junit_counts=lambda j: junit.junit_counts(junit.stateless_facts(j)),
+    junit_failures=lambda j: junit.junit_failures(junit.facts(j)),
+    junit_app_frames=lambda j: junit.junit_app_frames(junit.facts(j)), junit_digest=junit.digest)
+
+
+@query
+def junit_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test and build logs together: only the build logs fall back."""
+    tests = V.junit_lines(spark, sf_dir).withColumn("log_id", -F.col("log_id") - 1)
+    return junit.junit_fallback(tests.unionByName(V.build_lines(spark, sf_dir)))
+
+
+@query
+def digest_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.account(gradle.digest(V.build_lines(spark, sf_dir)))
+
+
+@query
+def reduction_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_tokens(spark, sf_dir).select(
+        "log_id", T.reduction_pct("original_tokens", "compressed_tokens").alias("pct"))
+
 
 _BY_KIND = {"gradle": V.build_lines, "npm": V.npm_lines, "jest": V.jest_lines, "pytest": V.pytest_lines,
             "junit": V.junit_lines, "generic": V.generic_lines}

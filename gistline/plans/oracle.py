@@ -168,13 +168,13 @@ ORACLE["gradle_digest"] = _gradle(_digest("gradle"))
 _TOKENS = "SELECT log_id, kind, original_tokens, (length(body) + 3) // 4 AS compressed_tokens FROM"
 ORACLE["digest_tokens"] = _gradle(f"{_TOKENS} ({_digest('gradle')})")
 ORACLE["reduction_pct"] = _gradle(f"""
-  SELECT log_id, CAST(floor((original_tokens - compressed_tokens) * 100.0 / original_tokens + 0.5) AS BIGINT) AS pct
+  SELECT log_id, CAST(floor((original_tokens - compressed_tokens) / original_tokens * 100 + 0.5) AS BIGINT) AS pct
   FROM ({_TOKENS} ({_digest('gradle')}))""")
 ORACLE["format_response"] = _with("build_lines runs", _GRADLE, select=f"""
   SELECT d.log_id, d.part_no, summary || ' [' || CASE WHEN timed_out THEN 'TIMED OUT' WHEN exit_code = 0 THEN 'OK'
       ELSE 'EXIT ' || exit_code END || ', ' || duration_ms || 'ms]' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10)
     || '[Compressed from ~' || original_tokens || ' tokens → ~' || ((length(body) + 3) // 4) || ' tokens (' ||
-      CAST(floor((original_tokens - (length(body) + 3) // 4) * 100.0 / original_tokens + 0.5) AS BIGINT) || '% reduction)]' || chr(10)
+      CAST(floor((original_tokens - (length(body) + 3) // 4) / original_tokens * 100 + 0.5) AS BIGINT) || '% reduction)]' || chr(10)
     || '[Full log stored as log_id="' || d.log_id || '"]' AS response
   FROM ({_digest('gradle')}) d JOIN runs r ON r.log_id = d.log_id""")
 
