@@ -19,6 +19,7 @@ from gistline.operators.scan import scan
 
 PIECE = 1 << 16
 PART_CHARS = 1 << 24
+PIECES_PER_SPAN = 64
 _SECTION = 1 << 44
 
 
@@ -58,7 +59,7 @@ def assemble(rows: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
              .alias("text"))
     )
-    placed = scan(pieces, running={"upto": F.length("text")}, pos="piece", span=_SECTION)
+    placed = scan(pieces, running={"upto": F.length("text")}, pos="piece", span=PIECES_PER_SPAN)
     part_no = F.floor((F.col("upto") - F.length("text")) / part_chars)
     parts = placed.withColumn("part_no", part_no).groupBy("log_id", "part_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "")

@@ -17,7 +17,7 @@ TOP_WARNINGS = 10
 WRONG_LINES = 6
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
+def classify_lines(lines: DataFrame, *keep: str) -> DataFrame:
     t = F.col("text")
     line_class = (
         F.when(t.rlike(P.BUILD_RESULT), "result")
@@ -29,7 +29,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(t.rlike(P.JAVAC), "javac")
         .otherwise("other")
     )
-    return once(lines.select("log_id", "line_no", T.rtrim("line").alias("text")), "line_class", line_class)
+    return once(lines.select("log_id", "line_no", *keep, T.rtrim("line").alias("text")), "line_class", line_class)
 
 
 def facts(lines: DataFrame, details: bool = False, span: int | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def facts(lines: DataFrame, details: bool = False, span: int | None = None) -> D
     ).select("log_id", "line_no", "fact", "text")
 
 
-def diagnostics(fact_rows: DataFrame) -> DataFrame:
+def diagnostics(fact_rows: DataFrame, *keep: str) -> DataFrame:
     """severity, file, line, col (null if unknown), message."""
     t, kotlin = F.col("text"), F.col("fact") == "kotlin"
 
@@ -57,11 +57,11 @@ def diagnostics(fact_rows: DataFrame) -> DataFrame:
         return F.when(kotlin, F.regexp_extract(t, P.KOTLIN, k)).otherwise(F.regexp_extract(t, P.JAVAC, j))
 
     return fact_rows.filter(F.col("fact").isin("kotlin", "javac")).select(
-        "log_id", "line_no", F.col("fact").alias("compiler"),
+        "log_id", "line_no", *keep, F.col("fact").alias("compiler"),
         F.when(part(1, 3).isin("e", "error"), "error").otherwise("warning").alias("severity"),
         T.basename(part(2, 1)).alias("file"),
-        part(3, 2).cast("bigint").alias("line"),
-        F.when(kotlin, T.captured(t, P.KOTLIN, 4)).cast("bigint").alias("col"),
+        part(3, 2).try_cast("bigint").alias("line"),
+        F.when(kotlin, T.captured(t, P.KOTLIN, 4)).try_cast("bigint").alias("col"),
         T.trim(part(5, 4)).alias("message"),
     )
 

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gistline.functions import text as T
-from gistline.operators import classify as C, digest as D, generic, gradle, jest, junit, npm, pytest
+from gistline.operators import (
+    classify as C, digest as D, generic, gradle, jest, junit, lexical, npm, pytest, retrieve as R, symbols as S)
 from gistline.plans import carriers as V
-from gistline.sources import store
+from gistline.sources import code, store
+from gistline.sources.staging import new_folder
+from gistline.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +38,7 @@ _over(
     run_status=lambda r: r.select("log_id", T.run_status("timed_out", "exit_code").alias("status")),
     classify=lambda r: r.select("log_id", C.classify().alias("kind")),
     can_handle=lambda r: r.select("log_id", *[c.alias(k) for k, c in C.can_handle().items()]),
-    prune_expired=lambda r: store.count_expired(r, r.agg(F.max("ended_at").alias("now"))),
+    prune_expired=lambda r: store.count_expired(r, r.agg(F.max("ended_at")).scalar()),
 )
 
 
@@ -118,3 +121,133 @@ def distill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def format_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.format_response(gradle.digest(V.build_lines(spark, sf_dir)), V.runs(spark, sf_dir))
+
+
+@query
+def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = D.account(gradle.digest(V.build_lines(spark, sf_dir))).unionByName(
+        D.account(generic.digest(V.generic_lines(spark, sf_dir))))
+    runs = V.runs(spark, sf_dir).select("log_id", T.run_status("timed_out", "exit_code").alias("status"))
+    return D.reduction_report(accounts.join(runs, "log_id"), "kind", "status")
+
+
+# Retrieval.
+WORD = "and"
+_over(
+    V.log_lines,
+    grep_context=lambda t: R.grep_context(t, "than", 2),
+    cap_tokens=lambda t: R.read_log_section(t, "than", 2, max_tokens=200),
+    slice_lines=lambda t: R.slice_lines(t, 3, 8),
+    find_references=lambda t: R.find_references(t, WORD),
+    reference_context=lambda t: R.reference_context(t, WORD),
+    head_tail=lambda t: R.head_tail(t, small=20, head=3, tail=3),
+)
+_over(V.build_lines, head_lines=R.head_lines)
+
+# Source files.
+_over(
+    V.source_files,
+    read_lines=lambda f: R.read_lines(f, 2, 60, max_tokens=200),
+    source_profile=code.profile,
+    language_counts=code.language_counts,
+    file_ids=lambda f: f.select("file_key", code.file_id("path", "mtime_ms", "size_bytes").alias("file_id")),
+    changed_files=lambda f: code.select_changed(f, _stored(f)).select("file_key", "file_id"),
+    read_mode=lambda f: code.read_mode(_requests(code.profile(f))).select("file_key", "returned"),
+)
+
+
+def _stored(files: DataFrame) -> DataFrame:
+    """Ids of an earlier run that saw two files of three, some of them in an older version."""
+    key = F.col("file_key")
+    mtime = F.when(key % 7 == 0, F.col("mtime_ms") - 1).otherwise(F.col("mtime_ms"))
+    return files.filter(key % 3 != 0).select(code.file_id("path", mtime, "size_bytes").alias("file_id"))
+
+
+def _requests(profiled: DataFrame) -> DataFrame:
+    key = F.col("file_key")
+    return profiled.withColumns({
+        "mode": F.when(key % 3 == 0, "outline").when(key % 3 == 1, "full").otherwise("auto"),
+        "focus": F.when(key % 2 == 0, "x"), "focus_hits": key % 4,
+        "parse_status": F.when(F.col("language").isNull(), "failed").otherwise("ok")})
+
+
+# Symbols.
+FOCI = ["NATION_2", "00[12]$|_7"]
+_over(
+    V.symbols,
+    flatten_symbols=S.flatten_symbols,
+    symbol_paths=S.symbol_paths,
+    list_symbols=lambda s: S.list_symbols(s, ["class", "field"]),
+    match_focus=lambda s: D.union([
+        S.match_focus(s, f).select("file_id", "qualified_name", F.lit(f).alias("focus"), "exact") for f in FOCI]),
+    outline=S.outline,
+    pack_focus=lambda s: S.pack_focus(
+        s.withColumn("cost", F.col("line_hi") - F.col("line_lo") + 1).withColumn("outline_cost", F.lit(10)), 800,
+    ).select("file_id", "seq", "qualified_name", "oversized", "spent"),
+    structural_outline=S.structural_outline,
+    focused_missing=lambda s: S.focused_missing(s, s.filter("kind = 'field'")),
+)
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for symbols: customers and nations (many in the wrong file), nation paths, regions."""
+    customer, nation = V.table(spark, sf_dir, "customer"), V.table(spark, sf_dir, "nation")
+    region = V.table(spark, sf_dir, "region")
+    paths = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    return D.union([
+        customer.select((F.col("c_custkey") % 5).alias("file_id"), F.col("c_name").alias("requested")),
+        nation.select((F.col("n_nationkey") % 5).cast("bigint").alias("file_id"), F.col("n_name").alias("requested")),
+        paths.select(F.col("n_regionkey").cast("bigint").alias("file_id"), F.concat_ws(".", "r_name", "n_name").alias("requested")),
+        region.select(F.col("r_regionkey").cast("bigint").alias("file_id"), F.col("r_name").alias("requested")),
+    ]).distinct()
+
+
+@query
+def read_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.read_symbols(V.symbols(spark, sf_dir), _names(spark, sf_dir))
+    return found.select("file_id", "requested", "header", "note")
+
+
+@query
+def symbols_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.symbols_not_found(V.symbols(spark, sf_dir), _names(spark, sf_dir))
+
+
+@query
+def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.enclosing_symbol(V.ident_hits(spark, sf_dir), V.symbols(spark, sf_dir))
+
+
+@query
+def outline_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = S.outline_tokens(S.outline(V.symbols(spark, sf_dir)))
+    files = V.source_files(spark, sf_dir).select(
+        F.col("file_key").alias("file_id"), T.estimate_tokens("source_text").alias("full_tokens"))
+    return shown.join(files, "file_id").withColumn("reduction_pct", T.reduction_pct_1("full_tokens", "returned_tokens"))
+
+
+# Declarations.
+_over(
+    V.code_lines,
+    lexical_symbols=lambda c: lexical.lexical_symbols(c).withColumn("modifiers", F.array_join("modifiers", " ")),
+    leading_doc=lexical.leading_doc,
+    parse_status=lambda c: lexical.parse_status(c).groupBy("language", "status").agg(F.count("*").alias("files")),
+)
+
+
+# Streams.
+def _streamed(spark: SparkSession, lines: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    landed = new_folder(spark)
+    lines.write.parquet(landed)
+    result = operator(feeds.read_feed(spark, landed, lines.schema))
+    return feeds.drain(result, new_folder(spark), new_folder(spark))
+
+
+@query
+def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, V.build_lines(spark, sf_dir), feeds.stream_facts)
+
+
+@query
+def stream_warning_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, V.timed_build_lines(spark, sf_dir), feeds.stream_warning_counts)

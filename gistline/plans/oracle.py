@@ -424,3 +424,180 @@ ORACLE["junit_fallback"] = ORACLE["gradle_digest"]
 
 ORACLE["distill_all"] = "\nUNION ALL\n".join(
     f"SELECT {_COLS} FROM ({ORACLE[f'{k}_digest']})" for k in ("gradle", "npm", "jest", "pytest", "junit", "generic"))
+
+_LINE_TOKENS = "SELECT log_id, kind, original_tokens, (length(body) + 3) // 4 AS compressed_tokens FROM"
+ORACLE["reduction_report"] = f"""
+  WITH acc AS (SELECT a.*, CASE WHEN timed_out THEN 'TIMED OUT' WHEN exit_code = 0 THEN 'OK' ELSE 'EXIT ' || exit_code END AS status
+    FROM ({_LINE_TOKENS} ({ORACLE['gradle_digest']}) UNION ALL {_LINE_TOKENS} ({ORACLE['generic_digest']})) a
+    JOIN ({CARRIER_SQL['runs']}) r ON r.log_id = a.log_id)
+  SELECT kind, status, count(*) AS logs, CAST(sum(original_tokens) AS BIGINT) AS original_tokens,
+    CAST(sum(compressed_tokens) AS BIGINT) AS compressed_tokens,
+    floor((sum(original_tokens) - sum(compressed_tokens)) / sum(original_tokens) * 1000 + 0.5) / 10 AS reduction_pct
+  FROM acc GROUP BY ROLLUP (kind, status)"""
+
+# --- retrieval ----------------------------------------------------------------------------
+
+_GREP = r"""
+h AS (SELECT log_id, line_no, line, max(CASE WHEN regexp_matches(line, '(?i)than') THEN 1 ELSE 0 END)
+    OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM log_lines),
+k AS (SELECT *, lag(line_no) OVER (PARTITION BY log_id ORDER BY line_no) AS prev FROM h WHERE near = 1),
+g AS (SELECT log_id, line_no, 1 AS part, line_no || ': ' || line AS text FROM k
+   UNION ALL SELECT log_id, line_no, 0, '---' FROM k WHERE prev IS NULL OR line_no > prev + 1)
+"""
+ORACLE["grep_context"] = _with("log_lines", _GREP, select="SELECT log_id, line_no, part, text FROM g")
+ORACLE["cap_tokens"] = _with("log_lines", _GREP, select="""
+  SELECT log_id, ord, CASE WHEN spent <= 200 THEN text ELSE '… [truncated at 200 tokens; use start_line/end_line to paginate]' END AS text
+  FROM (SELECT log_id, line_no * 2 + part + 1 AS ord, text, (length(text) + 3) // 4 + 1 AS cost,
+      sum((length(text) + 3) // 4 + 1) OVER (PARTITION BY log_id ORDER BY line_no, part) AS spent FROM g)
+  WHERE spent - cost <= 200""")
+ORACLE["slice_lines"] = _with("log_lines", select="SELECT log_id, line_no, line_no || ': ' || line AS text FROM log_lines WHERE line_no BETWEEN 3 AND 8")
+ORACLE["head_lines"] = _with("build_lines", select="SELECT log_id, line_no, line_no || ': ' || line AS text FROM build_lines WHERE line_no <= 200")
+ORACLE["read_lines"] = _with("source_files", select="""
+  , f AS (SELECT file_key, path, size_bytes, string_split(source_text, chr(10)) AS l, len(string_split(source_text, chr(10))) AS n FROM source_files),
+  hd AS (SELECT *, least(n, 60) AS last, 'File: ' || path || chr(10) || 'Lines 2-' || least(n, 60) || ' of ' || n || chr(10) AS header FROM f),
+  b AS (SELECT file_key, header, u.i AS i, u.i || ': ' || l[u.i] AS text FROM hd, unnest(range(2, last + 1)) AS u(i) WHERE last >= 2),
+  r AS (SELECT *, (length(header) + 3) // 4 + sum((length(text) + 3) // 4) OVER (PARTITION BY file_key ORDER BY i) AS spent, (length(text) + 3) // 4 AS cost FROM b)
+  SELECT file_key, CAST(i + 2 AS BIGINT) AS seq, CASE WHEN spent <= 200 THEN text ELSE '... [truncated at 200 tokens; use a narrower range]' END AS text FROM r WHERE spent - cost <= 200
+  UNION ALL SELECT file_key, 1, 'File: ' || path FROM hd WHERE last >= 2
+  UNION ALL SELECT file_key, 2, 'Lines 2-' || last || ' of ' || n FROM hd WHERE last >= 2
+  UNION ALL SELECT file_key, 3, '' FROM hd WHERE last >= 2
+  UNION ALL SELECT file_key, 1, '[error] end_line (' || last || ') < start_line (2)' FROM hd WHERE last < 2""".replace("\n  , f AS", ",\nf AS", 1))
+_REFS = r"""
+fr AS (SELECT * FROM (SELECT log_id, line_no, line, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS seq
+   FROM log_lines WHERE regexp_matches(line, '\b@word\b')) WHERE seq <= 50),
+bands AS (SELECT log_id, seq, line_no AS hit, greatest(1, line_no - 2) AS a, line_no + 2 AS z, lag(line_no + 2) OVER (PARTITION BY log_id ORDER BY seq) AS pz FROM fr)
+"""
+WORD = "and"
+ORACLE["find_references"] = _with("log_lines", _REFS.replace("@word", WORD), select="SELECT log_id, line_no, line, seq FROM fr")
+ORACLE["reference_context"] = _with("log_lines", _REFS.replace("@word", WORD), select="""
+  SELECT l.log_id, seq, l.line_no, 1 AS part, CASE WHEN l.line_no = hit THEN '► ' ELSE '  ' END || l.line_no || ': ' || line AS text
+  FROM bands b JOIN log_lines l ON l.log_id = b.log_id AND l.line_no BETWEEN a AND z
+  UNION ALL SELECT log_id, seq, a, 0, '---' FROM bands WHERE pz IS NULL OR a > pz + 1""")
+ORACLE["head_tail"] = _with("log_lines", select="""
+  SELECT log_id, line_no, CASE WHEN n <= 20 THEN line WHEN line_no <= 3 OR line_no > n - 3 THEN line_no || ': ' || line
+    ELSE '... [' || (n - 6) || ' lines omitted] ...' END AS text
+  FROM (SELECT *, count(*) OVER (PARTITION BY log_id) AS n FROM log_lines) WHERE n <= 20 OR line_no <= 4 OR line_no > n - 3""")
+
+# --- source files -------------------------------------------------------------------------
+
+_EXT = r"lower(regexp_extract(path, '(\.[^.]*)$', 1))"
+_LANG = f"""CASE WHEN {_EXT} IN ('.kt', '.kts') THEN 'kotlin' WHEN {_EXT} = '.java' THEN 'java' WHEN {_EXT} IN ('.ts', '.tsx') THEN 'typescript'
+  WHEN {_EXT} IN ('.js', '.mjs', '.cjs', '.jsx') THEN 'javascript' WHEN {_EXT} IN ('.py', '.pyi') THEN 'python'
+  WHEN {_EXT} = '.go' THEN 'go' WHEN {_EXT} = '.rs' THEN 'rust' END"""
+_FILES = rf"""
+lf AS (SELECT *, {_LANG} AS language FROM source_files),
+sf AS (SELECT *, coalesce(CASE language WHEN 'kotlin' THEN 'kt' WHEN 'typescript' THEN 'ts' WHEN 'javascript' THEN 'js' WHEN 'python' THEN 'py'
+    WHEN 'rust' THEN 'rs' ELSE language END, 'txt') || '_' || substr(sha256(path || chr(0) || mtime_ms || chr(0) || size_bytes), 1, 12) AS file_id,
+   CAST(len(string_split(source_text, chr(10))) AS BIGINT) AS line_count, (length(source_text) + 3) // 4 AS token_estimate FROM lf)
+"""
+ORACLE["source_profile"] = _with("source_files", _FILES, select="SELECT file_key, path, mtime_ms, size_bytes, file_id, language, line_count, token_estimate FROM sf")
+ORACLE["language_counts"] = _with("source_files", _FILES, select="SELECT language, count(*) AS files FROM lf GROUP BY language")
+ORACLE["file_ids"] = _with("source_files", _FILES, select="SELECT file_key, file_id FROM sf")
+ORACLE["changed_files"] = _with("source_files", _FILES, select="SELECT file_key, file_id FROM sf WHERE file_key % 3 = 0 OR file_key % 7 = 0")
+ORACLE["read_mode"] = _with("source_files", _FILES, select="""
+  SELECT file_key, CASE WHEN language IS NULL THEN CASE WHEN mode <> 'outline' THEN 'full' ELSE 'error' END
+    WHEN mode = 'full' THEN 'full' WHEN line_count <= 300 AND token_estimate <= 1500 AND focus IS NULL THEN 'full'
+    WHEN focus IS NOT NULL AND focus_hits > 0 THEN 'focused' WHEN focus IS NOT NULL THEN 'outline_note' ELSE 'outline' END AS returned
+  FROM (SELECT *, CASE file_key % 3 WHEN 0 THEN 'outline' WHEN 1 THEN 'full' ELSE 'auto' END AS mode,
+      CASE WHEN file_key % 2 = 0 THEN 'x' END AS focus, file_key % 4 AS focus_hits FROM sf)""")
+
+# --- symbols ------------------------------------------------------------------------------
+
+_SYM = """
+sd AS (SELECT *, CAST(len(string_split(qualified_name, '.')) - 1 AS BIGINT) AS depth FROM symbols),
+sp AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_lo, line_hi DESC, depth, qualified_name) AS seq,
+   CASE kind WHEN 'function' THEN 'fun' WHEN 'type_alias' THEN 'type' ELSE kind END AS label, '[L' || line_lo || '-L' || line_hi || ']' AS range FROM sd)
+"""
+
+
+def _sym(select: str, *ctes: str, views: str = "symbols") -> str:
+    return _with(views, _SYM, *ctes, select=select)
+
+
+ORACLE["flatten_symbols"] = _sym("SELECT file_id, seq, depth, qualified_name, kind, line_lo, line_hi FROM sp")
+ORACLE["symbol_paths"] = _sym("SELECT file_id, qualified_name AS path, depth FROM sp")
+ORACLE["list_symbols"] = _sym("""
+  SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS seq, count(*) OVER (PARTITION BY file_id) AS listed,
+    repeat('  ', depth) || label || ' ' || qualified_name || ' ' || range AS text FROM sp WHERE kind IN ('class', 'field')""")
+_REQ = """
+rq AS (SELECT c_custkey % 5 AS file_id, c_name AS requested FROM customer UNION SELECT n_nationkey % 5, n_name FROM nation
+   UNION SELECT n_regionkey, r_name || '.' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT r_regionkey, r_name FROM region)
+"""
+ORACLE["read_symbols"] = _sym("""
+  SELECT s.file_id, requested, kind || ' ' || qualified_name || ' ' || range AS header, '// inside ' || parent_qualified_name AS note
+  FROM sp s JOIN rq ON rq.file_id = s.file_id AND (requested = qualified_name OR requested = name)""", _REQ)
+ORACLE["symbols_not_found"] = _sym("""
+  SELECT file_id, requested, '[error] symbol not found: ' || requested AS error FROM rq WHERE NOT EXISTS (
+    SELECT 1 FROM sp s WHERE rq.file_id = s.file_id AND (requested = qualified_name OR requested = name))""", _REQ)
+FOCI = ["NATION_2", "00[12]$|_7"]
+ORACLE["match_focus"] = _sym("\nUNION ALL\n".join(f"""
+  SELECT file_id, qualified_name, '{f}' AS focus, exact FROM (SELECT *, bool_or(exact) OVER (PARTITION BY file_id) AS any_exact FROM (
+    SELECT *, name = '{f}' OR qualified_name = '{f}' AS exact, regexp_matches(name, '(?i){f}') OR regexp_matches(qualified_name, '(?i){f}') AS loose FROM sp))
+  WHERE exact OR (loose AND NOT any_exact)""" for f in FOCI))
+ORACLE["enclosing_symbol"] = _sym("""
+  SELECT h.file_id, h.line_no, (SELECT arg_min(qualified_name, (line_hi - line_lo) * 1000000 + seq) FROM sp s
+    WHERE s.file_id = h.file_id AND h.line_no BETWEEN line_lo AND line_hi) AS qualified_name FROM ident_hits h""", views="symbols ident_hits")
+_OUTLINE = """
+ol AS (SELECT file_id, seq, CASE WHEN seq > 73 THEN '... (outline truncated; use list_symbols for full tree)' ELSE
+    CASE WHEN depth = 0 THEN '' ELSE repeat('  ', depth - 1) || '├─ ' END || label || ' ' || name || ' ' || range END AS text FROM sp WHERE seq <= 74)
+"""
+ORACLE["outline"] = _sym("SELECT file_id, seq, text FROM ol", _OUTLINE)
+ORACLE["outline_reduction"] = _sym("""
+  SELECT o.file_id, returned_tokens, full_tokens, floor((full_tokens - returned_tokens) / full_tokens * 1000 + 0.5) / 10 AS reduction_pct
+  FROM (SELECT file_id, CAST((sum(length(text)) + count(*) - 1 + 3) // 4 AS BIGINT) AS returned_tokens FROM ol GROUP BY file_id) o
+  JOIN (SELECT file_key, (length(source_text) + 3) // 4 AS full_tokens FROM source_files) f ON f.file_key = o.file_id""", _OUTLINE, views="symbols source_files")
+ORACLE["pack_focus"] = _sym("""
+  SELECT file_id, seq, qualified_name, oversized, CAST(spent + 300 AS BIGINT) AS spent FROM (
+    SELECT *, min(CASE WHEN NOT oversized AND spent + 300 > 800 THEN seq END) OVER (PARTITION BY file_id) AS brk FROM (
+      SELECT *, sum(CASE WHEN oversized THEN 10 ELSE cost END) OVER (PARTITION BY file_id ORDER BY seq) AS spent FROM (
+        SELECT *, line_hi - line_lo + 1 AS cost, line_hi - line_lo + 1 > 400 AS oversized FROM sp)))
+  WHERE brk IS NULL OR seq < brk""")
+ORACLE["structural_outline"] = _sym("""
+  SELECT file_id, qualified_name, line_lo, 1 AS seq, label || ' ' || qualified_name || ' ' || range AS text FROM sp
+  UNION ALL SELECT file_id, qualified_name, line_lo, 2, '' FROM sp
+  UNION ALL SELECT file_id, qualified_name, line_lo, 3, 'Body outline (' || (line_hi - line_lo + 1) || ' lines, too large to inline):' FROM sp
+  UNION ALL SELECT file_id, qualified_name, line_lo, 4, '- (no nested symbols; use read_lines to zoom in)' FROM pn WHERE n = 0
+  UNION ALL SELECT p.file_id, p.qualified_name, p.line_lo, 3 + row_number() OVER (PARTITION BY p.file_id, p.qualified_name ORDER BY c.seq),
+    '- ' || c.range || ' ' || c.label || ' ' || c.name FROM sp p JOIN sp c ON c.file_id = p.file_id AND c.parent_qualified_name = p.qualified_name
+  UNION ALL SELECT file_id, qualified_name, line_lo, greatest(n, 1) + 4, '' FROM pn
+  UNION ALL SELECT file_id, qualified_name, line_lo, greatest(n, 1) + 5, 'Use read_lines(path, start, end) to fetch a specific range.' FROM pn""", """
+pn AS (SELECT p.file_id, p.qualified_name, p.line_lo, count(c.seq) AS n FROM sp p LEFT JOIN sp c
+   ON c.file_id = p.file_id AND c.parent_qualified_name = p.qualified_name GROUP BY ALL)""")
+ORACLE["focused_missing"] = _sym("""
+  SELECT file_id, qualified_name, '  ' || label || ' ' || qualified_name || ' ' || range || '   ← focused' AS text
+  FROM sp WHERE kind = 'field' AND seq > 193""")
+
+# --- declarations: what the two source texts hold, by document ----------------------------
+
+_DECLS = """
+d(language, lo, hi, kind, name, parent, modifiers, signature) AS (VALUES
+ ('kotlin', 4, 11, 'class', 'Greeter{n}', NULL, '', 'class Greeter{n}(val name: String)'),
+ ('kotlin', 5, 7, 'object', 'Companion', 'Greeter{n}', 'companion', 'companion object'),
+ ('kotlin', 6, 6, 'field', 'LIMIT', 'Greeter{n}.Companion', 'const', 'const val LIMIT = {n}'),
+ ('kotlin', 8, 10, 'method', 'greet', 'Greeter{n}', 'private suspend', 'private suspend fun greet(to: String): String'),
+ ('kotlin', 12, 12, 'interface', 'Sink{n}', NULL, '', 'interface Sink{n}'),
+ ('kotlin', 13, 13, 'function', 'main', NULL, '', 'fun main()'),
+ ('python', 2, 7, 'class', 'Greeter{n}', NULL, '', 'class Greeter{n}:'),
+ ('python', 3, 4, 'method', '__init__', 'Greeter{n}', '', 'def __init__(self, name):'),
+ ('python', 6, 7, 'method', 'greet', 'Greeter{n}', 'async', 'async def greet(self):'),
+ ('python', 8, 9, 'function', 'main', NULL, '', 'def main():')),
+docs AS (SELECT doc_id AS file_id, CAST(doc_id AS VARCHAR) AS n, CASE WHEN doc_id % 2 = 0 THEN 'kotlin' ELSE 'python' END AS language FROM documents)
+"""
+ORACLE["lexical_symbols"] = _with("", _DECLS, select="""
+  SELECT file_id, language, replace(name, '{n}', n) AS name, replace(coalesce(parent || '.', '') || name, '{n}', n) AS qualified_name,
+    replace(parent, '{n}', n) AS parent_qualified_name, kind, modifiers, replace(signature, '{n}', n) AS signature,
+    CAST(lo AS BIGINT) AS line_lo, CAST(hi AS BIGINT) AS line_hi FROM docs JOIN d USING (language)""")
+ORACLE["leading_doc"] = """
+  SELECT doc_id AS file_id, CAST(4 AS BIGINT) AS line_no, '/** Greets ' || doc_id || '. */' AS doc FROM documents WHERE doc_id % 2 = 0"""
+ORACLE["parse_status"] = """
+  SELECT CASE WHEN doc_id % 2 = 0 THEN 'kotlin' ELSE 'python' END AS language, 'ok' AS status, count(*) AS files FROM documents GROUP BY 1"""
+
+# --- streams ------------------------------------------------------------------------------
+
+ORACLE["stream_facts"] = ORACLE["kotlin_diagnostics"]
+ORACLE["stream_warning_counts"] = """
+  SELECT date_trunc('hour', ts) AS hour, message, count(*) AS n FROM (
+    SELECT ts, CASE WHEN event_type = 'click' THEN 'Parameter p' || (event_id % 17) || ' is never used'
+      WHEN event_type = 'purchase' AND event_id % 5 <> 0 THEN 'unchecked call ' || (event_id % 3) END AS message FROM events)
+  WHERE message IS NOT NULL AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
+  GROUP BY 1, 2"""

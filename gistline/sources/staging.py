@@ -19,14 +19,20 @@ def staging_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one where none is set (local runs)."""
     folder = spark.conf.get(_FOLDER, None) or spark.sparkContext.getConf().get(_FOLDER)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_FOLDER} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gistline-")
         spark.conf.set(_FOLDER, folder)
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{staging_folder(spark)}/staged/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written as a table and read back."""
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/staged/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

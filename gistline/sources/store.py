@@ -30,24 +30,21 @@ def read_log_store(spark: SparkSession, path: str, wanted: DataFrame | None = No
 
 def missing_logs(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids that are not stored, as error rows."""
-    missing = wanted.select("log_id").distinct().join(stored.select("log_id"), "log_id", "left_anti")
+    known = stored.select("log_id").distinct()
+    missing = wanted.select("log_id").distinct().join(known, "log_id", "left_anti")
     return missing.select("log_id", F.concat(
         F.lit('[error] log_id "'), F.col("log_id").cast("string"), F.lit('" not found')).alias("error"))
 
 
-def _age(now: Column) -> Column:
-    return F.col("ended_at") < now - F.expr(f"INTERVAL {TTL}")
+def expired(entries: DataFrame, now: Column) -> DataFrame:
+    """Entries older than the retention time."""
+    return entries.filter(F.col("ended_at") < now - F.expr(f"INTERVAL {TTL}"))
 
 
-def expired(entries: DataFrame, now: DataFrame) -> DataFrame:
-    """Entries older than the retention time. ``now`` is one row with column ``now``."""
-    return entries.join(F.broadcast(now), _age(F.col("now")), "inner").drop("now")
+def kept(entries: DataFrame, now: Column) -> DataFrame:
+    """Entries within the retention time, to be written back."""
+    return entries.filter(F.col("ended_at") >= now - F.expr(f"INTERVAL {TTL}"))
 
 
-def count_expired(entries: DataFrame, now: DataFrame) -> DataFrame:
+def count_expired(entries: DataFrame, now: Column) -> DataFrame:
     return expired(entries, now).agg(F.count("*").alias("removed"))
-
-
-def kept(entries: DataFrame, now: DataFrame) -> DataFrame:
-    """Entries within the retention time, to be written back."""
-    return entries.join(F.broadcast(now), ~_age(F.col("now")), "inner").drop("now")
