@@ -189,7 +189,7 @@ def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     return D.union([heads, errors, warnings, wrong, tasks])
 
 
-def digest(lines: DataFrame) -> DataFrame:
+def digest(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     known = stage(facts(lines, details=True))
-    totals = stats(known, D.log_sizes(lines))
+    totals = stats(known, D.log_sizes(lines) if sizes is None else sizes)
     return D.finish("gradle", totals, digest_rows(known, totals))

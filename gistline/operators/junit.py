@@ -144,14 +144,22 @@ def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     return D.union([heads, titles, parts])
 
 
-def junit_fallback(lines: DataFrame, fact_rows: DataFrame | None = None) -> DataFrame:
-    """Logs without any test fact, as build digests."""
+def junit_fallback(lines: DataFrame, fact_rows: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame | None:
+    """Logs without any test fact, as build digests; None if every log has some.
+
+    Their ids are written first: usually few, so the lines are picked by a broadcast join.
+    """
     known = stateless_facts(lines) if fact_rows is None else fact_rows
     tested = known.filter("fact IN ('result', 'totals')").select("log_id").distinct()
-    return gradle.digest(lines.join(tested, "log_id", "left_anti"))
+    sizes = D.log_sizes(lines) if sizes is None else sizes
+    untested = stage(sizes.join(tested, "log_id", "left_anti"))
+    if untested.isEmpty():
+        return None
+    return gradle.digest(lines.join(untested.select("log_id"), "log_id", "left_semi"), untested)
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    known = stage(facts(lines))
-    totals = _with_facts(stats(known, D.log_sizes(lines)))
-    return D.finish("junit", totals, digest_rows(known, totals)).unionByName(junit_fallback(lines, known))
+    known, sizes = stage(facts(lines)), stage(D.log_sizes(lines))
+    totals = _with_facts(stats(known, sizes))
+    tested, builds = D.finish("junit", totals, digest_rows(known, totals)), junit_fallback(lines, known, sizes)
+    return tested if builds is None else tested.unionByName(builds)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import text as T
 from gistline.operators.scan import once, scan
+from gistline.sources.staging import stage
 
 _NAME = "([A-Za-z_$][A-Za-z0-9_$]*)"
 _FUNCTIONS = ["function", "method", "constructor"]
@@ -125,8 +126,8 @@ def _depths(coded: DataFrame, span: int | None) -> DataFrame:
         "depth_before", F.col("depth_after") - F.col("delta"))
 
 
-def declarations(coded: DataFrame) -> DataFrame:
-    """Lines that declare something, with ``decl`` (kind, name, prefix)."""
+def _declaration() -> Column:
+    """What a line of ``code`` declares: (kind, name, prefix), null if nothing."""
     decl = F.lit(None)
     for language, forms in FORMS.items():
         chain = F.lit(None)
@@ -136,39 +137,56 @@ def declarations(coded: DataFrame) -> DataFrame:
                              F.regexp_extract("code", pattern, 1).alias("prefix"))
             chain = F.when(F.col("code").rlike(pattern), found).otherwise(chain)
         decl = F.when(F.col("language") == language, chain).otherwise(decl)
-    return once(coded, "decl", decl).filter("decl IS NOT NULL")
+    return decl
+
+
+def declarations(coded: DataFrame) -> DataFrame:
+    """Lines that declare something, with ``decl``."""
+    return once(coded, "decl", _declaration()).filter("decl IS NOT NULL")
+
+
+def _outline_rows(lines: DataFrame, span: int | None) -> DataFrame:
+    """What the spans need of each line, written once: depths, indentation, declaration.
+
+    Later steps read this several times; the text itself goes along for declarations only.
+    """
+    line, code, decl = F.col("line"), F.col("code"), F.col("decl")
+    deep = once(_depths(code_text(lines, span), span), "decl", _declaration())
+    return stage(deep.select(
+        "file_id", "language", "line_no", "depth_before", "depth_after", "decl",
+        (F.length(line) - F.length(F.ltrim(line))).alias("indent"),
+        ((T.trim(line) != "") & ~F.trim(line).startswith("#")).alias("is_text"),
+        ((F.trim(code) != "") & (F.col("depth_before") == 0)).alias("is_logical"),
+        F.when(decl.isNotNull(), line).alias("line"), F.when(decl.isNotNull(), code).alias("code"),
+    ).filter("is_text OR depth_after < depth_before"))
 
 
-def _spans(deep: DataFrame, found: DataFrame, span: int | None) -> DataFrame:
+def _spans(deep: DataFrame, span: int | None) -> DataFrame:
     """Declarations with their last line.
 
     Where the depth falls from a to b, the levels b..a-1 close (for Python: where a logical line
     follows one with more or equal indentation). Per (file, level) a declaration takes the next
     closing after it, so this is one scan with the level as a part of the key.
     """
-    level, at = F.col("level"), F.col("line_no")
+    at = F.col("line_no")
     python = F.col("language") == "python"
-    indent = F.length("line") - F.length(F.ltrim("line"))
-    text = (T.trim("line") != "") & ~F.trim("line").startswith("#")
-    logical = (F.trim("code") != "") & (F.col("depth_before") == 0)
-    py = once(deep.filter(python), "indent", F.when(logical, indent))
-    py = scan(py, key=["file_id"], span=span, before={"last_text": F.when(text, at), "last_indent": F.col("indent")})
-    closes_py = py.filter("indent <= last_indent").select(
-        "file_id", F.explode(F.sequence("indent", "last_indent")).alias("level"), (at * 2).alias("ord"),
-        F.col("last_text").alias("end"))
+    py = scan(deep.filter(python), key=["file_id"], span=span, before={
+        "last_text": F.when(F.col("is_text"), at), "last_indent": F.when(F.col("is_logical"), F.col("indent"))})
+    closes_py = py.filter("is_logical AND indent <= last_indent").select(
+        "file_id", F.explode(F.sequence(F.col("indent").cast("bigint"), F.col("last_indent").cast("bigint"))).alias("level"),
+        (at * 2).alias("ord"), F.col("last_text").alias("end"))
     closes = deep.filter(~python & (F.col("depth_after") < F.col("depth_before"))).select(
         "file_id", F.explode(F.sequence("depth_after", F.col("depth_before") - 1)).alias("level"), (at * 2).alias("ord"),
         at.alias("end"))
-    own = F.when(python, indent).otherwise(F.col("depth_before"))
+    own = F.when(python, F.col("indent")).otherwise(F.col("depth_before"))
     one_line = ~python & (F.col("depth_after") <= F.col("depth_before"))
-    opened = found.withColumn("level", own.cast("bigint")).withColumn(
-        "row", F.struct("language", "line_no", "line", "code", "decl", one_line.alias("one_line")))
-    both = closes.select("file_id", level.cast("bigint"), "ord", "end").unionByName(
-        closes_py.select("file_id", level.cast("bigint"), "ord", "end")).withColumn(
-        "row", F.lit(None).cast(opened.schema["row"].dataType)).unionByName(
-        opened.select("file_id", "level", (at * 2 + 1).alias("ord"), F.lit(None).cast("bigint").alias("end"), "row"))
+    opened = deep.filter("decl IS NOT NULL").select(
+        "file_id", own.cast("bigint").alias("level"), (at * 2 + 1).alias("ord"), F.lit(None).cast("bigint").alias("end"),
+        F.struct("language", "line_no", "line", "code", "decl", one_line.alias("one_line")).alias("row"))
+    both = closes.unionByName(closes_py).withColumn(
+        "row", F.lit(None).cast(opened.schema["row"].dataType)).unionByName(opened)
     ended = scan(both, key=["file_id", "level"], pos="ord", span=span, after={"close": F.col("end")}).filter("row IS NOT NULL")
-    last = deep.filter(text).groupBy("file_id").agg(F.max("line_no").alias("last_line"))
+    last = deep.filter("is_text").groupBy("file_id").agg(F.max("line_no").alias("last_line"))
     hi = F.when(F.col("row.one_line"), F.col("row.line_no")).otherwise(F.coalesce("close", "last_line"))
     return ended.join(last, "file_id", "left").select(
         "file_id", "row.language", F.col("row.line_no").alias("line_lo"), hi.alias("line_hi"),
@@ -180,11 +198,10 @@ def lexical_symbols(lines: DataFrame, span: int | None = None) -> DataFrame:
     """Symbol table of the files: names, kinds, modifiers, signatures, spans, parents."""
     from gistline.operators.symbols import LINES_PER_BUCKET
 
-    deep = _depths(code_text(lines, span), span)
-    found = _spans(deep, declarations(deep), span)
+    found = _spans(_outline_rows(lines, span), span)
     kind = F.col("kind")
-    named = found.withColumn("name", F.when(kind == "companion", "Companion").otherwise(F.col("name"))).withColumn(
-        "kind", F.when(kind == "companion", "object").otherwise(kind))
+    named = stage(found.withColumn("name", F.when(kind == "companion", "Companion").otherwise(F.col("name"))).withColumn(
+        "kind", F.when(kind == "companion", "object").otherwise(kind)))
     # Ancestors by buckets of lines, as for enclosing symbols; a declaration has few.
     own, outer = named.alias("s"), named.select(
         "file_id", F.col("line_lo").alias("lo"), F.col("line_hi").alias("hi"), F.col("name").alias("outer_name"),

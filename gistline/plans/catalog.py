@@ -11,7 +11,7 @@ from gistline.operators import (
     classify as C, digest as D, generic, gradle, jest, junit, lexical, npm, pytest, retrieve as R, symbols as S)
 from gistline.plans import carriers as V
 from gistline.sources import code, store
-from gistline.sources.staging import new_folder
+from gistline.sources.staging import new_folder, stage
 from gistline.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ _over(
 _over(
     V.pytest_lines,
     pytest_sections=lambda p: pytest.pytest_sections(pytest.facts(p)), pytest_result=pytest.pytest_result,
-    pytest_blocks=lambda p: pytest.pytest_blocks(pytest.facts(p), {"errors": 30, "failures": 30}),
+    pytest_blocks=lambda p: pytest.pytest_blocks(stage(pytest.facts(p)), {"errors": 30, "failures": 30}),
     pytest_short_summary=lambda p: pytest.pytest_short_summary(pytest.facts(p)), pytest_digest=pytest.digest)
 _over(
     V.junit_lines,
