@@ -88,7 +88,9 @@ _RUST_STRINGS = r'"(?:\\.|[^"\\])*"' + r"|'(?:\\.|[^'\\])'"
 
 def _prefix(language: str) -> str:
     words = "|".join(MODIFIERS[language].split())
-    return rf"^\s*(?:@[A-Za-z0-9_.]+(?:\([^)]*\))?\s+)*((?:(?:{words or '(?!)'})(?:\([^)]*\))?\s+)*)"
+    # A Java modifier must not be taken for a return type, so there the prefix gives nothing back.
+    many = "*+" if language == "java" else "*"
+    return rf"^\s*(?:@[A-Za-z0-9_.]+(?:\([^)]*\))?\s+)*((?:(?:{words or '(?!)'})(?:\([^)]*\))?\s+){many})"
 
 
 def code_text(lines: DataFrame, span: int | None = None) -> DataFrame:

@@ -13,7 +13,10 @@ def explode_lines(df: DataFrame, text: str = "text", id_col: str = "log_id", *ke
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``log_id`` (the path) and ``text``. For logs that fit a cell."""
+    """One row per file: ``log_id`` (the path) and ``text``. For logs that fit a cell.
+
+    Spark's file sources skip files without a byte; keep empty logs as rows of a table.
+    """
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("text"))
 
