@@ -56,14 +56,12 @@ def assemble(rows: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
         rows.select("log_id", ord_.alias("ord"), F.concat("glue", "text").alias("text"))
         .withColumn("piece", F.expr(f"ord div {PIECE} + 1"))
         .groupBy("log_id", "piece")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
-             .alias("text"))
+        .agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY ord)").alias("text"))
     )
     placed = scan(pieces, running={"upto": F.length("text")}, pos="piece", span=PIECES_PER_SPAN)
     part_no = F.floor((F.col("upto") - F.length("text")) / part_chars)
     parts = placed.withColumn("part_no", part_no).groupBy("log_id", "part_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "")
-        .alias("body"))
+        F.expr("listagg(text, '') WITHIN GROUP (ORDER BY piece)").alias("body"))
     return parts.withColumn(
         "body", F.when(F.col("part_no") == 0, F.substr("body", F.lit(2))).otherwise(F.col("body")))
 

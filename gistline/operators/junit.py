@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D, gradle
@@ -13,6 +11,7 @@ from gistline.sources.staging import stage
 
 SHOWN_MESSAGES = 4
 SHOWN_FRAMES = 5
+FRAMEWORK_FRAME = r"^\s*at\s+(?:" + "|".join(T.regex_escape(p) for p in P.JUNIT_FRAMEWORK) + ")"
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
@@ -38,12 +37,10 @@ def facts(lines: DataFrame, span: int | None = None) -> DataFrame:
     failed = (c == "result") & t.rlike(r"FAILED\s*\z")
     state = F.when(failed, F.col("line_no")).when(c != "other", F.lit(-1))
     carried = scan(classify_lines(lines), before={"block": state}, span=span)
-    text = T.trim(t)
-    payload = F.regexp_replace(text, r"^at\s+", "")
-    framework = reduce(Column.__or__, [payload.startswith(prefix) for prefix in P.JUNIT_FRAMEWORK])
-    part = F.when(text.startswith("at "), F.when(~framework, "frame")).otherwise("message")
+    part = F.when(t.rlike(r"^\s*at "), F.when(~t.rlike(FRAMEWORK_FRAME), "frame")).otherwise("message")
     fact = F.when(c.isin("result", "totals"), c).when((c == "other") & (F.col("block") > 0), part)
-    return carried.select("log_id", "line_no", fact.alias("fact"), "block", "text").filter("fact IS NOT NULL")
+    return once(carried.select("log_id", "line_no", "line_class", "block", "text"), "fact", fact).filter(
+        "fact IS NOT NULL").drop("line_class")
 
 
 def junit_results(fact_rows: DataFrame) -> DataFrame:

@@ -180,4 +180,5 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
 def first_k(df: DataFrame, k: int, key: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
     """The first k rows of each key. Spark limits each map task's rows before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= k)
+    first = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    return first.withColumn(name, F.col(name).cast("bigint"))
