@@ -161,13 +161,18 @@ def enclosing_symbol(hits: DataFrame, symbols: DataFrame) -> DataFrame:
 def outline(symbols: DataFrame, cap: int = OUTLINE_CAP) -> DataFrame:
     """(file_id, seq, text): the tree's first lines; ``cap`` counts the header's lines too.
 
+    A column ``mark``, if there is one, is put after a symbol's line.
+
     Unlike the reference, a cut outline ends in one note, not one per open level.
     """
     rows = cap - HEADER_LINES
     first = first_k(with_depth(symbols), rows + 1, ["file_id"], _preorder())
     indent = F.when(F.col("depth") == 0, "").otherwise(
         F.concat(F.repeat(F.lit("  "), (F.col("depth") - 1).cast("int")), F.lit("├─ ")))
-    text = F.when(F.col("seq") <= rows, _label("name", indent, "modifiers" in symbols.columns)).otherwise(
+    label = _label("name", indent, "modifiers" in symbols.columns)
+    if "mark" in symbols.columns:
+        label = F.concat(label, F.coalesce("mark", F.lit("")))
+    text = F.when(F.col("seq") <= rows, label).otherwise(
         "... (outline truncated; use list_symbols for full tree)")
     return first.select("file_id", "seq", text.alias("text"))
 
