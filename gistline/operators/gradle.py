@@ -127,7 +127,8 @@ def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "w").alias("warnings"),
         F.count_if(fact == "task").alias("tasks"),
     )
-    unique = warning_groups(fact_rows).groupBy("log_id").agg(F.count("*").alias("unique_warnings"))
+    unique = warning_groups(fact_rows).groupBy("log_id").agg(
+        F.count("*").alias("unique_warnings"), F.min(F.struct((-F.col("n")).alias("order"), "first_line", "message", "n")).alias("w"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     head = F.when(F.col("status") == "UNKNOWN", "BUILD (status unknown)").otherwise(F.concat(F.lit("BUILD "), "status"))
     return (
@@ -135,6 +136,7 @@ def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
         .select("log_id", "original_tokens", F.coalesce("r.status", F.lit("UNKNOWN")).alias("status"),
                 F.col("r.duration").alias("duration"), F.col("t.task").alias("first_task"),
                 F.col("t.line_no").alias("first_task_line"),
+                F.col("w.message").alias("top_warning"), F.col("w.n").alias("top_count"),
                 zero("errors"), zero("warnings"), zero("tasks"), zero("unique_warnings"))
         .withColumn("summary", F.concat(head, F.lit(" ("), T.counted("errors", "error"), F.lit(", "),
                                         T.counted("unique_warnings", "warning"), F.lit(")")))
@@ -145,9 +147,7 @@ def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def gradle_summary(lines: DataFrame) -> DataFrame:
     """Per build: result, errors, warnings and the most frequent warning."""
-    known = facts(lines)
-    top = warnings_topk(known, 1).select("log_id", F.col("message").alias("top_warning"), F.col("n").alias("top_count"))
-    return stats(known, D.log_sizes(lines)).join(top, "log_id", "left").select(
+    return stats(facts(lines), D.log_sizes(lines)).select(
         "log_id", "status", "duration", "errors", "unique_warnings", "warnings", "summary", "top_warning", "top_count")
 
 
