@@ -22,10 +22,15 @@ def _says(c: Column, *words: str, flags: str = "") -> Column:
     return c.rlike(flags + P.word("|".join(words)))
 
 
+def _has_status(head: Column) -> Column:
+    """A cheap test before a pattern that backtracks on long words."""
+    return head.contains("PASSED") | head.contains("FAILED") | head.contains("SKIPPED")
+
+
 def classify(command: Column | str = "command", head: Column | str = "head") -> Column:
     cmd, head = F.lower(T.as_col(command)), T.as_col(head)
     return (
-        F.when(head.rlike(P.HEAD_JUNIT), "junit")
+        F.when(_has_status(head) & head.rlike(P.HEAD_JUNIT), "junit")
         .when(_says(cmd, "gradle", "gradlew"), F.when(cmd.contains("test"), "junit").otherwise("gradle"))
         .when(_says(cmd, "pytest") | head.rlike(P.HEAD_PYTEST), "pytest")
         .when(_says(cmd, "jest", "vitest"), "jest")

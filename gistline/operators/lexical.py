@@ -43,8 +43,8 @@ _SCRIPT = [
     ("type_alias", rf"type\s+{_NAME}[^=]*="),
     ("function", rf"function\s*\*?\s*{_NAME}"),
     ("const", rf"(?:const|let|var)\s+{_NAME}"),
-    ("method", rf"(?:get\s+|set\s+)?\*?#?{_NOT_STATEMENT}{_NAME}\??\s*(?:<[^>]*>)?\([^;]*[{{(,]\s*\z"),
-    ("method", rf"(?:get\s+|set\s+)?\*?#?{_NOT_STATEMENT}{_NAME}\??\s*(?:<[^>]*>)?\(.*\)\s*(?::[^=]*)?(?:;|\{{.*\}})\s*\z"),
+    # Calls look the same; they are told apart by where they stand, see ``fits`` below.
+    ("method", rf"(?:get\s+|set\s+)?\*?#?{_NOT_STATEMENT}{_NAME}\??\s*(?:<[^>]*>)?\(.*[;{{}}(,]\s*\z"),
     ("field", rf"{_NOT_STATEMENT}{_NAME}[?!]?\s*(?::|=[^=>])"),
 ]
 FORMS = {
@@ -81,9 +81,12 @@ FORMS = {
 }
 
 _TRIPLE = "\"\"\"|'''"
-_TRIPLE_CLOSED = r'"""(?:(?!""").)*"""' + r"|'''(?:(?!''').)*'''"
-_STRINGS = r'"(?:\\.|[^"\\])*"' + r"|'(?:\\.|[^'\\])*'|`[^`]*`"
-_RUST_STRINGS = r'"(?:\\.|[^"\\])*"' + r"|'(?:\\.|[^'\\])'"
+_TRIPLE_CLOSED = r'""".*?"""' + r"|'''.*?'''"
+# Escapes are removed first, so that a string is a run of one character class: Java matches that in
+# a loop, while alternatives in a repetition recurse and overflow the stack on long lines.
+_ESCAPES = r"\\."
+_STRINGS = r'"[^"]*"' + r"|'[^']*'|`[^`]*`"
+_RUST_STRINGS = r'"[^"]*"' + r"|'[^']?'"
 
 
 def _prefix(language: str) -> str:
@@ -96,11 +99,15 @@ def _prefix(language: str) -> str:
 def code_text(lines: DataFrame, span: int | None = None) -> DataFrame:
     """Lines (file_id, language, line_no, line) with ``code``: strings blanked, comments removed."""
     line, python = F.col("line"), F.col("language") == "python"
-    triple = F.regexp_replace(line, _TRIPLE_CLOSED, '""')
-    strings = lambda c: F.when(F.col("language") == "rust", F.regexp_replace(c, _RUST_STRINGS, '""')).otherwise(
-        F.regexp_replace(c, _STRINGS, '""'))
-    plain = lambda c: F.regexp_replace(F.regexp_replace(strings(c), r"/\*.*?\*/", " "), r"//.*\z", "")
-    ready = once(once(lines, "triple", F.when(python, triple)), "plain", F.when(~python, plain(line)))
+    bare = F.regexp_replace(line, _ESCAPES, "")
+    triple = F.regexp_replace(bare, _TRIPLE_CLOSED, '""')
+
+    def plain(c: Column) -> Column:
+        strings = F.when(F.col("language") == "rust", F.regexp_replace(c, _RUST_STRINGS, '""')).otherwise(
+            F.regexp_replace(c, _STRINGS, '""'))
+        return F.regexp_replace(F.regexp_replace(strings, r"/\*.*?\*/", " "), r"//.*\z", "")
+
+    ready = once(once(lines, "triple", F.when(python, triple)), "plain", F.when(~python, plain(bare)))
     state = F.when(F.col("plain").contains("/*"), 1).when(line.contains("*/"), 0)
     toggles = F.when(python, F.size(F.split("triple", _TRIPLE)) - 1)
     known = scan(ready, key=["file_id"], span=span, before={"comment": F.when(~python, state)}, running={"quotes": toggles})
@@ -110,7 +117,7 @@ def code_text(lines: DataFrame, span: int | None = None) -> DataFrame:
         F.regexp_replace(F.element_at(F.split("triple", _TRIPLE), 1), _STRINGS, '""'), r"#.*\z", "")
     code = (
         F.when(python, F.when(in_quotes, "").otherwise(python_code))
-        .when(in_comment, F.when(line.contains("*/"), plain(F.regexp_replace(line, r"^.*?\*/", ""))).otherwise(""))
+        .when(in_comment, F.when(line.contains("*/"), plain(F.regexp_replace(bare, r"^.*?\*/", ""))).otherwise(""))
         .when(F.col("plain").contains("/*"), F.regexp_replace("plain", r"/\*.*\z", ""))
         .otherwise(F.col("plain")))
     inside = F.when(python, in_quotes).otherwise(F.coalesce(in_comment, F.lit(False)))

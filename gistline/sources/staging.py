@@ -36,3 +36,10 @@ def stage(df: DataFrame) -> DataFrame:
     path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables; call it when the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{staging_folder(spark)}/staged/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -159,3 +159,12 @@ def test_docs_and_status(spark):
         docs = {(r.file_id, r.line_no): r.doc for r in X.leading_doc(df, span).collect()}
         assert docs == {(1, 4): "/**\n * About A.\n */", (1, 7): "// near", (4, 2): "# note"}
     assert {(r.file_id, r.status) for r in X.parse_status(df).collect()} == {(1, "ok"), (2, "partial"), (3, "failed"), (4, "ok")}
+
+
+def test_very_long_lines(spark):
+    """Megabyte lines: nothing recurses per character and no pattern is quadratic."""
+    long_string = 'val s = "' + "a\\\"b{" * 150_000 + '"'
+    minified = "foo(" + "a.b(c){d};" * 80_000 + ")"
+    got, _ = symbols(spark, "kotlin", "class A {\n" + long_string + "\n}")
+    assert got == [("class", "A", 1, 3), ("field", "A.s", 2, 2)]
+    assert symbols(spark, "javascript", minified + "\nclass B {\n}")[0] == [("class", "B", 2, 3)]

@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from scripts.compare import TABLES, normal
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"distill_all", "reduction_report"}
+# These run the digests of other queries once more; scripts/compare.py covers them.
+SLOW = {"distill_all", "reduction_report", "digest_tokens", "reduction_pct", "format_response"}
 
 
 @pytest.fixture(scope="module")
