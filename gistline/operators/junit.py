@@ -17,10 +17,9 @@ FRAMEWORK_FRAME = r"^\s*at\s+(?:" + "|".join(T.regex_escape(p) for p in P.JUNIT_
 def classify_lines(lines: DataFrame) -> DataFrame:
     t = F.col("text")
     # The cheap test first: the pattern may try every dot of a long line without blanks.
-    end = T.rtrim(t)
-    ends = end.endswith("PASSED") | end.endswith("FAILED") | end.endswith("SKIPPED")
+    named = t.contains("PASSED") | t.contains("FAILED") | t.contains("SKIPPED")
     line_class = (
-        F.when(ends & t.rlike(P.JUNIT_RESULT), "result").when(t.rlike(P.JUNIT_TOTALS), "totals")
+        F.when(named & t.rlike(P.JUNIT_RESULT), "result").when(t.rlike(P.JUNIT_TOTALS), "totals")
         .when(T.trim(t) == "", "blank").otherwise("other"))
     return once(lines.select("log_id", "line_no", T.strip_cr("line").alias("text")), "line_class", line_class)
 
