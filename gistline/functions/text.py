@@ -19,6 +19,11 @@ def rtrim(c: Column | str) -> Column:
     return F.rtrim(as_col(c), F.lit(P.WHITESPACE))
 
 
+def is_blank(c: Column | str) -> Column:
+    """Whether trimming leaves nothing; stops at the first other character."""
+    return ~as_col(c).rlike(f"[^{P.WHITESPACE}]")
+
+
 def strip_cr(c: Column | str) -> Column:
     """Drop one carriage return at the end of a line."""
     c = as_col(c)

@@ -23,7 +23,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(t.rlike(P.JEST_PASS), "pass")
         .when(t.rlike(P.JEST_FAIL), "fail")
         .when(t.rlike(P.JEST_MARKER), "marker")
-        .when(T.trim(t) != "", "other")
+        .when(~T.is_blank(t), "other")
     )
     text = lines.select("log_id", "line_no", T.strip_cr("line").alias("text"))
     return once(text, "line_class", line_class).filter("line_class IS NOT NULL")

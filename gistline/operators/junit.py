@@ -20,7 +20,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     named = t.contains("PASSED") | t.contains("FAILED") | t.contains("SKIPPED")
     line_class = (
         F.when(named & t.rlike(P.JUNIT_RESULT), "result").when(t.rlike(P.JUNIT_TOTALS), "totals")
-        .when(T.trim(t) == "", "blank").otherwise("other"))
+        .when(T.is_blank(t), "blank").otherwise("other"))
     return once(lines.select("log_id", "line_no", T.strip_cr("line").alias("text")), "line_class", line_class)
 
 

@@ -75,7 +75,7 @@ def pytest_blocks(fact_rows: DataFrame, caps: dict[str, int] | None = None, span
     """
     caps = caps or CAPS
     key = ["log_id", "section"]
-    blank = T.trim("text") == ""
+    blank = T.is_blank("text")
     block = fact_rows.filter(F.col("section").isin(*caps))
     near = scan(block, before={"prev_text": (~blank).cast("int")}, after={"more": F.when(~blank, 1)}, key=key, span=span)
     kept = near.filter(~blank | ((F.col("prev_text") == 1) & F.col("more").isNotNull()))

@@ -33,6 +33,7 @@ def test_reduction(spark, orig, comp, pct):
 def test_text_helpers(spark):
     assert value(spark, T.strip_ansi("x"), x="\x1b[31mred\x1b[0m \x1b]0;t\x07ok\x1b[2K") == "red ok"
     assert value(spark, T.trim("x"), x="﻿\t a b \r\n") == "a b"
+    assert [value(spark, T.is_blank("x"), x=x) for x in ("", " \t\u00a0", " a ")] == [True, True, False]
     assert value(spark, T.strip_version("x"), x="@s/p@1.0") == "@s/p"
     assert value(spark, T.strip_version("x"), x="@s/p") == ""
     assert value(spark, T.basename("x"), x="/a/b/c.kt") == "c.kt"
