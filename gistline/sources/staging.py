@@ -7,6 +7,7 @@ planner true sizes, and survives the loss of executors.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,15 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 _FOLDER = "spark.checkpoint.dir"
 
 
+_OWN: dict[str, str] = {}
+
+
 def staging_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one where none is set (local runs)."""
+    """The folder that ``spark.checkpoint.dir`` names; all executors must share it.
+
+    Where it is unset, a session with a single process gets a temporary folder of its own (tests,
+    notebooks); any other session must name one. The session's settings are not changed.
+    """
     folder = spark.conf.get(_FOLDER, None) or spark.sparkContext.getConf().get(_FOLDER)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_FOLDER} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="gistline-")
-        spark.conf.set(_FOLDER, folder)
-    return folder
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {_FOLDER} to a folder that all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gistline-"))
 
 
 def new_folder(spark: SparkSession) -> str:
