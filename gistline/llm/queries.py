@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistline.llm import pack, shard
+from gistline.llm import pack, rans, recount, shard
 from gistline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,19 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_rows(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after an edit of each, the second from its tree."""
+    return recount.recount(recount.count_trees(recount.own_edits(table(spark, sf_dir, "documents", "doc_id", "text"))))
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hash_tree_shards, op8_pack_sequences)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hash_tree_shards, op2_rans_ids, op7_edit_counts, op8_pack_sequences)}
 
 ORACLE: dict[str, str] = {}
