@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,7 +19,29 @@ TEXT_BYTES = 4 << 20  #: Text that one step of a Python task handles at once; a
 BROADCAST_BYTES = 32 << 20  #: Tables up to this size may be copied to every executor.
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, as Spark does with --py-files."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import gistline
+
+    root = next(iter(gistline.__path__))
+    name = os.path.join(tempfile.mkdtemp(prefix="gistline-code-"), "gistline.zip")  # Spark serves it from the driver
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join("gistline", os.path.relpath(os.path.join(folder, f), root)))
+    spark.sparkContext.addPyFile(name)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistline.llm import pack, rans, recount, shard
+from gistline.llm import pack, rans, recount, seeds, shard, toxic
 from gistline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with the best overlap."""
+    return seeds.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after an edit of each, the second from its tree."""
     return recount.recount(recount.count_trees(recount.own_edits(table(spark, sf_dir, "documents", "doc_id", "text"))))
@@ -29,6 +34,11 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hash_tree_shards, op2_rans_ids, op7_edit_counts, op8_pack_sequences)}
+def op10_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_hash_tree_shards, op2_rans_ids, op6_spaced_seeds, op7_edit_counts, op8_pack_sequences, op10_conv_toxicity)}
 
 ORACLE: dict[str, str] = {}

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as ST
 
 from gistline.llm.common import batch, slices
 from gistline.llm.tokens import Encoder, code_points, default_path, encoder, pre_token_starts
@@ -123,7 +123,8 @@ def count_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [*b.columns, *[pa.array([s[k] for s in states], kind) for k, (_, kind) in enumerate(_STATE)]],
                 names=[*b.schema.names, *[name for name, _ in _STATE]])
 
-    return plain.mapInArrow(run, plain.schema.add("leaf_chars", "array<int>").add("tree", "array<bigint>"))
+    state = [ST.StructField("leaf_chars", ST.ArrayType(ST.IntegerType())), ST.StructField("tree", ST.ArrayType(ST.LongType()))]
+    return plain.mapInArrow(run, ST.StructType([*plain.schema.fields, *state]))
 
 
 _COUNTS = pa.schema([
