@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistline.llm import pack, rans, recount, seeds, shard, toxic
+from gistline.llm import pack, rans, recount, seeds, shard, toxic, trie
 from gistline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.near_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds, with the best overlap."""
     return seeds.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -39,6 +43,6 @@ def op10_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_hash_tree_shards, op2_rans_ids, op6_spaced_seeds, op7_edit_counts, op8_pack_sequences, op10_conv_toxicity)}
+    op1_hash_tree_shards, op2_rans_ids, op5_prefix_tree_join, op6_spaced_seeds, op7_edit_counts, op8_pack_sequences, op10_conv_toxicity)}
 
 ORACLE: dict[str, str] = {}
