@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistline.llm import pack, rans, recount, seeds, shard, suffix, toxic, trie
+from gistline.llm import pack, rans, recount, seeds, shard, sketch, suffix, toxic, trie
 from gistline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.near_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -47,6 +51,6 @@ def op10_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_hash_tree_shards, op2_rans_ids, op3_suffix_repeats, op5_prefix_tree_join, op6_spaced_seeds, op7_edit_counts, op8_pack_sequences, op10_conv_toxicity)}
+    op1_hash_tree_shards, op2_rans_ids, op3_suffix_repeats, op4_lookup_sketches, op5_prefix_tree_join, op6_spaced_seeds, op7_edit_counts, op8_pack_sequences, op10_conv_toxicity)}
 
 ORACLE: dict[str, str] = {}
