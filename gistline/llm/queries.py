@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistline.llm import pack, rans, recount, seeds, shard, sketch, suffix, toxic, trie
+from gistline.llm import licenses, pack, rans, recount, seeds, shard, sketch, suffix, toxic, trie
 from gistline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,11 +46,16 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that speaks of licences, with the wording it has and where it differs."""
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_hash_tree_shards, op2_rans_ids, op3_suffix_repeats, op4_lookup_sketches, op5_prefix_tree_join, op6_spaced_seeds, op7_edit_counts, op8_pack_sequences, op10_conv_toxicity)}
+    op1_hash_tree_shards, op2_rans_ids, op3_suffix_repeats, op4_lookup_sketches, op5_prefix_tree_join, op6_spaced_seeds, op7_edit_counts, op8_pack_sequences, op9_license_scan, op10_conv_toxicity)}
 
 ORACLE: dict[str, str] = {}

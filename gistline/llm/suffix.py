@@ -433,10 +433,11 @@ def union_ranges(ranges: np.ndarray) -> np.ndarray:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def removal_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` (doc_id, text) with ``ranges``: starts of removed strings, null where there are none."""
+def removal_ranges(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the columns ``keep`` of ``docs`` with ``ranges``: starts of removed strings, null where there are none."""
     ship(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    named = docs.select(F.col("doc_id").cast("long"), "text", *keep).withColumn("_tid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    all_rows, named = named, named.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_tid").alias("tid"))
     long_ones = named.filter(F.octet_length("text") >= length)
     ids = stage(long_ones.select("tid", "doc_id", F.octet_length("text").cast("long").alias("n")))
     equal = stage(ids.groupBy("tid").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("first"), F.max("n").alias("n")).filter("many > 1"))
@@ -448,7 +449,7 @@ def removal_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = equal.select("tid", F.lit(0).cast("long").alias("lo"), (F.col("n") - length).alias("hi"))
     ranges = stage(starts.join(equal.select("tid"), "tid", "left_anti").unionByName(whole).groupBy("tid").agg(
         F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    return named.join(small(ranges.withColumnRenamed("tid", "_tid"), 200), F.col("tid") == F.col("_tid"), "left").select("doc_id", "text", "ranges")
+    return all_rows.join(small(ranges.withColumnRenamed("tid", "_tid"), 200), "_tid", "left").drop("_tid")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -477,3 +478,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     done = removal_ranges(docs, length).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if with_text else done.drop("kept")
+
+
+def without_passages(docs: DataFrame, length: int, min_words: int) -> DataFrame:
+    """``docs`` (with all its columns) without passages of ``min_words`` words or more that repeat.
+
+    A passage is a maximal run of bytes covered by strings of ``length`` bytes that start elsewhere
+    too. Bytes of characters that a passage cuts through go with it. Rows that lose all their text are
+    dropped; ``n_chars``, where there is such a column, is renewed.
+    """
+    ship(docs.sparkSession)
+    found = removal_ranges(docs, length, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    plain = found.drop("ranges")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts, keep = [], []
+            for (i, raw), ranges in zip(_texts(b), b.column("ranges").to_pylist()):
+                old = b.column("text")[i].as_py()
+                if not ranges:
+                    texts.append(old)
+                    keep.append(i)
+                    continue
+                data = raw.tobytes()
+                gone = [(a, z) for a, z in union_ranges(np.array([(r["lo"], r["hi"] + length) for r in ranges], np.int64).reshape(-1, 2)).tolist()
+                        if len(data[a:z].split()) >= min_words]
+                kept = b"".join(data[a:z] for a, z in zip([0, *[z for _, z in gone]], [*[a for a, _ in gone], len(data)])).decode("utf-8", "ignore")
+                if kept.strip() or not gone:
+                    texts.append(kept if gone else old)
+                    keep.append(i)
+            part = b.drop_columns(["ranges"]).take(pa.array(keep, pa.int64()))
+            part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            yield part
+
+    done = found.mapInArrow(run, plain.schema).select(*docs.columns)
+    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in done.columns else done

@@ -289,6 +289,20 @@ def score(docs: DataFrame, model: bytes, per_label: int = SAMPLE) -> DataFrame:
     return scored.select("doc_id", "score", cut.alias("threshold"), (F.col("score") >= cut).alias("rejected"))
 
 
+def accepted(docs: DataFrame, model: bytes) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not reject for their language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.from_bytes(shared.value)
+        weights = own.responses()
+        for b in slices(batches, "text", 1 << 20):
+            cuts = np.array([own.thresholds.get(x or "", PREDICTED) for x in b.column("lang").to_pylist()])
+            yield b.filter(pa.array(own.scores(*text_bytes(b.column("text")), weights) < cuts))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
     """Train on the labelled rows that are not held out, and score all documents.
 

@@ -332,3 +332,17 @@ def _cluster_links(held: DataFrame, num: int, den: int) -> DataFrame:
     probes = dealt.join(blocks, "cluster").select("cluster", F.col("block").alias("x"), "y", "set_id", F.lit(1).alias("side"))
     targets = labelled.join(dealt.select("cluster", "y").distinct(), "cluster").select("cluster", F.col("block").alias("x"), "y", "set_id", F.lit(0).alias("side"))
     return found.unionByName(joined(probes.unionByName(targets)))
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``docs`` (with all its columns), of each component only the row with the least doc_id.
+
+    Of rows with equal doc_id one stays, if their document does. Rows without a doc_id all stay.
+    """
+    known = stage(near_components(docs, size, num, den))
+    counted = known.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"))
+    odd = stage(counted.filter("n > 1 or least <> doc_id").select(F.col("doc_id").alias("_id"), (F.col("least") < F.col("doc_id")).alias("gone")))
+    ids = docs.doc_id.cast("long")
+    single = docs.join(small(odd.select("_id"), 16), ids == F.col("_id"), "left_anti")
+    several = small(odd.filter("not gone").select("_id"), 16)
+    return single.unionByName(docs.join(several, ids == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
