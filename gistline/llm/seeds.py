@@ -22,7 +22,7 @@ from gistline.llm.words import mix, powers, text_bytes, word_hashes, word_spans
 
 MASKS = ("110100110101", "101101001011", "111001011001")
 SPAN = len(MASKS[0])
-FILTER_BITS = 24  #: The filter has 2^24 bits (2 MiB).
+FILTER_BITS = 24  #: The filter has 2^24 bits (2 MiB); a hash is looked up by its top and by its low bits.
 REACH = 128  #: Words kept on either side of the hits of a region.
 MIN_WORDS = 12  #: Equal words that an overlap needs (or all words of a shorter item).
 MISMATCH = 4  #: A differing word weighs so many equal ones: about four in five must agree.
@@ -78,9 +78,10 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 
 def bit_filter(seeds: DataFrame) -> np.ndarray:
-    """Which hashes, by their top bits, occur in the benchmark: at most 2^18 words come to the driver."""
-    top = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    words = seeds.groupBy(F.shiftright(top, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))")).alias("b"))
+    """Which hashes, by their top and by their low bits, occur in the benchmark: at most 2^18 words come to the driver."""
+    probes = F.explode(F.array(F.shiftrightunsigned("seed", 64 - FILTER_BITS), F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))))
+    words = seeds.select(probes.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in words.collect():
         out[r["w"]] = r["b"]
@@ -104,6 +105,7 @@ def regions(docs: DataFrame, keep: np.ndarray, short: list[int]) -> DataFrame:
             hashes, places = [], []
             for _, h, at in _windows(words, first, short):
                 hit = seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                hit &= seen[(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
                 hashes.append(h[hit])
                 places.append(at[hit])
             h, at = np.concatenate(hashes), np.concatenate(places)
