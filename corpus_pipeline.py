@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gistline.llm import pack, seeds, suffix, toxic, trie
-from gistline.llm.common import ship, small, stage, table
+from gistline.llm.common import free, ship, small, stage, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -42,8 +42,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold no benchmark item. Rows without a doc_id cannot be named and stay."""
     ship(spark)
     found = seeds.overlaps(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    held = stage(found.filter("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small(held, 16), docs.doc_id == F.col("_id"), "left_anti")
+    name = free(docs, "_id")
+    held = stage(found.filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small(held, 16), docs.doc_id == F.col(name), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

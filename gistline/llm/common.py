@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gistline.sources.staging import new_folder, stage
 
-__all__ = ["stage", "new_folder", "table", "slices", "number_rows", "small", "batch", "TEXT_BYTES", "BROADCAST_BYTES"]
+__all__ = ["stage", "new_folder", "table", "slices", "number_rows", "small", "free", "batch", "TEXT_BYTES", "BROADCAST_BYTES"]
 
 TEXT_BYTES = 4 << 20  #: Text that one step of a Python task handles at once; a longer text comes alone.
 BROADCAST_BYTES = 32 << 20  #: Tables up to this size may be copied to every executor.
@@ -93,6 +93,13 @@ def number_rows(df: DataFrame, by: list[str], key: list[str], name: str, buckets
         .drop("_bucket", "_row", "_offset", "_at", *[f"_by_{c}" for c in by]))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A staged table, marked for broadcast only if its counted rows fit; else it joins by shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

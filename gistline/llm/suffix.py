@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as ST
 
-from gistline.llm.common import batch, ship, slices, small, stage
+from gistline.llm.common import batch, free, ship, slices, small, stage
 from gistline.llm.words import BYTE, mix, powers
 
 LENGTH = 400
@@ -433,12 +433,12 @@ def union_ranges(ranges: np.ndarray) -> np.ndarray:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def removal_ranges(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and the columns ``keep`` of ``docs`` with ``ranges``: starts of removed strings, null where there are none."""
+def removal_ranges(docs: DataFrame, length: int = LENGTH, name: str = "ranges") -> DataFrame:
+    """``docs`` with a column ``name``: first and last starts of removed strings, null where there are none."""
     ship(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long"), "text", *keep).withColumn("_tid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    all_rows, named = named, named.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_tid").alias("tid"))
-    long_ones = named.filter(F.octet_length("text") >= length)
+    mark = free(docs, "_tid")
+    docs = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    long_ones = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(mark).alias("tid")).filter(F.octet_length("text") >= length)
     ids = stage(long_ones.select("tid", "doc_id", F.octet_length("text").cast("long").alias("n")))
     equal = stage(ids.groupBy("tid").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("first"), F.max("n").alias("n")).filter("many > 1"))
     extra = ids.join(equal.select("tid", "first"), "tid").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(
@@ -447,9 +447,9 @@ def removal_ranges(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     texts = long_ones.join(extra, (long_ones.tid == extra["_tid"]) & long_ones.doc_id.eqNullSafe(extra["_id"]), "left_anti").select("tid", "text")
     starts = repeated_starts(texts, length)
     whole = equal.select("tid", F.lit(0).cast("long").alias("lo"), (F.col("n") - length).alias("hi"))
-    ranges = stage(starts.join(equal.select("tid"), "tid", "left_anti").unionByName(whole).groupBy("tid").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    return all_rows.join(small(ranges.withColumnRenamed("tid", "_tid"), 200), "_tid", "left").drop("_tid")
+    ranges = stage(starts.join(equal.select("tid"), "tid", "left_anti").unionByName(whole).groupBy(F.col("tid").alias(mark)).agg(
+        F.collect_list(F.struct("lo", "hi")).alias(name)))
+    return docs.join(small(ranges, 200), mark, "left").drop(mark)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -475,7 +475,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             out["doc_id"] = b.column("doc_id")
             yield batch(_RESULT, **out)
 
-    done = removal_ranges(docs, length).mapInArrow(
+    done = removal_ranges(docs.select(F.col("doc_id").cast("long"), "text"), length).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if with_text else done.drop("kept")
 
@@ -488,13 +488,13 @@ def without_passages(docs: DataFrame, length: int, min_words: int) -> DataFrame:
     dropped; ``n_chars``, where there is such a column, is renewed.
     """
     ship(docs.sparkSession)
-    found = removal_ranges(docs, length, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    plain = found.drop("ranges")
+    name = free(docs, "_ranges")
+    found = removal_ranges(docs, length, name).select(*docs.columns, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             texts, keep = [], []
-            for (i, raw), ranges in zip(_texts(b), b.column("ranges").to_pylist()):
+            for (i, raw), ranges in zip(_texts(b), b.column(name).to_pylist()):
                 old = b.column("text")[i].as_py()
                 if not ranges:
                     texts.append(old)
@@ -507,9 +507,9 @@ def without_passages(docs: DataFrame, length: int, min_words: int) -> DataFrame:
                 if kept.strip() or not gone:
                     texts.append(kept if gone else old)
                     keep.append(i)
-            part = b.drop_columns(["ranges"]).take(pa.array(keep, pa.int64()))
+            part = b.drop_columns([name]).take(pa.array(keep, pa.int64()))
             part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield part
 
-    done = found.mapInArrow(run, plain.schema).select(*docs.columns)
+    done = found.mapInArrow(run, docs.schema)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in done.columns else done

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gistline.llm.common import batch, ship, slices, small, stage
+from gistline.llm.common import batch, free, ship, slices, small, stage
 from gistline.llm.graph import components, find
 from gistline.llm.words import grams, mix, text_bytes, word_hashes, word_spans
 
@@ -341,8 +341,9 @@ def one_of_each(docs: DataFrame, size: int = WORDS, num: int = NUM, den: int = D
     """
     known = stage(near_components(docs, size, num, den))
     counted = known.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"))
-    odd = stage(counted.filter("n > 1 or least <> doc_id").select(F.col("doc_id").alias("_id"), (F.col("least") < F.col("doc_id")).alias("gone")))
+    name = free(docs, "_id")
+    odd = stage(counted.filter("n > 1 or least <> doc_id").select(F.col("doc_id").alias(name), (F.col("least") < F.col("doc_id")).alias("_gone")))
     ids = docs.doc_id.cast("long")
-    single = docs.join(small(odd.select("_id"), 16), ids == F.col("_id"), "left_anti")
-    several = small(odd.filter("not gone").select("_id"), 16)
-    return single.unionByName(docs.join(several, ids == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    single = docs.join(small(odd.select(name), 16), ids == F.col(name), "left_anti")
+    several = small(odd.filter("not _gone").select(name), 16)
+    return single.unionByName(docs.join(several, ids == F.col(name), "left_semi").dropDuplicates(["doc_id"]))
