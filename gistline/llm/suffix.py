@@ -9,7 +9,7 @@ first sample. Samples whose right context occurs nowhere else (a count over the
 be in a match and are dropped. Equal texts are one text here; all their bytes go.
 
 *Suffix array* of the phrase strings by difference cover: positions i with i mod 3 in {1, 2} are
-sampled, their triples are sorted and named, the strings of names are solved by recursion, and the
+sampled, their triples are sorted and named, the strings of names are solved by recursion (in one task once 65,536 symbols are left), and the
 suffixes at i mod 3 = 0 are merged in by two sorted counts. Adjacent suffixes are compared, and where
 they agree for ``length`` bytes, both are marked.
 
@@ -35,7 +35,8 @@ from gistline.llm.common import batch, free, ship, slices, small, stage
 from gistline.llm.words import BYTE, mix, powers
 
 LENGTH = 400
-BLOCK = 16
+BLOCK = 16  #: Starts in a block; fewer for short strings.
+FEW = 1 << 16  #: Strings with so many symbols in all end the recursion.
 HALO = 1 << 16  #: Suffixes that one task compares with their neighbours.
 _END = -(1 << 63)  #: Sorts before every symbol.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -208,6 +209,37 @@ def _child(r: int) -> Column:
     return F.xxhash64("sid", F.lit(r))
 
 
+def local_ranks(strings: list[np.ndarray]) -> list[np.ndarray]:
+    """Ranks of all suffixes of a few strings, by doubling the compared length."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    flat = np.concatenate([*strings, np.zeros(0, np.int64)])
+    n, step = len(flat), 1
+    _, rank = np.unique(flat, return_inverse=True)
+    while n and step < sizes.max() and rank.max() + 1 < n:
+        after = np.arange(n) + step
+        second = np.where(after < ends, rank[np.minimum(after, n - 1)] + 1, 0)
+        _, rank = np.unique(rank * (n + 1) + second, return_inverse=True)
+        step *= 2
+    place = np.empty(n, np.int64)
+    place[np.argsort(rank, kind="stable")] = np.arange(n)
+    return np.split(place, np.cumsum(sizes)[:-1]) if len(strings) else []
+
+
+_RANKS = pa.schema([("sid", pa.int64()), ("ranks", pa.list_(pa.int64()))])
+
+
+def _few_ranks(strings: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sids, syms = [], []
+        for b in batches:
+            sids += b.column("sid").to_pylist()
+            syms += _arrays(b, "syms")
+        yield batch(_RANKS, sid=sids, ranks=local_ranks(syms))
+
+    return strings.select("sid", "syms").coalesce(1).mapInArrow(run, "sid long, ranks array<long>")
+
+
 def difference_cover(strings: DataFrame) -> DataFrame:
     """Ranks of all suffixes of all strings.
 
@@ -215,6 +247,9 @@ def difference_cover(strings: DataFrame) -> DataFrame:
     smaller for smaller suffixes; a suffix that ends comes before its continuations; numbers of equal
     suffixes lie together, in any order.
     """
+    if (strings.agg(F.sum(F.size("syms"))).first()[0] or 0) <= FEW:
+        return stage(_few_ranks(strings))
+
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
@@ -229,7 +264,7 @@ def difference_cover(strings: DataFrame) -> DataFrame:
     if total:
         named = number_sorted(sampled.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), ["a", "b", "c"], "name")
         names = stage(sampled.join(named.drop("n"), ["a", "b", "c"]).select("sid", "i", "name"))
-        if names.agg(F.countDistinct("name")).first()[0] == total:
+        if named.count() == total:
             ranked = names.withColumn("r", F.col("name"))
         else:
             reduced = names.withColumn("r", F.col("i") % 3).withColumn("child", F.when(F.col("r") == 1, _child(1)).otherwise(_child(2)))
@@ -332,6 +367,8 @@ _STARTS = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "tid", "lo", "many")]
 def block_rows(texts: DataFrame, length: int) -> DataFrame:
     """Blocks of match starts before given samples (``samples``: pos, lo, hi): key of what all their
     matches share, and of all they cover together (null where that leaves the text)."""
+    block = max(1, min(BLOCK, length // BLOCK))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             chosen = b.column("samples").to_pylist()
@@ -339,14 +376,14 @@ def block_rows(texts: DataFrame, length: int) -> DataFrame:
             for i, raw in _texts(b):
                 h = Prefix(raw)
                 pos, lo, hi = (np.array([s[c] for s in chosen[i]], np.int64) for c in ("pos", "lo", "hi"))
-                j0, j1 = (pos - hi) // BLOCK, (pos - lo) // BLOCK
+                j0, j1 = (pos - hi) // block, (pos - lo) // block
                 some = hi >= lo
                 pos, lo, hi, j0, j1 = pos[some], lo[some], hi[some], j0[some], j1[some]
                 n = j1 - j0 + 1
                 at = np.repeat(np.arange(len(pos)), n)
                 j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + j0[at]
-                last = pos[at] - BLOCK * j  # the last start of the block
-                first = last - BLOCK + 1
+                last = pos[at] - block * j  # the last start of the block
+                first = last - block + 1
                 a, z = np.maximum(first, lo[at]), np.minimum(last, hi[at])
                 whole = (first >= 0) & (last + length <= len(raw))
                 fa, fz = np.where(whole, first, 0), np.where(whole, last + length, 0)
