@@ -13,9 +13,9 @@ from gistline.operators.digest import union
 HEAD_CHARS = 1024
 
 
-def head_of(c: Column | str) -> Column:
+def head_of(c: Column | str, chars: int = HEAD_CHARS) -> Column:
     """The first characters of a log, all that classification reads."""
-    return F.left(T.as_col(c), F.lit(HEAD_CHARS))
+    return F.left(T.as_col(c), F.lit(chars))
 
 
 def _says(c: Column, *words: str, flags: str = "") -> Column:
@@ -119,8 +119,8 @@ def kind_of(command: Column | str = "command", head: Column | str = "head") -> C
 
 
 def distill(lines: DataFrame) -> DataFrame:
-    """Digests of lines with a ``kind`` column; unknown kinds get the generic distiller."""
-    kind = F.col("kind")
+    """Digests of lines with a ``kind`` column; unknown and missing kinds get the generic distiller."""
+    kind = F.coalesce("kind", F.lit("generic"))
     parts = [fn(lines.filter(kind == name).drop("kind")) for name, fn in DISTILLERS.items() if name != "generic"]
     rest = lines.filter(~kind.isin(*[k for k in DISTILLERS if k != "generic"])).drop("kind")
     return union([*parts, DISTILLERS["generic"](rest)])

@@ -24,8 +24,11 @@ _SECTION = 1 << 44
 
 
 def log_sizes(lines: DataFrame) -> DataFrame:
-    """Lines and tokens of every log; one combined row per log and map task is shuffled."""
-    return lines.groupBy("log_id").agg(
+    """Lines and tokens of every log; one combined row per log and map task is shuffled.
+
+    Lines without a log id belong to no log, here as in ``scan``.
+    """
+    return lines.filter("log_id IS NOT NULL").groupBy("log_id").agg(
         F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars")
     ).select("log_id", "n_lines",
              T.tokens_of_length(F.col("chars") + F.col("n_lines") - 1).alias("original_tokens"))

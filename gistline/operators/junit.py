@@ -97,6 +97,11 @@ def junit_app_frames(fact_rows: DataFrame) -> DataFrame:
         F.col("n") - SHOWN_FRAMES, F.lit(0)).cast("bigint").alias("omitted"))
 
 
+def named_failures(totals: str):
+    """How many failed tests a totals line names; 0 where it names none."""
+    return F.coalesce(F.regexp_extract(totals, r"(\d+) failed", 1).try_cast("bigint"), F.lit(0))
+
+
 def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     zero = lambda n: F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
     s = lambda n: F.col(n).cast("string")
@@ -109,7 +114,8 @@ def stats(fact_rows: DataFrame, sizes: DataFrame) -> DataFrame:
         .when(F.col("failed") > 0, F.concat(F.lit("junit: "), s("failed"), F.lit(" failed, "), s("passed"), F.lit(" passed")))
         .when(F.col("passed") > 0, F.concat(F.lit("junit: "), s("passed"), F.lit(" passed"), skipped))
         .otherwise("junit: (no tests detected)")
-    ).withColumn("outcome", F.when(F.col("failed") > 0, "failed").otherwise("ok"))
+    ).withColumn("outcome", F.when(F.greatest(F.col("failed"), named_failures("totals")) > 0, "failed").when(
+        F.col("totals").isNull() & (F.col("passed") + F.col("skipped") == 0), "unknown").otherwise("ok"))
 
 
 def _with_facts(totals: DataFrame) -> DataFrame:

@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gistline.functions import text as T
 from gistline.operators.digest import log_sizes
-from gistline.operators.scan import first_k, scan
+from gistline.operators.scan import first_k, once, scan
 from gistline.sources.staging import stage
 
 # ASCII word bound; Java's own looks at Unicode letters.
 _BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-MAX_BYTES = 10 * 1024 * 1024
 
 
 def pattern_error(df: DataFrame, pattern: str) -> str | None:
@@ -94,9 +93,11 @@ def read_log_section(lines: DataFrame, pattern: str | None = None, context: int
     return cap_tokens(rows, max_tokens)
 
 
-def read_lines(files: DataFrame, lo: int, hi: int, max_tokens: int = 2000) -> DataFrame:
+def read_lines(files: DataFrame, lo: int, hi: int, max_tokens: int = 2000, max_bytes: int | None = None) -> DataFrame:
     """(file_key, seq, text): header and numbered lines lo..hi of each file under a budget.
 
+    Files over ``max_bytes``, if that is given, get an error row instead.
+
     A line costs at least one token, so at most ``max_tokens`` + 1 lines of a file are looked at
     and the window below stays small whatever the file's size.
     """
@@ -106,9 +107,11 @@ def read_lines(files: DataFrame, lo: int, hi: int, max_tokens: int = 2000) -> Da
     sized = sized.withColumn("last", F.least("n", F.lit(hi).cast("bigint")))
     s = lambda c: c.cast("string")
     reversed_ = F.concat(F.lit("[error] end_line ("), s(F.col("last")), F.lit(") < start_line ("), s(first), F.lit(")"))
-    mega = F.floor(F.col("size_bytes") / 1048576 + 0.5)
-    too_big = F.concat(F.lit("[error] "), "path", F.lit(" is "), s(mega), F.lit("MB (limit 10MB)"))
-    error = F.when(F.col("size_bytes") > MAX_BYTES, too_big).when(F.col("last") < first, reversed_)
+    error = F.when(F.col("last") < first, reversed_)
+    if max_bytes is not None:
+        mega = F.floor(F.col("size_bytes") / 1048576 + 0.5)
+        too_big = F.concat(F.lit("[error] "), "path", F.lit(" is "), s(mega), F.lit(f"MB (limit {max_bytes >> 20}MB)"))
+        error = F.when(F.col("size_bytes") > max_bytes, too_big).otherwise(error)
     header = F.concat(F.lit("File: "), "path", F.lit("\nLines "), s(first), F.lit("-"), s(F.col("last")),
                       F.lit(" of "), s(F.col("n")), F.lit("\n"))
     sized = sized.withColumn("error", error).withColumn("header", header)
@@ -133,22 +136,29 @@ def read_lines(files: DataFrame, lo: int, hi: int, max_tokens: int = 2000) -> Da
     return heads.unionByName(kept).unionByName(errors)
 
 
-def find_references(lines: DataFrame, identifier: str, limit: int = 50) -> DataFrame:
-    """The first lines of each text that hold the identifier as a word; case counts."""
+def find_references(lines: DataFrame, identifier: str, limit: int | None = None) -> DataFrame:
+    """The lines of each text that hold the identifier as a word; case counts.
+
+    ``total`` is how many there are and ``capped`` whether ``limit`` left some out.
+    """
     pattern = _BOUND + T.regex_escape(identifier) + _BOUND
-    found = lines.filter(F.col("line").rlike(pattern))
-    return first_k(found.select("log_id", "line_no", "line"), limit, ["log_id"], ["line_no"])
+    found = once(lines, "hit", F.col("line").rlike(pattern)).filter("hit").select("log_id", "line_no", "line")
+    if limit is None:
+        counted = scan(found, running={"seq": F.lit(1)}, total={"total": F.lit(1)})
+        return counted.select("log_id", "line_no", "line", "seq", "total", F.lit(False).alias("capped"))
+    totals = found.groupBy("log_id").agg(F.count("*").alias("total"))
+    first = first_k(found, limit, ["log_id"], ["line_no"])
+    return first.join(totals, "log_id").select("log_id", "line_no", "line", "seq", "total", (F.col("total") > limit).alias("capped"))
 
 
-def reference_context(lines: DataFrame, identifier: str, context: int = 2, limit: int = 50) -> DataFrame:
+def reference_context(lines: DataFrame, identifier: str, context: int = 2, limit: int | None = None) -> DataFrame:
     """(log_id, seq, line_no, part, text): the lines around each hit. Bands of neighbouring hits
     repeat their common lines; ``---`` (part 0) stands before a band that does not touch the last."""
     at = F.col("line_no")
-    hits = stage(find_references(lines, identifier, limit).select("log_id", "seq", "line_no"))
-    # At most ``limit`` hits per log, so this window is small.
-    before = F.lag(at).over(Window.partitionBy("log_id").orderBy("seq"))
+    found = find_references(lines, identifier, limit).select("log_id", "seq", "line_no")
+    hits = stage(scan(found, before={"last": at}))
     start = F.greatest(F.lit(1).cast("bigint"), at - context)
-    bands = hits.select("log_id", "seq", at.alias("hit"), start.alias("start"), before.alias("last")).select(
+    bands = hits.select("log_id", "seq", at.alias("hit"), start.alias("start"), "last").select(
         "log_id", "seq", "hit", "start",
         (F.col("last").isNull() | (F.col("start") > F.col("last") + context + 1)).alias("apart"),
         F.explode(F.sequence(F.col("start"), F.col("hit") + context)).alias("line_no"))

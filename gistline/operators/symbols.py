@@ -42,28 +42,35 @@ def flatten_symbols(symbols: DataFrame) -> DataFrame:
     return in_preorder(symbols).select("file_id", "seq", "depth", "qualified_name", "kind", "line_lo", "line_hi")
 
 
-def symbol_paths(symbols: DataFrame, max_depth: int = 64) -> DataFrame:
+def symbol_paths(symbols: DataFrame) -> DataFrame:
     """Qualified names and depths rebuilt from names and parents, one join per level of nesting.
 
-    The loop is over levels, not rows; each level is written, so that plans do not grow.
+    The loop is over levels, not rows, and ends with the deepest; each level is written, so that plans
+    do not grow. A symbol whose parent is not in the table stands as a root. Symbols that are their
+    own ancestors have no root to start from and come out with a null path.
     """
-    base = symbols.select("file_id", "name", F.col("qualified_name").alias("declared"), "parent_qualified_name")
-    level = stage(base.filter("parent_qualified_name IS NULL").select(
+    base = stage(symbols.select("file_id", "name", F.col("qualified_name").alias("declared"), "parent_qualified_name"))
+    known = base.select("file_id", F.col("declared").alias("parent_qualified_name")).distinct()
+    orphans = base.filter("parent_qualified_name IS NOT NULL").join(known, ["file_id", "parent_qualified_name"], "left_anti")
+    roots = base.filter("parent_qualified_name IS NULL").unionByName(orphans)
+    level = stage(roots.select(
         "file_id", "declared", F.col("name").alias("path"), F.lit(0).cast("bigint").alias("depth")))
-    levels = [level]
-    for _ in range(max_depth):
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
         parents = level.select("file_id", F.col("declared").alias("parent_qualified_name"),
                                F.col("path").alias("parent_path"), "depth").distinct()
         level = stage(base.join(parents, ["file_id", "parent_qualified_name"]).select(
             "file_id", "declared", F.concat_ws(".", "parent_path", "name").alias("path"),
             (F.col("depth") + 1).alias("depth")))
-        if level.isEmpty():
-            break
-        levels.append(level)
+    if not levels:
+        levels = [level]
     out = levels[0]
     for part in levels[1:]:
         out = out.unionByName(part)
-    return out.select("file_id", "path", "depth")
+    cyclic = base.join(out.select("file_id", "declared").distinct(), ["file_id", "declared"], "left_anti")
+    return out.select("file_id", "path", "depth").unionByName(cyclic.select(
+        "file_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("depth")))
 
 
 def _label(name: str, indent: Column, modifiers: bool) -> Column:
@@ -148,14 +155,14 @@ def enclosing_symbol(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     spread = with_depth(symbols).select(
         "file_id", "qualified_name", "depth", "line_lo", "line_hi",
         F.explode(F.sequence(bucket("line_lo"), bucket("line_hi"))).alias("bucket"))
-    h = hits.withColumn("bucket", bucket("line_no"))
+    # Places are looked up once each and joined back, so that equal hits stay as many as they are.
+    h = hits.select("file_id", "line_no").distinct().withColumn("bucket", bucket("line_no"))
     on = [h["file_id"] == spread["file_id"], h["bucket"] == spread["bucket"],
           h["line_no"] >= spread["line_lo"], h["line_no"] <= spread["line_hi"]]
     order = F.struct((F.col("line_hi") - F.col("line_lo")).alias("span"), "line_lo", "depth", "qualified_name")
-    around = h.join(spread, on, "left").select(
-        *[h[c] for c in hits.columns], F.when(F.col("qualified_name").isNotNull(), order).alias("s"))
-    return around.groupBy(*hits.columns).agg(F.min("s").alias("s")).select(
-        *hits.columns, F.col("s.qualified_name").alias("qualified_name"))
+    innermost = h.join(spread, on).groupBy(h["file_id"], h["line_no"]).agg(F.min(order).alias("s")).select(
+        "file_id", "line_no", F.col("s.qualified_name").alias("qualified_name"))
+    return hits.join(innermost, ["file_id", "line_no"], "left").select(*hits.columns, "qualified_name")
 
 
 def outline(symbols: DataFrame, cap: int = OUTLINE_CAP) -> DataFrame:

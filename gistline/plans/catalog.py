@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gistline.functions import text as T
 from gistline.operators import (
     classify as C, digest as D, generic, gradle, jest, junit, lexical, npm, pytest, retrieve as R, symbols as S)
-from gistline.plans import carriers as V
+from gistline.plans import carriers as V, jobs
 from gistline.sources import code, store
 from gistline.sources.staging import new_folder, stage
 from gistline.streaming import feeds
@@ -118,6 +118,23 @@ def distill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         view(spark, sf_dir).withColumn("kind", F.lit(kind)) for kind, view in _BY_KIND.items()]))
 
 
+_COMMANDS = {"gradle": "./gradlew build", "npm": "npm install", "jest": "npx jest", "pytest": "pytest -q",
+             "junit": "./gradlew test", "generic": "make all"}
+
+
+@query
+def distill_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over runs of all kinds, each log as one text."""
+    logs = D.union([
+        view(spark, sf_dir).groupBy("log_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("stdout"))
+        .select(F.concat(F.lit(f"{kind}:"), F.col("log_id").cast("string")).alias("run_id"), F.lit(_COMMANDS[kind]).alias("command"), "stdout")
+        for kind, view in _BY_KIND.items()])
+    done = jobs.distill_runs(logs.withColumns({
+        "stderr": F.lit(""), "exit_code": F.lit(0), "timed_out": F.lit(False), "duration_ms": F.lit(1).cast("bigint")}))
+    return done.digests.join(done.logs.select("log_id", "run_id"), "log_id").select(
+        "run_id", "kind", "part_no", "summary", "body", "original_tokens", "outcome")
+
+
 @query
 def format_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.format_response(gradle.digest(V.build_lines(spark, sf_dir)), V.runs(spark, sf_dir))

@@ -25,12 +25,17 @@ class DistilledRuns:
 
 
 def distill_runs(runs: DataFrame) -> DistilledRuns:
-    """Captured runs (run_id, command, stdout, stderr, exit_code, timed_out, duration_ms, ...)."""
+    """Captured runs (run_id, command, stdout, stderr, exit_code, timed_out, duration_ms, ...).
+
+    The runs are read once: classified, named and written by kind. Each distiller reads its own
+    kind's folder, and the digests are written before the responses are made of them.
+    """
     text = T.combine_streams(T.strip_ansi("stdout"), T.strip_ansi("stderr"))
     logs = runs.withColumn("text", text)
     logs = logs.withColumn("kind", classify.kind_of("command", classify.head_of("text")))
     logs = logs.withColumn("log_id", store.log_id("kind", "run_id", "text")).drop("stdout", "stderr")
-    digests = classify.distill(explode_lines(logs, "text", "log_id", "kind"))
+    logs = stage(logs, "kind")
+    digests = stage(classify.distill(explode_lines(logs, "text", "log_id", "kind")))
     return DistilledRuns(logs, digests, D.format_response(digests, logs))
 
 

@@ -395,7 +395,7 @@ fails AS (SELECT log_id, line_no AS block, {_x('t', P.JUNIT_RESULT, 1)} AS fqcn,
 {_sizes('junit_lines').replace('sizes AS', 'usizes AS')},
 ustats AS (SELECT s.original_tokens, cnt.*, CASE WHEN totals IS NOT NULL THEN 'junit: ' || totals WHEN failed > 0 THEN 'junit: ' || failed || ' failed, ' || passed || ' passed'
      WHEN passed > 0 THEN 'junit: ' || passed || ' passed' || CASE WHEN skipped > 0 THEN ', ' || skipped || ' skipped' ELSE '' END
-     ELSE 'junit: (no tests detected)' END AS summary, CASE WHEN failed > 0 THEN 'failed' ELSE 'ok' END AS outcome
+     ELSE 'junit: (no tests detected)' END AS summary, CASE WHEN failed > 0 OR coalesce(try_cast(regexp_extract(totals, '(\d+) failed', 1) AS BIGINT), 0) > 0 THEN 'failed' ELSE 'ok' END AS outcome
    FROM usizes s JOIN cnt USING (log_id) WHERE totals IS NOT NULL OR passed + failed + skipped > 0),
 urows AS (SELECT log_id, 0 AS section, 0 AS seq, totals AS text FROM ustats WHERE totals IS NOT NULL
    UNION ALL SELECT log_id, 1, 0, chr(10) || 'Failed tests (' || failed || '):' FROM ustats WHERE failed > 0
@@ -415,7 +415,11 @@ def _junit(select: str) -> str:
 ORACLE["junit_results"] = _junit("SELECT f.log_id, f.line_no, " + _x("t", P.JUNIT_RESULT, 1) + " AS fqcn, "
                                  + _x("t", P.JUNIT_RESULT, 2) + " AS test, c AS status FROM uc f WHERE c IN ('PASSED', 'FAILED', 'SKIPPED')")
 ORACLE["junit_counts"] = _junit("SELECT log_id, passed, failed, skipped FROM cnt WHERE passed + failed + skipped > 0")
-ORACLE["junit_failures"] = _junit("""SELECT f.log_id, f.block, fqcn, test, m.seq, m.text FROM fails f
+# Only what it needs, with each step computed once.
+_JUNIT_BLOCKS = _JUNIT[:_JUNIT.index("uf AS (")] + _JUNIT[_JUNIT.index("fails AS ("):_JUNIT.index("usizes AS (")].rstrip().rstrip(",") + "\n"
+for _step in ("uc", "us", "ul"):
+    _JUNIT_BLOCKS = _JUNIT_BLOCKS.replace(f"{_step} AS (", f"{_step} AS MATERIALIZED (", 1)
+ORACLE["junit_failures"] = _with("junit_lines", _JUNIT_BLOCKS, select="""SELECT f.log_id, f.block, fqcn, test, m.seq, m.text FROM fails f
   LEFT JOIN (SELECT * FROM um WHERE seq <= 4) m ON m.log_id = f.log_id AND m.block = f.block""")
 ORACLE["junit_app_frames"] = _junit("SELECT log_id, block, seq, text, greatest(n - 5, 0) AS omitted FROM uf WHERE seq <= 5")
 ORACLE["junit_digest"] = _junit(_digest("junit", "ustats", "urows"))
@@ -425,6 +429,10 @@ ORACLE["junit_fallback"] = ORACLE["gradle_digest"]
 ORACLE["distill_all"] = "\nUNION ALL\n".join(
     f"SELECT {_COLS} FROM ({ORACLE[f'{k}_digest']})" for k in ("gradle", "npm", "jest", "pytest", "junit", "generic"))
 
+ORACLE["distill_runs"] = "\nUNION ALL\n".join(
+    f"SELECT '{k}:' || log_id AS run_id, kind, part_no, summary, body, original_tokens, outcome FROM ({ORACLE[f'{k}_digest']})"
+    for k in ("gradle", "npm", "jest", "pytest", "junit", "generic"))
+
 _LINE_TOKENS = "SELECT log_id, kind, original_tokens, (length(body) + 3) // 4 AS compressed_tokens FROM"
 ORACLE["reduction_report"] = f"""
   WITH acc AS (SELECT a.*, CASE WHEN timed_out THEN 'TIMED OUT' WHEN exit_code = 0 THEN 'OK' ELSE 'EXIT ' || exit_code END AS status
@@ -464,11 +472,12 @@ ORACLE["read_lines"] = _with("source_files", select="""
   UNION ALL SELECT file_key, 1, '[error] end_line (' || last || ') < start_line (2)' FROM hd WHERE last < 2""".replace("\n  , f AS", ",\nf AS", 1))
 _REFS = r"""
 fr AS (SELECT * FROM (SELECT log_id, line_no, line, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS seq
-   FROM log_lines WHERE regexp_matches(line, '\b@word\b')) WHERE seq <= 50),
+   FROM log_lines WHERE regexp_matches(line, '\b@word\b'))),
 bands AS (SELECT log_id, seq, line_no AS hit, greatest(1, line_no - 2) AS a, line_no + 2 AS z, lag(line_no + 2) OVER (PARTITION BY log_id ORDER BY seq) AS pz FROM fr)
 """
 WORD = "and"
-ORACLE["find_references"] = _with("log_lines", _REFS.replace("@word", WORD), select="SELECT log_id, line_no, line, seq FROM fr")
+ORACLE["find_references"] = _with("log_lines", _REFS.replace("@word", WORD), select="""
+  SELECT log_id, line_no, line, seq, count(*) OVER (PARTITION BY log_id) AS total, false AS capped FROM fr""")
 ORACLE["reference_context"] = _with("log_lines", _REFS.replace("@word", WORD), select="""
   SELECT l.log_id, seq, l.line_no, 1 AS part, CASE WHEN l.line_no = hit THEN '► ' ELSE '  ' END || l.line_no || ': ' || line AS text
   FROM bands b JOIN log_lines l ON l.log_id = b.log_id AND l.line_no BETWEEN a AND z

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ _FOLDER = "spark.checkpoint.dir"
 
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -34,19 +37,41 @@ def staging_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{staging_folder(spark)}/staged/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/staged/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` written as a table and read back."""
+def stage(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as a table, partitioned by the columns ``by``, and read back."""
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside the block, when it ends.
+
+    For jobs that write their results inside the block: DataFrames that read such tables are of no
+    use after it.
+    """
+    known = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    first = len(known)
+    try:
+        yield
+    finally:
+        for path in known[first:]:
+            _delete(spark, path)
+        del known[first:]
+
+
 def drop_staged(spark: SparkSession) -> bool:
     """Delete this application's intermediate tables; call it when the results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        f"{staging_folder(spark)}/staged/{spark.sparkContext.applicationId}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, f"{staging_folder(spark)}/staged/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,4 +1,6 @@
+from gistline.operators import classify, junit
 from gistline.plans import jobs
+from gistline.sources import staging
 
 RUNS = "run_id string, command string, stdout string, stderr string, exit_code int, timed_out boolean, duration_ms bigint"
 
@@ -15,6 +17,45 @@ def test_runs_to_responses(spark):
     assert {r.log_id.split("_")[0] for r in done.logs.collect()} == {"gradle", "generic", "npm"}
 
 
+def test_runs_are_read_once(spark, tmp_path, monkeypatch):
+    """The runs table is scanned by one job, and neither digests nor responses read it again."""
+    path = str(tmp_path / "runs")
+    spark.createDataFrame([(str(i), c, "BUILD FAILED in 2s\nadded 1 package", "", 0, False, 1) for i, c in enumerate(["gradle", "npm", "x"])], RUNS).write.parquet(path)
+    plans = []
+    whole = staging.stage
+
+    def watched(df, *by):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + str(df.inputFiles()))
+        return whole(df, *by)
+
+    for module in (jobs, *[m for m in (classify.gradle, classify.npm, classify.jest, classify.pytest, classify.junit, classify.generic) if hasattr(m, "stage")]):
+        monkeypatch.setattr(module, "stage", watched)
+    done = jobs.distill_runs(spark.read.parquet(path))
+    assert sum(path in p for p in plans) == 1
+    assert not any(path in f for df in (done.logs, done.digests, done.responses) for f in df.inputFiles())
+    assert done.responses.count() == 3
+
+
+def test_missing_kinds_and_ids(spark):
+    lines = spark.createDataFrame([("a", None, 1, "oops error"), ("b", "zzz", 1, "x"), (None, "gradle", 1, "BUILD FAILED in 1s")],
+                                  "log_id string, kind string, line_no bigint, line string")
+    assert sorted((r.log_id, r.kind) for r in classify.distill(lines).collect()) == [("a", "generic"), ("b", "generic")]
+
+
+def test_outcome_of_totals_alone(lines_of):
+    lines = lines_of({"bad": ["5 tests completed, 2 failed"], "good": ["5 tests completed, 0 failed"]})
+    assert {r.log_id: r.outcome for r in junit.digest(lines).collect()} == {"bad": "failed", "good": "ok"}
+
+
+def test_staged_tables_go_with_their_block(spark, tmp_path):
+    import os
+
+    with staging.staged_tables(spark):
+        files = staging.stage(spark.range(3)).inputFiles()
+        assert all(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 def source(n):
     return "class A {\n" + "\n".join(f"    fun f{i}() {{\n        val x = {i}\n    }}" for i in range(n)) + "\n}\nfun other() = 1"
 

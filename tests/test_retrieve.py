@@ -56,7 +56,7 @@ def test_read_lines(spark):
         [(1, "/a", 9, "x\ny\nz"), (2, "/b", 9, "x"), (3, "/c", 11 * 2 ** 20, "x\ny"), (4, "/d", 9, "\n".join(["w" * 40] * 99))],
         "file_key int, path string, size_bytes bigint, source_text string")
     got = {}
-    for r in R.read_lines(files, 2, 90, 60).orderBy("file_key", "seq").collect():
+    for r in R.read_lines(files, 2, 90, 60, max_bytes=10 << 20).orderBy("file_key", "seq").collect():
         got.setdefault(r.file_key, []).append(r.text)
     assert got[1] == ["File: /a", "Lines 2-3 of 3", "", "2: y", "3: z"]
     assert got[2] == ["[error] end_line (1) < start_line (2)"]
@@ -65,10 +65,18 @@ def test_read_lines(spark):
                       "... [truncated at 60 tokens; use a narrower range]"]
 
 
+def test_large_files_are_read_unless_a_limit_is_set(spark):
+    files = spark.createDataFrame([(1, "/c", 11 << 20, "a\nb")], "file_key int, path string, size_bytes bigint, source_text string")
+    assert [r.text for r in R.read_lines(files, 1, 2).orderBy("seq").collect()][-2:] == ["1: a", "2: b"]
+
+
 def test_references(lines_of):
     lines = lines_of({"a": ["foo()", "food", "b", "c", "x.foo", "Foo", "éfoo", "foo foo"], "b": ["$foo$"] * 60})
     assert [r.line_no for r in R.find_references(lines, "foo").filter("log_id = 'a'").orderBy("line_no").collect()] == [1, 5, 7, 8]
-    assert R.find_references(lines, "foo").filter("log_id = 'b'").count() == 50
+    some = R.find_references(lines, "foo", limit=50).filter("log_id = 'b'").collect()
+    assert len(some) == 50 and {(r.total, r.capped) for r in some} == {(60, True)}
+    every = R.find_references(lines, "foo").filter("log_id = 'b'").collect()
+    assert sorted(r.seq for r in every) == list(range(1, 61)) and {(r.total, r.capped) for r in every} == {(60, False)}
     assert R.find_references(lines, "f.o").count() == 0
     got = texts(R.reference_context(lines.filter("log_id = 'a'"), "foo", 1), "seq", "line_no", "part")
     assert got == ["---", "► 1: foo()", "  2: food", "---", "  4: c", "► 5: x.foo", "  6: Foo", "  6: Foo", "► 7: éfoo", "  8: foo foo",

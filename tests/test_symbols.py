@@ -39,6 +39,18 @@ def test_paths_and_preorder(table):
     assert [r.qualified_name for r in S.flatten_symbols(table).filter("file_id = 1").orderBy("seq").collect()] == ["A", "A.f", "A.f.g", "A.x", "B"]
 
 
+def test_paths_of_orphans_and_cycles(spark):
+    rows = [(1, "A", "A", None), (1, "f", "Gone.f", "Gone"), (1, "g", "Gone.f.g", "Gone.f"), (1, "p", "p", "q"), (1, "q", "q", "p")]
+    symbols = spark.createDataFrame(rows, "file_id int, name string, qualified_name string, parent_qualified_name string")
+    got = sorted(((r.path or "", r.depth) for r in S.symbol_paths(symbols).collect()), key=str)
+    assert got == sorted([("A", 0), ("f", 0), ("f.g", 1), ("", None), ("", None)], key=str)
+
+
+def test_equal_hits_stay_apart(spark, table):
+    hits = spark.createDataFrame([(1, 3), (1, 3), (1, 21)], "file_id int, line_no bigint")
+    assert sorted((r.line_no, r.qualified_name or "") for r in S.enclosing_symbol(hits, table).collect()) == [(3, "A.f.g"), (3, "A.f.g"), (21, "")]
+
+
 def test_read_symbols(spark, table):
     asked = spark.createDataFrame([(1, "f"), (1, "A.x"), (2, "f"), (2, "A"), (1, "A")], "file_id int, requested string")
     got = S.read_symbols(table, asked)
