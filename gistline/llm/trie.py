@@ -124,17 +124,21 @@ def deal_members(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, ", ".join(f"{f.name} {'int' if f.name == 'bucket' else 'binary'}" for f in _DEALT))
 
 
+_COUNTED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 _REPEATED = pa.schema([("set_id", pa.int64()), ("repeated", pa.int64())])
 
 
-def count_repeated(dealt: DataFrame) -> DataFrame:
-    """For each class, how many of its members other classes hold (a class seen by several tasks may get more)."""
-    def run(group: pa.Table) -> pa.Table:
-        def all_of(name: str, kind) -> np.ndarray:
-            return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+def count_repeated(dealt: DataFrame, parts: int) -> DataFrame:
+    """For each class, how many of its members other classes hold (a class seen by several tasks may get more).
+
+    A bucket's counts travel packed, by parts of the classes, and are added up there.
+    """
+    def all_of(group: pa.Table, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
-        owner = np.repeat(all_of("owners", np.int64), all_of("sizes", np.int32))
-        member, shared = all_of("members", np.uint32), np.unique(all_of("shared", np.uint32))
+    def run(group: pa.Table) -> pa.Table:
+        owner = np.repeat(all_of(group, "owners", np.int64), all_of(group, "sizes", np.int32))
+        member, shared = all_of(group, "members", np.uint32), np.unique(all_of(group, "shared", np.uint32))
         order = np.lexsort((owner, member))
         owner, member = owner[order], member[order]
         new = np.ones(len(member), bool)
@@ -146,9 +150,20 @@ def count_repeated(dealt: DataFrame) -> DataFrame:
         if len(shared):
             hit |= shared[np.minimum(np.searchsorted(shared, member), len(shared) - 1)] == member
         ids, counts = np.unique(owner[hit], return_counts=True)
-        return pa.table([np.concatenate([ids, all_of("local", np.int64)]), np.concatenate([counts, all_of("counts", np.int64)])], schema=_REPEATED)
+        ids, counts = np.concatenate([ids, all_of(group, "local", np.int64)]), np.concatenate([counts, all_of(group, "counts", np.int64)])
+        part = (ids.view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, order[cuts[p]:cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
+        return pa.table([pa.array([p for p, _ in rows], pa.int32()), pa.array([ids[o].tobytes() for _, o in rows], pa.binary()),
+                         pa.array([counts[o].astype(np.int32).tobytes() for _, o in rows], pa.binary())], schema=_COUNTED)
+
+    def add(group: pa.Table) -> pa.Table:
+        ids, back = np.unique(all_of(group, "ids", np.int64), return_inverse=True)
+        sums = np.bincount(back, all_of(group, "counts", np.int32), len(ids)).astype(np.int64)
+        return pa.table([ids, sums], schema=_REPEATED)
 
-    return dealt.groupBy("bucket").applyInArrow(run, "set_id long, repeated long").groupBy("set_id").agg(F.sum("repeated").alias("repeated"))
+    return dealt.groupBy("bucket").applyInArrow(run, "part int, ids binary, counts binary").groupBy("part").applyInArrow(add, "set_id long, repeated long")
 
 
 _MEMBERS = pa.schema([("set_id", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
@@ -270,7 +285,8 @@ def near_components(docs: DataFrame, size: int = WORDS, num: int = NUM, den: int
     classes = stage(sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
 
     members = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
-    repeated = count_repeated(deal_members(docs, size, max(1, -(-members // BUCKET_MEMBERS))))
+    buckets = max(1, -(-members // BUCKET_MEMBERS))
+    repeated = count_repeated(deal_members(docs, size, buckets), max(1, buckets // 4))
     alive = stage(classes.join(repeated, "set_id").filter(F.col("repeated") * den >= F.col("n") * num).select("set_id", "doc_id"))
     wanted = small(alive.withColumnRenamed("doc_id", "_id"), 16)
     held = stage(members_of(docs.join(wanted, docs.doc_id.eqNullSafe(wanted["_id"])), size))
