@@ -107,7 +107,11 @@ class Model:
     def scores(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
         starts, stops, first = word_spans(raw, offsets)
         best, _ = self.pooled(self.rows(features(raw, starts, stops)), first, table)
-        return 1 / (1 + np.exp(-(best @ self.weights + self.bias).astype(np.float64)))
+        return self.logistic(best)
+
+    def logistic(self, best: np.ndarray) -> np.ndarray:
+        # Summed row by row, so that a text's score does not depend on the texts beside it.
+        return 1 / (1 + np.exp(-((best.astype(np.float64) * self.weights).sum(axis=1) + self.bias)))
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -166,7 +170,7 @@ def _all_scores(model: Model, rows: np.ndarray, first: np.ndarray, step: int = 5
     for a in range(0, len(first) - 1, step):
         f = first[a:a + step + 1]
         best, _ = model.pooled(rows[f[0]:f[-1]], f - f[0], table)
-        out.append(1 / (1 + np.exp(-(best @ model.weights + model.bias).astype(np.float64))))
+        out.append(model.logistic(best))
     return np.concatenate(out)
 
 
