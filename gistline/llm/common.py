@@ -100,6 +100,7 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A staged table, marked for broadcast only if its counted rows fit; else it joins by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged table, marked for broadcast only if its rows, of ``row_bytes`` each, fit; else it joins by shuffle."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= limit else df

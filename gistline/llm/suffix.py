@@ -9,7 +9,8 @@ first sample. Samples whose right context occurs nowhere else (a count over the
 be in a match and are dropped. Equal texts are one text here; all their bytes go.
 
 *Suffix array* of the phrase strings by difference cover: positions i with i mod 3 in {1, 2} are
-sampled, their triples are sorted and named, the strings of names are solved by recursion (in one task once 65,536 symbols are left), and the
+sampled, their triples are sorted and named, the strings of names are solved by recursion until every name that is shared
+covers ``length`` bytes (the last 2^18 symbols are ranked by one task), and the
 suffixes at i mod 3 = 0 are merged in by two sorted counts. Adjacent suffixes are compared, and where
 they agree for ``length`` bytes, both are marked.
 
@@ -36,7 +37,7 @@ from gistline.llm.words import BYTE, mix, powers
 
 LENGTH = 400
 BLOCK = 16  #: Starts in a block; fewer for short strings.
-FEW = 1 << 16  #: Strings with so many symbols in all end the recursion.
+FEW = 1 << 18  #: Strings with so many symbols in all end the recursion.
 HALO = 1 << 16  #: Suffixes that one task compares with their neighbours.
 _END = -(1 << 63)  #: Sorts before every symbol.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -66,46 +67,50 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """For each run of ``w`` hashes the place of the least, the last of equals."""
-    if len(h) < w:
+    """For each run of ``w`` hashes the place of the least, the last of equals; hashes count by their top bits.
+
+    Minima from the beginning and from the end of blocks of ``w`` give those of all windows.
+    """
+    n = len(h)
+    if n < w:
         return np.zeros(0, np.int64)
-    at, v, have = np.arange(len(h)), h, 1
-    while have < w:
-        step = min(have, w - have)
-        right = v[step:] <= v[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        v = np.where(right, v[step:], v[:-step])
-        have += step
-    return at
+    bits = np.uint64(max(24, n.bit_length()))  # the same for all but texts over 16 MB, so that equal strings agree
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    key = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
+    key[:n] = (h & ~mask) | (mask - np.arange(n, dtype=np.uint64))
+    blocks = key.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(back[:n - w + 1], ahead[w - 1:n])
+    return (mask - (least & mask)).astype(np.int64)
 
 
 def samples(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sample positions, and the first and last window start of each that can begin a match."""
     gram, w = shape(length)
-    at = window_minima(gram_hashes(raw, gram), w)
-    pos, lo, counts = np.unique(at, return_index=True, return_counts=True)
-    hi = np.minimum(lo + counts - 1, len(raw) - length)
-    return pos, lo, hi
+    at = window_minima(gram_hashes(raw, gram), w)  # never goes back
+    lo = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    hi = np.minimum(np.append(lo[1:], len(at)) - 1, len(raw) - length)
+    return at[lo], lo, hi
 
 
 class Prefix:
     """Hashes of any substring, by two polynomials, from sums over the text."""
 
     def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        self.sums, self.inverse = [], []
-        with np.errstate(over="ignore"):
-            for k, base in enumerate(_BASES):
-                up, down = _power_table(base, n + 1), _power_table(pow(base, -1, 1 << 64), n + 1)
-                value = BYTE[(raw.astype(np.int64) + 101 * k) % 256] * up[:n]
-                self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)]))
-                self.inverse.append(down)
+        self.raw, self.sums = raw, {}
 
     def of(self, a: np.ndarray, z: np.ndarray, k: int = 0) -> np.ndarray:
+        n = len(self.raw)
         with np.errstate(over="ignore"):
-            return mix((self.sums[k][z] - self.sums[k][a]) * self.inverse[k][a] + (z - a).astype(np.uint64) * BYTE[3]).view(np.int64)
+            if k not in self.sums:
+                value = _BYTES[k][self.raw] * _power_table(_BASES[k], n + 1)[:n]
+                self.sums[k] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+            down = _power_table(pow(_BASES[k], -1, 1 << 64), n + 1)
+            return mix((self.sums[k][z] - self.sums[k][a]) * down[a] + (z - a).astype(np.uint64) * BYTE[3]).view(np.int64)
 
 
+_BYTES = [BYTE, np.roll(BYTE, 101)]
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -159,25 +164,28 @@ def sample_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, "tid long, core long, symbol long, idx int, pos int, size int, lo int, hi int")
 
 
-def number_sorted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def number_sorted(df: DataFrame, keys: list[str], name: str, weight: str | None = None) -> DataFrame:
     """``df`` written in the order of ``keys``, each row with its place in it as ``name``.
 
-    Range partitions are numbered each; their row counts, one row per partition, make the offsets.
+    With ``weight``, the place is the sum of the weights before the row. Range partitions are numbered
+    each; their row counts, one row per partition, make the offsets.
     """
     fields = df.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
+            own = b.column(weight).to_numpy() if weight else np.ones(b.num_rows, np.int64)
+            upto = at + np.cumsum(own)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(np.arange(at, at + b.num_rows), pa.int64())],
+                [*b.columns, pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(upto - own, pa.int64())],
                 names=[*b.schema.names, "_part", "_at"])
-            at += b.num_rows
+            at = upto[-1] if len(upto) else at
 
     schema = ST.StructType([*fields, ST.StructField("_part", ST.IntegerType()), ST.StructField("_at", ST.LongType())])
     rows = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+    offsets = rows.groupBy("_part").agg(F.sum(weight if weight else F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_offset")).drop("_part", "_at", "_offset")
 
@@ -201,7 +209,8 @@ def _rows(schema: pa.Schema, parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, schema=schema)
 
 
-_TRIPLES = pa.schema([(c, pa.int64()) for c in ("sid", "i", "a", "b", "c")])
+_TRIPLES = pa.schema([(c, pa.int64()) for c in ("sid", "i", "a", "b", "c", "bytes")])
+_WHOLE = 1 << 40  #: Bytes of what reaches the end of its string.
 _KEYED = pa.schema([(c, pa.int64()) for c in ("sid", "i", "kind", "c", "c2", "r1", "r2", "own")])
 
 
@@ -240,12 +249,12 @@ def _few_ranks(strings: DataFrame) -> DataFrame:
     return strings.select("sid", "syms").coalesce(1).mapInArrow(run, "sid long, ranks array<long>")
 
 
-def difference_cover(strings: DataFrame) -> DataFrame:
-    """Ranks of all suffixes of all strings.
+def difference_cover(strings: DataFrame, length: int = _WHOLE) -> DataFrame:
+    """Ranks of all suffixes of all strings, as far as ``length`` bytes tell them apart.
 
-    In: sid, syms (array of symbols above the least long). Out: sid, ranks: for each suffix a number,
-    smaller for smaller suffixes; a suffix that ends comes before its continuations; numbers of equal
-    suffixes lie together, in any order.
+    In: sid, syms (array of symbols above the least long), sizes (bytes of each). Out: sid, ranks: for
+    each suffix a number, smaller for smaller suffixes; a suffix that ends comes before its
+    continuations; numbers of suffixes that agree so far lie together, in any order.
     """
     if (strings.agg(F.sum(F.size("syms"))).first()[0] or 0) <= FEW:
         return stage(_few_ranks(strings))
@@ -253,23 +262,25 @@ def difference_cover(strings: DataFrame) -> DataFrame:
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
-            for sid, s in zip(b.column("sid").to_pylist(), _arrays(b, "syms")):
+            for sid, s, sizes in zip(b.column("sid").to_pylist(), _arrays(b, "syms"), _arrays(b, "sizes")):
                 i = np.arange(len(s))
                 i = i[i % 3 > 0]
-                parts.append((sid, i, s[i], _at(s, i + 1, _END), _at(s, i + 2, _END)))
+                size = np.minimum(sizes[i] + _at(sizes, i + 1, _WHOLE) + _at(sizes, i + 2, _WHOLE), _WHOLE)
+                parts.append((sid, i, s[i], _at(s, i + 1, _END), _at(s, i + 2, _END), size))
             yield _rows(_TRIPLES, parts)
 
-    sampled = stage(strings.mapInArrow(triples, "sid long, i long, a long, b long, c long"))
-    total = sampled.count()
-    if total:
-        named = number_sorted(sampled.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), ["a", "b", "c"], "name")
-        names = stage(sampled.join(named.drop("n"), ["a", "b", "c"]).select("sid", "i", "name"))
-        if named.count() == total:
+    sampled = stage(strings.mapInArrow(triples, "sid long, i long, a long, b long, c long, bytes long"))
+    if not sampled.isEmpty():
+        # A name is how many triples are less; equal triples share it.
+        named = number_sorted(sampled.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"), F.min("bytes").alias("bytes")), ["a", "b", "c"], "name", "n")
+        names = sampled.select("sid", "i", "a", "b", "c").join(named.drop("n"), ["a", "b", "c"]).select("sid", "i", "name", "bytes")
+        if named.filter((F.col("n") > 1) & (F.col("bytes") < length)).isEmpty():
             ranked = names.withColumn("r", F.col("name"))
         else:
-            reduced = names.withColumn("r", F.col("i") % 3).withColumn("child", F.when(F.col("r") == 1, _child(1)).otherwise(_child(2)))
-            listed = reduced.groupBy(F.col("child").alias("sid")).agg(F.sort_array(F.collect_list(F.struct("i", "name"))).alias("s")).select("sid", F.col("s.name").alias("syms"))
-            solved = difference_cover(stage(listed)).select(F.col("sid").alias("child"), F.posexplode("ranks").alias("q", "r"))
+            reduced = stage(names.withColumn("child", F.when(F.col("i") % 3 == 1, _child(1)).otherwise(_child(2))))
+            listed = reduced.groupBy(F.col("child").alias("sid")).agg(F.sort_array(F.collect_list(F.struct("i", "name", "bytes"))).alias("s")).select(
+                "sid", F.col("s.name").alias("syms"), F.col("s.bytes").alias("sizes"))
+            solved = difference_cover(stage(listed), length).select(F.col("sid").alias("child"), F.posexplode("ranks").alias("q", "r"))
             ranked = reduced.select("sid", "i", "child", F.floor(F.col("i") / 3).cast("int").alias("q")).join(solved, ["child", "q"])
         ranks = ranked.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("s")).select(
             "sid", F.col("s.i").alias("at"), F.col("s.r").alias("ranks"))
@@ -317,45 +328,51 @@ def _merge_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("zeros", F.col("inside") + F.col("offset")).withColumn("others", F.col("place") - F.col("zeros")))
 
 
-_SUFFIXES = pa.schema([("rank", pa.int64()), ("tid", pa.int64()), ("pos", pa.int64()), ("syms", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+_SUFFIXES = pa.schema([("rank", pa.int64()), ("tid", pa.int64()), ("pos", pa.int64()), ("syms", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 _AGREE = pa.schema([("tid", pa.int64()), ("pos", pa.int64()), ("same", pa.int64())])
 
 
 def agreements(strings: DataFrame, length: int) -> DataFrame:
     """For each sample, how many bytes its suffix has in common, in whole phrases, with a neighbour in
     the suffix array (two rows a sample at most; nothing in common gives no row)."""
-    ranks = difference_cover(strings.select("sid", "syms"))
+    ranks = difference_cover(strings.select("sid", "syms", "sizes"), length)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tids = b.column("tid").to_numpy()
             for k, (s, sizes, pos, r) in enumerate(zip(_arrays(b, "syms"), _arrays(b, "sizes"), _arrays(b, "pos"), _arrays(b, "ranks"))):
                 ends = np.cumsum(sizes)
-                stop = np.minimum(np.searchsorted(ends, ends - sizes + length, side="left") + 1, len(s))
+                n = np.minimum(np.searchsorted(ends, ends - sizes + length, side="left") + 1, len(s)) - np.arange(len(s))
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.arange(len(s)), n)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 yield batch(
                     _SUFFIXES, rank=r, tid=np.full(len(s), tids[k]), pos=pos.astype(np.int64),
-                    syms=[s[i:z] for i, z in enumerate(stop)], sizes=[sizes[i:z] for i, z in enumerate(stop)])
+                    syms=pa.ListArray.from_arrays(cuts, pa.array(s[at])), sizes=pa.ListArray.from_arrays(cuts, pa.array(sizes[at])))
 
-    schema = "rank long, tid long, pos long, syms array<long>, sizes array<int>"
+    schema = "rank long, tid long, pos long, syms array<long>, sizes array<long>"
     ordered = number_sorted(strings.join(ranks, "sid").mapInArrow(spread, schema), ["rank"], "g")
     block = (F.col("g") / HALO).cast("long")
     # The first suffix of a block is also the last of the one before.
     dealt = ordered.withColumn("block", F.explode(F.when((F.col("g") % HALO == 0) & (F.col("g") > 0), F.array(block, block - 1)).otherwise(F.array(block))))
 
     def compare(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("g")
-        tids, pos = rows.column("tid").to_numpy(), rows.column("pos").to_numpy()
-        syms, sizes = rows.column("syms").to_pylist(), rows.column("sizes").to_pylist()
-        out = []
-        for k in range(len(tids) - 1):
-            same = 0
-            for x, y, n in zip(syms[k], syms[k + 1], sizes[k]):
-                if x != y:
-                    break
-                same += n
-            if same:
-                out += [(tids[k], pos[k], same), (tids[k + 1], pos[k + 1], same)]
-        return pa.table([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], schema=_AGREE)
+        order = np.argsort(group.column("g").to_numpy(), kind="stable")
+        tids, pos = group.column("tid").to_numpy()[order], group.column("pos").to_numpy()[order]
+        lists, sizes = group.column("syms").combine_chunks(), group.column("sizes").combine_chunks().values.to_numpy()
+        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        begin, n = offsets[:-1][order], np.diff(offsets)[order]
+        a, b, both = begin[:-1], begin[1:], np.minimum(n[:-1], n[1:])
+        same = np.zeros(len(both), np.int64)
+        alive = np.arange(len(both))
+        for j in range(int(both.max()) if len(both) else 0):
+            alive = alive[both[alive] > j]
+            alive = alive[flat[a[alive] + j] == flat[b[alive] + j]]
+            if not len(alive):
+                break
+            same[alive] += sizes[a[alive] + j]
+        k = np.flatnonzero(same)
+        out = (np.concatenate([tids[k], tids[k + 1]]), np.concatenate([pos[k], pos[k + 1]]), np.concatenate([same[k], same[k]]))
+        return pa.table([pa.array(x, pa.int64()) for x in out], schema=_AGREE)
 
     return dealt.groupBy("block").applyInArrow(compare, "tid long, pos long, same long")
 
@@ -375,7 +392,7 @@ def block_rows(texts: DataFrame, length: int) -> DataFrame:
             tids = b.column("tid").to_numpy()
             for i, raw in _texts(b):
                 h = Prefix(raw)
-                pos, lo, hi = (np.array([s[c] for s in chosen[i]], np.int64) for c in ("pos", "lo", "hi"))
+                pos, lo, hi = np.frombuffer(chosen[i], np.int32).astype(np.int64).reshape(-1, 3).T
                 j0, j1 = (pos - hi) // block, (pos - lo) // block
                 some = hi >= lo
                 pos, lo, hi, j0, j1 = pos[some], lo[some], hi[some], j0[some], j1[some]
@@ -402,7 +419,7 @@ def start_rows(texts: DataFrame, length: int) -> DataFrame:
             tids = b.column("tid").to_numpy()
             for i, raw in _texts(b):
                 h = Prefix(raw)
-                lo, hi, many = (np.array([s[c] for s in chosen[i]], np.int64) for c in ("lo", "hi", "many"))
+                lo, hi, many = np.frombuffer(chosen[i], np.int32).astype(np.int64).reshape(-1, 3).T
                 n = hi - lo + 1
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 yield batch(_STARTS, w1=h.of(at, at + length), w2=h.of(at, at + length, 1), tid=np.full(len(at), tids[i]), lo=at, many=np.repeat(many, n))
@@ -419,7 +436,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = kept.withColumn("run", F.col("idx") - F.row_number().over(by_text))  # samples in a row share it
     strings = stage(
         runs.groupBy("tid", "run").agg(F.sort_array(F.collect_list(F.struct("idx", "symbol", "size", "pos"))).alias("s"))
-        .select(F.xxhash64("tid", "run").alias("sid"), "tid", F.col("s.symbol").alias("syms"), F.col("s.size").alias("sizes"), F.col("s.pos").alias("pos")))
+        .select(F.xxhash64("tid", "run").alias("sid"), "tid", F.col("s.symbol").alias("syms"), F.col("s.size").cast("array<bigint>").alias("sizes"), F.col("s.pos").alias("pos")))
     agree = stage(agreements(strings, length))
     marked = agree.filter(F.col("same") >= length).select("tid", F.col("pos").alias("lo"), (F.col("pos") + F.col("same") - length).alias("hi"))
 
@@ -439,9 +456,11 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     grouped = kept.groupBy("tid").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("own")).join(spans, "tid", "left")
     open_cores = stage(grouped.select("own", "marks").mapInArrow(open_ones, "core long").distinct())
-    wanted = stage(
-        kept.join(open_cores, "core").groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("samples"))).withColumnRenamed("tid", "_tid")
-    picked = lambda chosen: texts.join(small(chosen, 400), texts.tid == chosen["_tid"]).drop("_tid")
+    wanted = _per_text(kept.join(open_cores, "core"), "pos", "lo", "hi")
+
+    def picked(chosen: DataFrame) -> DataFrame:
+        return texts.join(small(chosen, F.octet_length("samples") + 64), texts.tid == chosen["_tid"]).drop("_tid")
+
     blocks = stage(block_rows(picked(wanted), length))
     spans_of = stage(blocks.groupBy("core", "s1", "s2").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("tid", "lo", "hi")).alias("one")))
     whole = blocks.join(spans_of.filter("many > 1 and s1 is not null").select("core", "s1", "s2"), ["core", "s1", "s2"]).select("tid", "lo", "hi")
@@ -449,13 +468,40 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # Of equal spans one stands for all; blocks at the end of a text stand for themselves.
     single = spans_of.filter("s1 is not null").join(mixed, "core").select("one.tid", "one.lo", "one.hi", "many")
     cut = blocks.filter("s1 is null").select("tid", "lo", "hi", F.lit(1).cast("long").alias("many"))
-    again = stage(single.unionByName(cut).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi", "many")).alias("samples"))).withColumnRenamed("tid", "_tid")
+    again = _per_text(single.unionByName(cut).withColumn("many", F.least("many", F.lit(2))), "lo", "hi", "many")
     starts = stage(start_rows(picked(again), length))
     twice = starts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = starts.filter("many = 1").join(twice, ["w1", "w2"]).select("tid", "lo", F.col("lo").alias("hi"))
     return stage(marked.unionByName(whole).unionByName(found))
 
 
+_PACKED = pa.schema([("_tid", pa.int64()), ("samples", pa.binary())])
+
+
+def _per_text(rows: DataFrame, *columns: str) -> DataFrame:
+    """(_tid, samples): the columns' numbers of all rows of a text, as packed 32-bit integers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [_arrays(b, c) for c in columns]
+            yield batch(_PACKED, _tid=b.column("tid"), samples=[np.stack(x, axis=1).astype(np.int32).tobytes() for x in zip(*cols)])
+
+    listed = rows.groupBy("tid").agg(F.collect_list(F.struct(*columns)).alias("s")).select("tid", *[F.col(f"s.{c}").alias(c) for c in columns])
+    return stage(listed.mapInArrow(run, "_tid long, samples binary"))
+
+
+def _merged(ranges: DataFrame, name: str, length: int) -> DataFrame:
+    """Ranges of starts (tid, lo, hi) by text, those whose strings touch joined, as packed pairs of removed bytes."""
+    packed = pa.schema([("tid", pa.int64()), (name, pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = [union_ranges(np.stack([lo, hi + length], axis=1)).astype(np.int64).tobytes() for lo, hi in zip(_arrays(b, "lo"), _arrays(b, "hi"))]
+            yield batch(packed, **{"tid": b.column("tid"), name: gone})
+
+    listed = ranges.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("tid", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
+    return listed.mapInArrow(run, f"tid long, `{name}` binary")
+
+
 def union_ranges(ranges: np.ndarray) -> np.ndarray:
     """Half-open ranges, joined where they touch, ascending."""
     if not len(ranges):
@@ -471,7 +517,7 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def removal_ranges(docs: DataFrame, length: int = LENGTH, name: str = "ranges") -> DataFrame:
-    """``docs`` with a column ``name``: first and last starts of removed strings, null where there are none."""
+    """``docs`` with a column ``name``: removed ranges of bytes (packed pairs of 64-bit numbers), null where there are none."""
     ship(docs.sparkSession)
     mark = free(docs, "_tid")
     docs = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -484,9 +530,8 @@ def removal_ranges(docs: DataFrame, length: int = LENGTH, name: str = "ranges")
     texts = long_ones.join(extra, (long_ones.tid == extra["_tid"]) & long_ones.doc_id.eqNullSafe(extra["_id"]), "left_anti").select("tid", "text")
     starts = repeated_starts(texts, length)
     whole = equal.select("tid", F.lit(0).cast("long").alias("lo"), (F.col("n") - length).alias("hi"))
-    ranges = stage(starts.join(equal.select("tid"), "tid", "left_anti").unionByName(whole).groupBy(F.col("tid").alias(mark)).agg(
-        F.collect_list(F.struct("lo", "hi")).alias(name)))
-    return docs.join(small(ranges, 200), mark, "left").drop(mark)
+    ranges = stage(_merged(starts.join(equal.select("tid"), "tid", "left_anti").unionByName(whole), name, length).withColumnRenamed("tid", mark))
+    return docs.join(small(ranges, F.octet_length(name) + 64), mark, "left").drop(mark)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -501,7 +546,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         for b in slices(batches, "text"):
             out = {f.name: [] for f in _RESULT}
             for (i, raw), ranges in zip(_texts(b), b.column("ranges").to_pylist()):
-                gone = union_ranges(np.array([(r["lo"], r["hi"] + length) for r in ranges or []], np.int64).reshape(-1, 2))
+                gone = np.frombuffer(ranges or b"", np.int64).reshape(-1, 2)
                 data = raw.tobytes()
                 kept = b"".join(data[a:z] for a, z in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(data)]))
                 out["n_bytes"].append(len(data))
@@ -538,8 +583,7 @@ def without_passages(docs: DataFrame, length: int, min_words: int) -> DataFrame:
                     keep.append(i)
                     continue
                 data = raw.tobytes()
-                gone = [(a, z) for a, z in union_ranges(np.array([(r["lo"], r["hi"] + length) for r in ranges], np.int64).reshape(-1, 2)).tolist()
-                        if len(data[a:z].split()) >= min_words]
+                gone = [(a, z) for a, z in np.frombuffer(ranges, np.int64).reshape(-1, 2).tolist() if len(data[a:z].split()) >= min_words]
                 kept = b"".join(data[a:z] for a, z in zip([0, *[z for _, z in gone]], [*[a for a, _ in gone], len(data)])).decode("utf-8", "ignore")
                 if kept.strip() or not gone:
                     texts.append(kept if gone else old)

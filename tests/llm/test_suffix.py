@@ -40,7 +40,7 @@ def test_difference_cover(spark, monkeypatch):
     r = random.Random(2)
     for symbols, sizes in ((2, [1, 2, 3, 7, 20, 33]), (50, [10, 40, 5, 5]), (1, [9, 4, 4, 30])):
         strings = {i: [r.randrange(1, symbols + 1) for _ in range(n)] for i, n in enumerate(sizes)}
-        got = {x.sid: x.ranks for x in suffix.difference_cover(spark.createDataFrame(list(strings.items()), "sid long, syms array<long>")).collect()}
+        got = {x.sid: x.ranks for x in suffix.difference_cover(spark.createDataFrame([(k, s, [1] * len(s)) for k, s in strings.items()], "sid long, syms array<long>, sizes array<long>")).collect()}
         suffixes = sorted((s[i:], got[k][i]) for k, s in strings.items() for i in range(len(s)))
         for (a, x), (b, y) in zip(suffixes, suffixes[1:]):
             assert a == b or x < y
@@ -56,7 +56,7 @@ def test_last_step():
 
 
 def test_window_minima():
-    h = np.random.default_rng(1).integers(0, 5, 60).astype(np.uint64)
+    h = np.random.default_rng(1).integers(0, 5, 60).astype(np.uint64) << np.uint64(50)
     for w in (1, 2, 5, 7, 16, 60, 61):
         want = [max(j for j in range(i, i + w) if h[j] == h[i:i + w].min()) for i in range(60 - w + 1)]
         assert suffix.window_minima(h, w).tolist() == want
