@@ -38,15 +38,20 @@ def _in_cell(t: int, c: int):
     return lambda d: F.shiftrightunsigned(d, 2 * t + 7).bitwiseAND(F.lit(SMALL - 1)) == c
 
 
-def fingerprint(digests: Column) -> Column:
-    """The smallest sketch in hex: for each cell its number of digests and their XOR."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"))
-    cells = []
+def small_sketch(digests: Column) -> list[Column]:
+    """The cells of the smallest sketch: for each its number of digests and their XOR."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x"))
+    out = []
     for t in range(TABLES):
         for c in range(SMALL):
             cell = F.aggregate(F.filter(digests, _in_cell(t, c)), start, lambda s, d: F.struct((s["n"] + 1).alias("n"), s["x"].bitwiseXOR(d).alias("x")))
-            cells += [F.lpad(F.hex(cell["n"].cast("long")), 4, "0"), F.lpad(F.hex(cell["x"]), 16, "0")]
-    return F.concat(*cells)
+            out += [cell["n"], cell["x"]]
+    return out
+
+
+def written(cells: list[Column]) -> Column:
+    """A small sketch in hex."""
+    return F.concat(*[F.lpad(F.hex(c), 16 if i % 2 else 4, "0") for i, c in enumerate(cells)])
 
 
 def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
@@ -87,22 +92,30 @@ def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
         .filter("copy = 0"))
 
 
+FIELDS = ("key", "known", "text_hash", "next_key", "n_chars", "n_own", "n_changed", "n_other", "sha0", "sha1", "sha2", "sha3")
+
+
 def with_edits(near: DataFrame) -> DataFrame:
-    """The edited texts: the second half replaced by the beginning of the next document."""
+    """The edited texts (second half replaced by the beginning of the next document): the digests of
+    each text, its edited text and its next one, and all other results as an array of numbers."""
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), F.char_length("text") - half), F.left(F.col("next.text"), half))
-    return near.select(
-        "bucket", "pos", "key", "doc_id", F.xxhash64("text").alias("text_hash"), F.col("next.key").alias("next_key"),
-        F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next.own").alias("other")
-    ).withColumn("changed", paragraphs(F.col("edited")))
+    rows = near.withColumn("edited", edited).withColumn("changed", paragraphs(F.col("edited"))).withColumn("other", F.col("next.own"))
+    sha = F.sha2(F.encode("edited", "UTF-8"), 256)
+    values = [
+        F.col("key"), F.col("doc_id").isNotNull().cast("long"), F.xxhash64("text"), F.col("next.key"), F.char_length("text").cast("long"),
+        *[F.size(c).cast("long") for c in ("own", "changed", "other")],
+        *[F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(4)]]
+    return rows.select("bucket", "pos", "own", "changed", "other", F.array(*values, *small_sketch(F.col("own")), *small_sketch(F.col("changed"))).alias("given"))
 
 
 def peel(rows: DataFrame, attempt: int) -> DataFrame:
     """Differences of pairs of texts.
 
-    In: bucket, pos (a row's name), own, changed, other (digests). Out, for pair 0 (own, changed) and
-    1 (own, other): only_first, only_second (digests that the other side lacks) and left (cells that
-    could not be peeled).
+    In: bucket, pos (a row's name), own, changed, other (digests), given (numbers to hand through).
+    Out: bucket, pos, given, and for pair 0 (own, changed) and 1 (own, other) only_first, only_second
+    (how many digests the other side lacks) and left (cells that could not be peeled). The given
+    numbers go along as rows of a third pair, so that nothing has to be joined to the result.
     """
     def side(pair: int, sign: int, digests: str, size: Column) -> Column:
         return F.transform(digests, lambda d: F.struct(F.lit(pair).alias("pair"), F.lit(sign).alias("sign"), d.alias("d"), size.alias("third")))
@@ -112,7 +125,9 @@ def peel(rows: DataFrame, attempt: int) -> DataFrame:
         return (F.ceil((F.size(a) + F.size(b)) * 2 / 3) + 6).cast("long") * (1 << attempt)
 
     first, second = third("own", "changed"), third("own", "other")
-    digests = F.concat(side(0, 1, "own", first), side(0, -1, "changed", first), side(1, 1, "own", second), side(1, -1, "other", second))
+    handed = F.transform(F.col("given"), lambda d, i: F.struct(F.lit(2).alias("pair"), F.lit(0).alias("sign"), d.alias("d"), (i + 1).cast("long").alias("third")))
+    digests = F.concat(side(0, 1, "own", first), side(0, -1, "changed", first), side(1, 1, "own", second), side(1, -1, "other", second), handed)
+    through = F.col("pair") == 2
 
     def cell(d: Column, t: Column | int, size: Column) -> Column:
         t = F.lit(t) if isinstance(t, int) else t
@@ -126,11 +141,12 @@ def peel(rows: DataFrame, attempt: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     cells = (
         rows.select("bucket", "pos", F.explode(digests).alias("e")).select("bucket", "pos", "e.*")
-        .withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
-        .select("bucket", "pos", "pair", "third", cell(F.col("d"), F.col("t"), F.col("third")).alias("cell"),
-                F.col("sign").cast("long").alias("n"), F.col("d").alias("x"), check(F.col("d")).alias("h"), zero.alias("first"), zero.alias("second"))
+        .withColumn("t", F.explode(F.when(through, F.array(F.lit(0))).otherwise(F.array(*[F.lit(t) for t in range(TABLES)]))))
+        .select("bucket", "pos", "pair", "third", F.when(through, F.col("third")).otherwise(cell(F.col("d"), F.col("t"), F.col("third"))).alias("cell"),
+                F.col("sign").cast("long").alias("n"), F.col("d").alias("x"), F.when(through, zero).otherwise(check(F.col("d"))).alias("h"),
+                zero.alias("first"), zero.alias("second"))
         .groupBy(*key).agg(*sums))
-    kept = (F.col("n") != 0) | (F.col("x") != 0) | (F.col("h") != 0) | (F.col("cell") < 0)
+    kept = (F.col("n") != 0) | (F.col("x") != 0) | (F.col("h") != 0) | (F.col("cell") < 0) | through
     fields = ("cell", "n", "x", "h", "first", "second")
 
     def row(*values: Column) -> Column:
@@ -147,27 +163,17 @@ def peel(rows: DataFrame, attempt: int) -> DataFrame:
         cells = (
             cells.filter(kept).withColumn("e", F.explode(F.when(pure, F.array(*gone, counted)).otherwise(F.array(same))))
             .select("bucket", "pos", "pair", "third", "e.*").groupBy(*key).agg(*sums))
-    return cells.groupBy("bucket", "pos", "pair").agg(
-        F.sum("first").alias("only_first"), F.sum("second").alias("only_second"), F.count_if((F.col("cell") >= 0) & kept).alias("left"))
+    totals = [F.sum(F.when(F.col("pair") == p, F.col(c))).alias(f"only_{c}{p}") for p in (0, 1) for c in ("first", "second")]
+    return cells.groupBy("bucket", "pos").agg(
+        *totals, F.count_if(~through & (F.col("cell") >= 0) & kept).alias("left"),
+        F.sort_array(F.collect_list(F.when(through, F.struct("cell", "x"))))["x"].alias("given"))
 
 
 def _attempt(docs: DataFrame, partitions: int, attempt: int) -> DataFrame:
-    rows = with_edits(neighbours(docs, partitions))
-    pairs = peel(rows, attempt).groupBy("bucket", "pos").agg(*[
-        F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}{p}") for p in (0, 1) for c in ("only_first", "only_second", "left")])
-
-    def near(p: int, other: str) -> Column:
-        shared = F.size("own") - F.coalesce(f"only_first{p}", F.lit(0))
-        union = F.size("own") + F.size(other) - shared
-        return F.when(union == 0, 1.0).otherwise(shared / union)
-
-    # Rows without any paragraph have no cells; the outer join keeps them.
-    return stage(rows.join(pairs, ["bucket", "pos"], "left").select(
-        "key", "doc_id", "text_hash", "next_key", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        near(0, "changed").alias("near_edited"), near(1, "other").alias("near_next"),
-        F.coalesce("only_first0", F.lit(0)).cast("long").alias("paragraphs_lost"), F.coalesce("only_second0", F.lit(0)).cast("long").alias("paragraphs_gained"),
-        F.lit(attempt).alias("attempt"), (F.coalesce("left0", F.lit(0)) + F.coalesce("left1", F.lit(0))).alias("left")))
+    got = peel(with_edits(neighbours(docs, partitions)), attempt)
+    return stage(got.select(
+        *[F.col("given")[i].alias(f) for i, f in enumerate(FIELDS)], F.slice("given", len(FIELDS) + 1, 4 * TABLES * SMALL).alias("cells"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("only_first0", "only_second0", "only_first1", "only_second1")], "left", F.lit(attempt).alias("attempt")))
 
 
 def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -196,5 +202,15 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         wanted = stage(got.join(failed, ["key", "text_hash"], "left_semi").select(F.explode(F.array("key", "next_key")).alias("_key")).distinct())
         rest = docs.join(small(wanted, 16), F.coalesce("doc_id", F.lit(_FIRST)) == F.col("_key"), "left_semi")
         attempt += 1
+    def near(p: int, other: str) -> Column:
+        shared = F.col("n_own") - F.col(f"only_first{p}")
+        union = F.col("n_own") + F.col(other) - shared
+        return F.when(union == 0, 1.0).otherwise(shared / union)
+
+    half = 2 * TABLES * SMALL
+    sketches = [written([F.col("cells")[i] for i in range(a, a + half)]) for a in (0, half)]
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
     return done.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "paragraphs_lost", "paragraphs_gained", "attempt")
+        F.when(F.col("known") == 1, F.col("key")).alias("doc_id"), "n_chars", sha.alias("edited_sha256"), sketches[0].alias("fingerprint"),
+        sketches[1].alias("edited_fingerprint"), near(0, "n_changed").alias("near_edited"), near(1, "n_other").alias("near_next"),
+        F.col("only_first0").alias("paragraphs_lost"), F.col("only_second0").alias("paragraphs_gained"), "attempt")
