@@ -15,7 +15,7 @@ from gistline.sources.staging import new_folder, stage
 
 __all__ = ["stage", "new_folder", "table", "slices", "number_rows", "small", "free", "batch", "TEXT_BYTES", "BROADCAST_BYTES"]
 
-TEXT_BYTES = 2 << 20  #: Text that one step of a Python task handles at once; a longer text comes alone.
+TEXT_BYTES = 1 << 20  #: Text that one step of a Python task handles at once; a longer text comes alone.
 BROADCAST_BYTES = 32 << 20  #: Tables up to this size may be copied to every executor.
 
 

@@ -18,8 +18,8 @@ import numpy as np
 
 from gistline.llm.words import BYTE, mix, powers
 
-CACHE = 1_500_000  #: Pre-tokens remembered by one worker; beyond it the memory starts anew.
-SLOTS = 1 << 22
+CACHE = 600_000  #: Pre-tokens remembered by one worker; beyond it the memory starts anew.
+SLOTS = 1 << 21
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
 

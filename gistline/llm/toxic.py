@@ -29,6 +29,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8  #: Per width.
 DIM = 8
 EPOCHS = 6
+SCORED_BYTES = 256 << 10  #: Text scored in one step.
 PRIOR = 10.0  #: A bucket's share of label 1 starts as if seen in so many average texts.
 PREDICTED = 0.7
 _EDGE = 4  #: Bytes of the beginning and the end of a word.
@@ -285,7 +286,7 @@ def score(docs: DataFrame, model: bytes, per_label: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.from_bytes(shared.value)
         weights = own.responses()
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", SCORED_BYTES):
             yield batch(_SCORED, doc_id=b.column("doc_id"), lang=b.column("lang"), score=own.scores(*text_bytes(b.column("text")), weights))
 
     scored = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).mapInArrow(run, "doc_id long, lang string, score double")
@@ -302,7 +303,7 @@ def accepted(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.from_bytes(shared.value)
         weights = own.responses()
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", SCORED_BYTES):
             cuts = np.array([own.thresholds.get(x or "", PREDICTED) for x in b.column("lang").to_pylist()])
             yield b.filter(pa.array(own.scores(*text_bytes(b.column("text")), weights) < cuts))
 

@@ -31,7 +31,7 @@ from gistline.llm.words import grams, mix, text_bytes, word_hashes, word_spans
 
 WORDS = 5
 NUM, DEN = 4, 5  #: Similarity 0.8.
-BUCKET_MEMBERS = 2_000_000  #: Set members that one task counts, about.
+BUCKET_MEMBERS = 1_000_000  #: Set members that one task counts, about.
 BLOCK = 512  #: Sets in a block.
 PIVOTS = 64  #: Most shared classes of a large cluster that every block meets first.
 VECTOR_BYTES = 64 << 20
