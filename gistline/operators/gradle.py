@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, once, scan
+from gistline.operators.scan import first_k, first_lines, once, scan
 from gistline.sources.staging import stage
 
 TOP_WARNINGS = 10
@@ -93,10 +93,10 @@ def failed_tasks(fact_rows: DataFrame) -> DataFrame:
         "log_id", "line_no", F.regexp_extract("text", P.TASK, 1).alias("task"))
 
 
-def what_went_wrong(fact_rows: DataFrame) -> DataFrame:
-    """First lines of the failure note; shown only for builds that failed."""
+def what_went_wrong(fact_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """The lines, or the first k, of the failure note; only for builds that failed."""
     found = fact_rows.filter("fact = 'detail'").select("log_id", "line_no", T.trim("text").alias("text"))
-    found = first_k(found, WRONG_LINES, ["log_id"], ["line_no"])
+    found = first_lines(found, k)
     failed = _last_result(fact_rows).filter("status = 'FAILED'").select("log_id")
     return found.join(failed, "log_id", "left_semi")
 
@@ -177,7 +177,7 @@ def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
     warnings = D.rows_of(
         warnings_topk(fact_rows),
         row(2, F.col("rank") + 1, F.concat(F.lit("  "), T.count_prefix("n"), "message")))
-    note = what_went_wrong(fact_rows)
+    note = what_went_wrong(fact_rows, WRONG_LINES)
     wrong = D.rows_of(
         note,
         F.when(F.col("seq") == 1, row(3, 0, "")),

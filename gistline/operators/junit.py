@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D, gradle
-from gistline.operators.scan import first_k, once, scan
+from gistline.operators.scan import first_k, first_lines, once, scan
 from gistline.sources.staging import stage
 
 SHOWN_MESSAGES = 4
@@ -84,17 +84,19 @@ def _shown(fact_rows: DataFrame) -> DataFrame:
     return first.join(counts, ["log_id", "block", "part"])
 
 
-def junit_failures(fact_rows: DataFrame) -> DataFrame:
-    """Failures with their first message lines; a failure without any has one row with nulls."""
-    messages = first_k(failure_lines(fact_rows).filter("part = 'message'"), SHOWN_MESSAGES, ["log_id", "block"], ["line_no"])
+def junit_failures(fact_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """Failures with their message lines, all or the first k; a failure without any has one row with nulls."""
+    messages = first_lines(failure_lines(fact_rows).filter("part = 'message'"), k, ["log_id", "block"])
     return failures(fact_rows).join(messages.select("log_id", "block", "seq", "text"), ["log_id", "block"], "left")
 
 
-def junit_app_frames(fact_rows: DataFrame) -> DataFrame:
-    """The first application frames of each failure and how many more there are."""
-    shown = _shown(fact_rows).filter("part = 'frame'")
-    return shown.select("log_id", "block", "seq", "text", F.greatest(
-        F.col("n") - SHOWN_FRAMES, F.lit(0)).cast("bigint").alias("omitted"))
+def junit_app_frames(fact_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """The application frames of each failure, all or the first k, and how many are left out."""
+    frames = failure_lines(fact_rows).filter("part = 'frame'")
+    counts = frames.groupBy("log_id", "block").agg(F.count("*").alias("n"))
+    omitted = F.lit(0) if k is None else F.greatest(F.col("n") - k, F.lit(0))
+    return first_lines(frames, k, ["log_id", "block"]).join(counts, ["log_id", "block"]).select(
+        "log_id", "block", "seq", "text", omitted.cast("bigint").alias("omitted"))
 
 
 def named_failures(totals: str):

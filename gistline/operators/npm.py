@@ -81,8 +81,9 @@ def warning_groups(fact_rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
-def npm_other_warnings(fact_rows: DataFrame) -> DataFrame:
-    return first_k(warning_groups(fact_rows), TOP_WARNINGS, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
+def npm_other_warnings(fact_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """Warnings that are no deprecations, by message, most frequent first: all, or the first k."""
+    return first_k(warning_groups(fact_rows), k, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
 
 
 def npm_changes(fact_rows: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
         D.rows_of(shown, row(1, F.col("seq") + 1, F.concat(F.lit("  "), "text"))),
         D.rows_of(npm_deprecations(fact_rows), row(2, F.col("rank") + 1, F.concat(
             F.lit("  "), T.count_prefix("n"), "package", F.lit(" — "), "message"))),
-        D.rows_of(npm_other_warnings(fact_rows), row(3, F.col("rank") + 1, F.concat(
+        D.rows_of(npm_other_warnings(fact_rows, TOP_WARNINGS), row(3, F.col("rank") + 1, F.concat(
             F.lit("  "), T.count_prefix("n"), "message"))),
     ])
 

@@ -177,8 +177,16 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
-def first_k(df: DataFrame, k: int, key: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
-    """The first k rows of each key. Spark limits each map task's rows before the shuffle."""
+def first_k(df: DataFrame, k: int | None, key: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
+    """The first k rows of each key, or all of them ranked if k is None. Spark limits each map task's
+    rows before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*order)
-    first = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    first = df.withColumn(name, F.row_number().over(w))
+    if k is not None:
+        first = first.filter(F.col(name) <= k)
     return first.withColumn(name, F.col(name).cast("bigint"))
+
+
+def first_lines(df: DataFrame, k: int | None, key: Sequence[str] = ("log_id",), name: str = "seq") -> DataFrame:
+    """The first k rows of each key by line_no, or all of them; numbering all goes by spans, not by whole keys."""
+    return first_k(df, k, key, ["line_no"], name) if k is not None else scan(df, key=key, running={name: F.lit(1)})

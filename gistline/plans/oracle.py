@@ -159,7 +159,7 @@ ORACLE["kotlin_diagnostics"] = _gradle("SELECT log_id, line_no, severity, file,
 ORACLE["javac_diagnostics"] = _gradle("SELECT log_id, line_no, severity, file, line, message FROM diags WHERE compiler = 'javac'")
 ORACLE["build_result"] = _gradle("SELECT log_id, status, duration FROM res")
 ORACLE["failed_tasks"] = _gradle("SELECT log_id, line_no, task FROM tasks")
-ORACLE["what_went_wrong"] = _gradle("SELECT log_id, line_no, text, seq FROM note WHERE seq <= 6")
+ORACLE["what_went_wrong"] = _gradle("SELECT log_id, line_no, text, seq FROM note")
 ORACLE["gradle_warnings_topk"] = _gradle("SELECT log_id, message, n, first_line, file, rank FROM wr WHERE rank <= 10")
 ORACLE["gradle_summary"] = _gradle("""
   SELECT s.log_id, status, duration, errors, unique_warnings, warnings, summary, w.message AS top_warning, w.n AS top_count
@@ -237,7 +237,7 @@ ORACLE["npm_errors"] = _npm("SELECT log_id, line_no, text, code FROM errs")
 ORACLE["npm_error_code"] = _npm("SELECT log_id, arg_max(code, line_no) AS code FROM errs WHERE code IS NOT NULL GROUP BY log_id")
 ORACLE["npm_deprecations"] = _npm("""SELECT log_id, package, n, first_line, rank,
   CASE WHEN length(message) > 80 THEN left(message, 77) || '...' ELSE message END AS message FROM dep WHERE rank <= 10""")
-ORACLE["npm_other_warnings"] = _npm("SELECT log_id, message, n, first_line, rank FROM oth WHERE rank <= 8")
+ORACLE["npm_other_warnings"] = _npm("SELECT log_id, message, n, first_line, rank FROM oth")
 ORACLE["npm_changes"] = _npm("SELECT log_id, line_no, t AS text FROM nf WHERE fact = 'change'")
 ORACLE["npm_audit"] = _npm("SELECT log_id, line_no, t AS text FROM nf WHERE fact = 'audit'")
 ORACLE["npm_summary"] = _npm("SELECT log_id, summary, code, changes, audits, errors, deprecated, warned FROM stats")
@@ -420,8 +420,8 @@ _JUNIT_BLOCKS = _JUNIT[:_JUNIT.index("uf AS (")] + _JUNIT[_JUNIT.index("fails AS
 for _step in ("uc", "us", "ul"):
     _JUNIT_BLOCKS = _JUNIT_BLOCKS.replace(f"{_step} AS (", f"{_step} AS MATERIALIZED (", 1)
 ORACLE["junit_failures"] = _with("junit_lines", _JUNIT_BLOCKS, select="""SELECT f.log_id, f.block, fqcn, test, m.seq, m.text FROM fails f
-  LEFT JOIN (SELECT * FROM um WHERE seq <= 4) m ON m.log_id = f.log_id AND m.block = f.block""")
-ORACLE["junit_app_frames"] = _junit("SELECT log_id, block, seq, text, greatest(n - 5, 0) AS omitted FROM uf WHERE seq <= 5")
+  LEFT JOIN um m ON m.log_id = f.log_id AND m.block = f.block""")
+ORACLE["junit_app_frames"] = _junit("SELECT log_id, block, seq, text, 0 AS omitted FROM uf")
 ORACLE["junit_digest"] = _junit(_digest("junit", "ustats", "urows"))
 # Build logs have no test facts, so all of them fall back to the build digest.
 ORACLE["junit_fallback"] = ORACLE["gradle_digest"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gistline.functions import text as T
+from gistline.sources.staging import stage
 
 TTL = "7 days"
 ID_DIGITS = 12
@@ -17,15 +18,41 @@ def log_id(name: Column | str, *run: Column | str) -> Column:
     return F.concat(F.when(prefix == "", "log").otherwise(prefix), F.lit("_"), F.left(F.sha2(seed, 256), F.lit(ID_DIGITS)))
 
 
+#: Folders that the ids of one kind and day are dealt into, so that a lookup reads one of them.
+ID_BUCKETS = 16
+
+
+def _id_bucket(log_id: Column | str) -> Column:
+    return F.pmod(F.crc32(T.as_col(log_id).cast("string").cast("binary")), F.lit(ID_BUCKETS)).cast("int")
+
+
 def write_log_store(logs: DataFrame, path: str, mode: str = "append") -> None:
-    """Write logs (log_id, kind, ended_at, text, ...) partitioned by kind and day."""
-    logs.withColumn("day", F.to_date("ended_at")).write.mode(mode).partitionBy("kind", "day").parquet(path)
+    """Write logs (log_id, kind, ended_at, text, ...) partitioned by kind, day and a hash of the id.
+
+    Rows are dealt by these columns first, so that a folder gets its files from few tasks; a second
+    hash of the id splits a kind and day that hold most of the logs.
+    """
+    placed = logs.withColumns({"day": F.to_date("ended_at"), "id_bucket": _id_bucket("log_id")})
+    placed.repartition("kind", "day", "id_bucket", F.pmod(F.xxhash64("log_id"), F.lit(4))).write.mode(mode).partitionBy(
+        "kind", "day", "id_bucket").parquet(path)
 
 
 def read_log_store(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """The stored logs, or only those whose log_id is in ``wanted``."""
+    """The stored logs, or only those whose log_id is in ``wanted``.
+
+    The join is on the id's folder, too, so that few wanted ids prune the folders that are read.
+    """
     logs = spark.read.parquet(path)
-    return logs if wanted is None else logs.join(wanted.select("log_id"), "log_id", "left_semi")
+    if wanted is None:
+        return logs.drop("id_bucket")
+    ids = wanted.select("log_id").distinct().withColumn("id_bucket", _id_bucket("log_id"))
+    return logs.join(ids, ["id_bucket", "log_id"], "left_semi").drop("id_bucket")
+
+
+def read_stored_log(spark: SparkSession, path: str, log_id: str) -> DataFrame:
+    """One log by its id; only the folders that can hold it are read."""
+    logs = spark.read.parquet(path)
+    return logs.filter((F.col("id_bucket") == _id_bucket(F.lit(log_id))) & (F.col("log_id") == log_id)).drop("id_bucket")
 
 
 def missing_logs(wanted: DataFrame, stored: DataFrame) -> DataFrame:
@@ -48,3 +75,31 @@ def kept(entries: DataFrame, now: Column) -> DataFrame:
 
 def count_expired(entries: DataFrame, now: Column) -> DataFrame:
     return expired(entries, now).agg(F.count("*").alias("removed"))
+
+
+def prune_log_store(spark: SparkSession, path: str, now: Column) -> int:
+    """Remove expired logs from a store; returns how many days were removed whole.
+
+    Days that ended before the border are dropped as folders. Only the border day is rewritten, by
+    replacing its folders with the logs that stay.
+    """
+    border = spark.range(1).select((now - F.expr(f"INTERVAL {TTL}")).cast("timestamp").alias("t")).select(F.to_date("t").alias("day")).first()["day"]
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stored = spark.read.parquet(path)
+    days = stored.select("kind", "day").distinct().collect()  # one row per folder
+    removed = 0
+    for r in days:
+        if r["day"] is not None and r["day"] < border:
+            fs.delete(fs_path(f"{path}/kind={r['kind']}/day={r['day']}"), True)
+            removed += 1
+    at_border = [r["kind"] for r in days if r["day"] == border]
+    if at_border:
+        spark.catalog.refreshByPath(path)
+        rest = stage(kept(spark.read.parquet(path).filter(F.col("day") == F.lit(border)), now))
+        for kind in at_border:
+            fs.delete(fs_path(f"{path}/kind={kind}/day={border}"), True)
+        rest.write.mode("append").partitionBy("kind", "day", "id_bucket").parquet(path)
+    spark.catalog.refreshByPath(path)
+    return removed

@@ -59,6 +59,16 @@ def test_log_files_of_any_size(spark, tmp_path):
     assert sorted(split) == sorted(whole) and len(whole) == 4 + 1 + 3001
 
 
+def test_retention_removes_data(spark, tmp_path):
+    now, path = dt.datetime(2024, 5, 20, 12), str(tmp_path / "logs")
+    ages = {"new": 1, "border_new": 6.9, "border_old": 7.1, "old": 8, "older": 30}
+    rows = [(k, kind, now - dt.timedelta(days=d), k) for k, d in ages.items() for kind in ("npm", "jest")]
+    store.write_log_store(spark.createDataFrame(rows, "log_id string, kind string, ended_at timestamp, text string"), path)
+    assert store.prune_log_store(spark, path, F.lit(now)) == 4
+    assert sorted(r.text for r in store.read_log_store(spark, path).collect()) == sorted(["new", "border_new"] * 2)
+    assert store.prune_log_store(spark, path, F.lit(now)) == 0 and store.read_log_store(spark, path).count() == 4
+
+
 def test_log_store(spark, tmp_path):
     day = dt.datetime(2024, 5, 1, 12)
     df = spark.createDataFrame([("a", "npm", day, "x"), ("b", "jest", day - dt.timedelta(days=8), "y")],
@@ -68,6 +78,10 @@ def test_log_store(spark, tmp_path):
     wanted = spark.createDataFrame([("a",), ("z",)], "log_id string")
     assert [r.text for r in store.read_log_store(spark, path, wanted).collect()] == ["x"]
     assert [r.error for r in store.missing_logs(wanted, store.read_log_store(spark, path)).collect()] == ['[error] log_id "z" not found']
+    one = store.read_stored_log(spark, path, "a")
+    assert [r.text for r in one.collect()] == ["x"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "id_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert store.count_expired(df, F.lit(day)).first()[0] == 1
     assert store.count_expired(df, F.lit(day - dt.timedelta(days=1))).first()[0] == 0
     assert [r.log_id for r in store.kept(df, F.lit(day)).collect()] == ["a"]
