@@ -10,7 +10,7 @@ be in a match and are dropped. Equal texts are one text here; all their bytes go
 
 *Suffix array* of the phrase strings by difference cover: positions i with i mod 3 in {1, 2} are
 sampled, their triples are sorted and named, the strings of names are solved by recursion until every name that is shared
-covers ``length`` bytes (the last 2^18 symbols are ranked by one task), and the
+covers ``length`` bytes (the last 2^20 symbols, 16 MB, are ranked by one task), and the
 suffixes at i mod 3 = 0 are merged in by two sorted counts. Adjacent suffixes are compared, and where
 they agree for ``length`` bytes, both are marked.
 
@@ -37,7 +37,7 @@ from gistline.llm.words import BYTE, mix, powers
 
 LENGTH = 400
 BLOCK = 16  #: Starts in a block; fewer for short strings.
-FEW = 1 << 18  #: Strings with so many symbols in all end the recursion.
+FEW = 1 << 20  #: Strings with so many symbols in all end the recursion.
 HALO = 1 << 16  #: Suffixes that one task compares with their neighbours.
 _END = -(1 << 63)  #: Sorts before every symbol.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -445,17 +445,19 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def open_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cores = []
-            for own, marks in zip(b.column("own").to_pylist(), b.column("marks").to_pylist()):
-                edges = union_ranges(np.array([(m["lo"], m["hi"] + 1) for m in marks or []], np.int64).reshape(-1, 2))
-                for s in own:
-                    k = int(np.searchsorted(edges[:, 0], s["lo"], side="right")) - 1
-                    if s["hi"] >= s["lo"] and not (k >= 0 and edges[k, 1] > s["hi"]):
-                        cores.append(s["core"])
-            yield pa.RecordBatch.from_arrays([pa.array(cores, pa.int64())], names=["core"])
-
-    grouped = kept.groupBy("tid").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("own")).join(spans, "tid", "left")
-    open_cores = stage(grouped.select("own", "marks").mapInArrow(open_ones, "core long").distinct())
+            cores = [np.zeros(0, np.int64)]
+            for core, lo, hi, first, last in zip(*[_arrays(b, c) for c in ("core", "lo", "hi", "first", "last")]):
+                edges = union_ranges(np.stack([first, last + 1], axis=1).astype(np.int64))
+                k = np.searchsorted(edges[:, 0], lo, side="right") - 1
+                inside = (edges[np.maximum(k, 0), 1] > hi) & (k >= 0) if len(edges) else np.zeros(len(lo), bool)
+                cores.append(core[(hi >= lo) & ~inside])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cores), pa.int64())], names=["core"])
+
+    none = F.array().cast("array<bigint>")
+    grouped = kept.groupBy("tid").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("own")).join(spans, "tid", "left").select(
+        F.col("own.core").alias("core"), F.col("own.lo").alias("lo"), F.col("own.hi").alias("hi"),
+        F.coalesce("marks.lo", none).alias("first"), F.coalesce("marks.hi", none).alias("last"))
+    open_cores = stage(grouped.mapInArrow(open_ones, "core long").distinct())
     wanted = _per_text(kept.join(open_cores, "core"), "pos", "lo", "hi")
 
     def picked(chosen: DataFrame) -> DataFrame:

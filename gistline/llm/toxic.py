@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gistline.llm.common import batch, slices, stage
-from gistline.llm.words import mix, powers, text_bytes, word_hashes, word_spans
+from gistline.llm.words import mix, text_bytes, word_hashes, word_spans
 
 SAMPLE = 3000  #: Labelled rows of each label that are learned from, at most about.
 BUCKET_BITS = 22

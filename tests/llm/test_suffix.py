@@ -62,7 +62,7 @@ def test_window_minima():
         assert suffix.window_minima(h, w).tolist() == want
 
 
-@pytest.mark.parametrize(("length", "seed", "few"), [(20, 1, 1 << 16), (40, 2, 200), (9, 3, 1 << 16)])
+@pytest.mark.parametrize(("length", "seed", "few"), [(20, 1, 1 << 20), (40, 2, 200), (9, 3, 1 << 20)])
 def test_against_brute_force(docs_of, monkeypatch, length, seed, few):
     """Shared passages at any place, edits, copies, periodic texts and overlaps inside one text."""
     monkeypatch.setattr(suffix, "FEW", few)
