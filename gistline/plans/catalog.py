@@ -188,6 +188,14 @@ def _requests(profiled: DataFrame) -> DataFrame:
         "parse_status": F.when(F.col("language").isNull(), "failed").otherwise("ok")})
 
 
+@query
+def symbol_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols, written to a store as JSON and read back."""
+    folder = new_folder(spark)
+    store.write_symbol_store(V.symbols(spark, sf_dir), folder)
+    return store.read_symbol_store(spark, folder).drop("modifiers", "doc")
+
+
 # Symbols.
 FOCI = ["NATION_2", "00[12]$|_7"]
 _over(

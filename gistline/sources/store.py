@@ -103,3 +103,39 @@ def prune_log_store(spark: SparkSession, path: str, now: Column) -> int:
         rest.write.mode("append").partitionBy("kind", "day", "id_bucket").parquet(path)
     spark.catalog.refreshByPath(path)
     return removed
+
+
+SYMBOL = ("name string, qualified_name string, parent_qualified_name string, kind string, line_lo bigint, line_hi bigint, "
+          "modifiers array<string>, doc string")
+_SYMBOLS_PER_PART = 10_000
+
+
+def symbols_to_json(symbols: DataFrame) -> DataFrame:
+    """(file_id, part_no, symbols): the symbols of each file as JSON arrays of about 10,000 symbols.
+
+    Columns that ``symbols`` lacks are left out; nulls are, too, as in any JSON of Spark's.
+    """
+    names = [f.split(" ")[0] for f in SYMBOL.split(", ")]
+    present = [n for n in names if n in symbols.columns]
+    sizes = symbols.groupBy("file_id").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("qualified_name", "line_lo"), F.ceil(F.col("n") / _SYMBOLS_PER_PART))
+    dealt = symbols.join(sizes, "file_id").withColumn("part_no", part.cast("int"))
+    return dealt.groupBy("file_id", "part_no").agg(F.to_json(F.collect_list(F.struct(*present))).alias("symbols"))
+
+
+def symbols_from_json(stored: DataFrame) -> DataFrame:
+    """The rows of :func:`symbols_to_json` as symbols again."""
+    return stored.select("file_id", F.inline(F.from_json("symbols", f"array<struct<{SYMBOL}>>")))
+
+
+def write_symbol_store(symbols: DataFrame, path: str, mode: str = "append") -> None:
+    """Keep symbols by file id, as JSON; :func:`~gistline.sources.code.select_changed` reads the ids."""
+    symbols_to_json(symbols).withColumn("id_bucket", _id_bucket("file_id")).repartition("id_bucket").write.mode(mode).partitionBy("id_bucket").parquet(path)
+
+
+def read_symbol_store(spark: SparkSession, path: str, file_id: str | None = None) -> DataFrame:
+    """The stored symbols, of all files or of one; for one only its folder is read."""
+    stored = spark.read.parquet(path)
+    if file_id is not None:
+        stored = stored.filter((F.col("id_bucket") == _id_bucket(F.lit(file_id))) & (F.col("file_id") == file_id))
+    return symbols_from_json(stored)

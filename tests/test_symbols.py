@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistline.operators import symbols as S
+from gistline.sources import store
 
 SCHEMA = ("file_id int, name string, qualified_name string, parent_qualified_name string, kind string, line_lo bigint, line_hi bigint, "
           "modifiers array<string>, doc string")
@@ -106,7 +107,15 @@ def test_focused_missing(table):
 
 
 def test_nested_symbols_round_trip_as_json(spark, table):
-    packed = table.groupBy("file_id").agg(F.to_json(F.collect_list(F.struct(*table.columns[1:]))).alias("j"))
-    schema = "array<struct<name string, qualified_name string, parent_qualified_name string, kind string, line_lo bigint, line_hi bigint, modifiers array<string>, doc string>>"
-    back = packed.select("file_id", F.inline(F.from_json("j", schema)))
-    assert back.exceptAll(table).count() == 0 and back.count() == table.count()
+    back = store.symbols_from_json(store.symbols_to_json(table))
+    assert back.columns == table.columns and back.exceptAll(table).count() == 0 and back.count() == table.count()
+
+
+def test_symbol_store(spark, table, tmp_path):
+    path = str(tmp_path / "symbols")
+    named = table.withColumn("file_id", F.concat(F.lit("kt_"), F.col("file_id").cast("string")))
+    store.write_symbol_store(named, path)
+    assert store.read_symbol_store(spark, path).exceptAll(named).count() == 0
+    one = store.read_symbol_store(spark, path, "kt_2")
+    assert [r.name for r in one.collect()] == ["f"]
+    assert "id_bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
