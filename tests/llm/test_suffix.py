@@ -38,7 +38,7 @@ def test_difference_cover(spark, monkeypatch):
     monkeypatch.setattr(suffix, "FEW", 0)  # recursion to the end
     monkeypatch.setattr(suffix, "HALO", 8)
     r = random.Random(2)
-    for symbols, sizes in ((2, [1, 2, 3, 7, 20, 33]), (50, [10, 40, 5, 5]), (1, [9, 4, 4, 30])):
+    for symbols, sizes in ((2, [1, 2, 3, 7, 20]), (1, [9, 4, 4])):
         strings = {i: [r.randrange(1, symbols + 1) for _ in range(n)] for i, n in enumerate(sizes)}
         got = {x.sid: x.ranks for x in suffix.difference_cover(spark.createDataFrame([(k, s, [1] * len(s)) for k, s in strings.items()], "sid long, syms array<long>, sizes array<long>")).collect()}
         suffixes = sorted((s[i:], got[k][i]) for k, s in strings.items() for i in range(len(s)))
