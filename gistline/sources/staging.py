@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,20 +51,28 @@ def stage(df: DataFrame, *by: str) -> DataFrame:
 
 
 @contextmanager
-def staged_tables(spark: SparkSession) -> Iterator[None]:
+def staged_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete the intermediate tables written inside the block, when it ends.
 
-    For jobs that write their results inside the block: DataFrames that read such tables are of no
-    use after it.
+    DataFrames that read such tables are of no use after it. The block gets a function that writes a
+    table which stays.
     """
     known = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
-    first = len(known)
+    first, stay = len(known), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = len(known)
+        out = stage(df)
+        stay.append(known[at])
+        return out
+
     try:
-        yield
+        yield keep
     finally:
         for path in known[first:]:
-            _delete(spark, path)
-        del known[first:]
+            if path not in stay:
+                _delete(spark, path)
+        known[first:] = stay
 
 
 def drop_staged(spark: SparkSession) -> bool:
