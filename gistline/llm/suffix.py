@@ -10,7 +10,7 @@ be in a match and are dropped. Equal texts are one text here; all their bytes go
 
 *Suffix array* of the phrase strings by difference cover: positions i with i mod 3 in {1, 2} are
 sampled, their triples are sorted and named, the strings of names are solved by recursion until every name that is shared
-covers ``length`` bytes (the last 2^20 symbols, 16 MB, are ranked by one task), and the
+covers ``length`` bytes (the last 2^16 symbols are ranked by one task), and the
 suffixes at i mod 3 = 0 are merged in by two sorted counts. Adjacent suffixes are compared, and where
 they agree for ``length`` bytes, both are marked.
 
@@ -33,11 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as ST
 
 from gistline.llm.common import batch, free, ship, slices, small, stage
+from gistline.sources.staging import staged_tables
 from gistline.llm.words import BYTE, mix, powers
 
 LENGTH = 400
 BLOCK = 16  #: Starts in a block; fewer for short strings.
-FEW = 1 << 20  #: Strings with so many symbols in all end the recursion.
+FEW = 1 << 16  #: Strings with so many symbols in all end the recursion.
 HALO = 1 << 16  #: Suffixes that one task compares with their neighbours.
 _END = -(1 << 63)  #: Sorts before every symbol.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -215,7 +216,7 @@ _KEYED = pa.schema([(c, pa.int64()) for c in ("sid", "i", "kind", "c", "c2", "r1
 
 
 def _child(r: int) -> Column:
-    return F.xxhash64("sid", F.lit(r))
+    return F.col("sid") * 2 + (r - 1)
 
 
 def local_ranks(strings: list[np.ndarray]) -> list[np.ndarray]:
@@ -256,8 +257,13 @@ def difference_cover(strings: DataFrame, length: int = _WHOLE) -> DataFrame:
     each suffix a number, smaller for smaller suffixes; a suffix that ends comes before its
     continuations; numbers of suffixes that agree so far lie together, in any order.
     """
+    with staged_tables(strings.sparkSession) as keep:
+        return keep(_ranks(strings, length))
+
+
+def _ranks(strings: DataFrame, length: int) -> DataFrame:
     if (strings.agg(F.sum(F.size("syms"))).first()[0] or 0) <= FEW:
-        return stage(_few_ranks(strings))
+        return _few_ranks(strings)
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,14 +309,19 @@ def difference_cover(strings: DataFrame, length: int = _WHOLE) -> DataFrame:
     rows = stage(known.mapInArrow(keyed, "sid long, i long, kind long, c long, c2 long, r1 long, r2 long, own long"))
     one = _merge_counts(rows.filter("kind in (0, 1)").select("sid", "i", "kind", "c", "r1"), ["c", "r1"])
     two = _merge_counts(rows.filter("kind in (0, 2)").select("sid", "i", "kind", "c", "c2", "r2"), ["c", "c2", "r2"])
-    first = one.select("sid", "i", F.col("zeros").alias("z1"), F.col("others").alias("o1"))
-    second = two.select("sid", "i", F.col("zeros").alias("z2"), F.col("others").alias("o2"))
-    place = (
-        F.when(F.col("kind") == 0, F.col("z1") + F.col("o1") + F.col("o2"))
-        .when(F.col("kind") == 1, F.col("own") + F.col("z1")).otherwise(F.col("own") + F.col("z2")))
-    return stage(
-        rows.select("sid", "i", "kind", "own").join(first, ["sid", "i"], "left").join(second, ["sid", "i"], "left")
-        .groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", place.alias("p")))).alias("s")).select("sid", F.col("s.p").alias("ranks")))
+    # What stands before a suffix: of its own kind in the first place, then of the others.
+    parts = (
+        rows.filter("kind > 0").select("sid", "i", F.col("own").alias("n"))
+        .unionByName(one.select("sid", "i", F.when(F.col("kind") == 0, F.col("zeros") + F.col("others")).otherwise(F.col("zeros")).alias("n")))
+        .unionByName(two.select("sid", "i", F.when(F.col("kind") == 0, F.col("others")).otherwise(F.col("zeros")).alias("n"))))
+    listed = parts.groupBy("sid").agg(F.collect_list(F.struct("i", "n")).alias("s")).select("sid", F.col("s.i").alias("i"), F.col("s.n").alias("n"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [np.bincount(i, n).astype(np.int64) for i, n in zip(_arrays(b, "i"), _arrays(b, "n"))]
+            yield batch(_RANKS, sid=b.column("sid"), ranks=sums)
+
+    return listed.mapInArrow(add, "sid long, ranks array<long>")
 
 
 def _merge_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -429,6 +440,11 @@ def start_rows(texts: DataFrame, length: int) -> DataFrame:
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Ranges (tid, lo, hi) of starts whose string of ``length`` bytes starts elsewhere too; texts differ from each other."""
+    with staged_tables(texts.sparkSession) as keep:
+        return keep(_repeated_starts(texts, length))
+
+
+def _repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     rows = stage(sample_rows(texts, length))
     often = stage(rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
     kept = stage(rows.join(small(often, 8), "core"))
@@ -436,7 +452,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = kept.withColumn("run", F.col("idx") - F.row_number().over(by_text))  # samples in a row share it
     strings = stage(
         runs.groupBy("tid", "run").agg(F.sort_array(F.collect_list(F.struct("idx", "symbol", "size", "pos"))).alias("s"))
-        .select(F.xxhash64("tid", "run").alias("sid"), "tid", F.col("s.symbol").alias("syms"), F.col("s.size").cast("array<bigint>").alias("sizes"), F.col("s.pos").alias("pos")))
+        .select(F.monotonically_increasing_id().alias("sid"), "tid", F.col("s.symbol").alias("syms"), F.col("s.size").cast("array<bigint>").alias("sizes"), F.col("s.pos").alias("pos")))
     agree = stage(agreements(strings, length))
     marked = agree.filter(F.col("same") >= length).select("tid", F.col("pos").alias("lo"), (F.col("pos") + F.col("same") - length).alias("hi"))
 
@@ -474,7 +490,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     starts = stage(start_rows(picked(again), length))
     twice = starts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = starts.filter("many = 1").join(twice, ["w1", "w2"]).select("tid", "lo", F.col("lo").alias("hi"))
-    return stage(marked.unionByName(whole).unionByName(found))
+    return marked.unionByName(whole).unionByName(found)
 
 
 _PACKED = pa.schema([("_tid", pa.int64()), ("samples", pa.binary())])
