@@ -2,9 +2,11 @@
 
 A word is the sum of hashed embeddings of the word, its first bytes and its last bytes. Filters over
 one, two and three words run along the whole text, the largest response of each filter is kept, and a
-logistic layer gives the score. Everything is trained in numpy, in one task, on a bounded sample of
+logistic layer gives the score. The fit is made in numpy, in one task, on a bounded sample of
 labelled rows (``SAMPLE``); rows whose crc32 of doc_id leaves 1 modulo 3 are never learned from.
-The learned sample also gives a rejection threshold for each language; the score itself sees the text alone.
+The sample cuts each label on its own, so the bias is shifted by the log odds of the labels among all
+these rows against those of the sample. All of them are then scored, and the label counts at each cut
+give a rejection threshold for each language; the score itself sees the text alone.
 
 Since filters are linear, the response of each embedding row to each filter position is laid out once,
 and scoring a text is a sum of table rows per word.
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gistline.llm.common import batch, slices, stage
+from gistline.llm.common import batch, slices, small, stage
 from gistline.llm.words import mix, text_bytes, word_hashes, word_spans
 
 SAMPLE = 3000  #: Labelled rows of each label that are learned from, at most about.
@@ -32,6 +34,7 @@ EPOCHS = 6
 SCORED_BYTES = 256 << 10  #: Text scored in one step.
 PRIOR = 10.0  #: A bucket's share of label 1 starts as if seen in so many average texts.
 PREDICTED = 0.7
+CUTS = tuple(round(0.3 + 0.05 * k, 2) for k in range(13))  #: Thresholds that a language may get.
 _EDGE = 4  #: Bytes of the beginning and the end of a word.
 _KINDS = 4
 
@@ -128,8 +131,11 @@ class Model:
                    dict(zip(z["langs"].tolist(), z["cuts"].tolist())))
 
 
-def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, langs: list[str], seed: int = 7) -> Model:
-    """Train on these texts. With one label only, every score is that label's share."""
+def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, true: dict[int, int] | None = None, seed: int = 7) -> Model:
+    """Train on these texts. With one label only, every score is that label's share.
+
+    ``true``: rows of each label where these texts come from; the bias is set for that share.
+    """
     rng = np.random.default_rng(seed)
     starts, stops, first = word_spans(raw, offsets)
     feats = features(raw, starts, stops)
@@ -157,24 +163,15 @@ def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, langs: list[st
     if 0 < labels.sum() < len(labels):
         model.weights[::FILTERS] = 0.5
         _train(model, model.rows(feats), first, labels.astype(np.float32), rng)
-    scores = _all_scores(model, model.rows(feats), first)
-    model.thresholds = thresholds(scores, labels, langs)
+    n = [int((labels == y).sum()) for y in (0, 1)]
+    if true and all(n) and true.get(0) and true.get(1):
+        model.bias += float(np.log(true[1] / true[0]) - np.log(n[1] / n[0]))
     norms = np.abs(model.embed).max(axis=1) > 1e-3
     norms[0] = True
     model.buckets, model.embed = model.buckets[norms[1:]], model.embed[norms]
     return model
 
 
-def _all_scores(model: Model, rows: np.ndarray, first: np.ndarray, step: int = 500) -> np.ndarray:
-    table = model.responses()
-    out = [np.zeros(0)]
-    for a in range(0, len(first) - 1, step):
-        f = first[a:a + step + 1]
-        best, _ = model.pooled(rows[f[0]:f[-1]], f - f[0], table)
-        out.append(model.logistic(best))
-    return np.concatenate(out)
-
-
 def _train(model: Model, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, rng: np.random.Generator, size: int = 100) -> None:
     """Adam over batches of texts; only the words where a filter peaks get a gradient."""
     model.learning = True
@@ -223,18 +220,17 @@ def _train(model: Model, rows: np.ndarray, first: np.ndarray, labels: np.ndarray
     model.learning = False
 
 
-def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 50) -> dict[str, float]:
-    """For each language with enough rows, the score that splits its labels best, from 0.3 to 0.9."""
-    out = {}
-    names = np.array([x or "" for x in langs], dtype=object)
-    cuts = np.round(np.arange(0.3, 0.901, 0.05), 2)
-    for lang in sorted(set(names.tolist())):
-        s, y = scores[names == lang], labels[names == lang]
-        if len(y) < least or not 0 < y.sum() < len(y):
-            continue
-        f1 = [2 * (y * (s >= c)).sum() / max(y.sum() + (s >= c).sum(), 1) for c in cuts]
-        good = cuts[np.array(f1) >= max(f1) - 1e-9]
-        out[lang] = float(good[np.argmin(np.abs(good - PREDICTED))])
+def thresholds(scored: DataFrame, least: int = 50) -> dict[str, float]:
+    """For each language with enough rows (lang, toxic, score), the cut that splits its labels best by F1."""
+    counts = scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("ones"),
+        F.array(*[F.count(F.when(F.col("score") >= c, 1)) for c in CUTS]).alias("above"),
+        F.array(*[F.count(F.when((F.col("score") >= c) & (F.col("toxic") == 1), 1)) for c in CUTS]).alias("hits"))
+    out, cuts = {}, np.array(CUTS)
+    for r in counts.filter((F.col("n") >= least) & (F.col("ones") > 0) & (F.col("ones") < F.col("n"))).orderBy("lang").collect():
+        f1 = np.array([2 * h / max(r["ones"] + a, 1) for h, a in zip(r["hits"], r["above"])])
+        good = cuts[f1 >= f1.max() - 1e-9]
+        out[r["lang"]] = float(good[np.argmin(np.abs(good - PREDICTED))])
     return out
 
 
@@ -242,35 +238,64 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the labelled rows that are not held out."""
+    rows = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
+    return stage(rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+
+
+def label_counts(docs: DataFrame, usable: DataFrame) -> dict[int, int]:
+    """Rows of ``docs`` with each label."""
+    return {r["toxic"]: r["n"] for r in docs.select("doc_id").join(small(usable, 16), "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def sample(docs: DataFrame, usable: DataFrame, counts: dict[int, int], per_label: int = SAMPLE) -> DataFrame:
     """About ``per_label`` labelled rows of each label, chosen by a hash, with their texts."""
-    usable = stage(labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    n = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     keep = F.lit(False)
-    for label, count in n.items():
+    for label, count in counts.items():
         keep = keep | ((F.col("toxic") == label) & (part < int(min(1.0, per_label / count) * (1 << 30))))
-    chosen = usable.filter(keep)  # about 2 * per_label small rows, however large the corpus
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    # Labels may be of rows that are not in ``docs``, so their number is known only by ``small``.
+    return docs.select("doc_id", "text", "lang").join(small(stage(usable.filter(keep)), 16), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> bytes:
+    usable = learnable(labels)
+    counts = label_counts(docs, usable)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The order of rows must not matter: a retry may read them in another.
         rows = sorted((r["doc_id"], r["text"] or "", r["toxic"], r["lang"]) for b in batches for r in
                       b.set_column(3, "lang", b.column("lang").fill_null("")).to_pylist())
         data = [t.encode() for _, t, _, _ in rows]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in data], dtype=np.int64)])
-        model = fit(np.frombuffer(b"".join(data), np.uint8), offsets, np.array([y for _, _, y, _ in rows], np.int64), [x for *_, x in rows])
+        model = fit(np.frombuffer(b"".join(data), np.uint8), offsets, np.array([y for _, _, y, _ in rows], np.int64), counts)
         yield pa.record_batch([pa.array([model.to_bytes()], pa.binary())], names=["model"])
 
     # Written first: the scan stays parallel, and the one training task reads only the sample.
-    chosen = stage(sample(docs, labels, per_label).select("doc_id", "text", F.col("toxic").cast("int"), "lang"))
+    chosen = stage(sample(docs, usable, counts, per_label).select("doc_id", "text", "toxic", "lang"))
     got = chosen.coalesce(1).mapInArrow(run, "model binary").first()
     # A table without rows may have no partition at all, and then no task.
-    return bytes(got["model"]) if got else fit(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64), []).to_bytes()
+    model = Model.from_bytes(bytes(got["model"])) if got else fit(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    model.thresholds = thresholds(_labelled_scores(docs, usable, model))
+    return model.to_bytes()
+
+
+def _labelled_scores(docs: DataFrame, usable: DataFrame, model: Model) -> DataFrame:
+    """lang, toxic and score of every row of ``docs`` that has a label in ``usable``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.from_bytes(shared.value)
+        weights = own.responses()
+        for b in slices(batches, "text", SCORED_BYTES):
+            yield batch(_LABELLED, lang=b.column("lang"), toxic=b.column("toxic"), score=own.scores(*text_bytes(b.column("text")), weights))
+
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string")).join(small(usable, 16), "doc_id").select("text", "lang", "toxic")
+    return rows.mapInArrow(run, "lang string, toxic int, score double")
 
 
+_LABELLED = pa.schema([("lang", pa.string()), ("toxic", pa.int32()), ("score", pa.float64())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("score", pa.float64())])
 
 
@@ -278,7 +303,7 @@ def score(docs: DataFrame, model: bytes, per_label: int = SAMPLE) -> DataFrame:
     """Score of every text, with its language's threshold and whether that rejects it.
 
     Out: doc_id, score, threshold, rejected. Null and empty texts score like any text without words;
-    languages that the sample hardly holds, and null, have the threshold 0.7; repeated rows are scored
+    languages with few labelled rows, and null, have the threshold 0.7; repeated rows are scored
     each; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, a few MB

@@ -57,6 +57,30 @@ def test_labels_of_held_out_rows_do_not_matter(small):
     assert toxic.train(docs, labels) == toxic.train(docs, flipped)
 
 
+def test_share_and_thresholds_of_all_labelled_rows(spark, docs_of):
+    """A sample with as many rows of either label changes neither the share that scores aim at nor the rows that set thresholds."""
+    rows = corpus(500, 9)
+    noisy = {i: 1 - y if i % 7 == 0 else y for i, _, y in rows}
+    docs = docs_of([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y, None, "zz") for i, y in noisy.items()] + [(90_000 + i, 1, 1, None, "zz") for i in range(300)], LABELS)
+    model = toxic.Model.from_bytes(toxic.train(docs, labels, 60))
+    got = {r.doc_id: r.score for r in toxic.score(docs, model.to_bytes()).collect()}
+    learned = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    score, truth = np.array([got[i] for i in learned]), np.array([noisy[i] for i in learned])
+    f1 = {c: 2 * ((score >= c) & (truth == 1)).sum() / max(truth.sum() + (score >= c).sum(), 1) for c in toxic.CUTS}
+    best = [c for c, v in f1.items() if v >= max(f1.values()) - 1e-9]
+    assert model.thresholds == {"en": min(best, key=lambda c: abs(c - toxic.PREDICTED))}
+    usable = toxic.learnable(labels)
+    counts = toxic.label_counts(docs, usable)
+    assert counts == {0: int((truth == 0).sum()), 1: int(truth.sum())}
+    chosen = sorted((r.doc_id, r.text, r.toxic) for r in toxic.sample(docs, usable, counts, 60).collect())
+    y = np.array([x[2] for x in chosen])
+    data = [t.encode() for _, t, _ in chosen]
+    plain = toxic.fit(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]), y)
+    assert 30 < y.sum() < 90 and 30 < (1 - y).sum() < 90
+    assert model.bias - plain.bias == pytest.approx(np.log(counts[1] / counts[0]) - np.log(y.sum() / (1 - y).sum()))
+
+
 def test_scores_depend_on_the_text_alone(small, docs_of, odd_pairs):
     from pyspark.sql import functions as F
 
