@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from gistline.llm.common import batch, slices, stage
 from gistline.llm.words import mix, powers, text_bytes, word_hashes, word_spans
 
-MASKS = ("110100110101", "101101001011", "111001011001")
+#: In 14 words or more, some mask keeps a seed whichever two words are exchanged.
+MASKS = ("111100010011", "101011110001", "100010101111")
 SPAN = len(MASKS[0])
 FILTER_BITS = 24  #: The filter has 2^24 bits (2 MiB); a hash is looked up by its top and by its low bits.
 REACH = 128  #: Words kept on either side of the hits of a region.
@@ -134,17 +135,27 @@ def regions(docs: DataFrame, keep: np.ndarray, short: list[int]) -> DataFrame:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, least: int) -> tuple[int, int, int] | None:
-    """First place in ``item``, length and equal words of the best stretch of ``item`` against ``doc[shift:]``."""
+    """First place in ``item``, length and equal words of the best stretch of ``item`` against ``doc[shift:]``.
+
+    Of all stretches with at most one differing word for ``MISMATCH`` equal ones, the one with most equal words; of
+    these the shortest, then the first.
+    """
     a, z = max(0, -shift), min(len(item), len(doc) - shift)
     if z - a < min(least, len(item)):
         return None
     same = doc[a + shift:z + shift] == item[a:z]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
-    equal = int(same[begin:end].sum())
-    return (a + begin, end - begin, equal) if equal >= min(least, len(item)) else None
+    at = np.flatnonzero(same)
+    if len(at) < min(least, len(item)) or not len(at):
+        return None
+    # Such a stretch begins and ends with equal words i and j, and (MISMATCH + 1) * (j - i + 1) >= MISMATCH * its length.
+    level = (MISMATCH + 1) * np.arange(len(at)) - MISMATCH * at
+    low = np.minimum.accumulate(level)
+    begin = np.searchsorted(-low, -(level + 1))  # the first equal word from which the stretch may run to each
+    equal = np.arange(len(at)) - begin + 1
+    most = np.flatnonzero(equal == equal.max())
+    end = int(most[np.argmin(at[most] - at[begin[most]])])
+    first, n = int(at[begin[end]]), int(equal[end])
+    return (a + first, int(at[end]) - first + 1, n) if n >= min(least, len(item)) else None
 
 
 _FOUND = pa.schema([

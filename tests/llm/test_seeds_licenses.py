@@ -61,6 +61,38 @@ def test_overlaps_against_brute_force(docs_of, benchmark):
     assert seeds.overlaps(docs_of(pairs), items.limit(0)).collect() == []
 
 
+def plain_overlap(own, words):
+    """Most equal words of any stretch with at least min(12, item) equal and a fifth differing at most; by trying all."""
+    best = 0
+    for shift in range(-len(words) + 1, len(own)):
+        same = [0 <= k + shift < len(own) and own[k + shift] == w for k, w in enumerate(words)]
+        for a in range(len(words)):
+            for z in range(a + 1, len(words) + 1):
+                n = sum(same[a:z])
+                if a + shift >= 0 and z + shift <= len(own) and n >= min(12, len(words)) and 5 * (z - a - n) <= z - a:
+                    best = max(best, n)
+    return best
+
+
+def test_exchanged_words_of_short_items(spark, docs_of):
+    """Items of 13 to 21 words with any one word, or any two words, exchanged."""
+    lengths = range(13, 22)
+    texts = {n: [f"i{n}w{k}" for k in range(n)] for n in lengths}
+    pairs = []
+    for n in lengths:
+        for gone in [*itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            own = [f"x{k}" if k in gone else w for k, w in enumerate(texts[n])]
+            pairs.append((n * 10_000 + len(pairs), " ".join(["before", "it", *own, "and", "after"])))
+    items = spark.createDataFrame([(n, " ".join(t), 0, 0) for n, t in texts.items()], ITEMS)
+    want = {}
+    for d, t in pairs:
+        n = plain_overlap(t.split(), texts[d // 10_000])
+        if n:
+            want[d, d // 10_000] = n
+    assert len(want) > 1200
+    assert {(g.doc_id, g.item_id): g.n_equal for g in seeds.overlaps(docs_of(pairs), items).collect()} == want
+
+
 def test_license_scan(docs_of):
     mit = licenses.WORDINGS["MIT"]
     pairs = [
