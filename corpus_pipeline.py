@@ -15,8 +15,8 @@ from gistline.llm.common import free, ship, small, stage, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-PASSAGE_BYTES = 240  #: A repeated passage has at least so many bytes ...
-PASSAGE_WORDS = 50  #: ... and so many words.
+PASSAGE_WORDS = 50  #: A repeated passage has at least so many words ...
+PASSAGE_BYTES = suffix.least_bytes(PASSAGE_WORDS)  #: ... and so at least these bytes.
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

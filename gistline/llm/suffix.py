@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as ST
 
 from gistline.llm.common import batch, free, ship, slices, small, stage
 from gistline.sources.staging import staged_tables
-from gistline.llm.words import BYTE, mix, powers
+from gistline.llm.words import BYTE, mix, powers, word_spans
 
 LENGTH = 400
 BLOCK = 16  #: Starts in a block; fewer for short strings.
@@ -580,33 +580,73 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     return done if with_text else done.drop("kept")
 
 
+_CORES = pa.schema([(c, pa.int64()) for c in ("tid", "lo", "h", "g")])
+
+
+def least_bytes(min_words: int) -> int:
+    """Bytes that so many words have at least: one each, and a blank between two."""
+    return max(1, 2 * min_words - 1)
+
+
+def _repeating_runs(marked: DataFrame, name: str, min_words: int) -> DataFrame:
+    """tid and ``los``, the beginnings of those ranges that hold a string of ``min_words`` words that is in ranges twice.
+
+    Any such string holds one from the last byte of a word to the first byte of the last of ``min_words`` words.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            tids, ranges = b.column("tid").to_numpy(), b.column(name).to_pylist()
+            for i, raw in _texts(b):
+                runs = np.frombuffer(ranges[i], np.int64).reshape(-1, 2)
+                starts, stops, _ = word_spans(raw, np.array([0, len(raw)]))
+                if len(starts) < min_words:
+                    continue
+                a, z = stops[:len(stops) - min_words + 1] - 1, starts[min_words - 1:] + 1
+                own = np.searchsorted(runs[:, 0], a, side="right") - 1
+                inside = (own >= 0) & (z <= runs[own, 1])
+                a, z, own, h = a[inside], z[inside], own[inside], Prefix(raw)
+                if len(a):
+                    yield batch(_CORES, tid=np.full(len(a), tids[i]), lo=runs[own, 0], h=h.of(a, z), g=h.of(a, z, 1))
+
+    cores = stage(marked.select("tid", "text", name).filter(F.col(name).isNotNull()).mapInArrow(run, "tid long, lo long, h long, g long"))
+    twice = stage(cores.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("_h"), F.col("g").alias("_g")))
+    twice = small(twice, 16)
+    held = cores.join(twice, (cores.h == twice["_h"]) & (cores.g == twice["_g"]), "left_semi")
+    return stage(held.groupBy("tid").agg(F.collect_set("lo").alias("los")))
+
+
 def without_passages(docs: DataFrame, length: int, min_words: int) -> DataFrame:
     """``docs`` (with all its columns) without passages of ``min_words`` words or more that repeat.
 
     A passage is a maximal run of bytes covered by strings of ``length`` bytes that start elsewhere
-    too. Bytes of characters that a passage cuts through go with it. Rows that lose all their text are
+    too, and holds a string of ``min_words`` words that does; several shorter repeats side by side are
+    none. With ``least_bytes(min_words)`` as ``length`` the words alone decide. Bytes of characters that a passage cuts through go with it. Rows that lose all their text are
     dropped; ``n_chars``, where there is such a column, is renewed.
     """
     ship(docs.sparkSession)
     name = free(docs, "_ranges")
-    found = removal_ranges(docs, length, name).select(*docs.columns, name)
+    tid, los = free(docs, "_run_tid"), free(docs, "_run_los")
+    found = removal_ranges(docs, length, name).withColumn(tid, F.xxhash64(F.coalesce("text", F.lit(""))))
+    held = _repeating_runs(found.select(F.col(tid).alias("tid"), F.col("text").alias("text"), name), name, min_words)
+    held = small(held.select(F.col("tid").alias(tid), F.col("los").alias(los)), F.size(los) * 8 + 64)
+    found = found.join(held, tid, "left").select(*docs.columns, name, los)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             texts, keep = [], []
-            for (i, raw), ranges in zip(_texts(b), b.column(name).to_pylist()):
+            for (i, raw), ranges, held_los in zip(_texts(b), b.column(name).to_pylist(), b.column(los).to_pylist()):
                 old = b.column("text")[i].as_py()
-                if not ranges:
+                if not ranges or not held_los:
                     texts.append(old)
                     keep.append(i)
                     continue
-                data = raw.tobytes()
-                gone = [(a, z) for a, z in np.frombuffer(ranges, np.int64).reshape(-1, 2).tolist() if len(data[a:z].split()) >= min_words]
+                data, begins = raw.tobytes(), set(held_los)
+                gone = [(a, z) for a, z in np.frombuffer(ranges, np.int64).reshape(-1, 2).tolist() if a in begins]
                 kept = b"".join(data[a:z] for a, z in zip([0, *[z for _, z in gone]], [*[a for a, _ in gone], len(data)])).decode("utf-8", "ignore")
                 if kept.strip() or not gone:
                     texts.append(kept if gone else old)
                     keep.append(i)
-            part = b.drop_columns([name]).take(pa.array(keep, pa.int64()))
+            part = b.drop_columns([name, los]).take(pa.array(keep, pa.int64()))
             part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield part
 

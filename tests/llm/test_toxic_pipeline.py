@@ -168,6 +168,23 @@ def test_stages(spark, tables):
     assert {d for d in cut if d not in final} == {1100, 1101}
 
 
+def test_passages_of_short_words(spark, docs_of, tmp_path):
+    """51 words of two bytes repeat, 49 do not count, nor do three shorter repeats side by side."""
+    def words(seed, n):
+        r = random.Random(seed)
+        return " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("0123456789") for _ in range(n))
+
+    long, short, parts = words(1, 51), words(2, 49), [words(3 + k, 40) for k in range(3)]
+    assert len(long.encode()) < 240
+    rows = [(k, f"{words(20 + k, 60)}\n{long}\n{words(30 + k, 60)}") for k in range(2)]
+    rows += [(10 + k, f"{words(40 + k, 60)}\n{short}\n{words(50 + k, 60)}") for k in range(2)]
+    rows += [(20, f"{words(60, 60)}\n" + " ".join(parts))] + [(21 + k, f"{words(61 + k, 60)}\n{p} {words(70 + k, 60)}") for k, p in enumerate(parts)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_passages(spark, docs_of(rows), str(tmp_path)).collect()}
+    assert set(got) == {d for d, _ in rows}
+    assert all(long[2:-2] not in got[k] and got[k].startswith(words(20 + k, 60)) and got[k].endswith(words(30 + k, 60)) for k in range(2))
+    assert all(got[d] == t for d, t in rows if d >= 10)
+
+
 def test_whole_run(spark, tables):
     folder, _, _ = tables
     got = corpus_pipeline.run(spark, folder).collect()
