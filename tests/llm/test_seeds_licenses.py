@@ -1,4 +1,5 @@
 import itertools
+import textwrap
 
 import numpy as np
 import pytest
@@ -114,6 +115,20 @@ def test_license_scan(docs_of):
     assert licenses.scan(docs_of(pairs).limit(0)).collect() == []
 
 
+def test_wordings_wrapped_and_inside_long_lines(docs_of):
+    """Every wording wrapped at 70 columns, in paragraphs, and inside a line of 5 KB, under comment signs too."""
+    pairs, want = [], {}
+    for name, text in licenses.WORDINGS.items():
+        wrapped = textwrap.wrap(text, 70)
+        for block in ("\n".join(wrapped), "\n\n".join(wrapped), "\n".join("    # " + x for x in wrapped), f"{prose(5, 450)} {text} {prose(6, 450)}".replace("\n", " ")):
+            want[len(pairs)] = name
+            pairs.append((len(pairs), f"{prose(7, 30)}\n{block}\n\n{prose(8, 30)}"))
+    got = licenses.scan(docs_of(pairs)).collect()
+    found = {(g.doc_id, g.license): g.n_differences for g in got if g.confirmed}
+    assert [(d, n) for d, n in want.items() if found.get((d, n)) != 0] == []
+    assert {g.license for g in got if g.confirmed and g.doc_id in {d for d, n in want.items() if n == "Apache-2.0"}} == {"Apache-2.0"}
+
+
 def test_ranking_against_every_wording():
     """The ranking is by what each wording saves, tried one by one."""
     import zstandard
