@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gistline.sources.staging import new_folder, stage
 
-__all__ = ["stage", "new_folder", "table", "slices", "number_rows", "small", "free", "batch", "TEXT_BYTES", "BROADCAST_BYTES"]
+__all__ = ["stage", "new_folder", "table", "slices", "number_rows", "number_in_order", "small", "free", "batch", "TEXT_BYTES", "BROADCAST_BYTES"]
 
 TEXT_BYTES = 1 << 20  #: Text that one step of a Python task handles at once; a longer text comes alone.
 BROADCAST_BYTES = 32 << 20  #: Tables up to this size may be copied to every executor.
@@ -93,6 +93,29 @@ def number_rows(df: DataFrame, by: list[str], key: list[str], name: str, buckets
         .drop("_bucket", "_row", "_offset", "_at", *[f"_by_{c}" for c in by]))
 
 
+def number_in_order(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` as a table whose rows are numbered from 0 in the given order, as column ``name``.
+
+    Rows are dealt by ranges of ``order`` and sorted there, so no group is in one task unless its
+    rows are equal in every column of the order; those come in any order. One count for each task
+    is summed up on the driver.
+    """
+    part, at = free(df, "_part"), free(df, "_at")
+    dealt = stage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before, total = [], 0
+    for p, n in sorted(map(tuple, dealt.groupBy(part).agg(F.count(F.lit(1))).collect())):
+        before.append((p, total))
+        total += n
+    offset = free(df, "_offset")
+    offsets = df.sparkSession.createDataFrame(before, f"{part} int, {offset} long")
+    return (
+        dealt.join(F.broadcast(offsets), part)
+        .withColumn(name, F.col(at) + F.col(offset)).drop(part, at, offset))
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has such a column."""
     while name.lower() in (c.lower() for c in df.columns):
