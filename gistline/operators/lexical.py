@@ -1,19 +1,27 @@
-"""Declarations of source files found line by line, without a grammar.
-
-Strings and comments are blanked, brackets counted, declaration lines matched by one pattern
-chain per language. A declaration ends where the bracket depth (Python: the indentation) first
-comes back to its own; nesting follows from the spans.
-
-Known limits: one declaration per line; constructor parameters are not listed; variables inside
-functions are left out on purpose.
+"""Declarations, doc comments and bracket errors of source files, without a grammar.
+
+Strings and comments are blanked in place, so every character keeps its offset. The rest is cut into
+pieces that end in a bracket, a semicolon or the line's end; running sums over the pieces give each
+piece its offset in the file and its bracket depth. What belongs together is then found per
+(file, depth): at one depth opening and closing brackets take turns, so a bracket's partner, the
+bracket around a declaration and the place where a declaration ends are its neighbours among the
+pieces of that depth. ``scan`` finds them by spans, with one row for a piece however deep it stands.
+Declarations are nested by the same rule, over their own beginnings and ends.
+
+Known limits: variables inside functions are left out on purpose; a type in braces before a body
+(``f(): { a: number } {``) ends the declaration; raw strings over several lines that hold a comment
+sign, and statements that go on behind an operator the rules below do not name, are cut there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import text as T
-from gistline.operators.scan import once, scan
+from gistline.operators.scan import once, scan, span_of
+from gistline.operators.trees import paths
 from gistline.sources.staging import stage
 
 _NAME = "([A-Za-z_$][A-Za-z0-9_$]*)"
@@ -22,14 +30,19 @@ _VARIABLES = ["property", "field", "const"]
 
 # Words that may stand before a declaration, by language.
 MODIFIERS = {
-    "kotlin": "public private protected internal open abstract final sealed data inner enum annotation value "
-              "inline override suspend tailrec operator infix external const lateinit companion expect actual",
-    "java": "public private protected static final abstract synchronized native strictfp default transient volatile sealed",
-    "typescript": "export default declare abstract async public private protected static readonly override",
-    "javascript": "export default async static",
-    "python": "async",
-    "go": "",
-    "rust": "pub async unsafe const extern default",
+    "kotlin": [
+        "public", "private", "protected", "internal", "open", "abstract", "final", "sealed", "data", "inner", "enum", "annotation",
+        "value", "inline", "override", "suspend", "tailrec", "operator", "infix", "external", "const", "lateinit", "companion",
+        "expect", "actual"],
+    "java": [
+        "public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "strictfp", "default",
+        "transient", "volatile", "sealed"],
+    "typescript": [
+        "export", "default", "declare", "abstract", "async", "public", "private", "protected", "static", "readonly", "override"],
+    "javascript": ["export", "default", "async", "static"],
+    "python": ["async"],
+    "go": [],
+    "rust": ["pub", "async", "unsafe", "const", "extern", "default"],
 }
 
 # Declaration forms: (kind, text after the modifiers with the name as group). The first match counts.
@@ -80,190 +93,386 @@ FORMS = {
     ],
 }
 
-_TRIPLE = "\"\"\"|'''"
-_TRIPLE_CLOSED = r'""".*?"""' + r"|'''.*?'''"
-# Escapes are removed first, so that a string is a run of one character class: Java matches that in
-# a loop, while alternatives in a repetition recurse and overflow the stack on long lines.
-_ESCAPES = r"\\."
-_STRINGS = r'"[^"]*"' + r"|'[^']*'|`[^`]*`"
-_RUST_STRINGS = r'"[^"]*"' + r"|'[^']?'"
+# Which languages end a statement at the line's end, and how a line goes on with the one before or after it.
+_LINE_ENDS = ["kotlin", "typescript", "javascript", "go", "python"]
+_GOES_ON = r"^\s*(?:[.?:=&|{,]|->|(?:where|extends|implements|throws|with|by)\b)"
+_ACCESSOR = r"^\s*(?:(?:private|protected|internal)\s+)?(?:get|set)\b\s*(?:\(|=|\z)"
+_HANGS = r"(?:[=*/&|<?:.]|->|=>|(?<!\+)\+|(?<!-)-)\s*\z"
+_WITH_SEMICOLON = ["java", "typescript", "javascript", "rust"]
+_ANNOTATION = r"^\s*(?:@[A-Za-z_][A-Za-z0-9_.]*(?:\([^()]*\))?\s*)+\z"
+_PARAMETER = rf"[(,]\s*(?:@[A-Za-z0-9_.]+(?:\([^)]*\))?\s+)*((?:(?:@MODS@)\s+)*(?:val|var)\s+{_NAME}\s*:[^,()<]*(?:<[^>]*>[^,()<]*)*)"
+
+# Tokens of a line whose escapes are blanked already, so that a string is a run of one character
+# class: Java matches that in a loop, while alternatives in a repetition recurse and overflow the
+# stack on long lines. What opens and does not end on the line is a token up to its end.
+_COMMENT = r"/\*.*?\*/|/\*.*|//.*"
+_TOKENS = {
+    ("kotlin", "java"): '""".*?"""|""".*|"[^"]*"|\'[^\']*\'|' + _COMMENT + r"""|[^"'/]+|.""",
+    ("typescript", "javascript", "go"): '"[^"]*"|\'[^\']*\'|`[^`]*`|`.*|' + _COMMENT + r"""|[^"'`/]+|.""",
+    ("python",): '""".*?"""|""".*|\'\'\'.*?\'\'\'|\'\'\'.*|"[^"]*"|\'[^\']*\'|#.*' + r"""|[^"'#]+|.""",
+    ("rust",): '"[^"]*"|\'[^\']?\'|' + _COMMENT + r"""|[^"'/]+|.""",
+}
+# What opens and closes text over several lines, and how such text ends.
+_RAW = {
+    ("kotlin", "java"): (['"""'], r'^.*?"""'), ("typescript", "javascript", "go"): (["`"], r"^[^`]*`"),
+    ("python",): (['"""', "'''"], "^.*?(?:\"\"\"|''')")}
+_IS_COMMENT_LINE = r"^\s*(?://|\*|/\*|#)"
+
+
+def _by_language(table: dict, value) -> Column:
+    """The value for the row's language, null for others."""
+    out = F.lit(None)
+    for languages, item in table.items():
+        out = F.when(F.col("language").isin(*languages), value(item)).otherwise(out)
+    return out
 
 
 def _prefix(language: str) -> str:
-    words = "|".join(MODIFIERS[language].split())
+    words = "|".join(MODIFIERS[language])
     # A Java modifier must not be taken for a return type, so there the prefix gives nothing back.
     many = "*+" if language == "java" else "*"
     return rf"^\s*(?:@[A-Za-z0-9_.]+(?:\([^)]*\))?\s+)*((?:(?:{words or '(?!)'})(?:\([^)]*\))?\s+){many})"
 
 
+def _tokens(text: Column | str) -> Column:
+    return _by_language(_TOKENS, lambda p: F.regexp_extract_all(text, F.lit(f"(?:{p})"), F.lit(0)))
+
+
+def _blanked(tokens: Column) -> Column:
+    """The text of the tokens, of the same length: comments as blanks, strings as blanks between their quotes."""
+    def blank(t: Column) -> Column:
+        inner = F.repeat(F.lit(" "), F.length(t) - 2)
+        return (
+            F.when(t.rlike(r"^(?://|/\*|#)"), F.repeat(F.lit(" "), F.length(t)))
+            .when((F.length(t) > 1) & t.rlike("^[\"'`]"), F.concat(F.left(t, F.lit(1)), inner, F.left(t, F.lit(1))))
+            .otherwise(t))
+
+    return F.array_join(F.transform(tokens, blank), "")
+
+
 def code_text(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """Lines (file_id, language, line_no, line) with ``code``: strings blanked, comments removed."""
+    """Lines (file_id, language, line_no, line) with ``code``, as long as the line, strings and comments
+    blanked; ``in_comment`` and ``in_raw`` say where the line begins."""
     line, python = F.col("line"), F.col("language") == "python"
-    bare = F.regexp_replace(line, _ESCAPES, "")
-    triple = F.regexp_replace(bare, _TRIPLE_CLOSED, '""')
-
-    def plain(c: Column) -> Column:
-        strings = F.when(F.col("language") == "rust", F.regexp_replace(c, _RUST_STRINGS, '""')).otherwise(
-            F.regexp_replace(c, _STRINGS, '""'))
-        return F.regexp_replace(F.regexp_replace(strings, r"/\*.*?\*/", " "), r"//.*\z", "")
-
-    ready = once(once(lines, "triple", F.when(python, triple)), "plain", F.when(~python, plain(bare)))
-    state = F.when(F.col("plain").contains("/*"), 1).when(line.contains("*/"), 0)
-    toggles = F.when(python, F.size(F.split("triple", _TRIPLE)) - 1)
-    known = scan(ready, key=["file_id"], span=span, before={"comment": F.when(~python, state)}, running={"quotes": toggles})
-    in_comment = F.col("comment") == 1
-    in_quotes = (F.col("quotes") - F.coalesce(toggles, F.lit(0))) % 2 == 1
-    python_code = F.regexp_replace(
-        F.regexp_replace(F.element_at(F.split("triple", _TRIPLE), 1), _STRINGS, '""'), r"#.*\z", "")
-    code = (
-        F.when(python, F.when(in_quotes, "").otherwise(python_code))
-        .when(in_comment, F.when(line.contains("*/"), plain(F.regexp_replace(bare, r"^.*?\*/", ""))).otherwise(""))
-        .when(F.col("plain").contains("/*"), F.regexp_replace("plain", r"/\*.*\z", ""))
-        .otherwise(F.col("plain")))
-    inside = F.when(python, in_quotes).otherwise(F.coalesce(in_comment, F.lit(False)))
-    return known.withColumn("code", code).withColumn("inside", inside).select(
-        "file_id", "language", "line_no", "line", "code", "inside")
-
-
-def _count(c: str, chars: str) -> Column:
-    return F.length(c) - F.length(F.translate(F.col(c), chars, ""))
-
-
-def _depths(coded: DataFrame, span: int | None) -> DataFrame:
-    delta = _count("code", "([{") - _count("code", ")]}")
-    return scan(once(coded, "delta", delta), key=["file_id"], span=span, running={"depth_after": F.col("delta")}).withColumn(
-        "depth_before", F.col("depth_after") - F.col("delta"))
-
-
-def _declaration() -> Column:
-    """What a line of ``code`` declares: (kind, name, prefix), null if nothing."""
+    known = lines.filter(F.col("language").isin(*FORMS)).select(
+        "file_id", "language", "line_no", F.coalesce("line", F.lit("")).alias("line"))
+    ready = once(known, "bare", F.regexp_replace(line, r"\\.", "  "))
+    ready = once(ready, "tokens", _tokens("bare"))
+    ready = once(ready, "first_code", _blanked(F.col("tokens"))).withColumn("last", F.try_element_at("tokens", F.lit(-1))).drop("tokens")
+    # The last token opens a comment or a raw string that the line does not close.
+    last = F.col("last")
+    comment = last.startswith("/*") & ~((F.length(last) > 3) & last.endswith("*/")) & ~python
+    state = F.when(F.coalesce(comment, F.lit(False)), 1).when(~python & line.contains("*/"), 0)
+    opens = reduce(Column.__or__, [
+        F.col("language").isin(*languages) & last.startswith(mark) & ~((F.length(last) >= 2 * len(mark)) & last.endswith(mark))
+        for languages, (marks, _) in _RAW.items() for mark in marks])
+    toggles = F.when(opens & ~line.rlike(_IS_COMMENT_LINE), 1)
+    found = scan(ready.withColumns({"state": state, "toggles": toggles}).drop("last"), key=["file_id"], span=span,
+                 before={"comment": F.col("state")}, running={"marks": F.col("toggles")})
+    in_comment = F.coalesce(F.col("comment") == 1, F.lit(False))
+    in_raw = ~in_comment & ((F.col("marks") - F.coalesce("toggles", F.lit(0))) % 2 == 1)
+    skip = F.when(in_comment, F.length(F.regexp_extract("line", r"^.*?\*/", 0))).when(
+        in_raw, F.length(_by_language(_RAW, lambda raw: F.regexp_extract("bare", raw[1], 0))))
+    skip = F.when(skip == 0, F.length(line)).otherwise(skip)
+    rest = F.concat(F.repeat(F.lit(" "), F.col("skip")), _blanked(_tokens(F.substr("bare", F.col("skip") + 1))))
+    code = F.when(F.col("skip").isNull(), F.col("first_code")).otherwise(rest)
+    return found.withColumn("skip", skip.cast("int")).select(
+        "file_id", "language", "line_no", "line", code.alias("code"), in_comment.alias("in_comment"), in_raw.alias("in_raw"))
+
+
+def _declaration(text: Column) -> Column:
+    """What a statement that begins with ``text`` declares: (kind, name, prefix), null if nothing."""
     decl = F.lit(None)
     for language, forms in FORMS.items():
         chain = F.lit(None)
         for kind, form in reversed(forms):
             pattern = _prefix(language) + form
-            found = F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 2).alias("name"),
-                             F.regexp_extract("code", pattern, 1).alias("prefix"))
-            chain = F.when(F.col("code").rlike(pattern), found).otherwise(chain)
+            found = F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 2).alias("name"),
+                             F.regexp_extract(text, pattern, 1).alias("prefix"))
+            chain = F.when(text.rlike(pattern), found).otherwise(chain)
         decl = F.when(F.col("language") == language, chain).otherwise(decl)
     return decl
 
 
-def declarations(coded: DataFrame) -> DataFrame:
-    """Lines that declare something, with ``decl``."""
-    return once(coded, "decl", _declaration()).filter("decl IS NOT NULL")
+def _parameters(text: Column) -> Column:
+    """Properties that a parameter list declares: (at, kind, name, prefix), by their place in ``text``."""
+    pattern = _PARAMETER.replace("@MODS@", "|".join(MODIFIERS["kotlin"]))
+    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.when((F.col("language") == "kotlin") & text.rlike(r"\b(?:val|var)\b"), F.transform(words, lambda w: F.struct(
+        (F.instr(text, w) - 1).alias("at"), F.lit("property").alias("kind"),
+        F.regexp_extract(w, rf"(?:val|var)\s+{_NAME}", 1).alias("name"), F.regexp_extract(w, r"^(.*?)(?:val|var)\s", 1).alias("prefix"),
+        F.length(F.rtrim(w)).alias("chars"))))
 
 
-def _outline_rows(lines: DataFrame, span: int | None) -> DataFrame:
-    """What the spans need of each line, written once: depths, indentation, declaration.
+def code_pieces(lines: DataFrame, span: int | None = None) -> DataFrame:
+    """The pieces of all lines, written once; later steps read this table and not the texts.
 
-    Later steps read this several times; the text itself goes along for declarations only.
-    """
-    line, code, decl = F.col("line"), F.col("code"), F.col("decl")
-    deep = once(_depths(code_text(lines, span), span), "decl", _declaration())
-    return stage(deep.select(
-        "file_id", "language", "line_no", "depth_before", "depth_after", "decl",
-        (F.length(line) - F.length(F.ltrim(line))).alias("indent"),
-        ((T.trim(line) != "") & ~F.trim(line).startswith("#")).alias("is_text"),
-        ((F.trim(code) != "") & (F.col("depth_before") == 0)).alias("is_logical"),
-        F.when(decl.isNotNull(), line).alias("line"), F.when(decl.isNotNull(), code).alias("code"),
-    ).filter("is_text OR depth_after < depth_before"))
-
-
-def _spans(deep: DataFrame, span: int | None) -> DataFrame:
-    """Declarations with their last line.
-
-    Where the depth falls from a to b, the levels b..a-1 close (for Python: where a logical line
-    follows one with more or equal indentation). Per (file, level) a declaration takes the next
-    closing after it, so this is one scan with the level as a part of the key.
+    One row per bracket, semicolon and line end: file_id, language, line_no, c, start, end (offsets in
+    the file, end exclusive), depth_before, depth_after, ``pad`` (blanks before c); ``decl`` and ``parameters`` where a statement
+    begins, at offset ``begin``; ``first`` on a line's first piece. On line ends what the line is:
+    blank, comment, annotation, and how it goes on. Offsets are those of the text with one sign for a line end.
     """
-    at = F.col("line_no")
+    line, code = F.col("line"), F.col("code")
+    coded = code_text(lines, span)
+    blank = F.trim(code) == ""
+    is_text = T.trim(line) != ""
     python = F.col("language") == "python"
-    py = scan(deep.filter(python), key=["file_id"], span=span, before={
-        "last_text": F.when(F.col("is_text"), at), "last_indent": F.when(F.col("is_logical"), F.col("indent"))})
-    closes_py = py.filter("is_logical AND indent <= last_indent").select(
-        "file_id", F.explode(F.sequence(F.col("indent").cast("bigint"), F.col("last_indent").cast("bigint"))).alias("level"),
-        (at * 2).alias("ord"), F.col("last_text").alias("end"))
-    closes = deep.filter(~python & (F.col("depth_after") < F.col("depth_before"))).select(
-        "file_id", F.explode(F.sequence("depth_after", F.col("depth_before") - 1)).alias("level"), (at * 2).alias("ord"),
-        at.alias("end"))
-    own = F.when(python, F.col("indent")).otherwise(F.col("depth_before"))
-    one_line = ~python & (F.col("depth_after") <= F.col("depth_before"))
-    opened = deep.filter("decl IS NOT NULL").select(
-        "file_id", own.cast("bigint").alias("level"), (at * 2 + 1).alias("ord"), F.lit(None).cast("bigint").alias("end"),
-        F.struct("language", "line_no", "line", "code", "decl", one_line.alias("one_line")).alias("row"))
-    both = closes.unionByName(closes_py).withColumn(
-        "row", F.lit(None).cast(opened.schema["row"].dataType)).unionByName(opened)
-    ended = scan(both, key=["file_id", "level"], pos="ord", span=span, after={"close": F.col("end")}).filter("row IS NOT NULL")
-    last = deep.filter("is_text").groupBy("file_id").agg(F.max("line_no").alias("last_line"))
-    hi = F.when(F.col("row.one_line"), F.col("row.line_no")).otherwise(F.coalesce("close", "last_line"))
-    return ended.join(last, "file_id", "left").select(
-        "file_id", "row.language", F.col("row.line_no").alias("line_lo"), hi.alias("line_hi"),
-        F.col("row.decl.kind").alias("kind"), F.col("row.decl.name").alias("name"),
-        F.col("row.decl.prefix").alias("prefix"), F.col("row.line").alias("line"), F.col("row.code").alias("code"))
-
-
-def lexical_symbols(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """Symbol table of the files: names, kinds, modifiers, signatures, spans, parents."""
-    from gistline.operators.symbols import LINES_PER_BUCKET
-
-    found = _spans(_outline_rows(lines, span), span)
-    kind = F.col("kind")
-    named = stage(found.withColumn("name", F.when(kind == "companion", "Companion").otherwise(F.col("name"))).withColumn(
-        "kind", F.when(kind == "companion", "object").otherwise(kind)))
-    # Ancestors by buckets of lines, as for enclosing symbols; a declaration has few.
-    own, outer = named.alias("s"), named.select(
-        "file_id", F.col("line_lo").alias("lo"), F.col("line_hi").alias("hi"), F.col("name").alias("outer_name"),
-        F.col("kind").alias("outer_kind"), F.explode(F.sequence(
-            F.expr(f"line_lo div {LINES_PER_BUCKET}"), F.expr(f"line_hi div {LINES_PER_BUCKET}"))).alias("bucket")).alias("o")
-    on = (F.col("s.file_id") == F.col("o.file_id")) & (F.expr(f"s.line_lo div {LINES_PER_BUCKET}") == F.col("o.bucket")) \
-        & (F.col("o.lo") < F.col("s.line_lo")) & (F.col("o.hi") >= F.col("s.line_lo"))
-    above = own.join(outer, on).groupBy(F.col("s.file_id").alias("file_id"), F.col("s.line_lo").alias("line_lo")).agg(
-        F.array_sort(F.collect_list(F.struct("lo", "outer_name", "outer_kind"))).alias("above"))
-    placed = named.join(above, ["file_id", "line_lo"], "left")
-    outer_names = F.transform("above", lambda a: a["outer_name"])
-    nearest = F.element_at("above", -1)
-    path = F.when(F.col("above").isNotNull(), F.array_join(outer_names, "."))
-    top_kinds = F.when(kind == "function", F.when(F.col("above").isNotNull(), "method").otherwise(kind)).when(
-        kind == "property", F.when(F.col("above").isNotNull(), "field").otherwise(kind)).otherwise(kind)
-    words = F.filter(F.split(F.trim(F.col("prefix")), r"\s+"), lambda w: w != "")
-    head = F.when((F.col("language") != "python") & F.col("code").contains("{"),
-                  F.regexp_replace("line", r"\{.*\z", "")).otherwise(F.col("line"))
-    in_function = F.coalesce(nearest["outer_kind"].isin(*_FUNCTIONS), F.lit(False))
-    member_only = kind.isin("constructor", "field") | ((kind == "method") & (F.col("language") != "go"))
-    fits = F.when(in_function, ~kind.isin(*_VARIABLES) & ~member_only).when(
-        F.col("above").isNull(), ~member_only).when(kind == "constructor", nearest["outer_name"] == F.col("name")).otherwise(True)
-    return placed.filter(fits).select(
-        "file_id", "language", "name", F.concat_ws(".", path, "name").alias("qualified_name"),
-        path.alias("parent_qualified_name"), top_kinds.alias("kind"), F.array_distinct(words).alias("modifiers"),
-        T.compact_ws(head).alias("signature"), "line_lo", "line_hi")
+    info = F.struct(
+        blank.alias("blank"), is_text.alias("is_text"),
+        (is_text & blank & ~F.col("in_raw") & (~python | F.trim(line).startswith("#"))).alias("comment"),
+        F.col("in_comment").alias("in_comment"), F.col("in_raw").alias("in_raw"), code.rlike(_ANNOTATION).alias("annotation"),
+        (F.col("in_raw") | code.rlike(_GOES_ON) | ((F.col("language") == "kotlin") & code.rlike(_ACCESSOR))).alias("goes_on"),
+        (~python & code.rlike(_HANGS)).alias("hangs"), code.rlike(r",\s*\z").alias("comma"),
+        F.length(F.rtrim(line)).cast("bigint").alias("chars"), F.length(line).cast("bigint").alias("line_chars"),
+        (F.length(line) - F.length(F.ltrim(line))).cast("bigint").alias("indent"))
+    parts = coded.withColumn("info", info).select(
+        "file_id", "language", "line_no", "info",
+        F.posexplode(F.regexp_extract_all(F.concat(code, F.lit("\n")), F.lit(r"[^;{}\n]*+[;{}\n]"), F.lit(0))).alias("s", "part"))
+    parts = once(parts, "decl", F.when(~python | (F.col("s") == 0), _declaration(F.col("part"))))
+    parts = parts.withColumns({
+        "parameters": _parameters(F.col("part")), "lead": F.length("part") - F.length(F.ltrim("part"))})
+    pieces = parts.select(
+        "file_id", "language", "line_no", "s", "info", "decl", "parameters", "lead",
+        F.posexplode(F.regexp_extract_all("part", F.lit(r"[^()\[\]{};\n]*+[()\[\]{};\n]"), F.lit(0))).alias("k", "piece"))
+    c = F.right("piece", F.lit(1))
+    head = F.col("k") == 0
+    thin = pieces.select(
+        "file_id", "language", "line_no", "s", "k", c.alias("c"), F.length("piece").cast("bigint").alias("chars"),
+        (F.length("piece") - 1 - F.length(F.rtrim(F.left("piece", F.length("piece") - 1)))).alias("pad"),
+        F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0).alias("delta"),
+        *[F.when(head, F.col(n)).alias(n) for n in ("decl", "parameters", "lead")],
+        F.when((c == "\n") | (head & (F.col("s") == 0)), F.col("info")).alias("info"))
+    along = scan(thin, key=["file_id"], order=["line_no", "s", "k"], bucket=span_of("line_no", min(span or 4096, 4096)),
+                 running={"end": F.col("chars"), "depth_after": F.col("delta")})
+    start = F.col("end") - F.col("chars")
+    return stage(along.select(
+        "file_id", "language", "line_no", "c", start.alias("start"), "end", (F.col("depth_after") - F.col("delta")).alias("depth_before"),
+        "depth_after", "delta", "pad", "decl", "parameters", (start + F.col("lead")).alias("begin"), "info",
+        ((F.col("s") == 0) & (F.col("k") == 0)).alias("first")))
+
+
+def _declared(pieces: DataFrame) -> DataFrame:
+    """Beginnings of declarations: file_id, language, line_no, at (offset), depth, decl, in_list, chars."""
+    own = pieces.filter("decl IS NOT NULL").select(
+        "file_id", "language", "line_no", F.col("begin").alias("at"), F.col("depth_before").alias("depth"), "decl",
+        F.lit(False).alias("in_list"), F.lit(None).cast("bigint").alias("chars"),
+        F.when(F.col("first"), F.col("info.indent")).alias("indent"))
+    listed = pieces.filter("size(parameters) > 0").select(
+        "file_id", "language", "line_no", "begin", "start", (F.col("depth_before") + 1).alias("depth"), F.explode("parameters").alias("p")).select(
+        "file_id", "language", "line_no", (F.col("start") + F.col("p.at")).alias("at"), "depth",
+        F.struct("p.kind", "p.name", "p.prefix").alias("decl"), F.lit(True).alias("in_list"), F.col("p.chars").cast("bigint").alias("chars"),
+        F.lit(None).cast("bigint").alias("indent"))
+    return own.unionByName(listed)
+
+
+def _line_ends(pieces: DataFrame, span: int | None) -> DataFrame:
+    """Line ends that end a statement (``ends``), or would if a comma did not stand there."""
+    rows = pieces.filter((F.col("c") == "\n") & F.col("language").isin(*_LINE_ENDS) & (~F.col("info.blank") | F.col("info.in_raw"))).select(
+        "file_id", "line_no", "end", "pad", "depth_after", "info")
+    known = scan(rows, key=["file_id"], span=span, after={"next": F.col("info.goes_on")})
+    open_ = F.col("info.hangs") | F.col("info.annotation") | F.coalesce("next", F.lit(False))
+    return known.filter(~open_).select("file_id", "line_no", "end", "pad", F.col("depth_after").alias("level"), (~F.col("info.comma")).alias("ends"))
+
+
+def _neighbours(pieces: DataFrame, declared: DataFrame | None, span: int | None) -> DataFrame:
+    """Brackets and declarations with their neighbours of the same file and depth, see the module's text.
+
+    ``kind``: bracket, declaration, or around (a declaration among the brackets one level further out).
+    """
+    bracket = F.col("delta") != 0
+    level = F.least("depth_before", "depth_after")
+    empty = {n: F.lit(None).cast(t) for n, t in (
+        ("row", "struct<language:string,line_no:bigint,at:bigint,decl:struct<kind:string,name:string,prefix:string>,in_list:boolean,chars:bigint,indent:bigint>"),
+        ("place", "struct<end:bigint,line_no:bigint>"), ("listed", "struct<end:bigint,line_no:bigint>"),
+        ("body", "struct<end:bigint,line_no:bigint>"), ("sign", "struct<c:string,line_no:bigint>"))}
+
+    def event(df: DataFrame, kind: str, level: Column, pos: Column, **columns: Column) -> DataFrame:
+        return df.select("file_id", level.cast("bigint").alias("level"), pos.cast("bigint").alias("pos"), F.lit(kind).alias("kind"),
+                         *[columns.get(n, c).alias(n) for n, c in empty.items()])
+
+    def at(end: Column) -> Column:
+        return F.struct(end.cast("bigint").alias("end"), F.col("line_no").cast("bigint").alias("line_no"))
+
+    closes = F.col("c") == "}"
+    brackets = pieces.filter(bracket)
+    events = [event(
+        brackets, "bracket", level, F.col("end") * 4, sign=F.struct("c", F.col("line_no").cast("bigint").alias("line_no")),
+        place=F.when(closes & (F.col("language") != "python"), at(F.col("end"))), listed=F.when(closes, at(F.col("end"))),
+        body=F.when(F.col("c") == "{", at(F.col("end") - 1)))]
+    if declared is not None:
+        inside = at(F.col("end") - 1 - F.col("pad"))
+        events += [
+            event(brackets.filter("delta < 0"), "fall", level + 1, F.col("end") * 4 - 1, place=inside, listed=inside),
+            event(pieces.filter("c = ';'"), "stop", F.col("depth_after"), F.col("end") * 4,
+                  place=at(F.col("end") - F.when(F.col("language").isin(*_WITH_SEMICOLON), 0).otherwise(1)), listed=inside),
+            event(_line_ends(pieces, span), "line", F.col("level"), F.col("end") * 4, place=F.when(F.col("ends"), inside), listed=inside)]
+        row = F.struct("language", F.col("line_no").cast("bigint").alias("line_no"), F.col("at").cast("bigint").alias("at"), "decl", "in_list", "chars", "indent")
+        events += [event(declared, "declaration", F.col("depth"), F.col("at") * 4 + 2, row=row),
+                   event(declared, "around", F.col("depth") - 1, F.col("at") * 4 + 2, row=row)]
+    both = reduce(DataFrame.unionByName, events)
+    return scan(
+        both, key=["file_id", "level"], pos="pos", span=(span or 1 << 16) * 16, before={"before": F.col("sign")},
+        after={"after": F.col("sign"), "first_place": F.col("place"), "first_listed": F.col("listed"), "first_body": F.col("body")})
+
+
+def _python_ends(pieces: DataFrame, declared: DataFrame, span: int | None) -> DataFrame:
+    """(file_id, at, line_hi) of Python declarations: the last text line before a logical line with as little indentation."""
+    rows = pieces.filter("first AND language = 'python'").select(
+        "file_id", "line_no", "info", ((F.col("depth_before") == 0) & ~F.col("info.blank")).alias("is_logical"),
+        (F.col("info.is_text") & ~F.col("info.comment")).alias("is_text"))
+    at, indent = F.col("line_no"), F.col("info.indent")
+    known = scan(rows, key=["file_id"], span=span, before={
+        "last_text": F.when(F.col("is_text"), at), "last_indent": F.when(F.col("is_logical"), indent)})
+    closes = known.filter("is_logical AND info.indent <= last_indent").select(
+        "file_id", F.explode(F.sequence(indent, F.col("last_indent"))).alias("level"), (at * 2).alias("ord"), F.col("last_text").alias("hi"))
+    opened = declared.filter("language = 'python'").select(
+        "file_id", F.col("indent").alias("level"), (at * 2 + 1).alias("ord"), F.lit(None).cast("bigint").alias("hi"), "at")
+    both = closes.withColumn("at", F.lit(None).cast("bigint")).unionByName(opened)
+    ended = scan(both, key=["file_id", "level"], pos="ord", span=span, after={"line_hi": F.col("hi")})
+    last = rows.filter("is_text").groupBy("file_id").agg(F.max("line_no").alias("last_line"))
+    return ended.filter("at IS NOT NULL").join(last, "file_id", "left").select("file_id", "at", F.coalesce("line_hi", "last_line").alias("line_hi"))
+
+
+def _spans(pieces: DataFrame, span: int | None) -> DataFrame:
+    """Declarations from begin to end, written: file_id, language, at, char_hi, line_lo, line_hi, head_hi,
+    head_line, kind, name, prefix. ``head_hi`` is where the signature ends."""
+    declared = stage(_declared(pieces))
+    near = stage(_neighbours(pieces, declared, span).filter("row IS NOT NULL").select(
+        "file_id", "kind", "row", "before", "first_place", "first_listed", "first_body"))
+    around = near.filter("kind = 'around'").select("file_id", F.col("row.at").alias("at"), F.col("before.c").alias("around"))
+    own = near.filter("kind = 'declaration'").select("file_id", "row.*", "first_place", "first_listed", "first_body")
+    # Lines of the file, for ends that are lines or the file's own end.
+    ends = pieces.filter("c = '\n'").select("file_id", F.col("line_no").alias("line_hi"), (F.col("end") - 1 - F.col("info.line_chars") + F.col("info.chars")).alias("line_end"), "info")
+    last = ends.filter("info.is_text").groupBy("file_id").agg(F.max(F.struct(F.col("line_end").alias("end"), F.col("line_hi").alias("line_no"))).alias("last"))
+    py = _python_ends(pieces, declared, span).join(ends.drop("info"), ["file_id", "line_hi"], "left").select(
+        "file_id", "at", F.struct(F.col("line_end").alias("end"), F.col("line_hi").alias("line_no")).alias("py_end"))
+    # A parameter on a line of its own ends at its comma.
+    listed = (F.col("decl.kind") == "property") & (F.col("around") == "(")
+    one = F.when(F.col("in_list"), F.struct((F.col("at") + F.col("chars")).alias("end"), F.col("line_no").alias("line_no")))
+    first = F.coalesce(one, F.when(listed, F.col("first_listed")).otherwise(F.col("first_place")), F.col("last"))
+    whole = F.coalesce("py_end", first)
+    body = F.when((F.col("first_body.end") < whole["end"]) & (F.col("language") != "python") & ~F.col("in_list"), F.col("first_body"))
+    head = F.coalesce(body, F.when(F.col("language") == "python", first).otherwise(whole))
+    kind = F.col("decl.kind")
+    joined = own.join(around, ["file_id", "at"], "left").join(last, "file_id", "left").join(py, ["file_id", "at"], "left")
+    return stage(joined.filter(~F.col("in_list") | (F.col("around") == "(")).select(
+        "file_id", "language", "at", whole["end"].alias("char_hi"), F.col("line_no").alias("line_lo"), whole["line_no"].alias("line_hi"),
+        head["end"].alias("head_hi"), head["line_no"].alias("head_line"),
+        F.when(kind == "companion", "object").otherwise(kind).alias("kind"),
+        F.when(kind == "companion", "Companion").otherwise(F.col("decl.name")).alias("name"), F.col("decl.prefix").alias("prefix")))
+
+
+def _parents(found: DataFrame, span: int | None) -> DataFrame:
+    """(file_id, at, up): each declaration's innermost outer one, null at the top."""
+    opens = found.select("file_id", (F.col("at") * 4 + 1).alias("pos"), F.lit(1).alias("step"), "at")
+    # A declaration that nothing ends is open up to the file's end; no two close at one place, one count apart.
+    closes = found.select("file_id", F.greatest(F.col("char_hi") * 4, F.col("at") * 4 + 2).alias("pos"), F.lit(-1).alias("step"), F.lit(None).cast("bigint").alias("at"))
+    moves = opens.unionByName(closes).groupBy("file_id", "pos").agg(F.sum("step").alias("step"), F.max("at").alias("at"))
+    levels = scan(moves, key=["file_id"], pos="pos", span=(span or 1 << 16) * 16, running={"depth": F.col("step")}).filter("at IS NOT NULL")
+    own = levels.select("file_id", "depth", "pos", "at", F.lit(True).alias("own"))
+    ask = levels.select("file_id", (F.col("depth") - 1).alias("depth"), "pos", "at", F.lit(False).alias("own"))
+    near = scan(own.unionByName(ask), key=["file_id", "depth"], pos="pos", span=(span or 1 << 16) * 16, before={"up": F.when(F.col("own"), F.col("at"))})
+    return near.filter("NOT own").select("file_id", "at", "up")
+
+
+def cut_texts(ranges: DataFrame, lines: DataFrame, offsets: DataFrame, name: str) -> DataFrame:
+    """(file_id, id, ``name``): the text from offset ``lo`` to ``hi`` of each range (file_id, id, lo, hi, line_lo, line_hi).
+
+    ``offsets`` is the line index (file_id, line_no, char0). Only lines inside a range are fetched; a
+    range is put together from its lines, and no text of a whole file is ever in a cell.
+    """
+    wanted = ranges.select("file_id", "id", "lo", "hi", F.explode(F.sequence("line_lo", "line_hi")).alias("line_no"))
+    placed = wanted.join(offsets.select("file_id", "line_no", "char0"), ["file_id", "line_no"]).join(lines.select("file_id", "line_no", "line"), ["file_id", "line_no"])
+    size = F.length("line")
+    skip = F.greatest(F.col("lo") - F.col("char0"), F.lit(0))
+    upto = F.least(F.col("hi") - F.col("char0"), size)
+    part = F.substr("line", (skip + 1).cast("int"), F.greatest(upto - skip, F.lit(0)).cast("int"))
+    return placed.select("file_id", "id", "line_no", part.alias("part")).groupBy("file_id", "id").agg(
+        F.expr("listagg(part, '\n') WITHIN GROUP (ORDER BY line_no)").alias(name))
 
 
-def leading_doc(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """(file_id, line_no, doc): the comment directly before a declaration, at most two rows up."""
-    at, line = F.col("line_no"), F.col("line")
-    coded = code_text(lines, span)
-    python = F.col("language") == "python"
-    bare = F.trim("code") == ""
-    # A comment row is a non-blank row without code: a line comment, or a row of a block comment.
-    comment = (T.trim(line) != "") & bare & (~python | F.trim(line).startswith("#"))
-    opens = comment & (~F.col("inside") | python)
-    marked = scan(coded, key=["file_id"], span=span, through={
-        "start": F.when(opens, at).when(~bare, F.lit(-1))}, before={
-        "start_above": F.when(opens, at).when(~bare, F.lit(-1)), "end_above": F.when(comment, at)})
-    docs = marked.filter(comment & (F.col("start") > 0)).groupBy("file_id", "start").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("doc"))
-    found = declarations(marked).filter((F.col("start_above") > 0) & (at - F.col("end_above") <= 2)).select(
-        "file_id", "line_no", F.col("start_above").alias("start"))
-    return found.join(docs, ["file_id", "start"]).select("file_id", "line_no", T.trim("doc").alias("doc"))
-
-
-def parse_status(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """(file_id, language, status): failed without a known language, partial if brackets do not balance."""
-    known = lines.filter(F.col("language").isin(*FORMS))
-    delta = _count("code", "([{") - _count("code", ")]}")
-    balance = code_text(known, span).withColumn("delta", delta).groupBy("file_id", "language").agg(
-        F.when(F.sum("delta") == 0, "ok").otherwise("partial").alias("status"))
-    failed = lines.filter(F.col("language").isNull() | ~F.col("language").isin(*FORMS)).select(
-        "file_id", "language").distinct().withColumn("status", F.lit("failed"))
-    return balance.unionByName(failed)
+def line_offsets(pieces: DataFrame) -> DataFrame:
+    """The line index: (file_id, line_no, char0), the offset of each line's first character."""
+    return pieces.filter("first").select("file_id", "line_no", F.col("start").alias("char0"))
+
+
+def lexical_symbols(lines: DataFrame, span: int | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """Symbol table of the files: names, kinds, modifiers, signatures, lines, offsets, parents.
+
+    ``pieces`` is ``code_pieces(lines)``, if it is there already. ``char_lo`` and ``char_hi`` are
+    0-based, the end exclusive, in the text of the lines with one sign for each line end.
+    """
+    pieces = pieces if pieces is not None else code_pieces(lines, span)
+    found = _spans(pieces, span)
+    tree = paths(found.join(_parents(found, span), ["file_id", "at"]), "file_id", "at", "up", "name")
+    outer = found.select("file_id", F.col("at").alias("up"), F.col("kind").alias("outer_kind"), F.col("name").alias("outer_name"))
+    placed = found.join(tree.select("file_id", "at", "up", "path"), ["file_id", "at"]).join(outer, ["file_id", "up"], "left")
+    kind, nested = F.col("kind"), F.col("up").isNotNull()
+    in_function = F.coalesce(F.col("outer_kind").isin(*_FUNCTIONS), F.lit(False))
+    member_only = kind.isin("constructor", "field") | ((kind == "method") & (F.col("language") != "go"))
+    fits = F.when(in_function, ~kind.isin(*_VARIABLES) & ~member_only).when(~nested, ~member_only).when(
+        kind == "constructor", F.col("outer_name") == F.col("name")).otherwise(True)
+    final_kind = F.when(nested & (kind == "function"), "method").when(nested & (kind == "property"), "field").otherwise(kind)
+    words = F.filter(F.split(F.trim(F.col("prefix")), r"\s+"), lambda w: w != "")
+    kept = stage(placed.filter(fits).select(
+        "file_id", "language", "name", F.col("path").alias("qualified_name"),
+        F.when(nested, F.substr("path", F.lit(1), F.length("path") - F.length("name") - 1)).alias("parent_qualified_name"),
+        final_kind.alias("kind"), F.array_distinct(words).alias("modifiers"), "line_lo", "line_hi",
+        F.col("at").alias("char_lo"), "char_hi", "head_hi", "head_line"))
+    heads = cut_texts(kept.select("file_id", F.col("char_lo").alias("id"), F.col("char_lo").alias("lo"), F.col("head_hi").alias("hi"),
+                                  "line_lo", F.col("head_line").alias("line_hi")), lines, line_offsets(pieces), "head")
+    signature = T.compact_ws(F.regexp_replace(F.coalesce("head", "name"), r"[;,\s]+\z", ""))
+    return kept.withColumn("id", F.col("char_lo")).join(heads, ["file_id", "id"], "left").select(
+        "file_id", "language", "name", "qualified_name", "parent_qualified_name", "kind", "modifiers",
+        signature.alias("signature"), "line_lo", "line_hi", "char_lo", "char_hi")
+
+
+def leading_doc(lines: DataFrame, span: int | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """(file_id, line_no, doc): the comment directly before the first declaration of a line, at most two rows up.
+
+    Lines of annotations alone belong to the declaration below them. Only the lines of comments that
+    are some declaration's doc are fetched.
+    """
+    pieces = pieces if pieces is not None else code_pieces(lines, span)
+    at = F.col("line_no")
+    starts = pieces.filter("first").select("file_id", "line_no", F.col("decl").isNotNull().alias("declares"))
+    rows = pieces.filter("c = '\n'").select("file_id", "language", "line_no", "info").join(starts, ["file_id", "line_no"])
+    comment = F.col("info.comment")
+    code = ~F.col("info.blank") & ~F.col("info.annotation")
+    opens = comment & (~F.col("info.in_comment") | (F.col("language") == "python"))
+    counted = scan(rows, key=["file_id"], span=span, running={"annotations": F.col("info.annotation").cast("int")})
+    none = F.struct(F.lit(-1).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("annotations"))
+    marked = scan(counted, key=["file_id"], span=span, before={
+        "begins": F.when(opens, at).when(code, F.lit(-1)),
+        "ended": F.when(comment, F.struct(at.alias("line_no"), "annotations")).when(code, none)})
+    gap = at - F.col("ended.line_no") - (F.col("annotations") - F.col("ended.annotations"))
+    found = stage(marked.filter("declares AND begins > 0").filter(gap <= 2).select(
+        "file_id", F.col("line_no").alias("id"), F.col("begins").alias("line_lo"), F.col("ended.line_no").alias("line_hi")))
+    docs = cut_texts(found.select("*", F.lit(0).alias("lo"), F.lit(1 << 62).alias("hi")), lines, line_offsets(pieces), "doc")
+    return docs.select("file_id", F.col("id").alias("line_no"), T.trim("doc").alias("doc"))
+
+
+def parse_errors(lines: DataFrame, span: int | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """(file_id, line_no, sign, error): a row for every bracket without a partner of its own sort, and one
+    without line for each file in an unknown language."""
+    pieces = pieces if pieces is not None else code_pieces(lines, span)
+    near = _neighbours(pieces, None, span)
+    c, closer = F.col("sign.c"), F.col("sign.c").isin(")", "]", "}")
+    partner = F.when(closer, F.col("before.c")).otherwise(F.col("after.c"))
+    pairs = [("(", ")"), ("[", "]"), ("{", "}")]
+    good = reduce(Column.__or__, [((c == a) & (partner == b)) | ((c == b) & (partner == a)) for a, b in pairs])
+    wrong = near.filter(~F.coalesce(good, F.lit(False))).select("file_id", F.col("sign.line_no").alias("line_no"), c.alias("sign"))
+    unknown = lines.filter(F.col("language").isNull() | ~F.col("language").isin(*FORMS)).select("file_id").distinct()
+    return wrong.withColumn("error", F.concat(F.lit("ERROR at line "), F.col("line_no").cast("string"))).unionByName(
+        unknown.select("file_id", F.lit(None).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("sign"),
+                       F.lit("unsupported language").alias("error")))
+
+
+def parse_status(lines: DataFrame, span: int | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """(file_id, language, status, errors): failed without a known language, partial with errors, else ok."""
+    files = lines.groupBy("file_id", "language").agg(F.lit(1).alias("_"))
+    wrong = parse_errors(lines, span, pieces).groupBy("file_id").agg(
+        F.count("*").alias("errors"), F.max(F.col("line_no").isNull()).alias("failed"))
+    status = F.when(F.col("failed"), "failed").when(F.col("errors") > 0, "partial").otherwise("ok")
+    return files.join(wrong, "file_id", "left").select(
+        "file_id", "language", status.alias("status"), F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"))

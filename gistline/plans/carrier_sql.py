@@ -135,15 +135,70 @@ CARRIER_SQL["ident_hits"] = """
 SELECT DISTINCT CAST(o_orderkey % 5 AS INT) AS file_id, CAST(o_custkey % 1600 + 1 AS BIGINT) AS line_no FROM orders
 """
 
-CARRIER_SQL["code_lines"] = """
-WITH t AS (SELECT * FROM (VALUES
- ('kotlin', 1, 'package com.ex.f{n}'), ('kotlin', 2, ''), ('kotlin', 3, '/** Greets {n}. */'), ('kotlin', 4, 'class Greeter{n}(val name: String) {'),
- ('kotlin', 5, '    companion object {'), ('kotlin', 6, '        const val LIMIT = {n}'), ('kotlin', 7, '    }'),
- ('kotlin', 8, '    private suspend fun greet(to: String): String {'), ('kotlin', 9, '        return "{ $name"'), ('kotlin', 10, '    }'),
- ('kotlin', 11, '}'), ('kotlin', 12, 'interface Sink{n} { fun put(x: Int) }'), ('kotlin', 13, 'fun main() { println({n}) }'),
- ('python', 1, 'import os'), ('python', 2, 'class Greeter{n}:'), ('python', 3, '    def __init__(self, name):'), ('python', 4, '        self.name = name'),
- ('python', 5, ''), ('python', 6, '    async def greet(self):'), ('python', 7, '        return {n}'), ('python', 8, 'def main():'), ('python', 9, '    pass')
- ) AS v(language, line_no, tmpl))
-SELECT doc_id AS file_id, language, CAST(line_no AS BIGINT) AS line_no, replace(tmpl, '{n}', CAST(doc_id AS VARCHAR(20))) AS line
-FROM documents JOIN t ON t.language = CASE WHEN doc_id % 2 = 0 THEN 'kotlin' ELSE 'python' END
+# Source texts around the lines of a document: {n} is its number, {i} a line's, {x} the line, {q} the
+# line inside a string, {y} inside a block comment. A line becomes one line of code by its number modulo 3.
+CODE_LANGUAGES = ["kotlin", "java", "typescript", "javascript", "python", "go", "rust", None]
+CODE_TEXT = {
+    "kotlin": {
+        "head": ["/**", " * Notes on {n}.", " */", '@Suppress("unused")', "data class Doc{n}(val size: Int,", "    private val tag: String) {"],
+        "body": ["    // {x}", '    val t{i} = "{q}"', "    private fun f{i}(x: Int): Int { return x } // {x}"],
+        "foot": ["}", "fun a{n}() = 1; fun b{n}() = 2"], "open": []},
+    "java": {
+        "head": ["/* About {n} */", "@Deprecated", "public class Doc{n} {"],
+        "body": ["    /* {y} */", '    private static String t{i} = "{q}";', "    public int f{i}(int x) { return x; } // {x}"],
+        "foot": ["}"], "open": []},
+    "typescript": {
+        "head": ["// About {n}", "export class Doc{n} {"],
+        "body": ["  // {x}", '  static t{i}: string = "{q}";', "  f{i}(x: number): number { return x; } // {x}"],
+        "foot": ["}", "export const c{n} = 1; export type A{n} = string;"], "open": []},
+    "javascript": {
+        "head": ["// About {n}", "export class Doc{n} {"],
+        "body": ["  // {x}", '  t{i} = "{q}";', "  async f{i}(x) { return x; } // {x}"],
+        "foot": ["}", "const c{n} = `", "class Hidden { (`;"], "open": []},
+    "python": {
+        "head": ["# About {n}", "class Doc{n}:", "    x = 0"],
+        "body": ["    # {x}", '    t{i} = "{q}"', "    def f{i}(self): return 1  # {x}"],
+        "foot": ["def a{n}(x,", "       y): pass"], "open": ["x = ("]},
+    "go": {
+        "head": ["// About {n}", "type Doc{n} struct {", "\tn int", "}"],
+        "body": ["// {x}", 'func (d *Doc{n}) T{i}() string { return "{q}" }', "func f{i}(x int) int { return x } // {x}"],
+        "foot": ["func z{n}() {", "}"], "open": ["func z{n}() {"]},
+    "rust": {
+        "head": ["// About {n}", "pub struct Doc{n} { n: u8 }", "impl Doc{n} {"],
+        "body": ["    // {x}", '    const T{i}: &str = "{q}";', "    pub fn f{i}(&self) -> u8 { 1 } // {x}"],
+        "foot": ["}"], "open": []},
+    None: {"head": [], "body": ["{x}", "{x}", "{x}"], "foot": [], "open": []},
+}
+
+
+def _quoted(text: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+_CODE_PARTS = ",\n ".join(
+    f"({_quoted(language)}, '{part}', {k}, {_quoted(text)}, {len(parts['head'])})"
+    for language, parts in CODE_TEXT.items() for part, texts in parts.items() for k, text in enumerate(texts, 1))
+
+CARRIER_SQL["code_docs"] = f"""
+SELECT doc_id AS file_id, doc_id % 8 AS place, list_value({', '.join(_quoted(x) for x in CODE_LANGUAGES)})[doc_id % 8 + 1] AS language,
+ string_split(text, chr(10)) AS texts, len(string_split(text, chr(10))) AS n,
+ CASE WHEN doc_id % 7 = 3 THEN 'open' ELSE 'foot' END AS ending, doc_id % 5 = 0 AND doc_id % 7 <> 3 AS extra FROM documents
+"""
+
+CARRIER_SQL["code_lines"] = f"""
+WITH parts(language, part, k, tmpl, heads) AS (VALUES {_CODE_PARTS}),
+raw AS (
+ SELECT d.file_id, d.language, k AS line_no, 0 AS i, '' AS x, tmpl FROM code_docs d JOIN parts p ON p.language IS NOT DISTINCT FROM d.language AND part = 'head'
+ UNION ALL SELECT file_id, d.language, heads + u.i, u.i, texts[u.i], tmpl FROM code_docs d, unnest(range(1, n + 1)) AS u(i)
+   JOIN parts p ON p.language IS NOT DISTINCT FROM d.language AND part = 'body' AND k = u.i % 3 + 1
+ UNION ALL SELECT file_id, d.language, n + heads + k, 0, '', tmpl FROM code_docs d JOIN parts p ON p.language IS NOT DISTINCT FROM d.language AND part = ending
+ UNION ALL SELECT file_id, language, n + 1000, 0, '', ') ]' FROM code_docs WHERE extra),
+filled AS (SELECT file_id, language, line_no, replace(replace(replace(replace(replace(tmpl, '{{n}}', CAST(file_id AS VARCHAR)), '{{i}}', CAST(i AS VARCHAR)),
+   '{{y}}', replace(x, '*/', '')), '{{q}}', replace(replace(x, chr(92), chr(92) || chr(92)), '"', chr(92) || '"')), '{{x}}', x) AS line FROM raw)
+SELECT file_id, language, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS line_no, line FROM filled
+"""
+
+CARRIER_SQL["bracket_lines"] = """
+SELECT doc_id AS file_id, 'go' AS language, CAST(u.i AS BIGINT) AS line_no, translate((string_split(text, chr(10)))[u.i], 'tmbkvhwg"''`/' || chr(92), '()[]{}[}') AS line
+FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)
 """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gistline.operators.scan import scan
+from gistline.plans.carrier_sql import CODE_LANGUAGES, CODE_TEXT
 
 _LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
                "l_shipdate", "l_discount", "l_tax"]
@@ -295,27 +296,45 @@ def ident_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 1600 + 1).alias("line_no")).distinct()
 
 
-# Two small source texts; {n} stands for the document number.
-_KOTLIN = [
-    "package com.ex.f{n}", "", "/** Greets {n}. */", "class Greeter{n}(val name: String) {",
-    "    companion object {", "        const val LIMIT = {n}", "    }",
-    "    private suspend fun greet(to: String): String {", '        return "{ $name"', "    }",
-    "}", "interface Sink{n} { fun put(x: Int) }", "fun main() { println({n}) }",
-]
-_PYTHON = [
-    "import os", "class Greeter{n}:", "    def __init__(self, name):", "        self.name = name",
-    "", "    async def greet(self):", "        return {n}", "def main():", "    pass",
-]
-
-
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def text(lines: list[str]) -> Column:
-        return F.array(*[F.lit(line) for line in lines])
+    """Source files in 7 languages and one unknown, with a document's lines in comments, strings and bodies.
 
+    Some files lack their last bracket, some have two too many.
+    """
     doc = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id").withColumn(
-        "language", F.when(doc % 2 == 0, "kotlin").otherwise("python"))
-    lines = F.when(doc % 2 == 0, text(_KOTLIN)).otherwise(text(_PYTHON))
-    return docs.select("doc_id", "language", F.posexplode(lines).alias("p", "line")).select(
-        doc.alias("file_id"), "language", (F.col("p") + 1).cast("bigint").alias("line_no"),
-        F.replace("line", F.lit("{n}"), _s(doc)).alias("line"))
+    docs = table(spark, sf_dir, "documents").select(
+        doc, F.split("text", "\n").alias("texts"), (doc % 8).cast("int").alias("place"),
+        (doc % 7 == 3).alias("open"), ((doc % 5 == 0) & (doc % 7 != 3)).alias("extra"))
+
+    def fixed(texts: list[str]) -> Column:
+        line = F.struct(F.lit(0).cast("bigint").alias("i"), F.lit("").alias("x"), F.lit("").alias("tmpl"))
+        return F.array(*[F.struct(F.lit(0).cast("bigint").alias("i"), F.lit("").alias("x"), F.lit(t).alias("tmpl")) for t in texts]) if texts \
+            else F.filter(F.array(line), lambda r: F.lit(False))
+
+    def chosen(part) -> Column:
+        out = F.lit(None)
+        for k, language in enumerate(CODE_LANGUAGES):
+            out = F.when(F.col("place") == k, part(CODE_TEXT[language])).otherwise(out)
+        return out
+
+    body = F.transform("texts", lambda x, i: F.struct((i + 1).cast("bigint").alias("i"), x.alias("x"), F.lit("").alias("tmpl")))
+    rows = F.concat(
+        chosen(lambda t: fixed(t["head"])), body, F.when(F.col("open"), chosen(lambda t: fixed(t["open"]))).otherwise(chosen(lambda t: fixed(t["foot"]))),
+        F.when(F.col("extra"), fixed([") ]"])).otherwise(fixed([])))
+    lines = docs.select("doc_id", "place", F.posexplode(rows).alias("p", "row")).select("doc_id", "place", "p", "row.*")
+    tmpl = F.when(F.col("i") == 0, F.col("tmpl")).otherwise(F.element_at(
+        chosen(lambda t: F.array(*[F.lit(b) for b in t["body"]])), (F.col("i") % 3 + 1).cast("int")))
+    x, back = F.col("x"), F.lit("\\")
+    fill = {"{n}": _s(doc), "{i}": _s("i"), "{y}": F.replace(x, F.lit("*/")),
+            "{q}": F.replace(F.replace(x, back, F.lit("\\\\")), F.lit('"'), F.lit('\\"')), "{x}": x}
+    for sign, value in fill.items():
+        tmpl = F.replace(tmpl, F.lit(sign), value)
+    languages = F.array(*[F.lit(x) for x in CODE_LANGUAGES])
+    return lines.select(
+        doc.alias("file_id"), F.element_at(languages, F.col("place") + 1).alias("language"), (F.col("p") + 1).cast("bigint").alias("line_no"), tmpl.alias("line"))
+
+
+def bracket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with some letters as brackets and without quotes, as files that seldom balance."""
+    return log_lines(spark, sf_dir).select(
+        F.col("log_id").alias("file_id"), F.lit("go").alias("language"), "line_no", F.translate("line", "tmbkvhwg\"'`/\\", "()[]{}[}").alias("line"))

@@ -256,8 +256,9 @@ _over(
     V.code_lines,
     lexical_symbols=lambda c: lexical.lexical_symbols(c).withColumn("modifiers", F.array_join("modifiers", " ")),
     leading_doc=lexical.leading_doc,
-    parse_status=lambda c: lexical.parse_status(c).groupBy("language", "status").agg(F.count("*").alias("files")),
+    parse_status=lexical.parse_status,
 )
+_over(V.bracket_lines, parse_errors=lexical.parse_errors)
 
 
 # Streams.

@@ -7,7 +7,7 @@ Spark plans it checks. Patterns are the shared constants; word bounds use RE2's
 from __future__ import annotations
 
 from gistline.functions import patterns as P
-from gistline.plans.carrier_sql import CARRIER_SQL
+from gistline.plans.carrier_sql import CARRIER_SQL, CODE_TEXT
 
 ORACLE: dict[str, str] = {}
 
@@ -577,30 +577,101 @@ ORACLE["focused_missing"] = _sym("""
   SELECT file_id, qualified_name, '  ' || label || ' ' || qualified_name || ' ' || range || '   ← focused' AS text
   FROM sp WHERE kind = 'field' AND seq > 193""")
 
-# --- declarations: what the two source texts hold, by document ----------------------------
-
-_DECLS = """
-d(language, lo, hi, kind, name, parent, modifiers, signature) AS (VALUES
- ('kotlin', 4, 11, 'class', 'Greeter{n}', NULL, '', 'class Greeter{n}(val name: String)'),
- ('kotlin', 5, 7, 'object', 'Companion', 'Greeter{n}', 'companion', 'companion object'),
- ('kotlin', 6, 6, 'field', 'LIMIT', 'Greeter{n}.Companion', 'const', 'const val LIMIT = {n}'),
- ('kotlin', 8, 10, 'method', 'greet', 'Greeter{n}', 'private suspend', 'private suspend fun greet(to: String): String'),
- ('kotlin', 12, 12, 'interface', 'Sink{n}', NULL, '', 'interface Sink{n}'),
- ('kotlin', 13, 13, 'function', 'main', NULL, '', 'fun main()'),
- ('python', 2, 7, 'class', 'Greeter{n}', NULL, '', 'class Greeter{n}:'),
- ('python', 3, 4, 'method', '__init__', 'Greeter{n}', '', 'def __init__(self, name):'),
- ('python', 6, 7, 'method', 'greet', 'Greeter{n}', 'async', 'async def greet(self):'),
- ('python', 8, 9, 'function', 'main', NULL, '', 'def main():')),
-docs AS (SELECT doc_id AS file_id, CAST(doc_id AS VARCHAR) AS n, CASE WHEN doc_id % 2 = 0 THEN 'kotlin' ELSE 'python' END AS language FROM documents)
+# --- declarations: what the source texts hold, by document and line -----------------------
+
+_CLASS = [
+    ("kotlin", 5, "class", "data", "data class Doc{n}(val size: Int, private val tag: String)"), ("java", 3, "class", "public", "public class Doc{n}"),
+    ("typescript", 2, "class", "export", "export class Doc{n}"), ("javascript", 2, "class", "export", "export class Doc{n}"),
+    ("python", 2, "class", "", "class Doc{n}:"), ("rust", 3, "class", "", "impl Doc{n}")]
+# Language, part, line there (in a body: number modulo 3, plus 1), kind, name, inside the class, modifiers, text, signature.
+_MEMBERS = [
+    ("kotlin", "head", 5, "field", "size", 1, "", "val size: Int", "val size: Int"),
+    ("kotlin", "head", 6, "field", "tag", 1, "private", "private val tag: String", "private val tag: String"),
+    ("kotlin", "body", 2, "field", "t{i}", 1, "", 'val t{i} = "{q}"', 'val t{i} = "{q}"'),
+    ("kotlin", "body", 3, "method", "f{i}", 1, "private", "private fun f{i}(x: Int): Int { return x }", "private fun f{i}(x: Int): Int"),
+    ("kotlin", "foot", 2, "function", "a{n}", 0, "", "fun a{n}() = 1", "fun a{n}() = 1"),
+    ("kotlin", "foot", 2, "function", "b{n}", 0, "", "fun b{n}() = 2", "fun b{n}() = 2"),
+    ("java", "body", 2, "field", "t{i}", 1, "private static", 'private static String t{i} = "{q}";', 'private static String t{i} = "{q}"'),
+    ("java", "body", 3, "method", "f{i}", 1, "public", "public int f{i}(int x) { return x; }", "public int f{i}(int x)"),
+    ("typescript", "body", 2, "field", "t{i}", 1, "static", 'static t{i}: string = "{q}";', 'static t{i}: string = "{q}"'),
+    ("typescript", "body", 3, "method", "f{i}", 1, "", "f{i}(x: number): number { return x; }", "f{i}(x: number): number"),
+    ("typescript", "foot", 2, "const", "c{n}", 0, "export", "export const c{n} = 1;", "export const c{n} = 1"),
+    ("typescript", "foot", 2, "type_alias", "A{n}", 0, "export", "export type A{n} = string;", "export type A{n} = string"),
+    ("javascript", "body", 2, "field", "t{i}", 1, "", 't{i} = "{q}";', 't{i} = "{q}"'),
+    ("javascript", "body", 3, "method", "f{i}", 1, "async", "async f{i}(x) { return x; }", "async f{i}(x)"),
+    ("javascript", "foot", 2, "const", "c{n}", 0, "", "const c{n} = `\nclass Hidden { (`;", "const c{n} = ` class Hidden { (`"),
+    ("python", "body", 3, "method", "f{i}", 1, "", "def f{i}(self): return 1  # {x}", "def f{i}(self): return 1"),
+    ("python", "foot", 1, "function", "a{n}", 0, "", "def a{n}(x,\n       y): pass", "def a{n}(x, y): pass"),
+    ("go", "head", 2, "type_alias", "Doc{n}", 0, "", "type Doc{n} struct {\n\tn int\n}", "type Doc{n} struct"),
+    ("go", "body", 2, "method", "T{i}", 0, "", 'func (d *Doc{n}) T{i}() string { return "{q}" }', "func (d *Doc{n}) T{i}() string"),
+    ("go", "body", 3, "function", "f{i}", 0, "", "func f{i}(x int) int { return x }", "func f{i}(x int) int"),
+    ("go", "foot", 1, "function", "z{n}", 0, "", "func z{n}() {\n}", "func z{n}()"),
+    ("go", "open", 1, "function", "z{n}", 0, "", "func z{n}() {", "func z{n}()"),
+    ("rust", "head", 2, "struct", "Doc{n}", 0, "pub", "pub struct Doc{n} { n: u8 }", "pub struct Doc{n}"),
+    ("rust", "body", 2, "const", "T{i}", 1, "", 'const T{i}: &str = "{q}";', 'const T{i}: &str = "{q}"'),
+    ("rust", "body", 3, "method", "f{i}", 1, "pub", "pub fn f{i}(&self) -> u8 { 1 }", "pub fn f{i}(&self) -> u8")]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ",\n ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in r) + ")" for r in rows)
+
+
+def _filled(c: str) -> str:
+    return (f"replace(replace(replace(replace({c}, '{{n}}', CAST(file_id AS VARCHAR)), '{{i}}', CAST(i AS VARCHAR)), "
+            "'{q}', replace(replace(x, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')), '{x}', x)")
+
+
+_HEADS = ", ".join(f"('{k}', {len(v['head'])})" for k, v in CODE_TEXT.items() if k)
+_DECLS = f"""
+heads(language, heads) AS (VALUES {_HEADS}),
+lat AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no) - length(line) - 1 AS char0 FROM code_lines WHERE language IS NOT NULL),
+cd AS (SELECT * FROM code_docs JOIN heads USING (language)),
+members(language, part, k, kind, name, nested, modifiers, text, signature) AS (VALUES {_values(_MEMBERS)}),
+classes(language, k, kind, modifiers, signature) AS (VALUES {_values(_CLASS)}),
+mem AS (
+  SELECT d.file_id, d.language, k AS line_no, 0 AS i, '' AS x, m.* EXCLUDE (language) FROM cd d JOIN members m ON m.language = d.language AND part = 'head'
+  UNION ALL SELECT d.file_id, d.language, heads + u.i, u.i, texts[u.i], m.* EXCLUDE (language) FROM cd d, unnest(range(1, n + 1)) AS u(i)
+    JOIN members m ON m.language = d.language AND part = 'body' AND k = u.i % 3 + 1
+  UNION ALL SELECT d.file_id, d.language, heads + n + k, 0, '', m.* EXCLUDE (language) FROM cd d JOIN members m ON m.language = d.language AND part = ending),
+filled AS (SELECT * EXCLUDE (name, text, signature), {_filled('name')} AS name, {_filled('text')} AS text, {_filled('signature')} AS signature FROM mem),
+sized AS (SELECT f.*, char0 + strpos(line, string_split(text, chr(10))[1]) - 1 AS char_lo FROM filled f JOIN lat USING (file_id, line_no)),
+ending AS (
+  SELECT file_id, d.language, k AS line_no, c.kind, c.modifiers, replace(signature, '{{n}}', CAST(file_id AS VARCHAR)) AS signature,
+    CASE WHEN d.language = 'python' THEN heads + coalesce(list_max(list_filter(range(1, n + 1), lambda i: i % 3 <> 0)), 0) WHEN ending = 'open' THEN heads + n ELSE heads + n + 1 END AS line_hi,
+    ending = 'open' OR d.language = 'python' AS whole
+  FROM cd d JOIN classes c ON c.language = d.language)
 """
-ORACLE["lexical_symbols"] = _with("", _DECLS, select="""
-  SELECT file_id, language, replace(name, '{n}', n) AS name, replace(coalesce(parent || '.', '') || name, '{n}', n) AS qualified_name,
-    replace(parent, '{n}', n) AS parent_qualified_name, kind, modifiers, replace(signature, '{n}', n) AS signature,
-    CAST(lo AS BIGINT) AS line_lo, CAST(hi AS BIGINT) AS line_hi FROM docs JOIN d USING (language)""")
-ORACLE["leading_doc"] = """
-  SELECT doc_id AS file_id, CAST(4 AS BIGINT) AS line_no, '/** Greets ' || doc_id || '. */' AS doc FROM documents WHERE doc_id % 2 = 0"""
-ORACLE["parse_status"] = """
-  SELECT CASE WHEN doc_id % 2 = 0 THEN 'kotlin' ELSE 'python' END AS language, 'ok' AS status, count(*) AS files FROM documents GROUP BY 1"""
+_SYMBOLS = r"""
+  SELECT file_id, s.language, name, CASE WHEN nested = 1 THEN 'Doc' || file_id || '.' || name ELSE name END AS qualified_name,
+    CASE WHEN nested = 1 THEN 'Doc' || file_id END AS parent_qualified_name, kind, modifiers, trim(regexp_replace(signature, '\s+', ' ', 'g')) AS signature,
+    CAST(line_no AS BIGINT) AS line_lo, CAST(line_no + len(string_split(text, chr(10))) - 1 AS BIGINT) AS line_hi, CAST(char_lo AS BIGINT) AS char_lo,
+    CAST(char_lo + length(rtrim(text)) AS BIGINT) AS char_hi FROM sized s
+  UNION ALL SELECT e.file_id, e.language, 'Doc' || e.file_id, 'Doc' || e.file_id, NULL, kind, modifiers, signature, CAST(e.line_no AS BIGINT), CAST(line_hi AS BIGINT),
+    CAST(a.char0 AS BIGINT), CAST(z.char0 + CASE WHEN whole THEN length(rtrim(z.line)) ELSE 1 END AS BIGINT)
+  FROM ending e JOIN lat a ON a.file_id = e.file_id AND a.line_no = e.line_no JOIN lat z ON z.file_id = e.file_id AND z.line_no = e.line_hi"""
+_CODE = "code_docs code_lines"
+ORACLE["lexical_symbols"] = _with(_CODE, _DECLS, select=_SYMBOLS)
+# Above the class its first lines, without annotations; above a member of number 1 modulo 3, and above
+# the last function, the line before, which is a comment.
+_DOCS = f"""
+  SELECT a.file_id, CAST(a.line_no AS BIGINT) AS line_no, {_trim('b.line')} AS doc FROM (
+      SELECT file_id, language, heads + u.i AS line_no FROM cd, unnest(range(4, n + 1, 3)) AS u(i) WHERE language <> 'python'
+      UNION ALL SELECT file_id, language, heads + n + 1 FROM cd WHERE n % 3 = 0 AND (language = 'go' OR language = 'python' AND ending = 'foot')) a
+    JOIN lat b ON b.file_id = a.file_id AND b.line_no = a.line_no - 1
+  UNION ALL SELECT file_id, CASE language WHEN 'kotlin' THEN 5 WHEN 'java' THEN 3 ELSE 2 END,
+    (SELECT string_agg(line, chr(10) ORDER BY line_no) FROM lat WHERE lat.file_id = cd.file_id AND lat.line_no <= CASE cd.language WHEN 'kotlin' THEN 3 ELSE 1 END)
+  FROM cd"""
+ORACLE["leading_doc"] = _with(_CODE, _DECLS, select=_DOCS)
+ORACLE["parse_status"] = _with("code_docs", select="""
+  SELECT file_id, language, CASE WHEN language IS NULL THEN 'failed' WHEN extra OR ending = 'open' THEN 'partial' ELSE 'ok' END AS status,
+    CAST(CASE WHEN language IS NULL OR ending = 'open' THEN 1 WHEN extra THEN 2 ELSE 0 END AS BIGINT) AS errors FROM code_docs""")
+ORACLE["parse_errors"] = _with("bracket_lines", r"""
+br AS (SELECT file_id, line_no, u.k AS k, substr(line, u.k, 1) AS c FROM bracket_lines, unnest(range(1, length(line) + 1)) AS u(k) WHERE contains('()[]{}', substr(line, u.k, 1))),
+bd AS (SELECT *, CASE WHEN c IN ('(', '[', '{') THEN 1 ELSE -1 END AS delta,
+    sum(CASE WHEN c IN ('(', '[', '{') THEN 1 ELSE -1 END) OVER (PARTITION BY file_id ORDER BY line_no, k) AS depth FROM br),
+bl AS (SELECT *, CASE WHEN delta = 1 THEN c || coalesce(lead(c) OVER w, '') ELSE coalesce(lag(c) OVER w, '') || c END AS pair
+    FROM (SELECT *, least(depth, depth - delta) AS level FROM bd) WINDOW w AS (PARTITION BY file_id, level ORDER BY line_no, k))
+""", select="SELECT file_id, line_no, c AS sign, 'ERROR at line ' || line_no AS error FROM bl WHERE pair NOT IN ('()', '[]', '{}')")
 
 # --- streams ------------------------------------------------------------------------------
 
