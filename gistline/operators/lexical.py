@@ -15,6 +15,7 @@ sign, and statements that go on behind an operator the rules below do not name,
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -95,11 +96,11 @@ FORMS = {
 
 # Which languages end a statement at the line's end, and how a line goes on with the one before or after it.
 _LINE_ENDS = ["kotlin", "typescript", "javascript", "go", "python"]
-_GOES_ON = r"^\s*(?:[.?:=&|{,]|->|(?:where|extends|implements|throws|with|by)\b)"
-_ACCESSOR = r"^\s*(?:(?:private|protected|internal)\s+)?(?:get|set)\b\s*(?:\(|=|\z)"
-_HANGS = r"(?:[=*/&|<?:.]|->|=>|(?<!\+)\+|(?<!-)-)\s*\z"
+_GOES_ON = r"^(?:[.?:=&|{,]|->|(?:where|extends|implements|throws|with|by)\b)"
+_ACCESSOR = r"^(?:(?:private|protected|internal)\s+)?(?:get|set)\b\s*(?:\(|=|\z)"
+_HANGS = r"(?:[=*/&|<?:.]|->|=>|(?<!\+)\+|(?<!-)-)\z"
 _WITH_SEMICOLON = ["java", "typescript", "javascript", "rust"]
-_ANNOTATION = r"^\s*(?:@[A-Za-z_][A-Za-z0-9_.]*(?:\([^()]*\))?\s*)+\z"
+_ANNOTATION = r"^(?:@[A-Za-z_][A-Za-z0-9_.]*(?:\([^()]*\))?\s*)+\z"
 _PARAMETER = rf"[(,]\s*(?:@[A-Za-z0-9_.]+(?:\([^)]*\))?\s+)*((?:(?:@MODS@)\s+)*(?:val|var)\s+{_NAME}\s*:[^,()<]*(?:<[^>]*>[^,()<]*)*)"
 
 # Tokens of a line whose escapes are blanked already, so that a string is a run of one character
@@ -181,17 +182,22 @@ def code_text(lines: DataFrame, span: int | None = None) -> DataFrame:
 
 
 def _declaration(text: Column) -> Column:
-    """What a statement that begins with ``text`` declares: (kind, name, prefix), null if nothing."""
-    decl = F.lit(None)
-    for language, forms in FORMS.items():
+    """What a statement that begins with ``text`` declares: (kind, name, prefix), null if nothing.
+
+    One chain finds the form that matches; the name is taken out by that form alone.
+    """
+    forms = [(language, kind, _prefix(language) + form) for language, own in FORMS.items() for kind, form in own]
+    at = F.lit(None)
+    for language in FORMS:
         chain = F.lit(None)
-        for kind, form in reversed(forms):
-            pattern = _prefix(language) + form
-            found = F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 2).alias("name"),
-                             F.regexp_extract(text, pattern, 1).alias("prefix"))
-            chain = F.when(text.rlike(pattern), found).otherwise(chain)
-        decl = F.when(F.col("language") == language, chain).otherwise(decl)
-    return decl
+        for k, (own, _, pattern) in reversed(list(enumerate(forms))):
+            if own == language:
+                chain = F.when(text.rlike(pattern), F.lit(k)).otherwise(chain)
+        at = F.when(F.col("language") == language, chain).otherwise(at)
+    named = F.from_json(F.lit(json.dumps([{"kind": kind, "pattern": pattern} for _, kind, pattern in forms])), "array<struct<kind:string,pattern:string>>")
+    return F.transform(F.filter(F.array(F.get(named, at)), lambda f: f.isNotNull()), lambda f: F.struct(
+        f["kind"].alias("kind"), F.call_function("regexp_extract", text, f["pattern"], F.lit(2)).alias("name"),
+        F.call_function("regexp_extract", text, f["pattern"], F.lit(1)).alias("prefix")))
 
 
 def _parameters(text: Column) -> Column:
@@ -212,9 +218,10 @@ def code_pieces(lines: DataFrame, span: int | None = None) -> DataFrame:
     begins, at offset ``begin``; ``first`` on a line's first piece. On line ends what the line is:
     blank, comment, annotation, and how it goes on. Offsets are those of the text with one sign for a line end.
     """
-    line, code = F.col("line"), F.col("code")
+    line, code = F.col("line"), F.col("shown")
     coded = code_text(lines, span)
-    blank = F.trim(code) == ""
+    coded = once(coded, "shown", T.trim("code"))  # patterns step through every blank in front of them
+    blank = code == ""
     is_text = T.trim(line) != ""
     python = F.col("language") == "python"
     info = F.struct(
@@ -222,15 +229,16 @@ def code_pieces(lines: DataFrame, span: int | None = None) -> DataFrame:
         (is_text & blank & ~F.col("in_raw") & (~python | F.trim(line).startswith("#"))).alias("comment"),
         F.col("in_comment").alias("in_comment"), F.col("in_raw").alias("in_raw"), code.rlike(_ANNOTATION).alias("annotation"),
         (F.col("in_raw") | code.rlike(_GOES_ON) | ((F.col("language") == "kotlin") & code.rlike(_ACCESSOR))).alias("goes_on"),
-        (~python & code.rlike(_HANGS)).alias("hangs"), code.rlike(r",\s*\z").alias("comma"),
+        (~python & code.rlike(_HANGS)).alias("hangs"), code.endswith(",").alias("comma"),
         F.length(F.rtrim(line)).cast("bigint").alias("chars"), F.length(line).cast("bigint").alias("line_chars"),
         (F.length(line) - F.length(F.ltrim(line))).cast("bigint").alias("indent"))
     parts = coded.withColumn("info", info).select(
         "file_id", "language", "line_no", "info",
-        F.posexplode(F.regexp_extract_all(F.concat(code, F.lit("\n")), F.lit(r"[^;{}\n]*+[;{}\n]"), F.lit(0))).alias("s", "part"))
-    parts = once(parts, "decl", F.when(~python | (F.col("s") == 0), _declaration(F.col("part"))))
+        F.posexplode(F.regexp_extract_all(F.concat("code", F.lit("\n")), F.lit(r"[^;{}\n]*+[;{}\n]"), F.lit(0))).alias("s", "part"))
+    parts = once(parts, "text", T.trim("part"))
+    parts = once(parts, "decl", F.when((F.length("text") > 1) & (~python | (F.col("s") == 0)), F.get(_declaration(F.col("text")), F.lit(0))))
     parts = parts.withColumns({
-        "parameters": _parameters(F.col("part")), "lead": F.length("part") - F.length(F.ltrim("part"))})
+        "parameters": F.when(F.length("text") > 1, _parameters(F.col("part"))), "lead": F.length("part") - F.length(F.ltrim("part"))})
     pieces = parts.select(
         "file_id", "language", "line_no", "s", "info", "decl", "parameters", "lead",
         F.posexplode(F.regexp_extract_all("part", F.lit(r"[^()\[\]{};\n]*+[()\[\]{};\n]"), F.lit(0))).alias("k", "piece"))
@@ -308,7 +316,7 @@ def _neighbours(pieces: DataFrame, declared: DataFrame | None, span: int | None)
             event(_line_ends(pieces, span), "line", F.col("level"), F.col("end") * 4, place=F.when(F.col("ends"), inside), listed=inside)]
         row = F.struct("language", F.col("line_no").cast("bigint").alias("line_no"), F.col("at").cast("bigint").alias("at"), "decl", "in_list", "chars", "indent")
         events += [event(declared, "declaration", F.col("depth"), F.col("at") * 4 + 2, row=row),
-                   event(declared, "around", F.col("depth") - 1, F.col("at") * 4 + 2, row=row)]
+                   event(declared.filter("language = 'kotlin' AND decl.kind = 'property'"), "around", F.col("depth") - 1, F.col("at") * 4 + 2, row=row)]
     both = reduce(DataFrame.unionByName, events)
     return scan(
         both, key=["file_id", "level"], pos="pos", span=(span or 1 << 16) * 16, before={"before": F.col("sign")},
@@ -336,7 +344,7 @@ def _python_ends(pieces: DataFrame, declared: DataFrame, span: int | None) -> Da
 def _spans(pieces: DataFrame, span: int | None) -> DataFrame:
     """Declarations from begin to end, written: file_id, language, at, char_hi, line_lo, line_hi, head_hi,
     head_line, kind, name, prefix. ``head_hi`` is where the signature ends."""
-    declared = stage(_declared(pieces))
+    declared = _declared(pieces)
     near = stage(_neighbours(pieces, declared, span).filter("row IS NOT NULL").select(
         "file_id", "kind", "row", "before", "first_place", "first_listed", "first_body"))
     around = near.filter("kind = 'around'").select("file_id", F.col("row.at").alias("at"), F.col("before.c").alias("around"))

@@ -104,7 +104,7 @@ pub type Alias = u8;'''
 def symbols(spark, language, text, span=None):
     rows = [(1, language, i, t) for i, t in enumerate(text.split("\n"), 1)]
     df = spark.createDataFrame(rows, "file_id int, language string, line_no bigint, line string")
-    got = X.lexical_symbols(df, span).orderBy("line_lo").collect()
+    got = X.lexical_symbols(df, span).orderBy("line_lo", "char_lo").collect()
     return [(r.kind, r.qualified_name, r.line_lo, r.line_hi) for r in got], got
 
 
@@ -114,9 +114,13 @@ def test_kotlin(spark, span):
     assert got == [
         ("class", "Model", 6, 21), ("field", "Model.id", 7, 7), ("object", "Model.Factory", 10, 12), ("method", "Model.Factory.make", 11, 11),
         ("class", "Model.State", 13, 13), ("method", "Model.load", 14, 19), ("field", "Model.size", 20, 20), ("type_alias", "Done", 23, 23),
-        ("interface", "Hook", 24, 24), ("object", "Only", 25, 25)]
+        ("interface", "Hook", 24, 24), ("method", "Hook.call", 24, 24), ("object", "Only", 25, 25)]
     load = next(r for r in rows if r.name == "load")
     assert load.modifiers == ["override", "suspend"] and load.parent_qualified_name == "Model"
+    assert load.signature == "override suspend fun <T> List<T>.load( x: T, ): T"
+    for r in rows:
+        assert KOTLIN[r.char_lo:r.char_hi].split("\n")[0].rstrip() in KOTLIN.split("\n")[r.line_lo - 1]
+    assert KOTLIN[rows[5].char_lo:rows[5].char_hi].endswith("return x\n    }") and KOTLIN[rows[9].char_lo:rows[9].char_hi] == "fun call()"
 
 
 def test_java(spark):
@@ -147,7 +151,7 @@ def test_go_and_rust(spark):
     assert symbols(spark, "go", GO)[0] == [("type_alias", "Box", 2, 4), ("method", "Size", 5, 5), ("function", "New", 6, 8)]
     got, rows = symbols(spark, "rust", RUST)
     assert got == [("struct", "Box", 1, 1), ("class", "Box", 2, 4), ("method", "Box.size", 3, 3), ("class", "Box", 5, 7), ("method", "Box.fmt", 6, 6),
-                   ("const", "MAX", 8, 8), ("module", "inner", 9, 9), ("type_alias", "Alias", 10, 10)]
+                   ("const", "MAX", 8, 8), ("module", "inner", 9, 9), ("trait", "inner.T", 9, 9), ("type_alias", "Alias", 10, 10)]
 
 
 def test_docs_and_status(spark):
@@ -168,3 +172,80 @@ def test_very_long_lines(spark):
     got, _ = symbols(spark, "kotlin", "class A {\n" + long_string + "\n}")
     assert got == [("class", "A", 1, 3), ("field", "A.s", 2, 2)]
     assert symbols(spark, "javascript", minified + "\nclass B {\n}")[0] == [("class", "B", 2, 3)]
+
+
+def lines_df(spark, language, text, file_id=1):
+    return spark.createDataFrame([(file_id, language, i, t) for i, t in enumerate(text.split("\n"), 1)], "file_id int, language string, line_no bigint, line string")
+
+
+def test_constructor_parameters(spark):
+    text = "class K(val p: Int,\n  private var q: Map<String, Int>) {\n  val r = 1\n}\nclass L(a: Int, val b: () -> Unit)\nfun f(x: Int) = K(1)"
+    got, rows = symbols(spark, "kotlin", text)
+    assert got == [("class", "K", 1, 4), ("field", "K.p", 1, 1), ("field", "K.q", 2, 2), ("field", "K.r", 3, 3), ("class", "L", 5, 5),
+                   ("field", "L.b", 5, 5), ("function", "f", 6, 6)]
+    assert [r.signature for r in rows][:3] == ["class K(val p: Int, private var q: Map<String, Int>)", "val p: Int", "private var q: Map<String, Int>"]
+    assert rows[2].modifiers == ["private"] and [text[r.char_lo:r.char_hi] for r in rows][1:3] == ["val p: Int", "private var q: Map<String, Int>"]
+
+
+def test_statements(spark):
+    """Several on a line, one over several lines, comments and raw strings behind them."""
+    text = 'fun a() = 1; fun b() = 2\nfun c(\n  x: Int,\n): Int =\n  x + 1\nval x = 1 // {\nval y = """\nclass No {\n"""\nval z = listOf(1)\n  .map { it }\nclass D { fun e() {} }'
+    got, rows = symbols(spark, "kotlin", text)
+    assert got == [("function", "a", 1, 1), ("function", "b", 1, 1), ("function", "c", 2, 5), ("property", "x", 6, 6), ("property", "y", 7, 9),
+                   ("property", "z", 10, 11), ("class", "D", 12, 12), ("method", "D.e", 12, 12)]
+    assert [r.signature for r in rows][:4] == ["fun a() = 1", "fun b() = 2", "fun c( x: Int, ): Int = x + 1", "val x = 1"]
+    script = "const t = `\nclass No { (\n`;\nlet s = '`'; // it's\nexport class A extends B\n{\n  m(a: { b: number }) {\n  }\n}"
+    assert symbols(spark, "typescript", script)[0] == [("const", "t", 1, 3), ("const", "s", 4, 4), ("class", "A", 5, 9), ("method", "A.m", 7, 8)]
+
+
+@pytest.mark.parametrize("span", [2, None])
+def test_errors_are_rows(spark, span):
+    texts = {1: ") } fun a() { (", 2: "( ]", 3: "fun a() { val s = \"(\" } // {", 4: "class A {\n  fun f(\n}", 5: "a[(1)]\n{}"}
+    df = spark.createDataFrame([(k, "kotlin", i, t) for k, v in texts.items() for i, t in enumerate(v.split("\n"), 1)] + [(6, None, 1, "(")],
+                               "file_id int, language string, line_no bigint, line string")
+    got = sorted((r.file_id, r.line_no or 0, r.sign or "", r.error) for r in X.parse_errors(df, span).collect())
+    assert got == [(1, 1, "(", "ERROR at line 1"), (1, 1, ")", "ERROR at line 1"), (1, 1, "{", "ERROR at line 1"), (1, 1, "}", "ERROR at line 1"),
+                   (2, 1, "(", "ERROR at line 1"), (2, 1, "]", "ERROR at line 1"), (4, 1, "{", "ERROR at line 1"), (4, 2, "(", "ERROR at line 2"),
+                   (4, 3, "}", "ERROR at line 3"), (6, 0, "", "unsupported language")]
+    assert {(r.file_id, r.status, r.errors) for r in X.parse_status(df, span).collect()} == {
+        (1, "partial", 4), (2, "partial", 2), (3, "ok", 0), (4, "partial", 3), (5, "ok", 0), (6, "failed", 1)}
+
+
+def test_docs_of_annotated_declarations(spark):
+    text = "/** D */\n@Ann\nfun a() {}\n/** J */\n@Suppress(\"x\") @Other\n\npublic class B {}\n// none\nval x = 1\n\n@Ann\nfun c() {}"
+    got = {r.line_no: r.doc for r in X.leading_doc(lines_df(spark, "kotlin", text)).collect()}
+    assert got == {3: "/** D */", 7: "/** J */", 9: "// none"}
+
+
+def test_unclosed_declarations_give_linear_rows(spark):
+    n = 1000
+    df = lines_df(spark, "kotlin", "\n".join(f"class A{i} {{" for i in range(n)))
+    pieces = X.code_pieces(df)
+    near = X._neighbours(pieces, X._declared(pieces), None)
+    assert pieces.count() == 2 * n and near.count() <= 6 * n
+    deepest = X.lexical_symbols(df, pieces=pieces).orderBy("line_lo").tail(1)[0]
+    assert deepest.qualified_name == ".".join(f"A{i}" for i in range(n)) and deepest.line_hi == n
+
+
+def test_languages_of_the_reference_tests(spark):
+    """What the reference asks of a class in each language: itself, its members, nested under it."""
+    hello = {
+        "java": ("public class Hello {\n  private final String name;\n  public Hello(String name) { this.name = name; }\n  public String greet() { return name; }\n"
+                 "  public static void main(String[] args) {\n    System.out.println(new Hello(\"x\").greet());\n  }\n}",
+                 {"Hello", "Hello.name", "Hello.Hello", "Hello.greet", "Hello.main"}),
+        "python": ("class Greeter:\n    def __init__(self, name: str):\n        self.name = name\n\n    def greet(self):\n        return 1\n\ndef main():\n    pass",
+                   {"Greeter", "Greeter.__init__", "Greeter.greet", "main"}),
+        "go": ("package main\n\ntype Greeter struct {\n\tName string\n}\n\nfunc (g *Greeter) Greet() string {\n\treturn g.Name\n}\n\nfunc main() {\n}", {"Greeter", "Greet", "main"}),
+        "rust": ("pub struct Greeter { name: String }\nimpl Greeter {\n    pub fn new(name: &str) -> Self { Greeter { name: name.to_string() } }\n}\nfn main() {}", {"Greeter", "Greeter.new", "main"}),
+        "javascript": ("class HelloGreeter {\n  constructor(name) {\n    this.name = name;\n  }\n  greet() {\n    return `hi ${this.name}`;\n  }\n}\nmodule.exports = { HelloGreeter };",
+                       {"HelloGreeter", "HelloGreeter.constructor", "HelloGreeter.greet"}),
+        "typescript": ("export interface PostRepository {\n  findAll(): Promise<Post[]>;\n}\nexport type Post = { id: number };\nexport class PostsController {\n"
+                       "  constructor(private repo: PostRepository) {}\n  async list(): Promise<Post[]> {\n    const all = await this.repo.findAll();\n    return all;\n  }\n}",
+                       {"PostRepository", "PostRepository.findAll", "Post", "Post.id", "PostsController", "PostsController.constructor", "PostsController.list"})}
+    rows = [(k, k, i, t) for k, (text, _) in hello.items() for i, t in enumerate(text.split("\n"), 1)]
+    df = spark.createDataFrame(rows, "file_id string, language string, line_no bigint, line string")
+    got = {}
+    for r in X.lexical_symbols(df).collect():
+        got.setdefault(r.file_id, set()).add(r.qualified_name)
+    assert got == {k: names for k, (_, names) in hello.items()}
+    assert {r.status for r in X.parse_status(df).collect()} == {"ok"}
