@@ -136,6 +136,40 @@ def read_lines(files: DataFrame, lo: int, hi: int, max_tokens: int = 2000, max_b
     return heads.unionByName(kept).unionByName(errors)
 
 
+def word_index(lines: DataFrame, id_col: str = "file_id") -> DataFrame:
+    """The inverted index of the lines: (word, ``id_col``, line_no), a word once for each of its lines.
+
+    Words are runs of ASCII letters, digits and underscores, so a word bounded by anything else is one
+    entry. Write it partitioned or bucketed by a hash of the word to look up few words in many lines.
+    """
+    words = F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    return lines.select(F.explode(words).alias("word"), id_col, "line_no")
+
+
+def indexed_references(lines: DataFrame, requests: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(file_id, identifier, line_no): lines of a file that hold the identifier as a word, for a table of
+    requests (file_id, identifier).
+
+    Each request is looked up in the index by its longest word, an equi join; the lines found are
+    fetched and, where the identifier is more than that word, compared with its pattern. An
+    identifier without any letter, digit or underscore is looked for in its file's lines.
+    """
+    index = index if index is not None else word_index(lines)
+    asked = requests.select("file_id", "identifier").filter("file_id IS NOT NULL AND identifier IS NOT NULL").distinct()
+    words = F.regexp_extract_all("identifier", F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    asked = asked.withColumn("word", longest)
+    hits = asked.filter("word IS NOT NULL").join(index, ["file_id", "word"]).select("file_id", "identifier", "word", "line_no")
+    pattern = F.concat(F.lit(_BOUND), T.regex_escape_col("identifier"), F.lit(_BOUND))
+    whole = hits.filter("word = identifier").select("file_id", "identifier", "line_no")
+    partly = stage(hits.filter("word <> identifier")).join(lines.select("file_id", "line_no", "line"), ["file_id", "line_no"])
+    signs = asked.filter("word IS NULL AND identifier <> ''").join(lines.select("file_id", "line_no", "line"), "file_id").filter(
+        F.contains("line", "identifier"))
+    checked = partly.select("file_id", "identifier", "line_no", "line").unionByName(
+        signs.select("file_id", "identifier", "line_no", "line")).filter(F.regexp_like("line", pattern)).select("file_id", "identifier", "line_no")
+    return whole.unionByName(checked)
+
+
 def find_references(lines: DataFrame, identifier: str, limit: int | None = None) -> DataFrame:
     """The lines of each text that hold the identifier as a word; case counts.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gistline.functions import text as T
 from gistline.operators.retrieve import pattern_error
 from gistline.operators.scan import first_k, once, scan, span_of
+from gistline.operators.trees import paths
 from gistline.sources.staging import stage
 
 OUTLINE_CAP = 80
@@ -43,34 +44,21 @@ def flatten_symbols(symbols: DataFrame) -> DataFrame:
 
 
 def symbol_paths(symbols: DataFrame) -> DataFrame:
-    """Qualified names and depths rebuilt from names and parents, one join per level of nesting.
+    """Qualified names and depths rebuilt from names and parents, by doubled pointers.
 
-    The loop is over levels, not rows, and ends with the deepest; each level is written, so that plans
-    do not grow. A symbol whose parent is not in the table stands as a root. Symbols that are their
-    own ancestors have no root to start from and come out with a null path.
+    A symbol whose parent is not in the table stands as a root. Symbols that are their own ancestors,
+    and those below them, have no root and come out with a null path. Of symbols with one qualified
+    name (overloads) the first by parent and name stands for all as a parent.
     """
-    base = stage(symbols.select("file_id", "name", F.col("qualified_name").alias("declared"), "parent_qualified_name"))
-    known = base.select("file_id", F.col("declared").alias("parent_qualified_name")).distinct()
-    orphans = base.filter("parent_qualified_name IS NOT NULL").join(known, ["file_id", "parent_qualified_name"], "left_anti")
-    roots = base.filter("parent_qualified_name IS NULL").unionByName(orphans)
-    level = stage(roots.select(
-        "file_id", "declared", F.col("name").alias("path"), F.lit(0).cast("bigint").alias("depth")))
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        parents = level.select("file_id", F.col("declared").alias("parent_qualified_name"),
-                               F.col("path").alias("parent_path"), "depth").distinct()
-        level = stage(base.join(parents, ["file_id", "parent_qualified_name"]).select(
-            "file_id", "declared", F.concat_ws(".", "parent_path", "name").alias("path"),
-            (F.col("depth") + 1).alias("depth")))
-    if not levels:
-        levels = [level]
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    cyclic = base.join(out.select("file_id", "declared").distinct(), ["file_id", "declared"], "left_anti")
-    return out.select("file_id", "path", "depth").unionByName(cyclic.select(
-        "file_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("depth")))
+    own = symbols.select("file_id", "name", F.col("qualified_name").alias("declared"), F.col("parent_qualified_name").alias("up"))
+    parents = own.groupBy("file_id", "declared").agg(F.min(F.struct("up", "name")).alias("n")).select("file_id", "declared", "n.up", "n.name")
+    known = stage(paths(parents, "file_id", "declared", "up", "name").select(
+        "file_id", F.col("declared").alias("up"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), F.lit(True).alias("there")))
+    found = own.join(known, ["file_id", "up"], "left")
+    nested = F.coalesce("there", F.lit(False))
+    return found.select(
+        "file_id", F.when(nested, F.concat("up_path", F.lit("."), "name")).otherwise(F.col("name")).alias("path"),
+        F.when(nested, F.col("up_depth") + 1).otherwise(F.lit(0)).cast("bigint").alias("depth"))
 
 
 def _label(name: str, indent: Column, modifiers: bool) -> Column:
@@ -123,13 +111,6 @@ def symbols_not_found(symbols: DataFrame, requests: DataFrame) -> DataFrame:
     return missing.withColumn("error", F.concat(F.lit("[error] symbol not found: "), "requested"))
 
 
-def with_body(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Symbols with ``body``, cut from the file's text at char_lo..char_hi (0-based, end exclusive)."""
-    texts = files.select("file_id", "source_text")
-    body = F.substr("source_text", (F.col("char_lo") + 1).cast("int"), (F.col("char_hi") - F.col("char_lo")).cast("int"))
-    return symbols.join(texts, "file_id").withColumn("body", body).drop("source_text")
-
-
 def match_focus(symbols: DataFrame, focus: str) -> DataFrame:
     """Per file: the symbols named exactly so if there are any, else those the pattern finds."""
     exact = symbols.filter((F.col("qualified_name") == focus) | (F.col("name") == focus))

@@ -261,6 +261,32 @@ _over(
 _over(V.bracket_lines, parse_errors=lexical.parse_errors)
 
 
+def _identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each file its class, a member with more than a word, a sign, a common word and one that is nowhere."""
+    doc = F.col("doc_id")
+    name = F.concat(F.lit("Doc"), doc.cast("string"))
+    asked = F.array(name, F.lit("f2(x"), F.lit("f2"), F.lit("="), F.lit("and"), F.lit("nowhere"))
+    return V.table(spark, sf_dir, "documents").select(
+        doc.alias("file_id"), F.concat(F.lit("/src/"), doc.cast("string")).alias("path"), F.explode(asked).alias("identifier"))
+
+
+@query
+def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over a table of identifiers, with the symbols around the hits."""
+    lines = V.code_lines(spark, sf_dir)
+    return jobs.find_references(lines, _identifiers(spark, sf_dir), stage(lexical.lexical_symbols(lines)), limit=20)
+
+
+@query
+def symbol_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file's class by name, members by name and path, and one that is missing, with docs and bodies."""
+    doc = F.col("doc_id")
+    name = F.concat(F.lit("Doc"), doc.cast("string"))
+    asked = F.array(name, F.lit("f2"), F.concat(name, F.lit(".t1")), F.concat(name, F.lit(".T4")), F.lit("nowhere"))
+    requests = V.table(spark, sf_dir, "documents").select(doc.alias("file_id"), F.explode(asked).alias("requested"))
+    return jobs.read_symbols(V.code_lines(spark, sf_dir), requests)
+
+
 # Streams.
 def _streamed(spark: SparkSession, lines: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     landed = new_folder(spark)

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from gistline.functions import text as T
-from gistline.operators import classify, digest as D, lexical, symbols as S
-from gistline.operators.scan import scan
+from gistline.operators import classify, digest as D, lexical, retrieve as R, symbols as S
+from gistline.operators.scan import first_k, scan
 from gistline.sources import code, store
 from gistline.sources.logs import explode_lines
 from gistline.sources.staging import stage
@@ -156,3 +156,70 @@ def read_code(files: DataFrame, focus: str | None = None, mode: str = "auto", ma
         _text_rows(whole, row(1, 0, "```"), row(1, 1, F.col("source_text")), row(1, 2, "```"), row(1, 3, "")),
     ])).select(F.col("log_id").alias("file_id"), "part_no", F.col("body").alias("text"))
     return modes.select("file_id", "path", "returned").join(text, "file_id")
+
+
+def read_symbols(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """(file_id, requested, qualified_name, line_lo, header, note, doc, body, error) for requests (file_id, requested).
+
+    A request gets all symbols of that name or qualified name, overloads too, or one row with an
+    error. Only symbols asked for have their lines fetched; a body is cut from those by offsets.
+    """
+    pieces = lexical.code_pieces(lines)
+    table = stage(lexical.lexical_symbols(lines, pieces=pieces))
+    found = stage(S.read_symbols(table, requests))
+    ranges = found.select("file_id", F.col("char_lo").alias("id"), F.col("char_lo").alias("lo"), F.col("char_hi").alias("hi"), "line_lo", "line_hi").distinct()
+    bodies = lexical.cut_texts(ranges, lines, lexical.line_offsets(pieces), "body").withColumnRenamed("id", "char_lo")
+    docs = lexical.leading_doc(lines, pieces=pieces).withColumnRenamed("line_no", "line_lo")
+    # A comment is the doc of the first declaration on the line below it.
+    first = table.groupBy("file_id", "line_lo").agg(F.min("char_lo").alias("char_lo"))
+    docs = docs.join(first, ["file_id", "line_lo"]).select("file_id", "char_lo", "doc")
+    shown = found.join(bodies, ["file_id", "char_lo"], "left").join(docs, ["file_id", "char_lo"], "left").select(
+        "file_id", "requested", "qualified_name", "line_lo", "header", "note", "doc", "body", F.lit(None).cast("string").alias("error"))
+    none = S.symbols_not_found(table, requests)
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("qualified_name", "string"), ("line_lo", "bigint"), ("header", "string"), ("note", "string"), ("doc", "string"), ("body", "string"))]
+    return shown.unionByName(none.select("file_id", "requested", *empty, "error"))
+
+
+_LINES_AROUND = 1 << 12  #: Places of one hit among the rows of a reference list.
+
+
+def find_references(lines: DataFrame, requests: DataFrame, symbols: DataFrame, context: int = 2, limit: int | None = 50,
+                    index: DataFrame | None = None) -> DataFrame:
+    """(file_id, identifier, ord, text): for each request (file_id, path, identifier) its reference list.
+
+    A heading with the number of hits, then for each hit the lines around it and the innermost symbol
+    it is in; a request without hits gets one row. The first ``limit`` hits are shown, as the heading
+    says, or all for None. Bands of neighbouring hits are not merged.
+    """
+    if context > _LINES_AROUND // 4:
+        raise ValueError(f"at most {_LINES_AROUND // 4} lines around a hit")
+    key = ["file_id", "identifier"]
+    hits = R.indexed_references(lines, requests, index)
+    if limit is None:
+        shown = scan(hits, key=key, running={"seq": F.lit(1)})
+    else:
+        shown = first_k(hits, limit, key, ["line_no"])
+    shown = stage(S.enclosing_symbol(shown, symbols))
+    at, seq = F.col("line_no"), F.col("seq") * _LINES_AROUND
+    counts = shown.groupBy(*key).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    heads = requests.select("file_id", "path", "identifier").distinct().join(counts, key, "left")
+    s = lambda c: c.cast("string")
+    capped = F.when(F.lit(limit is not None) & (n == F.lit(limit or 0)), F.lit(" (capped)")).otherwise("")
+    row = lambda ord_, text: F.struct(F.lit(ord_).cast("bigint").alias("ord"), text.alias("text"))
+    head = F.when(n == 0, F.array(row(0, F.concat(F.lit("["), "identifier", F.lit("] 0 matches in "), "path")))).otherwise(F.array(
+        row(0, F.concat(F.lit("File: "), "path")), row(1, F.concat(F.lit("Identifier: "), "identifier")),
+        row(2, F.concat(s(n), F.when(n == 1, F.lit(" match")).otherwise(F.lit(" matches")), capped)), row(3, F.lit(""))))
+    placed = scan(shown, key=key, before={"last": at})
+    start = F.greatest(F.lit(1).cast("bigint"), at - context)
+    bands = placed.select(
+        *key, "seq", at.alias("hit"), start.alias("start"), "qualified_name",
+        (F.col("last").isNull() | (start > F.col("last") + context + 1)).alias("apart"))
+    wanted = bands.select("*", F.explode(F.sequence("start", F.col("hit") + context)).alias("line_no"))
+    mark = F.when(at == F.col("hit"), "► ").otherwise("  ")
+    around = lines.select("file_id", "line_no", "line").join(wanted, ["file_id", "line_no"])
+    body = around.select(*key, (seq + 2 + at - F.col("start")).alias("ord"), F.concat(mark, R.numbered(at, F.col("line"))).alias("text"))
+    between = bands.filter("apart").select(*key, (seq + 1).alias("ord"), F.lit("---").alias("text"))
+    inside = bands.filter("qualified_name IS NOT NULL").select(
+        *key, (seq + _LINES_AROUND - 1).alias("ord"), F.concat(F.lit("  (inside "), "qualified_name", F.lit(")")).alias("text"))
+    return D.union([heads.select(*key, F.inline(head)), body, between, inside])

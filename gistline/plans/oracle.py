@@ -673,6 +673,36 @@ bl AS (SELECT *, CASE WHEN delta = 1 THEN c || coalesce(lead(c) OVER w, '') ELSE
     FROM (SELECT *, least(depth, depth - delta) AS level FROM bd) WINDOW w AS (PARTITION BY file_id, level ORDER BY line_no, k))
 """, select="SELECT file_id, line_no, c AS sign, 'ERROR at line ' || line_no AS error FROM bl WHERE pair NOT IN ('()', '[]', '{}')")
 
+_RANGE = """sy AS (SELECT *, CASE kind WHEN 'function' THEN 'fun' WHEN 'type_alias' THEN 'type' ELSE kind END AS label, '[L' || line_lo || '-L' || line_hi || ']' AS range FROM ({symbols}))"""
+ORACLE["symbol_bodies"] = _with(_CODE, _DECLS, _RANGE.replace("{symbols}", _SYMBOLS), f"""
+dc AS ({_DOCS}),
+tx AS (SELECT file_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM code_lines GROUP BY file_id),
+rq AS (SELECT doc_id AS file_id, unnest(['Doc' || doc_id, 'f2', 'Doc' || doc_id || '.t1', 'Doc' || doc_id || '.T4', 'nowhere']) AS requested FROM documents),
+hit AS (SELECT rq.file_id, requested, s.* EXCLUDE (file_id), rq.file_id IS NOT NULL AND s.file_id IS NOT NULL AS there
+  FROM rq LEFT JOIN sy s ON s.file_id = rq.file_id AND (requested = qualified_name OR requested = name))
+""", select="""
+  SELECT h.file_id, requested, qualified_name, line_lo, kind || ' ' || qualified_name || ' ' || range AS header, '// inside ' || parent_qualified_name AS note,
+    CASE WHEN char_lo = (SELECT min(char_lo) FROM sy WHERE sy.file_id = h.file_id AND sy.line_lo = h.line_lo) THEN doc END AS doc,
+    CASE WHEN there THEN substr(tx.text, char_lo + 1, char_hi - char_lo) END AS body,
+    CASE WHEN NOT there THEN '[error] symbol not found: ' || requested END AS error
+  FROM hit h LEFT JOIN dc ON dc.file_id = h.file_id AND dc.line_no = h.line_lo LEFT JOIN tx ON tx.file_id = h.file_id""")
+ORACLE["reference_lists"] = _with(_CODE, _DECLS, _RANGE.replace("{symbols}", _SYMBOLS), r"""
+ri AS (SELECT doc_id AS file_id, '/src/' || doc_id AS path, unnest(['Doc' || doc_id, 'f2(x', 'f2', '=', 'and', 'nowhere']) AS identifier FROM documents),
+rh AS (SELECT * FROM (SELECT ri.*, c.line_no, row_number() OVER (PARTITION BY ri.file_id, identifier ORDER BY c.line_no) AS seq
+   FROM ri JOIN code_lines c ON c.file_id = ri.file_id AND contains(c.line, identifier) AND regexp_matches(c.line, '\b' || regexp_escape(identifier) || '\b')) WHERE seq <= 20),
+rb AS (SELECT *, greatest(1, line_no - 2) AS a, line_no + 2 AS z, lag(line_no + 2) OVER (PARTITION BY file_id, identifier ORDER BY seq) AS pz,
+   (SELECT arg_min(qualified_name, (line_hi - line_lo) * 1000000000 + line_lo) FROM sy WHERE sy.file_id = rh.file_id AND rh.line_no BETWEEN line_lo AND line_hi) AS around FROM rh),
+rn AS (SELECT ri.*, (SELECT count(*) FROM rh WHERE rh.file_id = ri.file_id AND rh.identifier = ri.identifier) AS n FROM ri)
+""", select="""
+  SELECT file_id, identifier, 0 AS ord, CASE WHEN n = 0 THEN '[' || identifier || '] 0 matches in ' || path ELSE 'File: ' || path END AS text FROM rn
+  UNION ALL SELECT file_id, identifier, 1, 'Identifier: ' || identifier FROM rn WHERE n > 0
+  UNION ALL SELECT file_id, identifier, 2, n || CASE WHEN n = 1 THEN ' match' ELSE ' matches' END || CASE WHEN n = 20 THEN ' (capped)' ELSE '' END FROM rn WHERE n > 0
+  UNION ALL SELECT file_id, identifier, 3, '' FROM rn WHERE n > 0
+  UNION ALL SELECT file_id, identifier, seq * 4096 + 1, '---' FROM rb WHERE pz IS NULL OR a > pz + 1
+  UNION ALL SELECT b.file_id, identifier, seq * 4096 + 2 + c.line_no - a, CASE WHEN c.line_no = b.line_no THEN '► ' ELSE '  ' END || c.line_no || ': ' || c.line
+    FROM rb b JOIN code_lines c ON c.file_id = b.file_id AND c.line_no BETWEEN a AND z
+  UNION ALL SELECT file_id, identifier, seq * 4096 + 4095, '  (inside ' || around || ')' FROM rb WHERE around IS NOT NULL""")
+
 # --- streams ------------------------------------------------------------------------------
 
 ORACLE["stream_facts"] = ORACLE["kotlin_diagnostics"]

@@ -61,10 +61,16 @@ def test_read_symbols(spark, table):
     assert [(r.file_id, r.error) for r in S.symbols_not_found(table, asked).collect()] == [(2, "[error] symbol not found: A")]
 
 
-def test_bodies(spark):
-    files = spark.createDataFrame([(1, "class A {\n  fun f() {}\n}\n")], "file_id int, source_text string")
-    syms = spark.createDataFrame([(1, "A.f", 12, 22)], "file_id int, qualified_name string, char_lo bigint, char_hi bigint")
-    assert S.with_body(syms, files).first().body == "fun f() {}"
+def test_paths_of_a_deep_chain_take_few_rounds(spark, monkeypatch):
+    from gistline.operators import trees
+
+    n, rounds, write = 3000, [], trees.stage
+    monkeypatch.setattr(trees, "stage", lambda df: rounds.append(1) or write(df))
+    rows = spark.range(n).selectExpr("1 AS file_id", "concat('s', id) AS name", "concat('q', id) AS qualified_name",
+                                     "if(id = 0, null, concat('q', id - 1)) AS parent_qualified_name")
+    got = {r.depth: r.n for r in S.symbol_paths(rows).selectExpr("depth", "length(path) AS n").collect()}
+    assert sorted(got) == list(range(n)) and got[2] == len("s0.s1.s2") and got[n - 1] == len(".".join(f"s{i}" for i in range(n)))
+    assert len(rounds) <= 14
 
 
 def test_focus(table):
