@@ -38,9 +38,10 @@ def dedupe_consecutive(lines: DataFrame, span: int | None = None) -> DataFrame:
     return numbered.select("log_id", "seq", F.when(F.col("starts"), F.col("line")).otherwise(note).alias("line"))
 
 
-def error_lines(lines: DataFrame, k: int = SHOWN_ERRORS) -> DataFrame:
-    """The first error lines of each log, with the log's number of error lines."""
-    return sized(dedupe_consecutive(lines)).filter(F.col("is_error") & (F.col("rank") <= k)).select(
+def error_lines(lines: DataFrame, k: int | None = None) -> DataFrame:
+    """The error lines of each log, all or the first k, with the log's number of error lines."""
+    wanted = F.col("is_error") if k is None else F.col("is_error") & (F.col("rank") <= k)
+    return sized(dedupe_consecutive(lines)).filter(wanted).select(
         "log_id", "seq", "line", "rank", F.col("errors").alias("error_count"))
 
 

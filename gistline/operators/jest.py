@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, once, scan
+from gistline.operators.scan import first_lines, once, scan
 from gistline.sources.staging import stage
 
 SHOWN_DETAILS = 20
@@ -79,10 +79,10 @@ def jest_failures(fact_rows: DataFrame) -> DataFrame:
         "log_id", "block", "suite", T.trim(F.regexp_extract("text", P.JEST_MARKER, 1)).alias("title"))
 
 
-def jest_failure_details(fact_rows: DataFrame, k: int = SHOWN_DETAILS) -> DataFrame:
-    """The first detail lines of each block; ``seq`` counts within the block."""
+def jest_failure_details(fact_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """The detail lines of each block, all or the first k; ``seq`` counts within the block."""
     found = fact_rows.filter("fact = 'detail'").select("log_id", "block", "line_no", "text")
-    return first_k(found, k, ["log_id", "block"], ["line_no"])
+    return first_lines(found, k, ["log_id", "block"])
 
 
 def totals_of(fact_rows: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
         row(1, at + 2, F.concat(F.lit("    ● "), "title")))
     at = F.col("line_no") * 4
     details = D.rows_of(
-        jest_failure_details(fact_rows), row(1, at, F.concat(F.lit("    "), "text")),
+        jest_failure_details(fact_rows, SHOWN_DETAILS), row(1, at, F.concat(F.lit("    "), "text")),
         F.when(F.col("seq") == SHOWN_DETAILS, row(1, at + 1, "        … (truncated)")))
     return D.union([heads, titles, details])
 

@@ -69,8 +69,9 @@ def deprecation_groups(fact_rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.min_by("message", "line_no").alias("message"))
 
 
-def npm_deprecations(fact_rows: DataFrame) -> DataFrame:
-    top = first_k(deprecation_groups(fact_rows), TOP_DEPRECATIONS, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
+def npm_deprecations(fact_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """Deprecated packages, most frequent first: all, or the first k."""
+    top = first_k(deprecation_groups(fact_rows), k, ["log_id"], [F.col("n").desc(), "first_line"], "rank")
     return top.withColumn("message", T.ellipsize("message"))
 
 
@@ -148,7 +149,7 @@ def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
         D.rows_of(fact_rows, F.when(F.col("fact") == "change", row(0, F.col("line_no"), F.col("text"))),
                   F.when(F.col("fact") == "audit", row(4, F.col("line_no") + 1, F.concat(F.lit("  "), "text")))),
         D.rows_of(shown, row(1, F.col("seq") + 1, F.concat(F.lit("  "), "text"))),
-        D.rows_of(npm_deprecations(fact_rows), row(2, F.col("rank") + 1, F.concat(
+        D.rows_of(npm_deprecations(fact_rows, TOP_DEPRECATIONS), row(2, F.col("rank") + 1, F.concat(
             F.lit("  "), T.count_prefix("n"), "package", F.lit(" — "), "message"))),
         D.rows_of(npm_other_warnings(fact_rows, TOP_WARNINGS), row(3, F.col("rank") + 1, F.concat(
             F.lit("  "), T.count_prefix("n"), "message"))),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import first_k, once, scan
+from gistline.operators.scan import first_lines, once, scan
 from gistline.sources.staging import stage
 
 CAPS = {"errors": 60, "failures": 120}
@@ -95,9 +95,10 @@ def pytest_blocks(fact_rows: DataFrame, caps: dict[str, int] | None = None, span
         "line IS NOT NULL").select("log_id", "section", "seq", "line")
 
 
-def pytest_short_summary(fact_rows: DataFrame, k: int = SHOWN_SUMMARY) -> DataFrame:
+def pytest_short_summary(fact_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """The lines of the short summary, all or the first k."""
     listed = fact_rows.filter((F.col("section") == "short_summary") & (T.trim("text") != ""))
-    return first_k(listed, k, ["log_id"], ["line_no"]).select(
+    return first_lines(listed, k).select(
         "log_id", "seq", T.trim("text").alias("text"))
 
 
@@ -136,7 +137,7 @@ def digest_rows(fact_rows: DataFrame, totals: DataFrame) -> DataFrame:
         pytest_blocks(fact_rows),
         F.when(F.col("section") == "errors", row(2, F.col("seq") + 1, F.col("line"))),
         F.when(F.col("section") == "failures", row(3, F.col("seq") + 1, F.col("line"))))
-    short = D.rows_of(pytest_short_summary(fact_rows), row(4, F.col("seq") + 1, F.concat(F.lit("  "), "text")))
+    short = D.rows_of(pytest_short_summary(fact_rows, SHOWN_SUMMARY), row(4, F.col("seq") + 1, F.concat(F.lit("  "), "text")))
     return D.union([heads, blocks, short])
 
 

@@ -273,7 +273,7 @@ def _identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job over a table of identifiers, with the symbols around the hits."""
-    lines = V.code_lines(spark, sf_dir)
+    lines = stage(V.code_lines(spark, sf_dir))
     return jobs.find_references(lines, _identifiers(spark, sf_dir), stage(lexical.lexical_symbols(lines)), limit=20)
 
 
@@ -284,7 +284,7 @@ def symbol_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("Doc"), doc.cast("string"))
     asked = F.array(name, F.lit("f2"), F.concat(name, F.lit(".t1")), F.concat(name, F.lit(".T4")), F.lit("nowhere"))
     requests = V.table(spark, sf_dir, "documents").select(doc.alias("file_id"), F.explode(asked).alias("requested"))
-    return jobs.read_symbols(V.code_lines(spark, sf_dir), requests)
+    return jobs.read_symbols(stage(V.code_lines(spark, sf_dir)), requests)
 
 
 # Streams.

@@ -236,7 +236,7 @@ def _npm(select: str) -> str:
 ORACLE["npm_errors"] = _npm("SELECT log_id, line_no, text, code FROM errs")
 ORACLE["npm_error_code"] = _npm("SELECT log_id, arg_max(code, line_no) AS code FROM errs WHERE code IS NOT NULL GROUP BY log_id")
 ORACLE["npm_deprecations"] = _npm("""SELECT log_id, package, n, first_line, rank,
-  CASE WHEN length(message) > 80 THEN left(message, 77) || '...' ELSE message END AS message FROM dep WHERE rank <= 10""")
+  CASE WHEN length(message) > 80 THEN left(message, 77) || '...' ELSE message END AS message FROM dep""")
 ORACLE["npm_other_warnings"] = _npm("SELECT log_id, message, n, first_line, rank FROM oth")
 ORACLE["npm_changes"] = _npm("SELECT log_id, line_no, t AS text FROM nf WHERE fact = 'change'")
 ORACLE["npm_audit"] = _npm("SELECT log_id, line_no, t AS text FROM nf WHERE fact = 'audit'")
@@ -275,7 +275,7 @@ def _generic(select: str) -> str:
 
 
 ORACLE["dedupe_consecutive"] = _generic("SELECT log_id, seq, line FROM dd")
-ORACLE["error_lines"] = _generic("SELECT log_id, seq, line, rank, error_count FROM er WHERE rank <= 50")
+ORACLE["error_lines"] = _generic("SELECT log_id, seq, line, rank, error_count FROM er")
 ORACLE["middle_truncate"] = _generic("SELECT log_id, ord, line FROM mid")
 ORACLE["generic_digest"] = _generic(_digest("generic"))
 
@@ -320,7 +320,7 @@ def _jest(select: str) -> str:
 ORACLE["jest_suites"] = _jest(f"""SELECT log_id, line_no, c AS status,
   CASE c WHEN 'pass' THEN {_x('t', P.JEST_PASS, 1)} ELSE {_x('t', P.JEST_FAIL, 1)} END AS suite FROM jc WHERE c IN ('pass', 'fail')""")
 ORACLE["jest_failures"] = _jest("SELECT log_id, block, suite, title FROM fl")
-ORACLE["jest_failure_details"] = _jest("SELECT log_id, block, line_no, text, seq FROM dt WHERE seq <= 20")
+ORACLE["jest_failure_details"] = _jest("SELECT log_id, block, line_no, text, seq FROM dt")
 ORACLE["jest_totals"] = _jest("SELECT log_id, suites, tests, time FROM tot")
 ORACLE["jest_digest"] = _jest(_digest("jest"))
 
@@ -373,7 +373,7 @@ def _pytest(select: str, errors: int = 60, failures: int = 120) -> str:
 ORACLE["pytest_sections"] = _pytest("SELECT log_id, line_no, section, text FROM sec")
 ORACLE["pytest_result"] = _pytest("SELECT log_id, final, platform FROM res")
 ORACLE["pytest_blocks"] = _pytest("SELECT log_id, section, seq, line FROM blk", 30, 30)
-ORACLE["pytest_short_summary"] = _pytest("SELECT log_id, seq, text FROM sh WHERE seq <= 40")
+ORACLE["pytest_short_summary"] = _pytest("SELECT log_id, seq, text FROM sh")
 ORACLE["pytest_digest"] = _pytest(_digest("pytest"))
 
 # --- JVM test logs ------------------------------------------------------------------------
@@ -415,12 +415,14 @@ def _junit(select: str) -> str:
 ORACLE["junit_results"] = _junit("SELECT f.log_id, f.line_no, " + _x("t", P.JUNIT_RESULT, 1) + " AS fqcn, "
                                  + _x("t", P.JUNIT_RESULT, 2) + " AS test, c AS status FROM uc f WHERE c IN ('PASSED', 'FAILED', 'SKIPPED')")
 ORACLE["junit_counts"] = _junit("SELECT log_id, passed, failed, skipped FROM cnt WHERE passed + failed + skipped > 0")
-# Only what it needs, with each step computed once.
-_JUNIT_BLOCKS = _JUNIT[:_JUNIT.index("uf AS (")] + _JUNIT[_JUNIT.index("fails AS ("):_JUNIT.index("usizes AS (")].rstrip().rstrip(",") + "\n"
-for _step in ("uc", "us", "ul"):
-    _JUNIT_BLOCKS = _JUNIT_BLOCKS.replace(f"{_step} AS (", f"{_step} AS MATERIALIZED (", 1)
-ORACLE["junit_failures"] = _with("junit_lines", _JUNIT_BLOCKS, select="""SELECT f.log_id, f.block, fqcn, test, m.seq, m.text FROM fails f
-  LEFT JOIN um m ON m.log_id = f.log_id AND m.block = f.block""")
+# Only what it needs, and no join: a failure's lines are listed by its block.
+ORACLE["junit_failures"] = _with("junit_lines", _JUNIT[:_JUNIT.index("ul AS (")], rf"""
+jf AS (SELECT log_id, CASE WHEN c = 'FAILED' THEN line_no ELSE block END AS block, line_no, c, t FROM us
+   WHERE c = 'FAILED' OR (c = 'other' AND block > 0 AND NOT starts_with({_trim('t')}, 'at '))),
+jg AS (SELECT log_id, block, max(CASE WHEN c = 'FAILED' THEN {_x('t', P.JUNIT_RESULT, 1)} END) AS fqcn, max(CASE WHEN c = 'FAILED' THEN {_x('t', P.JUNIT_RESULT, 2)} END) AS test,
+   list({_trim('t')} ORDER BY line_no) FILTER (c = 'other') AS texts FROM jf GROUP BY log_id, block)
+""", select="""SELECT log_id, block, fqcn, test, u.seq, texts[u.seq] AS text FROM jg,
+  unnest(CASE WHEN texts IS NULL THEN [NULL] ELSE range(1, len(texts) + 1) END) AS u(seq)""")
 ORACLE["junit_app_frames"] = _junit("SELECT log_id, block, seq, text, 0 AS omitted FROM uf")
 ORACLE["junit_digest"] = _junit(_digest("junit", "ustats", "urows"))
 # Build logs have no test facts, so all of them fall back to the build digest.
