@@ -93,17 +93,18 @@ def read_log_section(lines: DataFrame, pattern: str | None = None, context: int
     return cap_tokens(rows, max_tokens)
 
 
-def read_lines(files: DataFrame, lo: int, hi: int, max_tokens: int = 2000, max_bytes: int | None = None) -> DataFrame:
+def read_lines(files: DataFrame, lines: DataFrame, lo: int, hi: int, max_tokens: int = 2000, max_bytes: int | None = None) -> DataFrame:
     """(file_key, seq, text): header and numbered lines lo..hi of each file under a budget.
 
-    Files over ``max_bytes``, if that is given, get an error row instead.
+    ``files`` has file_key, path, size_bytes and ``n``, the number of lines; ``lines`` (file_key,
+    line_no, line) needs no more than lines lo..hi, as ``stored_lines`` gives them. Files over
+    ``max_bytes``, if that is given, get an error row instead.
 
     A line costs at least one token, so at most ``max_tokens`` + 1 lines of a file are looked at
     and the window below stays small whatever the file's size.
     """
-    all_lines = F.split("source_text", "\n")
     first = F.lit(max(1, lo)).cast("bigint")
-    sized = files.select("file_key", "path", "size_bytes", "source_text", F.size(all_lines).cast("bigint").alias("n"))
+    sized = files.select("file_key", "path", "size_bytes", F.col("n").cast("bigint").alias("n"))
     sized = sized.withColumn("last", F.least("n", F.lit(hi).cast("bigint")))
     s = lambda c: c.cast("string")
     reversed_ = F.concat(F.lit("[error] end_line ("), s(F.col("last")), F.lit(") < start_line ("), s(first), F.lit(")"))
@@ -116,19 +117,17 @@ def read_lines(files: DataFrame, lo: int, hi: int, max_tokens: int = 2000, max_b
                       F.lit(" of "), s(F.col("n")), F.lit("\n"))
     sized = sized.withColumn("error", error).withColumn("header", header)
     good = sized.filter("error IS NULL")
-    count = F.least(F.col("last") - first + 1, F.lit(max_tokens + 1).cast("bigint")).cast("int")
-    body = good.select(
-        "file_key", F.length("header").alias("header_chars"),
-        F.posexplode(F.slice(all_lines, first.cast("int"), count)).alias("p", "line"))
-    body = body.withColumn("text", numbered(F.col("p") + first, F.col("line")))
+    at = F.col("line_no")
+    wanted = lines.select("file_key", "line_no", "line").filter(at.between(max(1, lo), min(hi, max(1, lo) + max_tokens)))
+    body = wanted.join(good.select("file_key", F.length("header").alias("header_chars")), "file_key").withColumn("text", numbered(at, F.col("line")))
     cost = T.estimate_tokens("text")
-    upto = Window.partitionBy("file_key").orderBy("p")
+    upto = Window.partitionBy("file_key").orderBy("line_no")
     spent = T.tokens_of_length(F.col("header_chars")) + F.sum(cost).over(upto)
     marker = F.lit(f"... [truncated at {max_tokens} tokens; use a narrower range]")
     shown = F.when(F.col("spent") <= max_tokens, F.col("text")).when(
         F.col("before") <= max_tokens, marker)
     kept = body.withColumn("spent", spent).withColumn("before", F.col("spent") - cost).select(
-        "file_key", (F.col("p") + 4).cast("bigint").alias("seq"), shown.alias("text")).filter("text IS NOT NULL")
+        "file_key", (at - first + 4).cast("bigint").alias("seq"), shown.alias("text")).filter("text IS NOT NULL")
     heads = good.select("file_key", F.posexplode(F.split("header", "\n")).alias("p", "text")).select(
         "file_key", (F.col("p") + 1).cast("bigint").alias("seq"), "text")
     errors = sized.filter("error IS NOT NULL").select(

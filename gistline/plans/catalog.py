@@ -10,7 +10,7 @@ from gistline.functions import text as T
 from gistline.operators import (
     classify as C, digest as D, generic, gradle, jest, junit, lexical, npm, pytest, retrieve as R, symbols as S)
 from gistline.plans import carriers as V, jobs
-from gistline.sources import code, store
+from gistline.sources import code, logs, store
 from gistline.sources.staging import new_folder, stage
 from gistline.streaming import feeds
 
@@ -164,7 +164,6 @@ _over(V.build_lines, head_lines=R.head_lines)
 # Source files.
 _over(
     V.source_files,
-    read_lines=lambda f: R.read_lines(f, 2, 60, max_tokens=200),
     source_profile=code.profile,
     language_counts=code.language_counts,
     file_ids=lambda f: f.select("file_key", code.file_id("path", "mtime_ms", "size_bytes").alias("file_id")),
@@ -173,6 +172,16 @@ _over(
 )
 
 
+@query
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of every file, from a line store of small blocks."""
+    files, folder = V.source_files(spark, sf_dir), new_folder(spark)
+    logs.write_line_store(logs.explode_lines(files, "source_text", "file_key"), folder, 16)
+    sizes = logs.stored_files(spark, folder).withColumnRenamed("log_id", "file_key")
+    lines = logs.stored_lines(spark, folder, 2, 60).withColumnRenamed("log_id", "file_key")
+    return R.read_lines(files.join(sizes, "file_key"), lines, 2, 60, max_tokens=200)
+
+
 def _stored(files: DataFrame) -> DataFrame:
     """Ids of an earlier run that saw two files of three, some of them in an older version."""
     key = F.col("file_key")
@@ -300,6 +309,24 @@ def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, V.build_lines(spark, sf_dir), feeds.stream_facts)
 
 
+@query
+def stream_fact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stateless facts of a feed with build, install and test lines, from the tables that one stream wrote."""
+    parts = [view(spark, sf_dir).select(F.concat(F.lit(f"{kind}:"), F.col("log_id").cast("string")).alias("log_id"), "line_no", "line")
+             for kind, view in _BY_KIND.items() if kind in ("gradle", "npm", "junit")]
+    landed, out = new_folder(spark), new_folder(spark)
+    D.union(parts).write.parquet(landed)
+    feed = feeds.read_feed(spark, landed, parts[0].schema)
+    feeds.drain_batches(feed, feeds.all_line_facts(out), new_folder(spark))
+    texts = {"kotlin_diagnostics": "message", "javac_diagnostics": "message", "npm_changes": "text", "junit_results": "test", "clean_lines": "line"}
+    return D.union([feeds.fact_table(spark, out, name).select(F.lit(name).alias("fact"), "log_id", "line_no", F.col(c).alias("text")) for name, c in texts.items()])
+
+
+@query
+def stream_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, V.runs(spark, sf_dir), feeds.stream_kinds)
+
+
 @query
 def stream_warning_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, V.timed_build_lines(spark, sf_dir), feeds.stream_warning_counts)

@@ -714,3 +714,11 @@ ORACLE["stream_warning_counts"] = """
       WHEN event_type = 'purchase' AND event_id % 5 <> 0 THEN 'unchecked call ' || (event_id % 3) END AS message FROM events)
   WHERE message IS NOT NULL AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
   GROUP BY 1, 2"""
+
+ORACLE["stream_kinds"] = ORACLE["classify"]
+ORACLE["stream_fact_tables"] = "\nUNION ALL\n".join(
+    f"SELECT '{fact}' AS fact, '{kind}:' || log_id AS log_id, line_no, {c} AS text FROM ({sql})" for fact, kind, c, sql in (
+        ("kotlin_diagnostics", "gradle", "message", ORACLE["kotlin_diagnostics"]), ("javac_diagnostics", "gradle", "message", ORACLE["javac_diagnostics"]),
+        ("npm_changes", "npm", "text", ORACLE["npm_changes"]), ("junit_results", "junit", "test", ORACLE["junit_results"]),
+        *[("clean_lines", kind, r"regexp_replace(line, chr(27) || '\[[0-9;]*[A-Za-z]', '', 'g')", CARRIER_SQL[view])
+          for kind, view in (("gradle", "build_lines"), ("npm", "npm_lines"), ("junit", "junit_lines"))]))

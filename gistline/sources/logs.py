@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+#: Lines of one folder of a line store.
+LINES_PER_BLOCK = 1 << 16
+
 
 def explode_lines(df: DataFrame, text: str = "text", id_col: str = "log_id", *keep: str) -> DataFrame:
     """Numbered lines of a text column; a trailing newline yields a last empty line."""
@@ -52,3 +55,28 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     tail = blocks.filter(F.col("is_last") & F.col("ends_open")).select(
         "log_id", (F.col("lines") + 1).alias("line_no"), F.lit("").alias("line"))
     return numbered.unionByName(tail)
+
+
+def write_line_store(lines: DataFrame, path: str, lines_per_block: int = LINES_PER_BLOCK) -> None:
+    """Keep numbered lines (log_id, line_no, line) in folders of line ranges.
+
+    A range of lines then reads the folders that hold it, whatever the size of the files. Rows are
+    dealt by file and block, so a file with most of the lines is written by many tasks.
+    """
+    block = F.expr(f"(line_no - 1) div {lines_per_block}")
+    lines.select("log_id", "line_no", "line", block.cast("long").alias("block")).repartition("log_id", "block").write.partitionBy("block").parquet(f"{path}/lines")
+    lines.groupBy("log_id").agg(F.max("line_no").alias("n")).withColumn("lines_per_block", F.lit(lines_per_block)).write.parquet(f"{path}/files")
+
+
+def stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, n): the files of a line store and their number of lines."""
+    return spark.read.parquet(f"{path}/files").drop("lines_per_block")
+
+
+def stored_lines(spark: SparkSession, path: str, lo: int, hi: int) -> DataFrame:
+    """Lines lo..hi of every file of a line store, from the folders that hold them."""
+    size = spark.read.parquet(f"{path}/files").select("lines_per_block").first()
+    per = size[0] if size else LINES_PER_BLOCK
+    found = spark.read.schema("log_id string, line_no long, line string, block long").parquet(f"{path}/lines") if size is None else spark.read.parquet(f"{path}/lines")
+    inside = F.col("block").between((max(lo, 1) - 1) // per, (max(hi, 1) - 1) // per)
+    return found.filter(inside & F.col("line_no").between(lo, hi)).drop("block")

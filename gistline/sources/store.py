@@ -80,29 +80,39 @@ def count_expired(entries: DataFrame, now: Column) -> DataFrame:
 def prune_log_store(spark: SparkSession, path: str, now: Column) -> int:
     """Remove expired logs from a store; returns how many days were removed whole.
 
-    Days that ended before the border are dropped as folders. Only the border day is rewritten, by
-    replacing its folders with the logs that stay.
+    Days that ended before the border are dropped as folders. Of the border day the logs that stay are
+    written first, and only then the files that were there before are removed, one by one; a run that
+    fails in between loses no log but leaves some twice, which the next run puts right.
     """
     border = spark.range(1).select((now - F.expr(f"INTERVAL {TTL}")).cast("timestamp").alias("t")).select(F.to_date("t").alias("day")).first()["day"]
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = fs_path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stored = spark.read.parquet(path)
-    days = stored.select("kind", "day").distinct().collect()  # one row per folder
-    removed = 0
-    for r in days:
-        if r["day"] is not None and r["day"] < border:
-            fs.delete(fs_path(f"{path}/kind={r['kind']}/day={r['day']}"), True)
-            removed += 1
+    days = spark.read.parquet(path).select("kind", "day").distinct().collect()  # one row per folder
+    gone = [f"{path}/kind={r['kind']}/day={r['day']}" for r in days if r["day"] is not None and r["day"] < border]
+    _remove(spark, gone)
     at_border = [r["kind"] for r in days if r["day"] == border]
     if at_border:
         spark.catalog.refreshByPath(path)
-        rest = stage(kept(spark.read.parquet(path).filter(F.col("day") == F.lit(border)), now))
-        for kind in at_border:
-            fs.delete(fs_path(f"{path}/kind={kind}/day={border}"), True)
-        rest.write.mode("append").partitionBy("kind", "day", "id_bucket").parquet(path)
+        before = [f for kind in at_border for f in _files(spark, f"{path}/kind={kind}/day={border}")]
+        stay = kept(spark.read.parquet(path).filter(F.col("day") == F.lit(border)), now)
+        stage(stay.dropDuplicates(["kind", "log_id", "ended_at"])).write.mode("append").partitionBy("kind", "day", "id_bucket").parquet(path)
+        _remove(spark, before)
     spark.catalog.refreshByPath(path)
-    return removed
+    return len(gone)
+
+
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    """The files below a folder of any store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 SYMBOL = ("name string, qualified_name string, parent_qualified_name string, kind string, line_lo bigint, line_hi bigint, "

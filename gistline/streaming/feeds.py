@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from gistline.operators import gradle
+from gistline.functions import text as T
+from gistline.operators import classify, gradle, junit, npm
 
 WATERMARK = "7 days"
 
@@ -49,9 +50,58 @@ def drain(result: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return result.sparkSession.read.schema(result.schema).parquet(out)
 
 
+def _keep(facts: DataFrame, out: str, batch_id: int) -> None:
+    """Write a batch's rows in place of those an earlier run of the same batch may have left."""
+    facts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+
 def per_finished_log(batch_operator: Callable[[DataFrame], DataFrame], out: str):
-    """A ``foreachBatch`` function for feeds whose micro-batches hold whole logs."""
-    def run(batch: DataFrame, _epoch: int) -> None:
-        batch_operator(batch).write.mode("append").parquet(out)
+    """A ``foreachBatch`` function for feeds whose micro-batches hold whole logs.
+
+    Results are kept by batch id (partition column ``batch``), so a batch that runs again after a
+    failure replaces its own rows.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        _keep(batch_operator(batch), out, batch_id)
+
+    return run
+
+
+#: The stateless facts of lines, by the table that they go to.
+LINE_FACTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "kotlin_diagnostics": lambda lines: gradle.kotlin_diagnostics(line_facts(lines)),
+    "javac_diagnostics": lambda lines: gradle.javac_diagnostics(line_facts(lines)),
+    "npm_changes": lambda lines: npm.npm_changes(npm.stateless_facts(lines)),
+    "junit_results": lambda lines: junit.junit_results(junit.stateless_facts(lines)),
+    "clean_lines": lambda lines: lines.select("log_id", "line_no", T.strip_ansi("line").alias("line")),
+}
+
+
+def all_line_facts(out: str, facts: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+    """A ``foreachBatch`` function that writes all facts of a batch of lines, each to a table of its own below ``out``.
+
+    The batch is read once. Each table keeps its rows by batch id; read them with :func:`fact_table`.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for name, fact in (facts or LINE_FACTS).items():
+                _keep(fact(batch), f"{out}/{name}", batch_id)
+        finally:
+            batch.unpersist()
 
     return run
+
+
+def fact_table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/{name}").drop("batch")
+
+
+def drain_batches(feed: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hand what is there now to a ``foreachBatch`` function."""
+    feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_kinds(runs: DataFrame) -> DataFrame:
+    """The kind of each captured run (log_id, command, head), on a stream or a table."""
+    return runs.select("log_id", classify.classify().alias("kind"))

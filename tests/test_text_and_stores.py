@@ -69,6 +69,40 @@ def test_retention_removes_data(spark, tmp_path):
     assert store.prune_log_store(spark, path, F.lit(now)) == 0 and store.read_log_store(spark, path).count() == 4
 
 
+def test_a_prune_that_fails_loses_no_log(spark, tmp_path, monkeypatch):
+    path, now = str(tmp_path / "store"), dt.datetime(2024, 5, 10, 12)
+    rows = [(f"{k}{i}", "npm", now - dt.timedelta(days=d), k) for k, d in {"new": 1, "border_new": 6.9, "border_old": 7.1, "old": 8}.items() for i in range(5)]
+    store.write_log_store(spark.createDataFrame(rows, "log_id string, kind string, ended_at timestamp, text string"), path)
+    remove, calls = store._remove, []
+
+    def fails(spark, paths):
+        calls.append(paths)
+        if len(calls) == 2:
+            raise OSError("lost")
+        remove(spark, paths)
+
+    monkeypatch.setattr(store, "_remove", fails)
+    with pytest.raises(OSError):
+        store.prune_log_store(spark, path, F.lit(now))
+    stay = {f"{k}{i}" for k in ("new", "border_new") for i in range(5)}
+    assert stay <= {r.log_id for r in store.read_log_store(spark, path).collect()}
+    assert store.prune_log_store(spark, path, F.lit(now)) == 0
+    assert sorted(r.log_id for r in store.read_log_store(spark, path).collect()) == sorted(stay)
+
+
+def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
+    lines = spark.createDataFrame([("a", 1, "w: /x/A.kt:3:1 Unused"), ("a", 2, "added 3 packages in 2s"), ("a", 3, "a.B > works PASSED"),
+                                   ("a", 4, "B.java:7: error: no"), ("a", 5, "\x1b[31mred\x1b[0m")], "log_id string, line_no long, line string")
+    out = str(tmp_path / "facts")
+    run = feeds.all_line_facts(out)
+    run(lines, 0)
+    run(lines.limit(0), 1)
+    run(lines, 0)  # the same batch once more, as after a failure
+    counts = {name: feeds.fact_table(spark, out, name).count() for name in feeds.LINE_FACTS}
+    assert counts == {"kotlin_diagnostics": 1, "javac_diagnostics": 1, "npm_changes": 1, "junit_results": 1, "clean_lines": 5}
+    assert [r.line for r in feeds.fact_table(spark, out, "clean_lines").filter("line_no = 5").collect()] == ["red"]
+
+
 def test_log_store(spark, tmp_path):
     day = dt.datetime(2024, 5, 1, 12)
     df = spark.createDataFrame([("a", "npm", day, "x"), ("b", "jest", day - dt.timedelta(days=8), "y")],
