@@ -124,13 +124,13 @@ _COMMANDS = {"gradle": "./gradlew build", "npm": "npm install", "jest": "npx jes
 
 @query
 def distill_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job over runs of all kinds, each log as one text."""
-    logs = D.union([
-        view(spark, sf_dir).groupBy("log_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("stdout"))
-        .select(F.concat(F.lit(f"{kind}:"), F.col("log_id").cast("string")).alias("run_id"), F.lit(_COMMANDS[kind]).alias("command"), "stdout")
-        for kind, view in _BY_KIND.items()])
-    done = jobs.distill_runs(logs.withColumns({
-        "stderr": F.lit(""), "exit_code": F.lit(0), "timed_out": F.lit(False), "duration_ms": F.lit(1).cast("bigint")}))
+    """The whole job over runs of all kinds, each log as lines."""
+    run = F.concat(F.col("kind"), F.lit(":"), F.col("log_id").cast("string")).alias("run_id")
+    lines = stage(D.union([view(spark, sf_dir).withColumn("kind", F.lit(kind)) for kind, view in _BY_KIND.items()]).select("kind", run, "line_no", "line"))
+    command = F.create_map(*[F.lit(x) for item in _COMMANDS.items() for x in item])
+    runs = lines.select("kind", "run_id").distinct().select("run_id", F.element_at(command, F.col("kind")).alias("command"))
+    done = jobs.distill_run_lines(runs.withColumns({
+        "exit_code": F.lit(0), "timed_out": F.lit(False), "duration_ms": F.lit(1).cast("bigint")}), lines.drop("kind"))
     return done.digests.join(done.logs.select("log_id", "run_id"), "log_id").select(
         "run_id", "kind", "part_no", "summary", "body", "original_tokens", "outcome")
 
@@ -149,6 +149,16 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Retrieval.
+@query
+def log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of stored logs by id, two of three of them stored."""
+    docs = V.table(spark, sf_dir, "documents")
+    name, folder = F.concat(F.lit("log"), F.col("doc_id").cast("string")), new_folder(spark)
+    store.write_log_store(docs.filter("doc_id % 3 <> 1").select(
+        name.alias("log_id"), F.lit("generic").alias("kind"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") % 3 * 86400).alias("ended_at"), "text"), folder)
+    return jobs.read_log_sections(docs.select(name.alias("log_id")), folder, "than", 2, max_tokens=200)
+
+
 WORD = "and"
 _over(
     V.log_lines,

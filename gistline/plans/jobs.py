@@ -39,6 +39,44 @@ def distill_runs(runs: DataFrame) -> DistilledRuns:
     return DistilledRuns(logs, digests, D.format_response(digests, logs))
 
 
+HEAD_CHARS = 1024  #: What the kind of a run is told from, as many characters and so at most as many lines.
+
+
+def distill_run_lines(runs: DataFrame, lines: DataFrame) -> DistilledRuns:
+    """Captured runs (run_id, command, exit_code, timed_out, duration_ms, ...) whose output comes as lines (run_id, line_no, line).
+
+    No cell ever holds a log: the kind is told from the first lines of each run, the log id from hashes
+    of all its lines, and the lines go to the distillers as they are. ``logs`` has no text; keep the
+    lines with ``write_line_store``. A run without lines gets the empty digest of its kind.
+    """
+    clean = lines.select("run_id", F.col("line_no").cast("bigint").alias("line_no"), T.strip_ansi("line").alias("line"))
+    first = clean.filter(F.col("line_no") <= HEAD_CHARS).select("run_id", "line_no", F.left("line", F.lit(HEAD_CHARS)).alias("line"))
+    heads = first.groupBy("run_id").agg(F.left(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)"), F.lit(HEAD_CHARS)).alias("head"))
+    prints = clean.groupBy("run_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("line_no", "line")).alias("print"))
+    known = runs.join(heads, "run_id", "left").join(prints, "run_id", "left")
+    known = known.withColumn("kind", classify.kind_of("command", F.coalesce("head", F.lit(""))))
+    known = known.withColumn("log_id", store.log_id("kind", "run_id", "n", "print")).drop("head", "n", "print")
+    logs = stage(known)
+    empty = logs.join(prints, "run_id", "left_anti").select("log_id", "kind", F.lit(1).cast("bigint").alias("line_no"), F.lit("").alias("line"))
+    tagged = clean.join(logs.select("run_id", "log_id", "kind"), "run_id").select("log_id", "kind", "line_no", "line").unionByName(empty)
+    digests = stage(classify.distill(stage(tagged, "kind")))
+    return DistilledRuns(logs, digests, D.format_response(digests, logs))
+
+
+def read_log_sections(wanted: DataFrame, store_path: str, pattern: str | None = None, context: int = 3, lo: int | None = None,
+                      hi: int | None = None, max_tokens: int = 2000) -> DataFrame:
+    """(log_id, ord, text): a section of each stored log in ``wanted`` (log_id), or its error row.
+
+    A pattern with lines around it, else a range, else the first 200 lines, under a token budget.
+    Only the folders of the wanted ids are read.
+    """
+    spark = wanted.sparkSession
+    stored = stage(store.read_log_store(spark, store_path, wanted).select("log_id", "text"))
+    sections = R.read_log_section(explode_lines(stored, "text"), pattern, context, lo, hi, max_tokens)
+    missing = store.missing_logs(wanted, stored).select("log_id", F.lit(0).cast("bigint").alias("ord"), F.col("error").alias("text"))
+    return sections.unionByName(missing)
+
+
 def body_costs(found: DataFrame, lines: DataFrame, span: int | None = None) -> DataFrame:
     """Symbols with ``cost``, the tokens of their bodies, from running lengths at both ends."""
     chars = F.length("line")

@@ -460,6 +460,9 @@ ORACLE["cap_tokens"] = _with("log_lines", _GREP, select="""
   FROM (SELECT log_id, line_no * 2 + part + 1 AS ord, text, (length(text) + 3) // 4 + 1 AS cost,
       sum((length(text) + 3) // 4 + 1) OVER (PARTITION BY log_id ORDER BY line_no, part) AS spent FROM g)
   WHERE spent - cost <= 200""")
+ORACLE["log_sections"] = f"""
+  SELECT 'log' || log_id AS log_id, ord, text FROM ({ORACLE["cap_tokens"]}) WHERE log_id % 3 <> 1
+  UNION ALL SELECT 'log' || doc_id, 0, '[error] log_id "log' || doc_id || '" not found' FROM documents WHERE doc_id % 3 = 1"""
 ORACLE["slice_lines"] = _with("log_lines", select="SELECT log_id, line_no, line_no || ': ' || line AS text FROM log_lines WHERE line_no BETWEEN 3 AND 8")
 ORACLE["head_lines"] = _with("build_lines", select="SELECT log_id, line_no, line_no || ': ' || line AS text FROM build_lines WHERE line_no <= 200")
 ORACLE["read_lines"] = _with("source_files", select="""

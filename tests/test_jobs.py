@@ -78,3 +78,19 @@ def test_read_code(spark):
     assert "method A.f7 [L23-L25]\n```\nfun f7() {\n        val x = 7\n    }\n```\n" in text
     assert "class A [L1-L362]\n\nBody outline (362 lines, too large to inline):\n- [L2-L4] method f0\n" in text
     assert got["/none.kt"].text.endswith("[note] focus='f7|^A$' matched no symbols in this file.")
+
+
+def test_runs_as_lines_give_the_same_digests(spark):
+    texts = {"a": ("./gradlew build", "w: /x/A.kt:3:1 Unused\nBUILD FAILED in 2s"), "b": ("npm install", "\x1b[31mnpm ERR! code E1\x1b[0m\n\nadded 3 packages"),
+             "c": ("make", "x\nx\nerror: bad\n" + "y" * 3000), "d": ("jest", "")}
+    more = ["0 AS exit_code", "false AS timed_out", "5L AS duration_ms"]
+    runs = spark.createDataFrame([(k, c, t, "") for k, (c, t) in texts.items()], "run_id string, command string, stdout string, stderr string").selectExpr("*", *more)
+    lines = spark.createDataFrame([(k, i, x) for k, (_, t) in texts.items() if t for i, x in enumerate(t.split("\n"), 1)], "run_id string, line_no long, line string")
+    whole, by_line = jobs.distill_runs(runs), jobs.distill_run_lines(runs.drop("stdout", "stderr"), lines)
+
+    def rows(done):
+        return sorted(map(tuple, done.digests.join(done.logs.select("log_id", "run_id"), "log_id").select(
+            "run_id", "kind", "part_no", "summary", "body", "original_tokens", "outcome").collect()))
+
+    assert rows(whole) == rows(by_line) and len(rows(by_line)) == 4
+    assert by_line.responses.count() == 4 and "text" not in by_line.logs.columns
