@@ -351,15 +351,24 @@ def _cluster_links(held: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` (with all its columns), of each component only the row with the least doc_id.
+    """``docs`` (with all its columns), of each component only the row with the least doc_id, null last.
 
-    Of rows with equal doc_id one stays, if their document does. Rows without a doc_id all stay.
+    Rows are told apart by doc_id and text, so two texts under one doc_id are two documents, and a row
+    without a doc_id stays only where no named row is like it. Of rows equal in both one stays. Texts
+    without words, and null, are like nothing and stay.
     """
-    known = stage(near_components(docs, size, num, den))
-    counted = known.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"))
-    name = free(docs, "_id")
-    odd = stage(counted.filter("n > 1 or least <> doc_id").select(F.col("doc_id").alias(name), (F.col("least") < F.col("doc_id")).alias("_gone")))
+    row, name = free(docs, "_row"), free(docs, "_id")
     ids = docs.doc_id.cast("long")
-    single = docs.join(small(odd.select(name), 16), ids == F.col(name), "left_anti")
-    several = small(odd.filter("not _gone").select(name), 16)
-    return single.unionByName(docs.join(several, ids == F.col(name), "left_semi").dropDuplicates(["doc_id"]))
+    keyed = docs.withColumn(row, F.xxhash64(ids.isNull(), ids, F.coalesce("text", F.lit(""))))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    again = stage(keyed.filter(~wordless).groupBy(F.col(row).alias(name)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(name))
+    repeats = small(again, 8)
+    once = keyed.join(repeats, F.col(row) == F.col(name), "left_anti").unionByName(
+        keyed.join(repeats, F.col(row) == F.col(name), "left_semi").dropDuplicates([row]))
+    known = near_components(once.select(F.col(row).alias("doc_id"), "text"), size, num, den).filter("n_shingles > 0")
+    named = once.select(F.col(row).alias("_r"), F.col("doc_id").cast("long").alias("_d"))
+    members = stage(known.join(named, known.doc_id == named["_r"]).select("component_id", "_r", "_d"))
+    first = members.groupBy("component_id").agg(
+        F.min(F.struct(F.col("_d").isNull().alias("unnamed"), "_d", "_r"))["_r"].alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = stage(members.join(first, "component_id").filter("_r <> _first").select(F.col("_r").alias(name)))
+    return once.join(small(gone, 8), F.col(row) == F.col(name), "left_anti").drop(row)

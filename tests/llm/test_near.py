@@ -1,3 +1,4 @@
+import collections
 import random
 
 import numpy as np
@@ -91,9 +92,23 @@ def test_near_copies_in_blocks(docs_of, monkeypatch, block):
     same(trie.near_components(docs_of(pairs, 4)).collect(), brute(pairs))
 
 
+def survivors(pairs):
+    """One row of each component of rows, the least doc_id, null last; rows equal in both count once, wordless ones each."""
+    rows = [p for i, p in enumerate(pairs) if p not in pairs[:i] or not (p[1] or "").strip()]
+    least = {}
+    for i, n, c in brute(list(enumerate(t for _, t in rows))):
+        key = (rows[i][0] is None, rows[i][0] or 0, i)
+        least[c if n else (i,)] = min(key, least.get(c if n else (i,), key))
+    return collections.Counter(rows[k[2]] for k in least.values())
+
+
 def test_one_of_each(docs_of, odd_pairs):
-    docs = docs_of(odd_pairs)
-    kept = trie.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for d, _, c in brute(odd_pairs) if d is not None})
-    assert kept.filter("doc_id is null").count() == 2
+    text, other = prose(40, 80), prose(41, 60)
+    lost = [(None, text), (None, text), (90, text), (91, other), (91, text + " more"), (None, other), (92, "same words"), (92, "other words"),
+            (None, prose(42, 30)), (93, prose(42, 30) + "  "), (None, ""), (None, "")]
+    for pairs in (odd_pairs, odd_pairs + lost, [(1, None), (1, None)]):
+        docs = docs_of(pairs)
+        kept = trie.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == survivors(pairs)
+    assert trie.one_of_each(docs_of([(1, "x")]).limit(0)).collect() == []
