@@ -6,53 +6,64 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistline.functions import patterns as P, text as T
 from gistline.operators import digest as D
-from gistline.operators.scan import halo, scan
+from gistline.operators.scan import halo, once, scan
+from gistline.sources.staging import stage
 
 SHOWN_ERRORS = 50
 ERROR_PATTERN = "(?i)" + P.word(P.ERROR_WORDS)
 
 
-def dedupe_consecutive(lines: DataFrame, span: int | None = None) -> DataFrame:
-    """(log_id, seq, line): each run of equal lines once, then a row with its length if it repeats.
+def _runs(lines: DataFrame, span: int | None) -> DataFrame:
+    """The rows that stand for runs of equal lines, numbered, with the log's and their own counts, in one dealing of the lines.
 
     A run shows up as its first line and, if longer than one, its second line (which becomes the
     note). Both are recognised from the two lines before, so only they are kept and numbered.
     """
     near = halo(
-        lines.select("log_id", "line_no", "line"),
+        lines.filter("log_id IS NOT NULL").select("log_id", "line_no", "line"),
         lambda w: {"p1": F.lag("line", 1).over(w), "p2": F.lag("line", 2).over(w),
                    "following": F.lead("line_no", 1).over(w)},
-        left=2, right=1, span=span)
+        left=2, right=1, span=span, keep_span=True)
     again = F.col("line").eqNullSafe(F.col("p1"))
     marked = near.select(
-        "log_id", "line_no", (~again).alias("starts"),
+        "log_id", "__span", "line_no", (~again).alias("starts"),
         (again & ~F.col("p1").eqNullSafe(F.col("p2"))).alias("second"),
         F.col("following").isNull().alias("ends"),
         F.when(~again, F.col("line")).alias("line"),
     ).filter("starts OR second OR ends")
-    shown = F.col("starts") | F.col("second")
+    # A note about repeats is no error line.
+    marked = once(marked, "is_error", F.col("starts") & F.coalesce(F.col("line").rlike(ERROR_PATTERN), F.lit(False)))
+    shown, error = F.col("starts") | F.col("second"), F.col("is_error").cast("int")
     stop = F.when(F.col("starts"), F.col("line_no")).when(F.col("ends"), F.col("line_no") + 1)
-    numbered = scan(marked, after={"stop": stop}, running={"seq": shown.cast("int")}, span=span).filter(shown)
+    numbered = scan(
+        marked, after={"stop": stop}, running={"seq": shown.cast("int"), "rank": error}, span=span, dealt=True,
+        total={"n": shown.cast("int"), "chars": F.when(F.col("starts"), F.length("line")), "errors": error}).filter(shown)
     length = F.coalesce("stop", F.col("line_no") + 1) - F.col("line_no") + 1
     note = F.concat(F.lit("  … (repeated "), length.cast("string"), F.lit("×)"))
-    return numbered.select("log_id", "seq", F.when(F.col("starts"), F.col("line")).otherwise(note).alias("line"))
+    return numbered.withColumn("line", F.when(F.col("starts"), F.col("line")).otherwise(note))
+
+
+def dedupe_consecutive(lines: DataFrame, span: int | None = None) -> DataFrame:
+    """(log_id, seq, line): each run of equal lines once, then a row with its length if it repeats."""
+    return _runs(lines, span).select("log_id", "seq", "line")
 
 
 def error_lines(lines: DataFrame, k: int | None = None) -> DataFrame:
     """The error lines of each log, all or the first k, with the log's number of error lines."""
     wanted = F.col("is_error") if k is None else F.col("is_error") & (F.col("rank") <= k)
-    return sized(dedupe_consecutive(lines)).filter(wanted).select(
+    return sized(lines).filter(wanted).select(
         "log_id", "seq", "line", "rank", F.col("errors").alias("error_count"))
 
 
-def sized(deduped: DataFrame, span: int | None = None) -> DataFrame:
-    """Merged lines with the log's number of lines, tokens, error lines, and the rank among those."""
-    is_error = F.col("line").rlike(ERROR_PATTERN)
-    marked = deduped.withColumn("is_error", is_error)
-    counted = scan(
-        marked, running={"rank": F.col("is_error").cast("int")}, pos="seq", span=span,
-        total={"n": F.lit(1), "chars": F.length("line"), "errors": F.col("is_error").cast("int")})
-    return counted.withColumn("tokens", T.tokens_of_length(F.col("chars") + F.col("n") - 1)).drop("chars")
+def sized(lines: DataFrame, span: int | None = None) -> DataFrame:
+    """Merged lines with the log's number of lines, tokens, error lines, and the rank among those.
+
+    Written once: the lengths of the notes are known only when the runs are, and are added up from there.
+    """
+    runs = stage(_runs(lines, span).select("log_id", "seq", "line", "starts", "is_error", "rank", "n", "chars", "errors"))
+    notes = runs.filter("NOT starts").groupBy("log_id").agg(F.sum(F.length("line")).alias("note_chars"))
+    chars = F.col("chars") + F.coalesce("note_chars", F.lit(0))
+    return runs.join(notes, "log_id", "left").withColumn("tokens", T.tokens_of_length(chars + F.col("n") - 1)).drop("chars", "note_chars", "starts")
 
 
 def _cut(max_tokens: int) -> Column:
@@ -66,7 +77,7 @@ def _cut(max_tokens: int) -> Column:
 
 def middle_truncate(lines: DataFrame, max_tokens: int = 2000, span: int | None = None) -> DataFrame:
     """(log_id, ord, line): logs over budget keep their first 30 and last 50 percent of lines."""
-    shown = sized(dedupe_consecutive(lines, span), span).select(
+    shown = sized(lines, span).select(
         "log_id", (F.col("seq") * 2).alias("ord"), _cut(max_tokens).alias("line"))
     return shown.filter("line IS NOT NULL")
 
@@ -93,5 +104,5 @@ def digest_rows(sized_lines: DataFrame, max_tokens: int = 2000) -> DataFrame:
 
 
 def digest(lines: DataFrame, max_tokens: int = 2000) -> DataFrame:
-    merged = sized(dedupe_consecutive(lines))
+    merged = sized(lines)
     return D.finish("generic", stats(merged, D.log_sizes(lines)), digest_rows(merged, max_tokens))

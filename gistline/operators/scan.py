@@ -59,6 +59,7 @@ def scan(
     order: Sequence[str | Column] | None = None,
     bucket: Column | None = None,
     span: int | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add columns that depend on the other rows of the same key.
 
@@ -70,14 +71,15 @@ def scan(
 
     ``pos`` is a unique bigint position within the key. For an order that is not one column,
     pass ``order`` and a ``bucket`` that never decreases along it; then only ``running`` and
-    ``total`` are available.
+    ``total`` are available. ``dealt`` says that ``df`` comes from :func:`halo` with the same span
+    and ``keep_span``: its rows are already dealt by key and span, and are not shuffled again.
     """
     before, through, after = dict(before or {}), dict(through or {}), dict(after or {})
     running, total = dict(running or {}), dict(total or {})
     if order is not None and (bucket is None or before or through or after):
         raise ValueError("a composite order needs a bucket and gives sums only")
     keys = list(key)
-    kept = df.columns
+    kept = [c for c in df.columns if c != "__span"]
     # Rows without a key belong to no log. Filtering here, and not in one branch of the join
     # below, keeps the two branches' shuffles equal.
     df = df.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
@@ -85,13 +87,14 @@ def scan(
     events = {**{f"__b_{n}": c for n, c in before.items()}, **{f"__t_{n}": c for n, c in through.items()},
               **{f"__a_{n}": c for n, c in after.items()}}
     amounts = {**{f"__r_{n}": c for n, c in running.items()}, **{f"__s_{n}": c for n, c in total.items()}}
+    home = F.col("__span") if dealt else F.coalesce(bucket if bucket is not None else span_of(pos, span), F.lit(-1)).cast("bigint")
     work = df.select(
-        "*",
-        F.coalesce(bucket if bucket is not None else span_of(pos, span), F.lit(-1)).cast("bigint").alias("__span"),
+        *kept,
+        home.alias("__span"),
         *[c.alias(n) for n, c in events.items()],
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in amounts.items()],
     )
-    work = _shared(work, groups)
+    work = work if dealt else _shared(work, groups)
 
     def at(n: str) -> Column:
         return F.when(F.col(n).isNotNull(), F.col(pos))
@@ -147,11 +150,12 @@ def halo(
     key: Sequence[str] = ("log_id",),
     pos: str = "line_no",
     span: int | None = None,
+    keep_span: bool = False,
 ) -> DataFrame:
     """Add windowed columns that look at most ``left`` positions back and ``right`` ahead.
 
     ``make(window)`` gets an ordered window spec and returns the new columns by name.
-    Positions must be 1..n without gaps.
+    Positions must be 1..n without gaps. With ``keep_span`` the rows keep the span that they are dealt by.
     """
     width = max(span or SPAN, left, right)
     home = span_of(pos, width)
@@ -164,7 +168,8 @@ def halo(
     wide = df.withColumn("__span", F.explode(F.array_compact(F.array(*targets))))
     cols = make(Window.partitionBy(*key, "__span").orderBy(pos))
     out = wide.select("*", *[c.alias(n) for n, c in cols.items()])
-    return out.filter(F.col("__span") == home).drop("__span")
+    out = out.filter(F.col("__span") == home)
+    return out if keep_span else out.drop("__span")
 
 
 def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
