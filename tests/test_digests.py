@@ -163,3 +163,14 @@ def test_registered_distiller(spark, lines_of):
     finally:
         classify.DISTILLERS.pop("loud")
         classify._PREDICATES.clear()
+
+
+def test_generic_deals_the_lines_once(spark, tmp_path):
+    """Border rows, runs, numbers and counts come from one shuffle of the lines; what else is shuffled are span summaries."""
+    path = str(tmp_path / "lines")
+    spark.range(400).selectExpr("id % 3 AS log_id", "id div 3 + 1 AS line_no", "concat('line ', id div 7) AS line").write.parquet(path)
+    found = generic._runs(spark.read.parquet(path), 16)
+    assert found.count() and found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in final.split("\n") if "Exchange hashpartitioning" in x and "__span" in x and "ReusedExchange" not in x]
+    assert len(dealt) == 1
