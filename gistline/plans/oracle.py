@@ -528,7 +528,7 @@ def _sym(select: str, *ctes: str, views: str = "symbols") -> str:
     return _with(views, _SYM, *ctes, select=select)
 
 
-ORACLE["symbol_store"] = _with("symbols", select="SELECT file_id, name, qualified_name, parent_qualified_name, kind, line_lo, line_hi FROM symbols")
+ORACLE["symbol_store"] = _with("symbols", select="SELECT file_id, name, qualified_name, parent_qualified_name, kind, line_lo, line_hi, CASE WHEN line_lo % 3 = 0 THEN '' ELSE 'open ' || kind END AS modifiers, CASE WHEN line_lo % 2 = 0 THEN '/** ' || chr(34) || name || chr(34) || chr(10) || ' */' END AS doc FROM symbols")
 ORACLE["flatten_symbols"] = _sym("SELECT file_id, seq, depth, qualified_name, kind, line_lo, line_hi FROM sp")
 ORACLE["symbol_paths"] = _sym("SELECT file_id, qualified_name AS path, depth FROM sp")
 ORACLE["list_symbols"] = _sym("""
