@@ -197,5 +197,5 @@ def test_whole_run(spark, tables):
 
 def test_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLE) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5
