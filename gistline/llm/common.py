@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -40,6 +43,21 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Inside a task: hand memory that earlier tasks left in this worker back to the system.
+
+    Spark keeps Python workers for later stages; what they remember of the last one counts there too.
+    """
+    tokens = sys.modules.get("gistline.llm.tokens")
+    if tokens:
+        tokens.encoder.cache_clear()
+    gc.collect()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gistline.llm.common import batch, slices, small, stage
+from gistline.llm.common import batch, give_back, slices, small, stage
 from gistline.llm.words import mix, text_bytes, word_hashes, word_spans
 
 SAMPLE = 3000  #: Labelled rows of each label that are learned from, at most about.
@@ -270,7 +270,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> bytes:
         data = [t.encode() for _, t, _, _ in rows]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in data], dtype=np.int64)])
         model = fit(np.frombuffer(b"".join(data), np.uint8), offsets, np.array([y for _, _, y, _ in rows], np.int64), counts)
-        yield pa.record_batch([pa.array([model.to_bytes()], pa.binary())], names=["model"])
+        found = model.to_bytes()
+        del rows, data, model
+        give_back()
+        yield pa.record_batch([pa.array([found], pa.binary())], names=["model"])
 
     # Written first: the scan stays parallel, and the one training task reads only the sample.
     chosen = stage(sample(docs, usable, counts, per_label).select("doc_id", "text", "toxic", "lang"))
@@ -286,6 +289,7 @@ def _labelled_scores(docs: DataFrame, usable: DataFrame, model: Model) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = Model.from_bytes(shared.value)
         weights = own.responses()
         for b in slices(batches, "text", SCORED_BYTES):
@@ -309,6 +313,7 @@ def score(docs: DataFrame, model: bytes, per_label: int = SAMPLE) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = Model.from_bytes(shared.value)
         weights = own.responses()
         for b in slices(batches, "text", SCORED_BYTES):
@@ -326,6 +331,7 @@ def accepted(docs: DataFrame, model: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = Model.from_bytes(shared.value)
         weights = own.responses()
         for b in slices(batches, "text", SCORED_BYTES):
