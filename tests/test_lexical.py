@@ -249,3 +249,17 @@ def test_languages_of_the_reference_tests(spark):
         got.setdefault(r.file_id, set()).add(r.qualified_name)
     assert got == {k: names for k, (_, names) in hello.items()}
     assert {r.status for r in X.parse_status(df).collect()} == {"ok"}
+
+
+def test_parse_errors_deal_only_open_brackets_and_write_nothing(spark, monkeypatch):
+    """Pairs on one line stay out of the shuffle, and the errors are those of the pieces."""
+    texts = ["f(a[1]) {", "g(()) [{}] (", ") }", "x ] ( { [ ( ) ] } ) )", "((((((()))))))", "", "[ ( ] )", "} {"]
+    df = spark.createDataFrame([(f, "go", i + 1, texts[(i * (f + 3)) % len(texts)]) for f in range(3) for i in range(9)],
+                               "file_id long, language string, line_no long, line string")
+    key = lambda r: (r.file_id, r.line_no, r.sign, r.error)
+    for span in (2, None):
+        want = sorted(key(r) for r in X.parse_errors(df, span, X.code_pieces(df, span)).collect())
+        with monkeypatch.context() as m:
+            m.setattr(X, "stage", lambda df, *by: (_ for _ in ()).throw(AssertionError("written")))
+            assert sorted(key(r) for r in X.parse_errors(df, span).collect()) == want
+    assert X._open_brackets(df.filter("line = 'f(a[1]) {'"), None).filter("c <> '{'").isEmpty()
