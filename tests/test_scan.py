@@ -65,3 +65,12 @@ def test_rows_of_a_hot_log_are_spread(spark):
     assert got.filter("n != line_no").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"REPARTITION_BY_COL", plan) and re.search(r"hashpartitioning\([^)]*__span", plan)
+
+
+def test_deals_are_not_merged_by_their_compressed_size(spark):
+    """Lines that compress to nothing still go to as many tasks as the session's shuffles have."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = spark.range(1, 2001).selectExpr("id % 100 AS log_id", "id div 100 + 1 AS line_no", "'ok' AS line")
+    near = halo(lines, lambda w: {"p": F.lag("line", 1).over(w)}, left=1)
+    kept = near.groupBy("log_id").agg(F.min(F.spark_partition_id()).alias("p"))
+    assert n > 1 and kept.select("p").distinct().count() > 1
