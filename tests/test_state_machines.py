@@ -122,3 +122,16 @@ def test_long_digests_come_in_parts(spark, monkeypatch):
     parts = D.assemble(rows, part_chars=500).orderBy("part_no").collect()
     assert len(parts) > 3
     assert "".join(p.body for p in parts) == "\n".join(f"line {i}" for i in range(1, 401))
+
+
+@pytest.mark.parametrize("span", [2, None])
+def test_junit_numbers_from_the_scan(lines_of, span):
+    """Numbers of a block's messages and frames, taken from running counts, are those of a numbering by block."""
+    data = logs(9, ["a.B > c FAILED", "a.B > d() PASSED", "3 tests completed, 1 failed", "", "   message", "  at org.junit.X(Y)",
+                    "  at com.app.A.b(A.kt:3)", "java.lang.Error"])
+    lines = lines_of(data)
+    plain, numbered = junit.facts(lines, span=span), junit.facts(lines, span=span, numbered=True)
+    for operator in (junit.junit_failures, junit.junit_app_frames):
+        want, got = operator(plain), operator(numbered)
+        assert want.schema.simpleString() == got.schema.simpleString()
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.collect())) != []
