@@ -94,3 +94,21 @@ def test_runs_as_lines_give_the_same_digests(spark):
 
     assert rows(whole) == rows(by_line) and len(rows(by_line)) == 4
     assert by_line.responses.count() == 4 and "text" not in by_line.logs.columns
+
+
+def test_heads_of_short_lines_and_runs_that_are_handed_on(spark, monkeypatch):
+    """A run is known by what stands far down among short lines, a test run without tests keeps its build
+    digest, and only runs with short lines have more than their first lines dealt for the head."""
+    far = "\n" * 200 + "x.Y > z PASSED"
+    texts = {"far": ("run", far), "long": ("run", "\n".join(["w" * 50] * 300) + "\nx.Y > z PASSED"), "on": ("./gradlew test", "BUILD FAILED in 2s")}
+    more = ["0 AS exit_code", "false AS timed_out", "5L AS duration_ms"]
+    runs = spark.createDataFrame([(k, c, t, "") for k, (c, t) in texts.items()], "run_id string, command string, stdout string, stderr string").selectExpr("*", *more)
+    lines = spark.createDataFrame([(k, i, x) for k, (_, t) in texts.items() for i, x in enumerate(t.split("\n"), 1)], "run_id string, line_no long, line string")
+    written = []
+    monkeypatch.setattr(jobs, "stage", lambda df, *by, real=jobs.stage: written.append(real(df, *by)) or written[-1])
+    whole = jobs.distill_runs(runs)
+    del written[:]
+    by_line = jobs.distill_run_lines(runs.drop("stdout", "stderr"), lines)
+    rows = lambda done: sorted(map(str, done.digests.drop("log_id").collect()))
+    assert rows(whole) == rows(by_line) and {r.kind for r in by_line.digests.collect()} == {"junit", "generic", "gradle"}
+    assert [r.run_id for r in written[0].collect()] == ["far"]
