@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gistline.functions import text as T
 from gistline.operators import classify, digest as D, lexical, retrieve as R, symbols as S
@@ -248,9 +248,9 @@ def find_references(lines: DataFrame, requests: DataFrame, symbols: DataFrame, c
     key = ["file_id", "identifier"]
     hits = R.indexed_references(lines, requests, index)
     if limit is None:
-        shown = scan(hits, key=key, running={"seq": F.lit(1)})
-    else:
-        shown = first_k(hits, limit, key, ["line_no"])
+        shown = scan(hits, key=key, running={"seq": F.lit(1)}, before={"last": F.col("line_no")})
+    else:  # at most ``limit`` rows of a request, so the hit before is found in the request's own window
+        shown = first_k(hits, limit, key, ["line_no"]).withColumn("last", F.lag("line_no").over(Window.partitionBy(*key).orderBy("line_no")))
     shown = stage(S.enclosing_symbol(shown, symbols))
     at, seq = F.col("line_no"), F.col("seq") * _LINES_AROUND
     counts = shown.groupBy(*key).agg(F.count("*").alias("n"))
@@ -262,9 +262,8 @@ def find_references(lines: DataFrame, requests: DataFrame, symbols: DataFrame, c
     head = F.when(n == 0, F.array(row(0, F.concat(F.lit("["), "identifier", F.lit("] 0 matches in "), "path")))).otherwise(F.array(
         row(0, F.concat(F.lit("File: "), "path")), row(1, F.concat(F.lit("Identifier: "), "identifier")),
         row(2, F.concat(s(n), F.when(n == 1, F.lit(" match")).otherwise(F.lit(" matches")), capped)), row(3, F.lit(""))))
-    placed = scan(shown, key=key, before={"last": at})
     start = F.greatest(F.lit(1).cast("bigint"), at - context)
-    bands = placed.select(
+    bands = shown.select(
         *key, "seq", at.alias("hit"), start.alias("start"), "qualified_name",
         (F.col("last").isNull() | (start > F.col("last") + context + 1)).alias("apart"))
     wanted = bands.select("*", F.explode(F.sequence("start", F.col("hit") + context)).alias("line_no"))

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistline.functions import patterns as P
-from gistline.operators import gradle, jest, junit, npm
+from gistline.operators import gradle, jest, junit, npm, retrieve as R
+from gistline.operators.scan import scan
 from gistline.streaming import feeds
 
 
@@ -45,3 +46,29 @@ def test_cheap_tests_leave_classes_as_the_patterns_give_them(spark, module, chai
     for r in lines.select("line_no", "line", want.alias("want")).collect():
         have = got.get(r.line_no)
         assert (have if have in [n for n, _ in chain] else None) == r.want, r
+
+
+def test_few_references_need_no_index_of_all_words(spark, monkeypatch):
+    lines = spark.createDataFrame([(f, i, x) for f in (1, 2) for i, x in enumerate(["a foo", "foo2 b=1", "f(x", "x foo = a.b"], 1)], "file_id long, line_no long, line string")
+    asked = [(f, x) for f in (1, 2) for x in ("foo", "f(x", "=", "a.b", "none", "")] + [(1, "b"), (None, "a"), (1, None)]
+    requests = spark.createDataFrame(asked, "file_id long, identifier string")
+
+    def found():
+        return sorted((r.file_id, r.identifier, r.line_no) for r in R.indexed_references(lines, requests).collect())
+
+    by_index = sorted((r.file_id, r.identifier, r.line_no) for r in R.indexed_references(lines, requests, R.word_index(lines)).collect())
+    monkeypatch.setattr(R, "FEW_WORDS", 6)  # file 1 has more
+    assert found() == by_index
+    monkeypatch.setattr(R, "FEW_WORDS", 256)
+
+    def refuse(*_):
+        raise AssertionError("all words are listed")
+
+    monkeypatch.setattr(R, "word_index", refuse)
+    assert found() == by_index and (1, "b", 2) in by_index and (2, "=", 2) in by_index
+
+
+def test_rows_of_a_scan_are_dealt_into_the_sessions_partitions(spark):
+    lines = spark.range(10).select(F.lit("a").alias("log_id"), F.col("id").alias("line_no"))
+    plan = scan(lines, running={"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
