@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from gistline.functions import patterns as P
 from gistline.operators import gradle, jest, junit, npm, retrieve as R
-from gistline.operators.scan import scan
 from gistline.streaming import feeds
 
 
@@ -68,7 +67,6 @@ def test_few_references_need_no_index_of_all_words(spark, monkeypatch):
     assert found() == by_index and (1, "b", 2) in by_index and (2, "=", 2) in by_index
 
 
-def test_rows_of_a_scan_are_dealt_into_the_sessions_partitions(spark):
-    lines = spark.range(10).select(F.lit("a").alias("log_id"), F.col("id").alias("line_no"))
-    plan = scan(lines, running={"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+def test_bands_of_references_are_dealt_into_the_sessions_partitions(spark):
+    lines = spark.createDataFrame([("a", i, "foo" if i % 3 else "x") for i in range(1, 20)], "log_id string, line_no long, line string")
+    assert "REPARTITION_BY_NUM" in R.reference_context(lines, "foo", 1)._jdf.queryExecution().executedPlan().toString()
