@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from gistline.operators import lexical as X
@@ -263,3 +265,23 @@ def test_parse_errors_deal_only_open_brackets_and_write_nothing(spark, monkeypat
             m.setattr(X, "stage", lambda df, *by: (_ for _ in ()).throw(AssertionError("written")))
             assert sorted(key(r) for r in X.parse_errors(df, span).collect()) == want
     assert X._open_brackets(df.filter("line = 'f(a[1]) {'"), None).filter("c <> '{'").isEmpty()
+
+
+def test_neighbours_are_found_without_sorting_for_their_sums(spark):
+    """Structs as sums of a span would make every row be sorted once more."""
+    lines = spark.createDataFrame([(1, "kotlin", 1, "class A(val b: Int) {"), (1, "kotlin", 2, "fun f() { }"), (1, "kotlin", 3, "}")],
+                                  "file_id long, language string, line_no long, line string")
+    pieces = X.code_pieces(lines)
+    near = X._neighbours(pieces, X._declared(pieces), None)
+    assert "SortAggregate" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leading_doc_reads_the_lines_once(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, "java", 1, "/** d */"), (1, "java", 2, "class A { }")], "file_id long, language string, line_no long, line string")
+    pieces = X.code_pieces(lines)
+    assert [tuple(r) for r in X.leading_doc(lines, pieces=pieces).collect()] == [(1, 2, "/** d */")]
+    seen = []
+    monkeypatch.setattr(X, "stage", lambda df: seen.append(df) or df)
+    X.leading_doc(lines, pieces=pieces)
+    plan = re.sub(r"#\d+L?", "", seen[0]._jdf.queryExecution().optimizedPlan().toString())
+    assert "__span" in plan and "(line_no = line_no)" not in plan  # its rows are not joined to themselves

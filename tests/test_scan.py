@@ -73,3 +73,12 @@ def test_deals_are_not_merged_by_their_compressed_size(spark):
     lines = spark.range(1, 2001).selectExpr("id % 100 AS log_id", "id div 100 + 1 AS line_no", "'ok' AS line")
     near = halo(lines, lambda w: {"p": F.lag("line", 1).over(w)}, left=1)
     assert n > 1 and near.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_scan_of_a_scan_stays_where_its_rows_were_dealt_to(spark):
+    df = spark.createDataFrame([("a", i, i % 3) for i in range(1, 12)] + [("b", 1, 1), (None, 2, 1)], "log_id string, line_no long, v long")
+    first = scan(df, span=2, running={"s": "v"}, keep_span=True)
+    again = scan(first, span=2, dealt=True, running={"t": F.col("s")}, before={"p": F.col("s")})
+    known = {(r.log_id, r.line_no): (r.s, r.t, r.p) for r in again.collect()}
+    s = [sum(j % 3 for j in range(1, i + 1)) for i in range(1, 12)]
+    assert known == {("b", 1): (1, 1, None)} | {("a", i): (s[i - 1], sum(s[:i]), s[i - 2] if i > 1 else None) for i in range(1, 12)}
