@@ -174,3 +174,11 @@ def test_generic_deals_the_lines_once(spark, tmp_path):
     final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [x for x in final.split("\n") if "Exchange hashpartitioning" in x and "__span" in x and "ReusedExchange" not in x]
     assert len(dealt) == 1
+
+
+def test_digest_rows_need_no_interpreted_filter(spark):
+    df = spark.createDataFrame([(1, "x", 1), (2, None, 0)], "log_id long, text string, n int")
+    rows = D.rows_of(df, D.row(0, 1, F.col("text")), F.when(F.col("n") > 0, D.row(1, 2, "more")))
+    assert sorted(tuple(r) for r in rows.collect() if r.log_id == 1) == [(1, 0, 1, "x", "\n"), (1, 1, 2, "more", "\n")]
+    assert [tuple(r) for r in rows.filter("log_id = 2").collect()] == [(2, 0, 1, None, "\n")]
+    assert "lambda" not in rows._jdf.queryExecution().executedPlan().toString()
