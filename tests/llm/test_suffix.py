@@ -97,3 +97,31 @@ def test_without_passages(docs_of, odd_pairs):
         elif kept.strip():
             want[d, kept] += 1
     assert got == want
+
+
+def test_agreements_hold_only_whole_matches(spark, monkeypatch):
+    """Suffixes that agree for fewer bytes give no rows, equal ones do across the borders of tasks."""
+    monkeypatch.setattr(suffix, "FEW", 0)
+    strings = [(i, i, [5, 6, 7 + i % 2, 9], [10, 10, 10, 10], [0, 10, 20, 30]) for i in range(40)]
+    rows = spark.createDataFrame(strings, "sid long, tid long, syms array<long>, sizes array<long>, pos array<int>")
+    got = {tuple(x) for x in suffix.agreements(rows, 25).collect()}
+    assert got == {(i, p, 30) for i in range(40) for p in (0, 10)}
+
+
+def test_recursion_takes_open_names_only(spark, monkeypatch):
+    """Names that occur once, or cover the length, are not handed down."""
+    monkeypatch.setattr(suffix, "FEW", 0)
+    handed, solve = [], suffix.difference_cover
+
+    def counted(strings, length):
+        handed.append(sum(len(x.syms) for x in strings.collect()))
+        return solve(strings, length)
+
+    monkeypatch.setattr(suffix, "difference_cover", counted)
+    alone = list(range(1000, 1300))
+    strings = [(0, alone + [1, 2, 3, 4, 5], [9] * 305), (1, list(range(2000, 2300)) + [1, 2, 3, 4, 6], [9] * 305)]
+    out = suffix._ranks(spark.createDataFrame(strings, "sid long, syms array<long>, sizes array<long>"), 40)
+    got = {x.sid: x.ranks for x in out.collect()}
+    suffixes = sorted((s[i:], got[k][i]) for k, s, _ in strings for i in range(len(s)))
+    assert all(x < y for (_, x), (_, y) in zip(suffixes, suffixes[1:]))
+    assert handed and sum(handed) < 20
