@@ -70,3 +70,12 @@ def test_few_references_need_no_index_of_all_words(spark, monkeypatch):
 def test_bands_of_references_are_dealt_into_the_sessions_partitions(spark):
     lines = spark.createDataFrame([("a", i, "foo" if i % 3 else "x") for i in range(1, 20)], "log_id string, line_no long, line string")
     assert "REPARTITION_BY_NUM" in R.reference_context(lines, "foo", 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_bands_of_references_are_not_broadcast(spark):
+    lines = spark.range(60000).selectExpr("id div 100 AS log_id", "id % 100 + 1 AS line_no", "IF(id % 2 = 0, 'foo', 'x') AS line")
+    found = R.reference_context(lines, "foo", 1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.filter("part = 1").count() == 600 * (50 * 3 - 1)  # no line stands before the first
+    few = R.reference_context(lines.filter("log_id < 10"), "foo", 1)
+    assert few.orderBy("log_id", "seq", "line_no", "part").collect() == found.filter("log_id < 10").orderBy("log_id", "seq", "line_no", "part").collect()
