@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistline.functions import patterns as P
-from gistline.operators import gradle, jest, junit, npm, retrieve as R
+from gistline.operators import classify, digest as D, gradle, jest, junit, npm, retrieve as R
+from gistline.plans import carriers as V
+from gistline.sources.staging import stage
 from gistline.streaming import feeds
 
 
@@ -79,3 +81,56 @@ def test_many_bands_of_references_are_not_broadcast(spark):
     assert found.filter("part = 1").count() == 600 * (50 * 3 - 1)  # no line stands before the first
     few = R.reference_context(lines.filter("log_id < 10"), "foo", 1)
     assert few.orderBy("log_id", "seq", "line_no", "part").collect() == found.filter("log_id < 10").orderBy("log_id", "seq", "line_no", "part").collect()
+
+
+def test_kinds_are_told_apart_while_the_lines_are_read(spark, monkeypatch):
+    lines = stage(spark.createDataFrame([("a", 1, "x", "npm"), ("b", 1, "x", "odd"), ("c", 1, "x", None)], "log_id string, line_no long, line string, kind string"))
+    read = {}
+    for kind, fn in list(classify.DISTILLERS.items()):
+        monkeypatch.setitem(classify.DISTILLERS, kind, lambda df, kind=kind, fn=fn: read.update({kind: df._jdf.queryExecution().executedPlan().toString()}) or fn(df))
+    assert sorted((r.log_id, r.kind) for r in classify.distill(lines).collect()) == [("a", "npm"), ("b", "generic"), ("c", "generic")]
+    assert "EqualTo(kind,npm)" in read["npm"] and "IsNull(kind)" in read["generic"]
+
+
+def test_only_long_digests_go_by_pieces(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, s, i, f"{k}{s}-{i}", "\n") for k, n in (("a", 3), ("b", 40), ("c", 1)) for s in (0, 2) for i in range(n)] + [(None, 0, 0, "x", "\n")],
+                                 "log_id string, section int, seq long, text string, glue string")
+    sorted_rows = lambda df: sorted(map(tuple, df.select("log_id", "part_no", "body").collect()))
+    whole = sorted_rows(D.assemble(rows))
+    assert [k for k, _, _ in whole] == ["a", "b", "c"] and whole[0][2] == "a0-0\na0-1\na0-2\na2-0\na2-1\na2-2"
+    parts = sorted_rows(D.assemble(rows, part_chars=100))
+    assert [r for r in parts if r[0] != "b"] == [whole[0], whole[2]] and "".join(r[2] for r in parts if r[0] == "b") == whole[1][2]
+    assert len([r for r in parts if r[0] == "b"]) > 1
+    monkeypatch.setattr(D, "PIECE", 16)
+    assert sorted_rows(D.assemble(rows)) == whole
+
+    def refuse(*_, **__):
+        raise AssertionError("short digests are cut into pieces")
+
+    monkeypatch.setattr(D, "scan", refuse)
+    assert sorted_rows(D.assemble(rows.filter("log_id <> 'b'"))) == [whole[0], whole[2]]
+
+
+def test_short_test_results_keep_their_status(spark, lines_of):
+    lines = lines_of({"a": ["x.Y > one PASSED", "x.Y > two > PASSED FAILED ", "  boom", "  at x.Y.two(Y.kt:1)", "x.Y > three SKIPPED", "  not shown"]})
+    short, full = junit.facts(lines, short=True), junit.facts(lines)
+    assert {r.line_no: r.text for r in short.collect()} == {**{r.line_no: r.text for r in full.collect()}, 1: "PASSED", 5: "SKIPPED"}
+    assert junit.junit_counts(short).collect() == junit.junit_counts(full).collect()
+    assert junit.failures(short).collect() == junit.failures(full).collect()
+
+
+def test_items_are_numbered_once_for_all_kinds(spark, tmp_path, monkeypatch):
+    at = str(tmp_path)
+    spark.range(40).selectExpr(
+        "id div 3 AS l_orderkey", "CAST(id % 7 + 1 AS int) AS l_linenumber", "id * 7 % 50 AS l_partkey", "id % 2 AS l_suppkey", "CAST(id % 4 AS double) AS l_quantity",
+        "1.5D AS l_extendedprice", "timestamp'2020-01-01' AS l_shipdate", "0.1D AS l_discount", "0.2D AS l_tax",
+        "substr('RAN', CAST(id % 3 + 1 AS int), 1) AS l_returnflag", "'F' AS l_linestatus").write.parquet(f"{at}/lineitem.parquet")
+    spark.range(30).selectExpr("id % 3 AS user_id", "id AS event_id", "IF(id % 2 = 0, 'error', 'click') AS event_type").write.parquet(f"{at}/events.parquet")
+    spark.range(30).selectExpr("id AS o_orderkey", "id % 4 AS o_custkey", "substr('FPO', CAST(id % 3 + 1 AS int), 1) AS o_orderstatus").write.parquet(f"{at}/orders.parquet")
+    views = {"gradle": V.build_lines, "npm": V.npm_lines, "jest": V.jest_lines, "pytest": V.pytest_lines, "junit": V.junit_lines, "generic": V.generic_lines}
+    rows = lambda df: sorted(map(str, df.select("log_id", "line_no", "line").collect()))
+    want = {kind: rows(view(spark, at)) for kind, view in views.items()}
+    numbered = []
+    monkeypatch.setattr(V, "_items", lambda *a, real=V._items: numbered.append(a) or real(*a))
+    assert {kind: rows(df) for kind, df in V.lines_by_kind(spark, at).items()} == want and all(want.values())
+    assert len(numbered) == 1
