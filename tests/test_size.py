@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gistline.functions import patterns as P
 from gistline.operators import classify, digest as D, gradle, jest, junit, npm, retrieve as R
-from gistline.plans import carriers as V
+from gistline.plans import carriers as V, jobs
 from gistline.sources.staging import stage
 from gistline.streaming import feeds
 
@@ -83,6 +83,37 @@ def test_many_bands_of_references_are_not_broadcast(spark):
     assert few.orderBy("log_id", "seq", "line_no", "part").collect() == found.filter("log_id < 10").orderBy("log_id", "seq", "line_no", "part").collect()
 
 
+def test_lines_stay_where_they_are_when_they_get_their_kind(spark, monkeypatch):
+    texts = {"a": ("npm install", "npm error code E1\nadded 3 packages"), "b": ("make", "x\nx\nerror: bad"), "c": ("jest", "")}
+    more = ["0 AS exit_code", "false AS timed_out", "5L AS duration_ms"]
+    runs = spark.createDataFrame([(k, c) for k, (c, _) in texts.items()] + [(None, "make")], "run_id string, command string").selectExpr("*", *more)
+    lines = spark.createDataFrame([(k, i, x) for k, (_, t) in texts.items() if t for i, x in enumerate(t.split("\n"), 1)] + [("lost", 1, "x"), (None, 1, "x")],
+                                  "run_id string, line_no long, line string")
+    plans = []
+
+    def recorded(df, *by, real=jobs.stage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *by)
+
+    monkeypatch.setattr(jobs, "stage", recorded)
+
+    def digests(r):
+        del plans[:]
+        return sorted(map(str, jobs.distill_run_lines(r, lines).digests.collect())), next(p for p in plans if "__run" in p and "line_no" in p and "kind" in p)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, plan = digests(runs)
+        assert "BroadcastHashJoin" in plan and len(few) == 4
+        twice = runs.unionByName(runs.filter("run_id = 'b'"))
+        doubled = digests(twice)[0]
+        monkeypatch.setattr(jobs, "FEW_RUNS", 0)
+        by_id, plan = digests(runs)
+        assert "BroadcastHashJoin" not in plan and by_id == few and digests(twice)[0] == doubled
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_kinds_are_told_apart_while_the_lines_are_read(spark, monkeypatch):
     lines = stage(spark.createDataFrame([("a", 1, "x", "npm"), ("b", 1, "x", "odd"), ("c", 1, "x", None)], "log_id string, line_no long, line string, kind string"))
     read = {}
