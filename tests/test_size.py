@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistline.functions import patterns as P
-from gistline.operators import classify, digest as D, gradle, jest, junit, npm, retrieve as R
+from gistline.operators import classify, digest as D, generic, gradle, jest, junit, npm, retrieve as R
+from gistline.operators.scan import scan
 from gistline.plans import carriers as V, jobs
 from gistline.sources.staging import stage
 from gistline.streaming import feeds
@@ -165,3 +166,28 @@ def test_items_are_numbered_once_for_all_kinds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(V, "_items", lambda *a, real=V._items: numbered.append(a) or real(*a))
     assert {kind: rows(df) for kind, df in V.lines_by_kind(spark, at).items()} == want and all(want.values())
     assert len(numbered) == 1
+
+
+def test_cheap_values_do_not_travel(spark, lines_of):
+    """The dealt rows hold their own columns alone, and the results are those of values that travel."""
+    lines = lines_of({"a": ["x", "1", "y", "2"], "b": ["3", "x"]})
+    values = {"before": {"last": F.when(F.col("line") < "x", F.col("line_no"))}, "running": {"n": F.lit(1)}, "total": {"m": F.length("line")}, "span": 2}
+    late, early = scan(lines, late=True, **values), scan(lines, **values)
+    assert sorted(late.collect()) == sorted(early.collect())
+    assert "AS __b_last" not in late._jdf.queryExecution().executedPlan().toString().rsplit("Exchange hashpartitioning(log_id", 1)[1]
+    facts = junit.facts(lines_of({"a": ["x.Y > one FAILED", "  boom"]}))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(log_id" in facts and "__b_block" not in facts.rsplit("Exchange hashpartitioning(log_id", 1)[1]
+
+
+def test_lengths_of_notes_do_not_bring_a_log_to_one_task(spark, lines_of, monkeypatch):
+    lines = lines_of({"a": ["x", "x", "x", "error: y"], "b": ["z"], "c": ["w", "w"]})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_hint = generic.sized(lines)
+        assert "BroadcastHashJoin" in by_hint._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(generic, "FEW_LOGS", 0)
+        by_id = generic.sized(lines)
+        assert "BroadcastHashJoin" not in by_id._jdf.queryExecution().executedPlan().toString()
+        assert sorted(by_hint.collect()) == sorted(by_id.collect()) and by_id.count() == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
